@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import unicodedata
 from functools import lru_cache
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from quire.llm.packing import tokenizer_path
 
 #: Distinct chunks, words and transitions that a worker remembers at most; beyond, it starts anew.
-CHUNKS, WORDS, TRANSITIONS = 300_000, 300_000, 1_000_000
+CHUNKS, WORDS, TRANSITIONS = 500_000, 200_000, 1_000_000
 
 
 class MergeAutomaton:
@@ -38,9 +39,10 @@ class MergeAutomaton:
         self.lost: dict[int, dict[int, int]] = {}
         for rank, (a, b) in enumerate(merges):
             self._gadget(rank, vocabulary[a], vocabulary[b], vocabulary[a + b])
-        self.reach: dict[str, int] = {}  # of each pair of first symbols, the longest token that begins so
+        self.reach: dict[str, int] = {}  # of each four first symbols, the longest token that begins so
         for token in vocabulary:
-            self.reach[token[:2]] = max(len(token), self.reach.get(token[:2], 0))
+            if len(token) > 3:
+                self.reach[token[:4]] = max(len(token), self.reach.get(token[:4], 0))
         self.known: dict[tuple[int, int], bool] = {}
 
     def _gadget(self, rank: int, a: int, b: int, ab: int) -> None:
@@ -77,18 +79,21 @@ class MergeAutomaton:
         out: list[int] = []
         begins: list[int] = []
         dead: set[int] = set()
-        at, stop = 0, n
+        at, stop = 0, n + len(end)
         while at < n:
-            stop = min(stop, at + reach.get(whole[at : at + 2], 1))
-            while stop > at:
-                token = token_of(whole[at:stop] if stop < n else whole[at:])
+            stop = min(stop, at + reach.get(whole[at : at + 4], 3))
+            while stop > at:  # the mark belongs to the last symbol
+                if n <= stop < len(whole):
+                    stop = n - 1
+                    continue
+                token = token_of(whole[at:stop])
                 if token is not None and stop not in dead and (not out or has_arc(out[-1], token)):
                     break
                 stop -= 1
             if stop > at:
                 out.append(token)
                 begins.append(at)
-                at, stop = stop, n
+                at, stop = stop, n + len(end)
             elif out:
                 dead.add(at)
                 out.pop()
@@ -123,8 +128,9 @@ class BpeCodec:
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(splits[0]["pattern"]["Regex"])
         self.symbols = byte_symbols()
-        self.chunks: dict[bytes, tuple[int, str, str]] = {}
+        self.first = os.path.commonprefix(list(self.special))
         self.paths: dict[str, list[int]] = {}
+        self.ids, self.decoded = _Chunks(self), {}
 
     def _word(self, word: str) -> list[int]:
         if (ids := self.paths.get(word)) is None:
@@ -135,7 +141,7 @@ class BpeCodec:
         return ids
 
     def encode_chunk(self, chunk: str) -> list[int]:
-        parts = self.cuts.split(chunk) if any(x in chunk for x in self.special) else [chunk]
+        parts = self.cuts.split(chunk) if self.special and self.first in chunk else [chunk]
         out: list[int] = []
         for part in parts:
             if part in self.special:
@@ -150,19 +156,27 @@ class BpeCodec:
         """The labels of the arcs, separated as a tokenizer without a decoder does."""
         return " ".join(self.labels[i] for i in ids)
 
-    def chunk(self, chunk: bytes) -> tuple[int, str, str]:
-        """(number of ids, ids, decoded text) of what stands between white space."""
-        if len(self.chunks) >= CHUNKS:
-            self.chunks.clear()
-        ids = self.encode_chunk(chunk.decode())
-        found = self.chunks[chunk] = len(ids), " ".join(map(str, ids)), self.decode(ids)
-        return found
-
     def text(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, ids, decoded text) of a whole text."""
-        get = self.chunks.get
-        parts = [p for p in (get(c) or self.chunk(c) for c in (text or "").encode().split()) if p[0]]
-        return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+        if len(self.ids) >= CHUNKS:
+            self.ids.clear()
+            self.decoded.clear()
+        chunks = (text or "").encode().split()
+        ids = "".join(map(self.ids.__getitem__, chunks))
+        return ids.count(" "), ids[:-1], "".join(map(self.decoded.__getitem__, chunks))[:-1]
+
+
+class _Chunks(dict):
+    """Ids of what stands between white space, each followed by a space; filled in, with the labels, as asked for."""
+
+    def __init__(self, codec: BpeCodec):
+        self.codec = codec
+
+    def __missing__(self, chunk: bytes) -> str:
+        ids = self.codec.encode_chunk(chunk.decode())
+        self.codec.decoded[chunk] = self.codec.decode(ids) + " " if ids else ""
+        found = self[chunk] = "".join([f"{i} " for i in ids])
+        return found
 
 
 @lru_cache(maxsize=2)

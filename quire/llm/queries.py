@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, exact_dedup, packing, sharding
+from quire.llm import bpe, exact_dedup, langid, packing, sharding, simhash, toxicity
 from quire.llm.common import documents
 
 
@@ -18,13 +18,36 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
+def op5_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op6_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op7_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_rendezvous_shards, op3_exact_dedup, op6_binary_packing, op9_bpe_automaton)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_rendezvous_shards,
+        op3_exact_dedup,
+        op4_word_first_language,
+        op5_simhash_pigeonhole,
+        op6_binary_packing,
+        op7_toxicity_trees,
+        op9_bpe_automaton,
+    )
+}
 ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
