@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, exact_dedup, langid, packing, sharding, simhash, toxicity
+from quire.llm import bpe, exact_dedup, fingerprint, langid, packing, sharding, simhash, toxicity
 from quire.llm.common import documents
 
 
@@ -38,6 +38,10 @@ def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir))
 
 
+def op10_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -48,6 +52,7 @@ QUERIES = {
         op6_binary_packing,
         op7_toxicity_trees,
         op9_bpe_automaton,
+        op10_one_permutation_minhash,
     )
 }
 ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
