@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, exact_dedup, fingerprint, langid, packing, sharding, simhash, toxicity
+from quire.llm import bpe, exact_dedup, fingerprint, langid, packing, sharding, simhash, substring, toxicity
 from quire.llm.common import documents
 
 
@@ -34,6 +34,10 @@ def op7_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_suffix_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_digests(documents(spark, sf_dir))
+
+
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ QUERIES = {
         op5_simhash_pigeonhole,
         op6_binary_packing,
         op7_toxicity_trees,
+        op8_suffix_tree_repeats,
         op9_bpe_automaton,
         op10_one_permutation_minhash,
     )
