@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, exact_dedup, fingerprint, langid, packing, sharding, simhash, substring, toxicity
+from quire.llm import bpe, exact_dedup, fingerprint, langid, packing, ppm, sharding, simhash, substring, toxicity
 from quire.llm.common import documents
 
 
+def op1_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.lm_scores(documents(spark, sf_dir))
+
+
 def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return sharding.shard_documents(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -49,6 +53,7 @@ def op10_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_ppm_scores,
         op2_rendezvous_shards,
         op3_exact_dedup,
         op4_word_first_language,
