@@ -27,7 +27,7 @@ def op4_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(documents(spark, sf_dir))
+    return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
 def op6_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,14 +39,23 @@ def simhash(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > last).view(">i8")[0])
 
 
+def order_of(key: Column) -> Column:
+    """Ids in the order that names groups, null ids last."""
+    return F.coalesce(key.cast("long"), F.lit((1 << 63) - 1))
+
+
+def tie_of(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, *, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row."""
+    """(doc_id, tie, fp) of every row; tie tells rows that share an id apart."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([simhash(t, width) for t in batch.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([simhash(t, width) for t in batch.column(2).to_pylist()], pa.int64())], ["doc_id", "tie", "fp"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), tie_of(docs[text_col]).alias("tie"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, tie long, fp long")
 
 
 def bit_table(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -153,17 +162,24 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, width: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row.
+    """doc_id, fingerprint (16 hex digits), component_id, kept and tie of every row.
 
     Equal fingerprints are one node, so copies never meet in pairs; nodes within `distance` bits are linked, and
-    component_id is the smallest doc_id that can be reached. Texts without words have fingerprint zero and are linked
+    component_id is the smallest doc_id that can be reached, and that row is kept. Texts without words have fingerprint zero and are linked
     like any other; fewer words than `width` are one shingle; a null id takes part but never names a component, which
-    without any id has null; repeated rows share a component; an empty table gives an empty one.
+    without any id has null; rows that repeat an id share a component only if their texts do, and one of them is kept
+    (both, if id and text are the same: exact deduplication comes first); an empty table gives an empty one.
     """
     every = stored(fingerprints(docs, width=width, id_col=id_col, text_col=text_col))
-    prints = every.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    prints = every.groupBy("fp").agg(F.min(F.struct(order_of(F.col("doc_id")).alias("order"), "tie")).alias("first"))
     found = components(links(prints, distance), "a", "b")
     nodes = prints.join(found, prints["fp"] == found["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    names = nodes.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = nodes.join(names, "label").select("fp", "component_id")
-    return every.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    names = nodes.groupBy("label").agg(F.min("first").alias("rep"))
+    named = nodes.join(names, "label").select("fp", "rep")
+    return every.join(named, "fp").select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.nullif("rep.order", order_of(F.lit(None))).alias("component_id"),
+        ((order_of(F.col("doc_id")) == F.col("rep.order")) & (F.col("tie") == F.col("rep.tie"))).alias("kept"),
+        "tie",
+    )
