@@ -1,0 +1,3 @@
+"""Queries by name. Importing this package registers all of them."""
+
+from quire.plans import relational  # noqa: F401
