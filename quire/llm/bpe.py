@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quire.llm.packing import tokenizer_path
+from quire.llm.common import byte_symbols, tokenizer_path
 
 #: Distinct chunks, words and transitions that a worker remembers at most; beyond, it starts anew.
 CHUNKS, WORDS, TRANSITIONS = 500_000, 200_000, 1_000_000
@@ -103,13 +103,6 @@ class MergeAutomaton:
         return out
 
 
-def byte_symbols() -> list[str]:
-    """The printable symbol of each byte: itself if printable in Latin-1, else the next free code point from 256."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(shown)]
-    return [chr(b) if b in set(shown) else chr(256 + rest.index(b)) for b in range(256)]
-
-
 class BpeCodec:
     """Encodes and decodes as the tokenizer file describes, by its automaton."""
 
@@ -140,6 +133,13 @@ class BpeCodec:
             ids = self.paths[word] = self.automaton.path(symbols, self.end)
         return ids
 
+    def _split(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.words.findall(text)
+        # The regex module takes unassigned code points for letters; a sign stands in for them.
+        shown = "".join(["¦" if unicodedata.category(c) == "Cn" else c for c in text])
+        return [text[m.start() : m.end()] for m in self.words.finditer(shown)]
+
     def encode_chunk(self, chunk: str) -> list[int]:
         parts = self.cuts.split(chunk) if self.special and self.first in chunk else [chunk]
         out: list[int] = []
@@ -148,7 +148,7 @@ class BpeCodec:
                 out.append(self.special[part])
             elif part:
                 text = part.lower() if part.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", part))
-                for word in [text] if text.isalpha() else self.words.findall(text):
+                for word in [text] if text.isalpha() else self._split(text):
                     out += self._word(word)
         return out
 
