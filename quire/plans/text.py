@@ -135,7 +135,7 @@ def line_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, CAST(floor(p_size * 567 + 0.5) AS BIGINT) AS twips, CAST(trunc(p_size * 36000.0) AS BIGINT) AS emu, round(p_size * 2.83465, 2) AS points, round(p_size / 25.4, 4) AS inches FROM part
+SELECT p_partkey, CAST(floor(p_size * 567 + 0.5) AS BIGINT) AS twips, CAST(trunc(p_size * 36000.0) AS BIGINT) AS emu, round(p_size * 2.83465::DOUBLE, 2) AS points, round(p_size / 25.4::DOUBLE, 4) AS inches FROM part
 """)
 def unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     mm = F.col("p_size")

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import formats, hierarchy, issues, paragraphs, relational
+from quire.operators import blocks, formats, hierarchy, issues, paragraphs, relational
 from quire.sources import markup, tables
 from quire.streaming import stateful
 
@@ -142,3 +142,26 @@ def test_token_bucket_stream_agrees_with_fold(spark, tmp_path):
     live = stateful.drained(stateful.token_bucket(stream, "u", "t", "e", 0.1, 2.0), "bucket_test")
     still = stateful.token_bucket_batch(df, "u", "t", "e", 0.1, 2.0)
     assert sorted(map(tuple, live.collect())) == sorted(map(tuple, still.collect()))
+
+
+def _verify(df):
+    return df.filter("bad > 0").select(F.lit("k").alias("kind"), F.when(F.col("bad") > 5, "fatal").otherwise("repairable").alias("severity"), F.col("id").cast("string").alias("target"))
+
+
+@pytest.mark.parametrize("bad,step,verdict,left", [(0, 1, "verified_pass", 0), (2, 1, "verified_pass", 0), (9, 1, "manual_review", 9), (5, 0, "manual_review", 5)])
+def test_repair_loop(spark, bad, step, verdict, left):
+    df = spark.createDataFrame([(1, bad), (2, 0)], "id int, bad int")
+    fixed, said = blocks.repair(df, lambda d: _verify(d), lambda d, issues: d.withColumn("bad", F.greatest(F.col("bad") - 2 * step, F.lit(0))))
+    assert said == verdict and fixed.agg(F.sum("bad")).first()[0] == left
+
+
+def test_repair_without_patch(spark):
+    df = spark.createDataFrame([(1, 1)], "id int, bad int")
+    assert blocks.repair(df, _verify, None)[1] == "manual_review"
+
+
+def test_nearest_looks_both_ways(spark):
+    rows = [(1, 0, "goal"), (1, 1, ""), (1, 2, "start"), (1, 3, "x"), (1, 4, "goal")]
+    df = spark.createDataFrame(rows, "d int, i int, t string")
+    find = lambda most, back: blocks.nearest(df, ["d"], "i", F.col("t") == "start", F.col("t") == "goal", F.col("t") != "", most, back=back).first()["nearest"]
+    assert (find(8, False), find(1, False), find(8, True), find(1, True)) == (4, None, 0, 0)
