@@ -14,7 +14,8 @@ DEFAULT_PAGE, LARGEST_PAGE = 10, 100
 def latest_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
     """One row per key, the first in `order` (descending columns), found by aggregation with map-side combining.
 
-    A struct of the ordering columns is maximised, so a key's rows are never sorted or gathered in one task.
+    A struct of the ordering columns is maximised: map tasks each send one row per key, so a hot key's rows never meet in
+    one task, as they would in a window.
     """
     keys = [key] if isinstance(key, str) else list(key)
     best = F.max_by(F.struct(*columns), F.struct(*order)).alias("__row")
