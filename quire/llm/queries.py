@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import bpe, exact_dedup, fingerprint, langid, packing, ppm, sharding, simhash, substring, toxicity
-from quire.llm.common import documents
+from quire.llm.common import documents, spread
 
 
 def op1_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,27 +23,27 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    return langid.identify(spread(documents(spark, sf_dir).select("doc_id", "text", "lang")))
 
 
 def op5_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicates(spread(documents(spark, sf_dir))).select("doc_id", "fingerprint", "component_id")
 
 
 def op6_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
+    return packing.pack(spread(documents(spark, sf_dir))).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op7_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.toxicity(spread(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op8_suffix_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.substring_digests(documents(spark, sf_dir))
+    return substring.substring_digests(spread(documents(spark, sf_dir)))
 
 
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(documents(spark, sf_dir))
+    return bpe.encode_decode(spread(documents(spark, sf_dir)))
 
 
 def op10_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
