@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quire.llm.common import byte_symbols, tokenizer_path
+from quire.llm.common import byte_symbols, small_batches, tokenizer_path
 
 #: Distinct chunks, words and transitions that a worker remembers at most; beyond, it starts anew.
 CHUNKS, WORDS, TRANSITIONS = 500_000, 200_000, 1_000_000
@@ -202,4 +202,4 @@ def encode_decode(docs: DataFrame, *, path: str | None = None, digests: bool = T
                 ["doc_id", "n_tokens", *names],
             )
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id long, n_tokens long, {names[0]} string, {names[1]} string")
+    return small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id long, n_tokens long, {names[0]} string, {names[1]} string")

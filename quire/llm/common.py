@@ -28,6 +28,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Sends rows to Python workers in batches of at most `rows`, as texts may be long; returns df."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, rows)
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where the session names none."""
     context = spark.sparkContext

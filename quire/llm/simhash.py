@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored
+from quire.llm.common import small_batches, stored
 from quire.llm.components import components
 
 BITS = 64
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, *, width: int = SHINGLE, id_col: str = "doc_id
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([simhash(t, width) for t in batch.column(2).to_pylist()], pa.int64())], ["doc_id", "tie", "fp"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), tie_of(docs[text_col]).alias("tie"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, tie long, fp long")
+    return small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), tie_of(docs[text_col]).alias("tie"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, tie long, fp long")
 
 
 def bit_table(prints: DataFrame) -> tuple[int, np.ndarray]:

@@ -13,7 +13,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import crc_remainder, stored
+from quire.llm.common import crc_remainder, small_batches, stored
 
 #: Labelled documents that the model learns from, about; with more, a hash of the id picks them.
 SAMPLE = 16_000
@@ -71,7 +71,7 @@ def learn_lexicon(labelled: DataFrame, size: int = LEXICON) -> dict[str, float]:
 
     total = labelled.agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
     bad, good = total["toxic"] or 0, total["n"] - (total["toxic"] or 0)
-    counts = labelled.select("text", "toxic").mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = small_batches(labelled).select("text", "toxic").mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.ln((F.col("toxic") + 0.5) / (bad + 1)) - F.ln((F.col("clean") + 0.5) / (good + 1))
     kept = counts.filter(F.col("toxic") >= max(3, bad // 200)).withColumn("odds", odds).filter(F.col("odds") >= math.log(3)).orderBy(F.desc("odds"), "word").limit(size).collect()
     return {r["word"]: r["odds"] for r in kept}
@@ -102,7 +102,7 @@ def _vectors(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
             found = [features(t, shared.value) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "label", "values"])
 
-    return rows.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(run, "doc_id long, label int, values array<double>").select("doc_id", F.col("label").cast("double"), array_to_vector("values").alias("features"))
+    return small_batches(rows).select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(run, "doc_id long, label int, values array<double>").select("doc_id", F.col("label").cast("double"), array_to_vector("values").alias("features"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, rounds: int = 20, depth: int = 3) -> ToxicityModel:
