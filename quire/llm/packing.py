@@ -3,35 +3,36 @@
 from __future__ import annotations
 
 import os
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import numbered, stored
+from quire.llm.common import byte_symbols, numbered, small_batches, stored, tokenizer_path
 
 SEQUENCE = 4096
 END = 2
 #: Distinct white-space-separated chunks whose ids a worker remembers at most; beyond, it starts anew.
 REMEMBERED = 400_000
-TOKENIZER = "word_bpe_49k.json"
 
-_encoders: dict[str, "ChunkEncoder"] = {}
-
-
-def tokenizer_path(name: str = TOKENIZER) -> str:
-    import public_tokenizers
+# A word of Latin letters, all of them whole under NFC, then ASCII punctuation that starts no contraction or special token.
+_plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{}~]*)")
 
-    return public_tokenizers.path(name)
+_encoders: dict[str, "ChunkEncoder"] = {}
 
 
 class ChunkEncoder:
     """Ids of whole texts by the tokenizers library, chunk by chunk.
 
     The tokenizer's normaliser and splitter never join what ASCII white space separates, so a text's ids are the ids
-    of its chunks in a row, and each distinct chunk is encoded once for a worker.
+    of its chunks in a row, and each distinct chunk is encoded once for a worker. Most chunks are one word of Latin
+    letters, which those steps only put in lower case and spell in byte symbols, then punctuation: such words go
+    straight to the tokenizer's model.
     """
 
     def __init__(self, path: str):
@@ -41,21 +42,48 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.ids: dict[bytes, bytes] = {}
+        self.model, self.symbols = self.tokenizer.model, byte_symbols()
+        self.ids = _Remembered(self._chunk)
+        self.words = _Remembered(self._word)
+        self.whole = _Remembered(self._whole)
+
+    def _whole(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> bytes:
+        symbols = word if word.isascii() else "".join([self.symbols[b] for b in word.encode()])
+        return _packed([t.id for t in self.model.tokenize(symbols)])
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if (plain := _plain.fullmatch(text)) is None:
+            return self.whole[text]
+        word, marks = plain.groups()
+        return self.words[word.lower()] + (self.whole[marks] if marks else b"")
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for text in texts:
-            chunks = (text or "").encode().split()
-            new = {c for c in chunks if c not in self.ids}
-            if new:
-                if len(self.ids) + len(new) > REMEMBERED:
-                    self.ids.clear()
-                    new = set(chunks)
-                names = list(new)
-                found = self.tokenizer.encode_batch_fast([c.decode() for c in names], add_special_tokens=False)
-                self.ids.update((c, b"".join(i.to_bytes(4, "little") for i in e.ids)) for c, e in zip(names, found, strict=True))
-            yield b"".join(map(self.ids.__getitem__, chunks))
+            for known in (self.ids, self.words, self.whole):
+                if len(known) > REMEMBERED:
+                    known.clear()
+            yield b"".join(map(self.ids.__getitem__, (text or "").encode().split()))
+
+
+class _Remembered(dict):
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, key):
+        found = self[key] = self.find(key)
+        return found
+
+
+def _packed(ids: list[int]) -> bytes:
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
 
 
 def encoder(path: str | None) -> ChunkEncoder:
@@ -94,7 +122,7 @@ def pieces(docs: DataFrame, *, path: str | None = None, longest: int = SEQUENCE,
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(cut, schema)
+    return small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(cut, schema)
 
 
 def pack(docs: DataFrame, **options) -> DataFrame:
