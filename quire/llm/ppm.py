@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import crc_remainder, stored
+from quire.llm.common import crc_remainder, small_batches, stored
 
 #: Bytes of the longest context.
 ORDER = 5
 #: Text of a block, in bytes: what a task holds at once, with the part of the trie that its texts touch.
-BLOCK = 24 << 20
-CHUNK = 4 << 20
+BLOCK = 32 << 20
+CHUNK = 1 << 20
+#: Grams of chunks that are kept before they are merged.
+MERGED = 3_000_000
 #: What a symbol's count gives to the escape.
 DISCOUNT = 0.5
 FOLDS, HELD_OUT = 5, 1
@@ -51,37 +53,120 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
             start, size = i + 1, 0
 
 
-def _texts(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
-    return [(t or "").encode().lower() for t in table.column("text").to_pylist()], np.array(table.column("held_out").to_pylist(), bool)
+def _bytes_of(texts: list[str | None]) -> list[bytes]:
+    return [(t or "").encode().lower() for t in texts]
 
 
-def count_block(table: pa.Table, order: int = ORDER) -> pa.Table:
+def packed(values: np.ndarray, kind: str) -> bytes:
+    """Numbers as planes of their bytes, the lowest first: what sorted or small numbers share then compresses well."""
+    width = np.dtype(kind).itemsize
+    return values.astype(kind).view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
+
+
+def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64)
+
+
+def count_block(texts: list[bytes], held: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, Counter]:
     """Each distinct gram and word of a block, with its count in the block's training texts (0: held out only)."""
-    texts, held = _texts(table)
-    keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
     words: Counter = Counter()
+    found, sizes = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
     for start, part in _chunks(texts):
         grams, owner = byte_grams(part, order)
         own, count = np.unique(grams * 2 + held[start + owner], return_counts=True)
-        new = np.concatenate([keys, own >> 1])
-        values = np.concatenate([sums, np.where(own & 1, 0, count)])
-        keys, at = np.unique(new, return_inverse=True)
-        sums = np.bincount(at, values, len(keys)).astype(np.int64)
+        found.append((own >> 1, np.where(own & 1, 0, count)))
+        sizes += len(own)
+        if sizes > MERGED:
+            found, sizes = [_merged(found)], 0
+    keys, sums = _merged(found)
     for text, out in zip(texts, held, strict=True):
-        if out:
-            words.update(dict.fromkeys(text.split(), 0))
-        else:
-            words.update(text.split())
-    block = table.column("block")[0].as_py()
-    names = list(words)
-    return pa.table(
-        {
-            "block": pa.array(np.full(len(keys) + len(names), block, np.int32)),
-            "gram": pa.concat_arrays([pa.array(keys), pa.nulls(len(names), pa.int64())]),
-            "word": pa.concat_arrays([pa.nulls(len(keys), pa.binary()), pa.array(names, pa.binary())]),
-            "n": pa.array(np.concatenate([sums, np.fromiter(words.values(), np.int64, len(names))])),
-        }
-    )
+        words.update(dict.fromkeys(text.split(), 0) if out else text.split())
+    return keys, sums, words
+
+
+COUNTED = "block long, part int, grams binary, gram_n binary, words binary, word_n binary"
+
+
+def _counted(rows: DataFrame, order: int, parts: int) -> DataFrame:
+    """One row per block and part of what its texts hold; rows of a block follow each other."""
+
+    def emit(block: int, texts: list[str | None], held: list[bool]) -> pa.RecordBatch:
+        keys, sums, words = count_block(_bytes_of(texts), np.array(held, bool), order)
+        where = keys % parts
+        by = np.argsort(where, kind="stable")
+        cuts = np.searchsorted(where[by], np.arange(parts + 1))
+        dealt: list[list[bytes]] = [[] for _ in range(parts)]
+        for w in words:
+            dealt[zlib.crc32(w) % parts].append(w)
+        columns: list[list] = [[] for _ in range(6)]
+        for p in range(parts):
+            own = by[cuts[p] : cuts[p + 1]]
+            values = block, p, packed(keys[own], "<i8"), packed(sums[own], "<i4"), b" ".join(dealt[p]), packed(np.array([words[w] for w in dealt[p]], np.int64), "<i4")
+            for column, value in zip(columns, values, strict=True):
+                column.append(value)
+        kinds = pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in COUNTED.split(", ")])
+
+    def run(batches):
+        at, texts, held = None, [], []
+        for batch in batches:
+            for block, text, out in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if block != at and texts:
+                    yield emit(at, texts, held)
+                    texts, held = [], []
+                at = block
+                texts.append(text)
+                held.append(out)
+        if texts:
+            yield emit(at, texts, held)
+
+    return small_batches(rows).select("block", "text", "held_out").mapInArrow(run, COUNTED)
+
+
+def sum_grams(part: pa.Table) -> pa.Table:
+    """(gram, n) over all blocks of a part."""
+    keys, sums = _merged([(unpacked(k, "<i8"), unpacked(n, "<i4")) for k, n in zip(part.column("grams").to_pylist(), part.column("gram_n").to_pylist(), strict=True)])
+    return pa.table({"gram": keys, "n": sums})
+
+
+ANSWERS = "block long, grams binary, logs binary, words binary, word_n binary, tokens long, distinct long"
+
+
+def _answers(rows: list[tuple]) -> pa.Table:
+    kinds = pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()
+    columns = list(zip(*rows, strict=True)) or [[]] * 7
+    return pa.table({n.split()[0]: pa.array(c, k) for n, c, k in zip(ANSWERS.split(", "), columns, kinds, strict=True)})
+
+
+def sum_words(part: pa.Table) -> pa.Table:
+    """For each block its words that other blocks hold too, with their counts; in a row without block, the part's totals."""
+    lists = [(b, w.split(b" ") if w else [], unpacked(n, "<i4")) for b, w, n in zip(*(part.column(c).to_pylist() for c in ("block", "words", "word_n")), strict=True)]
+    total: Counter = Counter()
+    for _, words, n in lists:
+        for w, k in zip(words, n.tolist(), strict=True):
+            total[w] += k
+    rows = [(None, None, None, None, None, total.total(), sum(k > 0 for k in total.values()))]
+    for block, words, n in lists:
+        other = [w for w, k in zip(words, n.tolist(), strict=True) if total[w] != k]
+        rows.append((block, None, None, b" ".join(other), packed(np.array([total[w] for w in other], np.int64), "<i8"), None, None))
+    return _answers(rows)
+
+
+def look_up(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """For each block the log probabilities of its grams; known: gram and logp of a part."""
+    keys, logs = known.column("gram").to_numpy(), known.column("logp").to_numpy()
+    by = np.argsort(keys)
+    keys, logs = keys[by], logs[by]
+    rows = []
+    for block, data in zip(asked.column("block").to_pylist(), asked.column("grams").to_pylist(), strict=True):
+        rows.append((block, data, packed(logs[np.searchsorted(keys, unpacked(data, "<i8"))], "<f4"), None, None, None, None))
+    return _answers(rows)
 
 
 def trie(grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> DataFrame:
@@ -122,19 +207,22 @@ def trie(grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> Da
 
 
 def score_block(docs: pa.Table, known: pa.Table, *, order: int, tokens: int, distinct: int, ends: int) -> pa.Table:
-    """Scores of a block's documents; known: logp of the block's grams, and counts of words that other blocks hold too."""
-    texts, held = _texts(docs)
+    """Scores of a block's documents; known: what was answered to the block."""
+    texts, held = _bytes_of(docs.column("text").to_pylist()), np.array(docs.column("held_out").to_pylist(), bool)
     counts: Counter = Counter()
     for text, out in zip(texts, held, strict=True):
         if not out:
             counts.update(text.split())
-    is_word = pc.is_valid(known.column("word"))
-    shared = known.filter(is_word)
-    counts.update({w: int(c) - counts[w] for w, c in zip(shared.column("word").to_pylist(), shared.column("value").to_pylist(), strict=True)})
-    grams = known.filter(pc.invert(is_word))
-    keys, logs = grams.column("gram").to_numpy(), grams.column("value").to_numpy()
+    all_keys, all_logs = [], []
+    for grams, logs, words, n in zip(*(known.column(c).to_pylist() for c in ("grams", "logs", "words", "word_n")), strict=True):
+        if grams is not None:
+            all_keys.append(unpacked(grams, "<i8"))
+            all_logs.append(unpacked(logs, "<f4"))
+        elif words:
+            counts.update({w: k - counts[w] for w, k in zip(words.split(b" "), unpacked(n, "<i8").tolist(), strict=True)})
+    keys = np.concatenate(all_keys)
     by = np.argsort(keys)
-    keys, logs = keys[by], logs[by]
+    keys, logs = keys[by], np.concatenate(all_logs)[by].astype(float)
     score = np.zeros(len(texts))
     for start, part in _chunks(texts):
         own, owner = byte_grams(part, order)
@@ -166,32 +254,39 @@ def score_block(docs: pa.Table, known: pa.Table, *, order: int, tokens: int, dis
     )
 
 
-def lm_scores(docs: DataFrame, *, order: int = ORDER, block_bytes: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, *, order: int = ORDER, block_bytes: int = BLOCK, in_place: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     The model is the byte trie of all training texts; it learns from rows whose crc32 of the id does not leave 1 modulo
-    5, and scores every whole text, A-Z in lower case, with its end. It is never held in one place: documents are dealt
-    over blocks of bounded size by a hash, each block counts its grams, the trie is built as tables, and each block
-    gets back just the probabilities of its own grams. The base is a word model with counts of the same texts.
+    5, and scores every whole text, A-Z in lower case, with its end. It is never held in one place: documents lie in
+    blocks of about `block_bytes`, each block lists its grams and words, the lists are summed part by part, the trie is
+    built as tables, and each block gets back just what its own grams and words need. The base is a word model with
+    counts of the same texts.
+
+    in_place: docs is read from Parquet, and blocks are runs of rows of a file, so texts are shuffled once, for the
+    scores; otherwise a hash deals rows over blocks, and texts are shuffled for the counts too.
 
     Null texts are empty and consist of the end alone; with no training text at all every symbol has 1/256; a null id
     hashes as the empty text; repeated rows count and are scored each; an empty table gives an empty one.
     """
     if not 1 <= order <= 6:
         raise ValueError("a gram of order + 1 bytes must fit a long, with a bit to spare")
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), (crc_remainder(docs[id_col], FOLDS) == HELD_OUT).alias("held_out"))
-    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum((~F.col("held_out")).cast("long")).alias("ends")).first()
+    held_out = crc_remainder(docs[id_col], FOLDS) == HELD_OUT
+    size = docs.agg(F.sum(F.octet_length(text_col)).alias("bytes"), F.count(F.lit(1)).alias("rows"), F.sum((~held_out).cast("long")).alias("ends")).first()
     blocks, ends = max(1, -(-(size["bytes"] or 0) // block_bytes)), size["ends"] or 0
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    counted = stored(rows.groupBy("block").applyInArrow(lambda t: count_block(t, order), "block int, gram long, word binary, n long"))
-    words = counted.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("total"))
-    totals = words.agg(F.sum("total").alias("n"), F.sum((F.col("total") > 0).cast("long")).alias("distinct")).first()
+    if in_place:
+        block = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / -(-max(size["rows"], 1) // blocks)))
+    else:
+        block = F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), held_out.alias("held_out"), block.alias("block"))
+    parts = 2 * blocks + 1
+    counted = stored(_counted(rows if in_place else rows.repartition("block").sortWithinPartitions("block"), order, parts))
+    words = stored(counted.select("block", "part", "words", "word_n").groupBy("part").applyInArrow(sum_words, ANSWERS))
+    totals = words.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("distinct")).first()
     tokens, distinct = (totals["n"] or 0) + ends, (totals["distinct"] or 0) + (ends > 0)
-    grams = counted.filter("gram IS NOT NULL").select("block", "gram", "n")
-    model = trie(stored(grams.groupBy("gram").agg(F.sum("n").alias("n"))), order)
-    nothing = F.lit(None)
-    slices = grams.select("block", "gram").join(model, "gram").select("block", "gram", nothing.cast("binary").alias("word"), F.col("logp").alias("value"))
-    others = counted.filter("word IS NOT NULL").select("block", "word", "n").join(words, "word").filter("total <> n")
-    slices = slices.unionByName(others.select("block", nothing.cast("long").alias("gram"), "word", F.col("total").cast("double").alias("value")))
+    summed = stored(counted.select("part", "grams", "gram_n").groupBy("part").applyInArrow(sum_grams, "gram long, n long"))
+    model = trie(summed, order).withColumn("part", F.pmod("gram", F.lit(parts)).cast("int"))
+    grams = counted.select("block", "part", "grams").groupBy("part").cogroup(model.groupBy("part")).applyInArrow(look_up, ANSWERS)
+    answers = grams.unionByName(words.filter("block IS NOT NULL"))
     score = lambda a, b: score_block(a, b, order=order, tokens=tokens, distinct=distinct, ends=ends)
-    return rows.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -9,7 +9,7 @@ from quire.llm.common import documents, spread
 
 
 def op1_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.lm_scores(documents(spark, sf_dir))
+    return ppm.lm_scores(documents(spark, sf_dir), in_place=True)
 
 
 def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
