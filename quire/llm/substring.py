@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored, with_columns
+from quire.llm.common import small_batches, stored, with_columns
 
 WINDOW = 50
 #: Words of the prefix that sampled suffixes are grouped by.
@@ -20,8 +20,8 @@ PREFIX = 16
 #: Suffixes with one prefix that a tree may hold; groups beyond are split by the longest prefix, a whole window.
 GROUP = 30_000
 #: Suffixes whose trees are built in one go.
-BATCH = 20_000
-WORDS_REMEMBERED = 500_000
+BATCH = 8_000
+WORDS_REMEMBERED = 200_000
 LAST = (1 << 63) - 1
 
 
@@ -78,7 +78,7 @@ def _find_suffixes(texts: DataFrame, window: int, prefix: int) -> DataFrame:
             if parts[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), pa.int64() if i < 3 else pa.int32()) for i, p in enumerate(parts)], names)
 
-    return texts.select("doc", "tie", "text").mapInArrow(run, "prefix long, doc long, tie long, first int, windows int, lead int")
+    return small_batches(texts).select("doc", "tie", "text").mapInArrow(run, "prefix long, doc long, tie long, first int, windows int, lead int")
 
 
 def _cut_out(found: DataFrame, window: int) -> DataFrame:
@@ -92,7 +92,7 @@ def _cut_out(found: DataFrame, window: int) -> DataFrame:
                 words = text.encode().split()
                 for s in spans:
                     rows.append((s["prefix"], s["n"], doc, tie, s["first"], s["windows"], s["lead"], b" ".join(words[s["first"] : s["first"] + s["windows"] - 1 + window]).decode()))
-                if len(rows) >= 4 * BATCH:
+                if len(rows) >= BATCH:
                     yield _batch(rows, names)
                     rows = []
             if rows:
@@ -192,11 +192,12 @@ def removals(texts: DataFrame, *, window: int = WINDOW, prefix: int = PREFIX, gr
     suffixes = stored(_find_suffixes(texts, window, prefix))
     shared = suffixes.groupBy("prefix").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b").select("prefix", "n")
     spans = suffixes.join(shared, "prefix").groupBy("doc", "tie").agg(F.collect_list(F.struct("prefix", "n", "first", "windows", "lead")).alias("spans"))
-    words = _cut_out(texts.join(spans, ["doc", "tie"]).select("doc", "tie", "text", "spans"), window)
+    joined = texts.join(spans, ["doc", "tie"])
+    few, many = (joined.select("doc", "tie", "text", F.filter("spans", test).alias("spans")).filter(F.size("spans") > 0) for test in (lambda s: s["n"] <= group, lambda s: s["n"] > group))
     most = shared.agg(F.max("n")).first()[0] or 0
-    found = _in_trees(words.filter(F.col("n") <= group).repartition("prefix").sortWithinPartitions("prefix"), window)
+    found = _in_trees(_cut_out(few, window).repartition("prefix").sortWithinPartitions("prefix"), window)
     if most > group:
-        found = found.union(_by_window(words.filter(F.col("n") > group), window))
+        found = found.union(_by_window(_cut_out(many, window), window))
     return found.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
