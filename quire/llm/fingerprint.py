@@ -18,7 +18,7 @@ KEPT = 8
 #: Random bins tried for an empty one before all filled bins are ranked.
 TRIES = 8
 #: Rows meant for a bucket of neighbouring ids, and buckets at most.
-BUCKET_ROWS, BUCKETS = 10_000, 65_536
+BUCKET_ROWS, BUCKETS = 2_000, 65_536
 LEAST = -(1 << 63)
 
 
