@@ -12,17 +12,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import crc_remainder
+from quire.llm.common import crc_remainder, small_batches
 
 #: Documents that the model learns from, about; with more labelled ones, a hash of the id picks them.
 SAMPLE = 8_000
 #: Words and n-grams that the model holds at most, the most frequent first.
-ENTRIES = 120_000
+ENTRIES = 80_000
 LONGEST = 4
 FOLDS = 5
 UNKNOWN = "und"
 #: Distinct words whose scores a worker remembers at most.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 _letters = re.compile(r"[^\W\d_]+")
 
@@ -48,14 +48,16 @@ class WordFirst:
         """table: rows of (n, or 0 for words; entry; language; count)."""
         self.langs = sorted({lang for _, _, lang, _ in table})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        self.rows: dict[tuple[int, str], np.ndarray] = {}
-        totals = np.zeros((LONGEST + 1, len(self.langs)))
+        self.at: dict[tuple[int, str], int] = {}
+        for n, entry, _, _ in table:
+            self.at.setdefault((n, entry), len(self.at))
+        counts, totals = np.zeros((len(self.at), len(self.langs))), np.zeros((LONGEST + 1, len(self.langs)))
         for n, entry, lang, count in table:
-            self.rows.setdefault((n, entry), np.zeros(len(self.langs), np.float32))[at[lang]] += count
+            counts[self.at[n, entry], at[lang]] += count
             totals[n, at[lang]] += count
-        kinds = Counter(n for n, _ in self.rows)
-        for (n, entry), row in self.rows.items():
-            self.rows[n, entry] = np.log((row + 0.5) / (totals[n] + 0.5 * kinds[n] + 0.5)).astype(np.float32)
+        kinds = Counter(n for n, _ in self.at)
+        size = np.array([totals[n] + 0.5 * kinds[n] + 0.5 for n, _ in self.at]).reshape(counts.shape)
+        self.logs = np.log((counts + 0.5) / size).astype(np.float32)
         self.clear()
 
     def clear(self) -> None:
@@ -63,12 +65,12 @@ class WordFirst:
         self.scores = np.zeros((1024, len(self.langs)), np.float32)
 
     def word(self, word: str) -> np.ndarray:
-        if (row := self.rows.get((0, word))) is not None:
-            return row
+        if (row := self.at.get((0, word))) is not None:
+            return self.logs[row]
         for n in range(LONGEST, 0, -1):
-            known = [row for g in grams(word, n) if (row := self.rows.get((n, g))) is not None]
+            known = [row for g in grams(word, n) if (row := self.at.get((n, g))) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return self.logs[known].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -119,10 +121,11 @@ def fit(docs: DataFrame, *, train: Column | None = None, sample: int = SAMPLE, e
             part = keys[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part], pa.int32()), pa.array([k[1] for k in part]), pa.array([k[2] for k in part]), pa.array([rows[k] for k in part], pa.int64())], ["n", "entry", "lang", "count"])
 
-    counts = usable.filter(picked).select(usable[text_col].alias("text"), usable[lang_col].cast("string").alias("lang")).mapInArrow(count, "n int, entry string, lang string, count long")
+    counts = small_batches(usable).filter(picked).select(usable[text_col].alias("text"), usable[lang_col].cast("string").alias("lang")).mapInArrow(count, "n int, entry string, lang string, count long")
     by_entry = counts.groupBy("n", "entry", "lang").agg(F.sum("count").alias("count")).groupBy("n", "entry").agg(F.sum("count").alias("total"), F.collect_list(F.struct("lang", "count")).alias("by"))
-    kept = by_entry.filter("total > 1").orderBy(F.desc("total"), "n", "entry").limit(entries).collect()
-    return WordFirst([(r["n"], r["entry"], x["lang"], x["count"]) for r in kept for x in r["by"]])
+    kept = by_entry.filter("total > 1").orderBy(F.desc("total"), "n", "entry").limit(entries)
+    table = kept.select("n", "entry", F.explode("by").alias("b")).select("n", "entry", "b.lang", "b.count").toArrow()
+    return WordFirst(list(zip(*(table.column(c).to_pylist() for c in ("n", "entry", "lang", "count")), strict=True)))
 
 
 def predict(docs: DataFrame, model: WordFirst, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,7 +139,7 @@ def predict(docs: DataFrame, model: WordFirst, *, id_col: str = "doc_id", text_c
             found = [own.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [id_col, "lang_pred", "score"])
 
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return small_batches(docs).select(docs[id_col], docs[text_col]).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def with_language(docs: DataFrame, model: WordFirst, text_col: str = "text") -> DataFrame:
@@ -147,7 +150,7 @@ def with_language(docs: DataFrame, model: WordFirst, text_col: str = "text") ->
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("__language", run(docs[text_col]))
+    return small_batches(docs).withColumn("__language", run(docs[text_col]))
 
 
 def identify(docs: DataFrame, *, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
