@@ -11,6 +11,7 @@ from functools import lru_cache
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, pre_tokenizers
 
 from quire.llm.common import byte_symbols, small_batches, tokenizer_path
 
@@ -120,6 +121,7 @@ class BpeCodec:
         self.labels = self.automaton.names | {i: t for t, i in self.special.items()}
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(splits[0]["pattern"]["Regex"])
+        self.splitter = pre_tokenizers.Split(Regex(splits[0]["pattern"]["Regex"]), "removed", invert=True)
         self.symbols = byte_symbols()
         self.first = os.path.commonprefix(list(self.special))
         self.paths: dict[str, list[int]] = {}
@@ -136,9 +138,10 @@ class BpeCodec:
     def _split(self, text: str) -> list[str]:
         if text.isascii():
             return self.words.findall(text)
-        # The regex module takes unassigned code points for letters; a sign stands in for them.
-        shown = "".join(["¦" if unicodedata.category(c) == "Cn" else c for c in text])
-        return [text[m.start() : m.end()] for m in self.words.finditer(shown)]
+        if not any(unicodedata.category(c) == "Cn" for c in text):
+            return self.words.findall(text)
+        # Code points that Python's tables don't know: only the library says whether they are letters.
+        return [piece for piece, _ in self.splitter.pre_tokenize_str(text)]
 
     def encode_chunk(self, chunk: str) -> list[int]:
         parts = self.cuts.split(chunk) if self.special and self.first in chunk else [chunk]
