@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -16,8 +18,6 @@ from quire.llm.common import crc_remainder, small_batches
 
 #: Documents that the model learns from, about; with more labelled ones, a hash of the id picks them.
 SAMPLE = 8_000
-#: Words and n-grams that the model holds at most, the most frequent first.
-ENTRIES = 80_000
 LONGEST = 4
 FOLDS = 5
 UNKNOWN = "und"
@@ -44,20 +44,28 @@ class WordFirst:
     known scores it, by the mean over those n-grams; without any it says nothing.
     """
 
-    def __init__(self, table: list[tuple[int, str, str, int]]):
-        """table: rows of (n, or 0 for words; entry; language; count)."""
-        self.langs = sorted({lang for _, _, lang, _ in table})
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        self.at: dict[tuple[int, str], int] = {}
-        for n, entry, _, _ in table:
-            self.at.setdefault((n, entry), len(self.at))
-        counts, totals = np.zeros((len(self.at), len(self.langs))), np.zeros((LONGEST + 1, len(self.langs)))
+    def __init__(self, table: Iterable[tuple[int, str, str, int]]):
+        """table: rows of (n, or 0 for words; entry; language; count), read once; entries are held by n, without a key object each."""
+        self.at: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        seen: dict[str, int] = {}
+        kinds, rows, cols, found = array("b"), array("i"), array("i"), array("d")
         for n, entry, lang, count in table:
-            counts[self.at[n, entry], at[lang]] += count
-            totals[n, at[lang]] += count
-        kinds = Counter(n for n, _ in self.at)
-        size = np.array([totals[n] + 0.5 * kinds[n] + 0.5 for n, _ in self.at]).reshape(counts.shape)
-        self.logs = np.log((counts + 0.5) / size).astype(np.float32)
+            if (row := self.at[n].get(entry)) is None:
+                row = self.at[n][entry] = len(kinds)
+                kinds.append(n)
+            rows.append(row)
+            cols.append(seen.setdefault(lang, len(seen)))
+            found.append(count)
+        self.langs = sorted(seen)
+        kind, row = np.array(kinds, np.int64), np.array(rows, np.int64)
+        place = {seen[x]: i for i, x in enumerate(self.langs)}
+        col = np.array([place[c] for c in cols], np.int64)
+        counts, totals = np.zeros((len(kind), len(self.langs)), np.float32), np.zeros((LONGEST + 1, len(self.langs)))
+        np.add.at(counts, (row, col), found)
+        np.add.at(totals, (kind[row], col), found)
+        for n, known in enumerate(self.at):
+            counts[kind == n] = np.log((counts[kind == n] + 0.5) / (totals[n] + 0.5 * len(known) + 0.5))
+        self.logs = counts
         self.clear()
 
     def clear(self) -> None:
@@ -65,10 +73,10 @@ class WordFirst:
         self.scores = np.zeros((1024, len(self.langs)), np.float32)
 
     def word(self, word: str) -> np.ndarray:
-        if (row := self.at.get((0, word))) is not None:
+        if (row := self.at[0].get(word)) is not None:
             return self.logs[row]
         for n in range(LONGEST, 0, -1):
-            known = [row for g in grams(word, n) if (row := self.at.get((n, g))) is not None]
+            known = [row for g in grams(word, n) if (row := self.at[n].get(g)) is not None]
             if known:
                 return self.logs[known].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
@@ -92,8 +100,8 @@ class WordFirst:
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def fit(docs: DataFrame, *, train: Column | None = None, sample: int = SAMPLE, entries: int = ENTRIES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> WordFirst:
-    """Counts words and n-grams by language in about `sample` labelled documents; at most `entries` reach the driver.
+def fit(docs: DataFrame, *, train: Column | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> WordFirst:
+    """Counts words and n-grams by language in about `sample` labelled documents; all that occur twice or more reach the driver.
 
     Counts are combined in the tasks, then summed over the cluster.
     """
@@ -123,9 +131,8 @@ def fit(docs: DataFrame, *, train: Column | None = None, sample: int = SAMPLE, e
 
     counts = small_batches(usable).filter(picked).select(usable[text_col].alias("text"), usable[lang_col].cast("string").alias("lang")).mapInArrow(count, "n int, entry string, lang string, count long")
     by_entry = counts.groupBy("n", "entry", "lang").agg(F.sum("count").alias("count")).groupBy("n", "entry").agg(F.sum("count").alias("total"), F.collect_list(F.struct("lang", "count")).alias("by"))
-    kept = by_entry.filter("total > 1").orderBy(F.desc("total"), "n", "entry").limit(entries)
-    table = kept.select("n", "entry", F.explode("by").alias("b")).select("n", "entry", "b.lang", "b.count").toArrow()
-    return WordFirst(list(zip(*(table.column(c).to_pylist() for c in ("n", "entry", "lang", "count")), strict=True)))
+    table = by_entry.filter("total > 1").select("n", "entry", F.explode("by").alias("b")).select("n", "entry", "b.lang", "b.count").toArrow()
+    return WordFirst(row for part in table.to_batches(10_000) for row in zip(*(c.to_pylist() for c in part.columns), strict=True))
 
 
 def predict(docs: DataFrame, model: WordFirst, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

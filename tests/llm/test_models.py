@@ -9,6 +9,8 @@ import pytest
 from quire.llm import langid, ppm, toxicity
 from tests.llm.conftest import LONG, ROWS
 
+LETTERS = "abcdefghijklmnopqrstu"
+
 
 def brute_scores(rows, order):
     texts = [(k, (t or "").encode().lower(), zlib.crc32(("" if k is None else str(k)).encode()) % 5 == 1) for k, t in rows]
@@ -97,6 +99,13 @@ def test_language_backs_off():
     assert model.predict("12 34") == ("und", 0.0) and model.predict("qqq")[1] == pytest.approx(0.5)
 
 
+def test_language_keeps_every_repeated_entry(spark):
+    common = [" ".join(f"{a}{b}{c}{d}" for a in "bcdfghjklm"[i :: 10] for b in LETTERS for c in LETTERS for d in LETTERS) for i in range(10)]
+    rows = [(i, t, "de") for i, t in enumerate(common * 3)] + [(100, "vwxyvwxyvwxyvwxy " * 50 + "ñz ñz", "es")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.predict("ñz")[0] == "es" and model.predict("bcad")[0] == "de"
+
+
 def test_toxicity(odd, empty, spark):
     bad, good = "you are a total scumx and loserx", "what a fine day we had at the lake"
     rows = [(i, f"{bad if i % 3 == 0 else good} number{i} and more words follow here{i % 11}") for i in range(600)]
