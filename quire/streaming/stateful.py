@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def event_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
-    """A table's Parquet files as a stream, be it one file or a folder; a streamed path must be a folder or a pattern."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path}*")
+def event_stream(spark: SparkSession, path: str, schema, files: int | None = None) -> DataFrame:
+    """A table's Parquet files as a stream, be it one file or a folder; a streamed path must be a folder or a pattern.
+
+    All files that are there come in one micro-batch, as their times may overlap in any way; `files` bounds a batch, for
+    files that come in order of time.
+    """
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{path}*")
 
 
 def open_buckets(start: float, rate: float, cap: float, events: list[tuple[float, int]]) -> Iterator[tuple[int, bool, float, float]]:

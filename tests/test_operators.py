@@ -1,5 +1,6 @@
 """Operators on small frames with known results."""
 
+import datetime
 import io
 import zipfile
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import blocks, formats, hierarchy, issues, paragraphs, relational
+from quire.plans import registry
 from quire.sources import markup, tables
 from quire.streaming import stateful
 
@@ -144,6 +146,26 @@ def test_token_bucket_stream_agrees_with_fold(spark, tmp_path):
     assert sorted(map(tuple, live.collect())) == sorted(map(tuple, still.collect()))
 
 
+@pytest.fixture(scope="module")
+def shuffled(spark, tmp_path_factory):
+    """A folder whose events table has many files that each span the whole period, a third of the rows of one user."""
+    there = tmp_path_factory.mktemp("shuffled")
+    ids = spark.range(3000)
+    user = F.when(F.col("id") % 3 == 0, 7).otherwise(100 + F.xxhash64("id") % 40)
+    at = F.timestamp_micros(F.lit(1_577_836_800_000_000) + F.col("id") * 1_700_000_000)
+    events = ids.select(F.col("id").alias("event_id"), at.alias("ts"), user.cast("long").alias("user_id"), F.when(F.col("id") % 5 < 2, "signup").otherwise("view").alias("event_type"))
+    events.repartition(8, F.xxhash64("event_id")).write.parquet(str(there / "events.parquet"))
+    return there
+
+
+def test_expiry_of_overlapping_files(spark, shuffled):
+    events = spark.read.parquet(str(shuffled / "events.parquet"))
+    live = registry.QUERIES["order_expiry_stream"](spark, str(shuffled))
+    seen = events.agg(F.max(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("m")).first()["m"] - datetime.timedelta(hours=1)
+    windows = events.filter("event_type = 'signup'").groupBy(F.window("ts", "30 minutes").alias("w")).count().filter(F.col("w.end") <= F.lit(seen)).select("w.start", "count")
+    assert windows.count() > 1000 and sorted(map(tuple, live.collect())) == sorted(map(tuple, windows.collect()))
+
+
 def _verify(df):
     return df.filter("bad > 0").select(F.lit("k").alias("kind"), F.when(F.col("bad") > 5, "fatal").otherwise("repairable").alias("severity"), F.col("id").cast("string").alias("target"))
 
