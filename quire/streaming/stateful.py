@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
+
+#: Events of a key that are folded in one row at most.
+RUN = 20_000
 
 
 def event_stream(spark: SparkSession, path: str, schema, files: int | None = None) -> DataFrame:
@@ -48,18 +54,65 @@ def token_bucket(events: DataFrame, key: str, time: str, event: str, rate: float
     return keyed.groupBy("key").applyInPandasWithState(step, "key long, event long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def token_bucket_batch(events: DataFrame, key: str, time: str, event: str, rate: float, cap: float) -> DataFrame:
-    """The same over a whole table, folded in the engine over each key's events in order."""
-    at = (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("at")
-    listed = events.groupBy(F.col(key).cast("long").alias("key")).agg(F.array_sort(F.collect_list(F.struct(at, F.col(event).cast("long").alias("event")))).alias("e"))
+def _folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    there = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not there:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        there = context.getCheckpointDir()
+    return f"{there}/quire-{uuid.uuid4().hex}"
+
+
+def _keyed(events: DataFrame, key: str, time: str, event: str) -> DataFrame:
+    return events.select(F.col(key).cast("long").alias("key"), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("at"), F.col(event).cast("long").alias("event"))
+
+
+def fold(events: DataFrame, rate: float, cap: float, before: DataFrame | None = None, run: int = RUN) -> tuple[DataFrame, DataFrame]:
+    """(key, event, allowed) of events (key, at, event), and (key, tokens, last) after them; `before` has the latter of earlier ones.
+
+    Events are dealt by ranges of (key, at, event), so a hot key lies in many tasks, and cut into runs of at most `run`.
+    The n-th runs of all keys are folded at once and leave tokens and time to the next ones, as Parquet: there are as
+    many rounds as the hottest key has runs.
+    """
+    spark, at = events.sparkSession, _folder(events.sparkSession)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ordered = events.repartitionByRange(n, "key", "at", "event").sortWithinPartitions("key", "at", "event")
+    # ids ascend over the ranges and leave wide gaps between them, so no run spans two ranges
+    ordered.withColumn("run", F.expr(f"monotonically_increasing_id() div {int(run)}")).write.parquet(f"{at}/events")
+    placed = spark.read.schema("key long, at double, event long, run long").parquet(f"{at}/events")
+    runs = placed.groupBy("key", "run").agg(F.array_sort(F.collect_list(F.struct("at", "event"))).alias("e"))
+    numbers = placed.select("key", "run").distinct().withColumn("round", F.row_number().over(Window.partitionBy("key").orderBy("run")))
+    numbers = numbers.select(F.col("key").alias("__key"), F.col("run").alias("__run"), "round")
+    runs.join(numbers, F.col("key").eqNullSafe(F.col("__key")) & (F.col("run") == F.col("__run"))).select("key", "round", "e").write.partitionBy("round").parquet(f"{at}/runs")
 
     def step(s, e):
-        refilled = F.when(s["last"] < 0, s["tokens"]).otherwise(F.least(F.lit(float(cap)), s["tokens"] + F.greatest(e["at"] - s["last"], F.lit(0.0)) * rate))
+        refilled = F.when(s["last"].isNull(), s["tokens"]).otherwise(F.least(F.lit(float(cap)), s["tokens"] + F.greatest(e["at"] - s["last"], F.lit(0.0)) * rate))
         ok = refilled >= 1
-        return F.struct((refilled - ok.cast("int")).alias("tokens"), e["at"].alias("last"), F.concat(s["out"], F.array(F.struct(e["event"].alias("event"), ok.alias("allowed")))).alias("out"))
-
-    start = F.struct(F.lit(float(min(rate, cap))).alias("tokens"), F.lit(-1.0).alias("last"), F.array().cast("array<struct<event:bigint,allowed:boolean>>").alias("out"))
-    return listed.select("key", F.explode(F.aggregate("e", start, step)["out"]).alias("o")).select("key", "o.event", "o.allowed")
+        return F.struct((refilled - ok.cast("int")).alias("tokens"), e["at"].alias("last"), F.concat(s["out"], F.when(ok, "1").otherwise("0")).alias("out"))
+
+    old = before if before is not None else spark.sql("SELECT 0L AS key, 0D AS tokens, 0D AS last WHERE false")
+    state = old
+    last_round = numbers.agg(F.max("round")).first()[0] or 0
+    event_type = "array<struct<at:double,event:bigint>>"
+    done_type = f"key long, e {event_type}, tokens double, last double, out string"
+    for i in range(1, last_round + 1):
+        known = state.select(F.col("key").alias("__key"), "tokens", "last")
+        todo = spark.read.schema(f"key long, e {event_type}").parquet(f"{at}/runs/round={i}").join(known, F.col("key").eqNullSafe(F.col("__key")), "left")
+        start = F.struct(F.coalesce("tokens", F.lit(float(min(rate, cap)))).alias("tokens"), F.col("last").alias("last"), F.lit("").alias("out"))
+        todo.select("key", "e", F.aggregate("e", start, step).alias("end")).select("key", "e", "end.*").write.parquet(f"{at}/done/round={i}")
+        state = spark.read.schema(done_type).parquet(f"{at}/done/round={i}")
+    if not last_round:
+        return spark.sql("SELECT 0L AS key, 0L AS event, true AS allowed WHERE false"), old
+    done = spark.read.schema(f"{done_type}, round int").parquet(f"{at}/done")
+    found = done.select("key", F.explode(F.arrays_zip(F.col("e.event").alias("event"), F.split("out", "").alias("ok"))).alias("o"))
+    ends = old.select("key", "tokens", "last", F.lit(0).alias("round")).unionByName(done.select("key", "tokens", "last", "round"))
+    state = ends.groupBy("key").agg(F.max_by(F.struct("tokens", "last"), "round").alias("s")).select("key", "s.tokens", "s.last")
+    return found.select("key", "o.event", (F.col("o.ok") == "1").alias("allowed")), state
+
+
+def token_bucket_batch(events: DataFrame, key: str, time: str, event: str, rate: float, cap: float, run: int = RUN) -> DataFrame:
+    """The same over a whole table, folded in the engine over each key's events in order."""
+    return fold(_keyed(events, key, time, event), rate, cap, run=run)[0]
 
 
 def expiring(events: DataFrame, time: str, minutes: int = 30, late: str = "1 hour") -> DataFrame:

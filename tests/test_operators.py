@@ -166,6 +166,27 @@ def test_expiry_of_overlapping_files(spark, shuffled):
     assert windows.count() > 1000 and sorted(map(tuple, live.collect())) == sorted(map(tuple, windows.collect()))
 
 
+def _allowed(rows, rate, cap):
+    """A plain loop over (user, time, event)."""
+    state, out = {}, []
+    for u, at, e in sorted(rows):
+        tokens, last = state.get(u, (min(rate, cap), at))
+        tokens = min(cap, tokens + (at - last) * rate)
+        out.append((u, e, tokens >= 1))
+        state[u] = (tokens - (tokens >= 1), at)
+    return sorted(out)
+
+
+def test_token_bucket_in_bounded_runs(spark, shuffled):
+    events = spark.read.parquet(str(shuffled / "events.parquet"))
+    keyed = stateful._keyed(events, "user_id", "ts", "event_id")
+    expected = _allowed([tuple(r) for r in keyed.collect()], 1 / 86_400, 2)
+    first, state = stateful.fold(keyed.filter("event < 1700"), 1 / 86_400, 2, run=150)
+    second, _ = stateful.fold(keyed.filter("event >= 1700"), 1 / 86_400, 2, state, run=150)
+    assert sorted(map(tuple, first.union(second).collect())) == expected
+    assert spark.read.parquet(*{f.rsplit("/", 1)[0] for f in first.inputFiles()}).agg(F.max(F.size("e"))).first()[0] <= 150
+
+
 def _verify(df):
     return df.filter("bad > 0").select(F.lit("k").alias("kind"), F.when(F.col("bad") > 5, "fatal").otherwise("repairable").alias("severity"), F.col("id").cast("string").alias("target"))
 
