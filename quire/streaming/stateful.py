@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 #: Events of a key that are folded in one row at most.
@@ -26,32 +26,13 @@ def event_stream(spark: SparkSession, path: str, schema, files: int | None = Non
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{path}*")
 
 
-def open_buckets(start: float, rate: float, cap: float, events: list[tuple[float, int]]) -> Iterator[tuple[int, bool, float, float]]:
-    """(event, allowed, tokens, time) of a key's events in order of time: a bucket refills at `rate` up to `cap`."""
-    tokens, last = start, None
-    for at, event in events:
-        if last is not None:
-            tokens = min(cap, tokens + max(0.0, at - last) * rate)
-        last = at
-        allowed = tokens >= 1
-        tokens -= allowed
-        yield event, allowed, tokens, last
+@dataclass
+class Batches:
+    """A stream and what makes each of its micro-batches a result; `step` is called in order and keeps its own state."""
 
-
-def token_bucket(events: DataFrame, key: str, time: str, event: str, rate: float, cap: float) -> DataFrame:
-    """(key, event, allowed) of a stream of events: state per key is the bucket's tokens and its last refill."""
-
-    def step(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, last = state.get if state.exists else (min(rate, cap), -1.0)
-        rows = pd.concat(list(frames)).sort_values(["at", "event"])
-        if last >= 0 and len(rows):
-            tokens = min(cap, tokens + max(0.0, rows["at"].iloc[0] - last) * rate)
-        found = list(open_buckets(tokens, rate, cap, list(zip(rows["at"], rows["event"], strict=True))))
-        state.update((found[-1][2], found[-1][3]))
-        yield pd.DataFrame({"key": [k[0]] * len(found), "event": [f[0] for f in found], "allowed": [f[1] for f in found]})
-
-    keyed = events.select(F.col(key).cast("long").alias("key"), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("at"), F.col(event).cast("long").alias("event"))
-    return keyed.groupBy("key").applyInPandasWithState(step, "key long, event long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+    stream: DataFrame
+    step: Callable[[DataFrame], DataFrame]
+    schema: StructType
 
 
 def _folder(spark: SparkSession) -> str:
@@ -110,6 +91,18 @@ def fold(events: DataFrame, rate: float, cap: float, before: DataFrame | None =
     return found.select("key", "o.event", (F.col("o.ok") == "1").alias("allowed")), state
 
 
+def token_bucket(events: DataFrame, key: str, time: str, event: str, rate: float, cap: float, run: int = RUN) -> Batches:
+    """(key, event, allowed) of a stream of events: each micro-batch is folded in order of time, from the state that the ones before left."""
+    state: list[DataFrame] = []
+
+    def step(batch: DataFrame) -> DataFrame:
+        found, after = fold(batch, rate, cap, state[0] if state else None, run)
+        state[:] = [_stored(after)]
+        return found
+
+    return Batches(_keyed(events, key, time, event), step, StructType.fromDDL("key long, event long, allowed boolean"))
+
+
 def token_bucket_batch(events: DataFrame, key: str, time: str, event: str, rate: float, cap: float, run: int = RUN) -> DataFrame:
     """The same over a whole table, folded in the engine over each key's events in order."""
     return fold(_keyed(events, key, time, event), rate, cap, run=run)[0]
@@ -126,11 +119,24 @@ def once_per_key(events: DataFrame, keys: list[str], time: str, late: str = "1 h
     return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over what is there and returns its rows from memory; for small results."""
-    q = stream.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+def _stored(df: DataFrame) -> DataFrame:
+    path = _folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drained(stream: DataFrame | Batches, name: str) -> DataFrame:
+    """Runs a stream over what is there, from its start, and returns its rows; each micro-batch goes to Parquet in the shared folder."""
+    work = stream if isinstance(stream, Batches) else Batches(stream, lambda batch: batch, stream.schema)
+    spark, at, written = work.stream.sparkSession, _folder(work.stream.sparkSession), []
+
+    def write(batch: DataFrame, number: int) -> None:
+        work.step(batch).write.parquet(f"{at}/batch-{number}")
+        written.append(f"{at}/batch-{number}")
+
+    q = work.stream.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{at}/log").queryName(name).trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(work.schema).parquet(*written) if written else spark.createDataFrame([], work.schema)

@@ -177,6 +177,14 @@ def _allowed(rows, rate, cap):
     return sorted(out)
 
 
+def test_token_bucket_of_overlapping_files(spark, shuffled):
+    rows = [(r["user_id"], r["at"] / 1e6, r["event_id"]) for r in spark.read.parquet(str(shuffled / "events.parquet")).select("user_id", F.unix_micros("ts").alias("at"), "event_id").collect()]
+    expected = _allowed(rows, 1 / 86_400, 2)
+    assert 0 < sum(x[2] for x in expected) < len(expected)
+    for name in ("token_bucket_fold", "token_bucket_stream"):
+        assert sorted(map(tuple, registry.QUERIES[name](spark, str(shuffled)).collect())) == expected, name
+
+
 def test_token_bucket_in_bounded_runs(spark, shuffled):
     events = spark.read.parquet(str(shuffled / "events.parquet"))
     keyed = stateful._keyed(events, "user_id", "ts", "event_id")
