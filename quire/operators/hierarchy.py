@@ -5,34 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 64
+from quire.sources.tables import stored
 
+#: A longer shortest path to an ancestor is an error.
+BOUND = 1 << 16
 
-def closure(nodes: DataFrame, node: str, parent: str, depth: int = DEPTH) -> DataFrame:
-    """(node, ancestor, depth): every node with itself at depth 0 and its ancestors, up to `depth`; cycles end.
 
-    Doubles the known distance with each join, so a chain of 64 takes six joins; a node's first path to an ancestor
-    counts, which also ends cycles.
+def closure(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, ancestor, depth): every node with itself at depth 0 and all its ancestors; cycles end.
+
+    Doubles the known distance with each join until no new pair appears, so a chain of 64 takes seven joins; a node's
+    shortest path to an ancestor counts, which also ends cycles. Each join's pairs are stored as Parquet.
     """
     step = nodes.filter(F.col(parent).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth"))
-    known = nodes.select(F.col(node).alias("node"), F.col(node).alias("ancestor"), F.lit(0).alias("depth")).union(step)
-    reach = 1
-    while reach < depth:
-        further = known.alias("a").join(known.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        known = further.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
-        reach *= 2
-    return known.filter(F.col("depth") <= depth)
-
-
-def inherited(styles: DataFrame, node: str, parent: str, attributes: list[str], flags: list[str], depth: int = DEPTH) -> DataFrame:
+    nearest = lambda pairs: stored(pairs.groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+    known = nearest(nodes.select(F.col(node).alias("node"), F.col(node).alias("ancestor"), F.lit(0).alias("depth")).union(step))
+    pairs, before, reach = known.count(), -1, 1
+    while pairs > before:
+        if reach > BOUND:
+            raise ValueError(f"a hierarchy of more than {BOUND} levels")
+        known = nearest(known.alias("a").join(known.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth")))
+        pairs, before, reach = known.count(), pairs, reach * 2
+    return known
+
+
+def inherited(styles: DataFrame, node: str, parent: str, attributes: list[str], flags: list[str]) -> DataFrame:
     """Each style with the nearest non-empty value of each attribute on its chain; flags are true if true anywhere."""
-    chain = closure(styles, node, parent, depth).join(styles.withColumnRenamed(node, "ancestor").drop(parent), "ancestor")
+    chain = closure(styles, node, parent).join(styles.withColumnRenamed(node, "ancestor").drop(parent), "ancestor")
     nearest = lambda c: F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.col("depth"))).alias(c)
     return chain.groupBy(F.col("node").alias(node)).agg(*[nearest(c) for c in attributes], *[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in flags])
 
 
-def paths(nodes: DataFrame, node: str, parent: str, name: str, depth: int = 16) -> DataFrame:
+def paths(nodes: DataFrame, node: str, parent: str, name: str) -> DataFrame:
     """(node, depth, path): names from the root down, joined by a slash."""
-    chain = closure(nodes, node, parent, depth).join(nodes.select(F.col(node).alias("ancestor"), F.col(name).alias("name")), "ancestor")
+    chain = closure(nodes, node, parent).join(nodes.select(F.col(node).alias("ancestor"), F.col(name).alias("name")), "ancestor")
     listed = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("depth", "name")))), lambda x: x["name"])
     return chain.groupBy(F.col("node").alias(node)).agg(F.max("depth").alias("depth"), F.array_join(listed, "/").alias("path"))

@@ -87,7 +87,7 @@ ASKED = "(1, 'ann', '/api/papers/7', 'GET'), (2, 'ann', '/api/admin/a/b', 'DELET
 @query("SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, false), (5, true), (6, false)) t(request, allowed)")
 def policy_enforcement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ann holds role 3, which inherits 2 and 1; bob holds role 4, which inherits 1."""
-    inherits = closure(rows(spark, ROLES, "id, parent, code"), "id", "parent", 8)
+    inherits = closure(rows(spark, ROLES, "id, parent, code"), "id", "parent")
     held = rows(spark, "('ann', 3), ('bob', 4)", "user, node").join(inherits, "node").select("user", F.col("ancestor").alias("role"))
     policies = rows(spark, POLICIES, "role, path, action").withColumn("path", blocks.path_pattern(F.col("path")))
     return blocks.allowed(rows(spark, ASKED, "request, user, path, action"), policies, held)

@@ -291,7 +291,7 @@ WITH RECURSIVE r AS (SELECT id AS node, id AS ancestor, 0 AS depth FROM (VALUES
 SELECT * FROM r
 """)
 def role_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return closure(rows(spark, ROLES, "id, parent, code"), "id", "parent", 8)
+    return closure(rows(spark, ROLES, "id, parent, code"), "id", "parent")
 
 
 @query(f"""

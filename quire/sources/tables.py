@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from typing import Literal
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,3 +31,20 @@ def lookup(df: DataFrame, key: str, value) -> DataFrame:
     if found.isEmpty():
         raise LookupError(f"no row with {key} = {value}")
     return found
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's path where driver and executors share files; a local one only where the session names none."""
+    context = spark.sparkContext
+    there = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not there:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        there = context.getCheckpointDir()
+    return f"{there}/quire-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it again."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -12,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from quire.sources.tables import shared_folder, stored
+
 #: Events of a key that are folded in one row at most.
 RUN = 20_000
 
@@ -35,15 +35,6 @@ class Batches:
     schema: StructType
 
 
-def _folder(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    there = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not there:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        there = context.getCheckpointDir()
-    return f"{there}/quire-{uuid.uuid4().hex}"
-
-
 def _keyed(events: DataFrame, key: str, time: str, event: str) -> DataFrame:
     return events.select(F.col(key).cast("long").alias("key"), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("at"), F.col(event).cast("long").alias("event"))
 
@@ -55,7 +46,7 @@ def fold(events: DataFrame, rate: float, cap: float, before: DataFrame | None =
     The n-th runs of all keys are folded at once and leave tokens and time to the next ones, as Parquet: there are as
     many rounds as the hottest key has runs.
     """
-    spark, at = events.sparkSession, _folder(events.sparkSession)
+    spark, at = events.sparkSession, shared_folder(events.sparkSession)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     ordered = events.repartitionByRange(n, "key", "at", "event").sortWithinPartitions("key", "at", "event")
     # ids ascend over the ranges and leave wide gaps between them, so no run spans two ranges
@@ -97,7 +88,7 @@ def token_bucket(events: DataFrame, key: str, time: str, event: str, rate: float
 
     def step(batch: DataFrame) -> DataFrame:
         found, after = fold(batch, rate, cap, state[0] if state else None, run)
-        state[:] = [_stored(after)]
+        state[:] = [stored(after)]
         return found
 
     return Batches(_keyed(events, key, time, event), step, StructType.fromDDL("key long, event long, allowed boolean"))
@@ -119,16 +110,10 @@ def once_per_key(events: DataFrame, keys: list[str], time: str, late: str = "1 h
     return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    path = _folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def drained(stream: DataFrame | Batches, name: str) -> DataFrame:
     """Runs a stream over what is there, from its start, and returns its rows; each micro-batch goes to Parquet in the shared folder."""
     work = stream if isinstance(stream, Batches) else Batches(stream, lambda batch: batch, stream.schema)
-    spark, at, written = work.stream.sparkSession, _folder(work.stream.sparkSession), []
+    spark, at, written = work.stream.sparkSession, shared_folder(work.stream.sparkSession), []
 
     def write(batch: DataFrame, number: int) -> None:
         work.step(batch).write.parquet(f"{at}/batch-{number}")

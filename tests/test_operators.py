@@ -146,6 +146,13 @@ def test_token_bucket_stream_agrees_with_fold(spark, tmp_path):
     assert sorted(map(tuple, live.collect())) == sorted(map(tuple, still.collect()))
 
 
+def test_deep_hierarchies_are_whole(spark):
+    chain = spark.range(101).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.col("id").cast("string").alias("name"))
+    assert hierarchy.closure(chain, "id", "parent").filter("node = 100").agg(F.max("depth"), F.count("*")).first()[:] == (100, 101)
+    row = hierarchy.paths(chain, "id", "parent", "name").filter("id = 100").first()
+    assert row["depth"] == 100 and row["path"] == "/".join(map(str, range(101)))
+
+
 @pytest.fixture(scope="module")
 def shuffled(spark, tmp_path_factory):
     """A folder whose events table has many files that each span the whole period, a third of the rows of one user."""
