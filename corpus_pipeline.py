@@ -10,9 +10,9 @@ from quire.llm.common import documents, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; texts that are null or hold no letter go."""
+    """Texts that are null or hold no letter go; the predicted language itself rejects nothing, even if none can be learned."""
     found = langid.with_language(docs, langid.fit(docs))
-    return found.filter(F.col("__language.lang_pred") != langid.UNKNOWN).select(docs.columns)
+    return found.filter("__language.lettered").select(docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

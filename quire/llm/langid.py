@@ -31,6 +31,10 @@ def words(text: str | None) -> list[str]:
     return _letters.findall(text.lower()) if text else []
 
 
+def lettered(text: str | None) -> bool:
+    return any(map(str.isalpha, words(text)))
+
+
 def grams(word: str, n: int) -> list[str]:
     """The n-grams of a word, its ends marked."""
     marked = f"<{word}>"
@@ -150,12 +154,13 @@ def predict(docs: DataFrame, model: WordFirst, *, id_col: str = "doc_id", text_c
 
 
 def with_language(docs: DataFrame, model: WordFirst, text_col: str = "text") -> DataFrame:
-    """docs with a struct column __language of (lang_pred, score), every other column untouched."""
+    """docs with a struct column __language of (lang_pred, score, lettered), every other column untouched."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, lettered boolean")
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+        found = [shared.value.predict(t) for t in texts]
+        return pd.DataFrame([(*x, x[0] != UNKNOWN or lettered(t)) for x, t in zip(found, texts, strict=True)], columns=["lang_pred", "score", "lettered"])
 
     return small_batches(docs).withColumn("__language", run(docs[text_col]))
 

@@ -22,6 +22,11 @@ def test_stages_take_effect(spark, odd):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0
 
 
+def test_language_stage_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "12 34", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()] == [1]
+
+
 def test_nothing(spark, empty):
     docs = empty
     for _, stage in corpus_pipeline.STAGES:
