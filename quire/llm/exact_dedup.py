@@ -6,9 +6,8 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quire.llm.common import SPACE, stored, with_columns
+from quire.llm.common import SPACE, boxed, skew_safe_join, stored, unboxed
 
 SALTS = 16
 LAST = (1 << 63) - 1
@@ -22,58 +21,58 @@ def _digest(content: Column) -> Column:
     return F.unhex(F.sha2(content, 256))
 
 
-def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest=_digest) -> DataFrame:
-    """Adds keep_id, group_size, kept and text_sha256 to every row of docs.
+def decided(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest=_digest, in_place: bool = False) -> DataFrame:
+    """(box, keep_id, group_size, kept, text_sha256) of every row; box holds the row's own columns, see `exact_dedup`."""
+    docs = docs if in_place else stored(docs)
+    place = docs.metadataColumn("_metadata")
+    rows = docs.select(
+        boxed(docs).alias("box"),
+        F.xxhash64(place["file_path"], place["row_index"]).alias("row"),
+        normalised(docs[text_col]).alias("content"),
+        F.length(F.coalesce(docs[text_col], F.lit(""))).alias("chars"),
+        F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("id"),
+    )
+    rows = rows.withColumns({"digest": digest(F.col("content")), "salt": F.pmod("row", F.lit(salts)).cast("int")})
+    # One sortable number for (longest, smallest id): hash aggregation can hold it in its fixed-width buffer.
+    best = F.col("chars").cast("decimal(10,0)") * F.lit(Decimal(1 << 64)) + (F.lit(Decimal(LAST)) - F.col("id").cast("decimal(20,0)"))
+    rows = rows.withColumn("best", best)
+    salted = rows.groupBy("digest", "content", "salt").agg(F.max_by("row", "best").alias("keep_row"), F.max("best").alias("best"), F.count(F.lit(1)).alias("n"))
+    merged = salted.groupBy("digest", "content").agg(F.max_by("keep_row", "best").alias("keep_row"), F.max("best").alias("best"), F.sum("n").alias("group_size"))
+    winners = merged.select("digest", "content", "group_size", "keep_row", (F.lit(Decimal(LAST)) - F.pmod("best", F.lit(Decimal(1 << 64)))).cast("long").alias("keep"))
+
+    alone = stored(winners.groupBy("digest").agg(F.count(F.lit(1)).alias("variants"), F.max("group_size").alias("group_size"), F.max("keep_row").alias("keep_row"), F.max("keep").alias("keep")))
+    if alone.filter("variants > 1").isEmpty():
+        table, key = alone.drop("variants"), "digest"
+    else:  # a digest stands for several contents: the content itself is the key
+        table, key = stored(winners.drop("digest")), "content"
+    found = skew_safe_join(rows.select("box", "row", "digest", "content"), table, key, "group_size", F.col("row"), "found")
+    return found.select(
+        "box",
+        F.when(F.col("found.keep") != LAST, F.col("found.keep")).alias("keep_id"),
+        F.col("found.group_size").alias("group_size"),
+        (F.col("row") == F.col("found.keep_row")).alias("kept"),
+        (F.sha2("content", 256) if digest is not _digest else F.lower(F.hex("digest"))).alias("text_sha256"),
+    )
+
+
+def exact_dedup(docs: DataFrame, **options) -> DataFrame:
+    """Adds keep_id, group_size, kept and text_sha256 to every row of docs; options are those of `decided`.
 
     Texts are equal if they agree after white space is deleted. Three stages combine equal texts, each of them with
     the whole content in its key, so that a digest collision never joins two texts:
     1. each map task combines its own copies (partial aggregation),
     2. the survivors meet by (digest, content, salt), so a hot text is spread over `salts` tasks,
     3. at most `salts` winners of a text meet by (digest, content).
-    The decision goes back to the rows by (digest, salt), again spread over the salts.
+    Winners are named by the place of their row in its file. The decision goes back to the rows by digest; digests that
+    hold over a thousandth of all rows are broadcast, and their rows gather nowhere.
 
     The longest original text stays, then the smallest id. Null text counts as empty; a null id sorts last and is
-    returned as keep_id null; of rows that repeat id and content one is kept; an empty table gives an empty one.
-    Columns of docs with the names of added ones are replaced. `salts` is at most 62.
+    returned as keep_id null; of rows that repeat id and content one is kept, any of those with the longest text; very
+    long texts are hashed and compared whole; an empty table gives an empty one. Columns of docs with the names of added
+    ones are replaced, all others stay. in_place: docs is read from Parquet and not changed since; otherwise it is
+    written once, so that rows have places.
     """
-    rows = with_columns(
-        docs,
-        {
-            "__content": normalised(docs[text_col]),
-            "__chars": F.length(F.coalesce(docs[text_col], F.lit(""))),
-            "__id": F.coalesce(docs[id_col].cast("long"), F.lit(LAST)),
-        },
-    )
-    rows = rows.withColumn("__digest", digest(F.col("__content"))).withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(salts)).cast("int"))
-    # One sortable number for (longest, smallest id): hash aggregation can hold it in its fixed-width buffer.
-    best = F.col("__chars").cast("decimal(10,0)") * F.lit(Decimal(1 << 64)) + (F.lit(Decimal(LAST)) - F.col("__id").cast("decimal(20,0)"))
-    salted = rows.groupBy("__digest", "__content", "__salt").agg(F.max(best).alias("__best"), F.count(F.lit(1)).alias("__n"))
-    merged = salted.groupBy("__digest", "__content").agg(F.max("__best").alias("__best"), F.sum("__n").alias("group_size"), F.bit_or(_bit(F.col("__salt"))).alias("__salts"))
-    winners = merged.select("__digest", "__content", "group_size", "__salts", (F.lit(Decimal(LAST)) - F.pmod("__best", F.lit(Decimal(1 << 64)))).cast("long").alias("__keep"))
-
-    alone = winners.groupBy("__digest").agg(F.count(F.lit(1)).alias("__variants"), F.max("group_size").alias("group_size"), F.bit_or("__salts").alias("__salts"), F.max("__keep").alias("__keep"))
-    alone = stored(alone)
-    key = ["__digest", "__salt"]
-    if not alone.filter("__variants > 1").isEmpty():  # a digest stands for several contents: content goes into the key
-        alone, key = winners, [*key, "__content"]
-    spread = alone.withColumn("__salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda s: F.col("__salts").bitwiseAND(_bit(s)) != 0))).select(*key, F.col("group_size").alias("__size"), "__keep")
-    joined = rows.join(spread, key)
-    copy = F.row_number().over(Window.partitionBy("__digest", "__salt", "__id").orderBy(F.col("__chars").desc()))
-    joined = joined.withColumn("__copy", copy)
-    out = with_columns(
-        joined,
-        {
-            "keep_id": F.when(F.col("__keep") != LAST, F.col("__keep")),
-            "group_size": F.col("__size"),
-            "kept": (F.col("__id") == F.col("__keep")) & (F.col("__copy") == 1),
-            "text_sha256": F.sha2("__content", 256) if digest is not _digest else F.lower(F.hex("__digest")),
-        },
-    )
-    return out.drop("__content", "__chars", "__id", "__digest", "__salt", "__size", "__keep", "__copy")
-
-
-def _bit(s: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), s)
+    return unboxed(decided(docs, **options), docs.columns, {c: F.col(c) for c in ("keep_id", "group_size", "kept", "text_sha256")})
 
 
 ORACLE_SQL = r"""

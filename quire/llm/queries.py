@@ -19,7 +19,7 @@ def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup.exact_dedup(docs, in_place=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op4_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
