@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import math
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import crc_remainder, small_batches
+from quire.llm.common import boxed, crc_remainder, small_batches
 
 #: Documents that the model learns from, about; with more labelled ones, a hash of the id picks them.
 SAMPLE = 8_000
@@ -41,48 +41,56 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def entry_hash(entry: str) -> int:
+    """As Spark's xxhash64 of the entry; among a million entries an unseen one passes for known once in 10^13 times."""
+    return xxhash.xxh64_intdigest(entry.encode(), 42)
+
+
 class WordFirst:
     """Per-language log frequencies of words and n-grams.
 
     A known word scores by its own frequencies. An unseen one backs off: the longest n for which any of its n-grams is
     known scores it, by the mean over those n-grams; without any it says nothing.
+    Words and the n-grams of each n have a table of their own: sorted hashes of the entries, and a row of logs for each.
     """
 
-    def __init__(self, table: Iterable[tuple[int, str, str, int]]):
-        """table: rows of (n, or 0 for words; entry; language; count), read once; entries are held by n, without a key object each."""
-        self.at: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-        seen: dict[str, int] = {}
-        kinds, rows, cols, found = array("b"), array("i"), array("i"), array("d")
-        for n, entry, lang, count in table:
-            if (row := self.at[n].get(entry)) is None:
-                row = self.at[n][entry] = len(kinds)
-                kinds.append(n)
-            rows.append(row)
-            cols.append(seen.setdefault(lang, len(seen)))
-            found.append(count)
-        self.langs = sorted(seen)
-        kind, row = np.array(kinds, np.int64), np.array(rows, np.int64)
-        place = {seen[x]: i for i, x in enumerate(self.langs)}
-        col = np.array([place[c] for c in cols], np.int64)
-        counts, totals = np.zeros((len(kind), len(self.langs)), np.float32), np.zeros((LONGEST + 1, len(self.langs)))
-        np.add.at(counts, (row, col), found)
-        np.add.at(totals, (kind[row], col), found)
-        for n, known in enumerate(self.at):
-            counts[kind == n] = np.log((counts[kind == n] + 0.5) / (totals[n] + 0.5 * len(known) + 0.5))
-        self.logs = counts
+    def __init__(self, kinds: np.ndarray, hashes: np.ndarray, langs: list[str], counts: np.ndarray):
+        """Parallel rows: n, or 0 for words; the entry's hash as a signed long; its language; its count there."""
+        self.langs = sorted(set(langs))
+        place = {x: i for i, x in enumerate(self.langs)}
+        col = np.fromiter((place[x] for x in langs), np.int64, len(langs))
+        self.keys, self.logs = [], []
+        for n in range(LONGEST + 1):
+            own = kinds == n
+            keys, row = np.unique(hashes[own].view(np.uint64), return_inverse=True)
+            table = np.zeros((len(keys), len(self.langs)))
+            np.add.at(table, (row, col[own]), counts[own])
+            self.keys.append(keys)
+            self.logs.append(np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(keys) + 0.5)).astype(np.float32))
         self.clear()
 
+    @classmethod
+    def of(cls, table: Iterable[tuple[int, str, str, int]]) -> WordFirst:
+        """From rows of (n, entry, language, count)."""
+        rows = list(table)
+        hashes = np.array([entry_hash(r[1]) for r in rows], np.uint64).view(np.int64)
+        return cls(np.array([r[0] for r in rows], np.int64), hashes, [r[2] for r in rows], np.array([r[3] for r in rows], np.int64))
+
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.scores = np.zeros((1024, len(self.langs)), np.float32)
 
+    def _known(self, n: int, entries: list[str]) -> np.ndarray:
+        """The logs of those entries that are in the table of n."""
+        keys, wanted = self.keys[n], np.fromiter(map(entry_hash, entries), np.uint64, len(entries))
+        at = np.searchsorted(keys, wanted)
+        at[at == len(keys)] = 0
+        return self.logs[n][at[keys[at] == wanted]] if len(keys) else self.logs[n]
+
     def word(self, word: str) -> np.ndarray:
-        if (row := self.at[0].get(word)) is not None:
-            return self.logs[row]
-        for n in range(LONGEST, 0, -1):
-            known = [row for g in grams(word, n) if (row := self.at[n].get(g)) is not None]
-            if known:
-                return self.logs[known].mean(axis=0)
+        for n, entries in ((0, [word]), *((n, grams(word, n)) for n in range(LONGEST, 0, -1))):
+            if entries and len(known := self._known(n, entries)):
+                return known.mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -105,9 +113,11 @@ class WordFirst:
 
 
 def fit(docs: DataFrame, *, train: Column | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> WordFirst:
-    """Counts words and n-grams by language in about `sample` labelled documents; all that occur twice or more reach the driver.
+    """Counts words and n-grams by language in about `sample` labelled documents, picked by a hash of the id.
 
-    Counts are combined in the tasks, then summed over the cluster.
+    Counts are combined in the tasks, then summed over the cluster; every word and n-gram of the sample stays, and its
+    hash, language and count reach the driver. Null texts and languages are left out, repeated rows count each, and
+    without any row to learn from the model knows no language.
     """
     usable = docs.filter(docs[text_col].isNotNull() & docs[lang_col].isNotNull())
     if train is not None:
@@ -134,9 +144,8 @@ def fit(docs: DataFrame, *, train: Column | None = None, sample: int = SAMPLE, i
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part], pa.int32()), pa.array([k[1] for k in part]), pa.array([k[2] for k in part]), pa.array([rows[k] for k in part], pa.int64())], ["n", "entry", "lang", "count"])
 
     counts = small_batches(usable).filter(picked).select(usable[text_col].alias("text"), usable[lang_col].cast("string").alias("lang")).mapInArrow(count, "n int, entry string, lang string, count long")
-    by_entry = counts.groupBy("n", "entry", "lang").agg(F.sum("count").alias("count")).groupBy("n", "entry").agg(F.sum("count").alias("total"), F.collect_list(F.struct("lang", "count")).alias("by"))
-    table = by_entry.filter("total > 1").select("n", "entry", F.explode("by").alias("b")).select("n", "entry", "b.lang", "b.count").toArrow()
-    return WordFirst(row for part in table.to_batches(10_000) for row in zip(*(c.to_pylist() for c in part.columns), strict=True))
+    table = counts.groupBy("n", "entry", "lang").agg(F.sum("count").alias("count")).select("n", F.xxhash64("entry").alias("hash"), "lang", "count").toArrow()
+    return WordFirst(table.column("n").to_numpy(), table.column("hash").to_numpy(), table.column("lang").to_pylist(), table.column("count").to_numpy())
 
 
 def predict(docs: DataFrame, model: WordFirst, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,8 +162,12 @@ def predict(docs: DataFrame, model: WordFirst, *, id_col: str = "doc_id", text_c
     return small_batches(docs).select(docs[id_col], docs[text_col]).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
-def with_language(docs: DataFrame, model: WordFirst, text_col: str = "text") -> DataFrame:
-    """docs with a struct column __language of (lang_pred, score, lettered), every other column untouched."""
+def decided(docs: DataFrame, model: WordFirst, text_col: str = "text") -> DataFrame:
+    """(box, lang_pred, score, lettered) of every row; box holds the row's own columns, whatever their names.
+
+    Null texts and texts without a letter are `und` with score 0 and not lettered; so is the language of every text if
+    the model knows none; repeated rows are predicted each, whole; an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, lettered boolean")
@@ -162,7 +175,7 @@ def with_language(docs: DataFrame, model: WordFirst, text_col: str = "text") ->
         found = [shared.value.predict(t) for t in texts]
         return pd.DataFrame([(*x, x[0] != UNKNOWN or lettered(t)) for x, t in zip(found, texts, strict=True)], columns=["lang_pred", "score", "lettered"])
 
-    return small_batches(docs).withColumn("__language", run(docs[text_col]))
+    return small_batches(docs).select(boxed(docs).alias("box"), run(docs[text_col]).alias("found")).select("box", "found.*")
 
 
 def identify(docs: DataFrame, *, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
