@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches, stored
+from quire.llm.common import boxed, small_batches, stored
 from quire.llm.components import components
 
 BITS = 64
@@ -171,15 +171,26 @@ def near_duplicates(docs: DataFrame, *, width: int = SHINGLE, distance: int = DI
     (both, if id and text are the same: exact deduplication comes first); an empty table gives an empty one.
     """
     every = stored(fingerprints(docs, width=width, id_col=id_col, text_col=text_col))
-    prints = every.groupBy("fp").agg(F.min(F.struct(order_of(F.col("doc_id")).alias("order"), "tie")).alias("first"))
-    found = components(links(prints, distance), "a", "b")
-    nodes = prints.join(found, prints["fp"] == found["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    names = nodes.groupBy("label").agg(F.min("first").alias("rep"))
-    named = nodes.join(names, "label").select("fp", "rep")
-    return every.join(named, "fp").select(
+    return every.join(groups(every, distance), "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.nullif("rep.order", order_of(F.lit(None))).alias("component_id"),
         ((order_of(F.col("doc_id")) == F.col("rep.order")) & (F.col("tie") == F.col("rep.tie"))).alias("kept"),
         "tie",
     )
+
+
+def groups(every: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, rep) of each distinct fingerprint: the order and tie of the first row of its component; every: doc_id, tie, fp."""
+    prints = every.groupBy("fp").agg(F.min(F.struct(order_of(F.col("doc_id")).alias("order"), "tie")).alias("first"))
+    found = components(links(prints, distance), "a", "b")
+    nodes = prints.join(found, prints["fp"] == found["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    names = nodes.groupBy("label").agg(F.min("first").alias("rep"))
+    return nodes.join(names, "label").select("fp", "rep")
+
+
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs less all rows but one of each group of near-duplicates; options are those of `near_duplicates`, as is what is kept."""
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter("kept").select(order_of(F.col("doc_id")).alias("order"), "tie")
+    rows = docs.select(boxed(docs).alias("box"), order_of(docs[id_col]).alias("order"), tie_of(docs[text_col]).alias("tie"))
+    return rows.join(kept, ["order", "tie"], "left_semi").select("box.*")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,17 +12,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches, stored, with_columns
+from quire.llm.common import boxed, skew_safe_join, small_batches, stored
 
 WINDOW = 50
-#: Words of the prefix that sampled suffixes are grouped by.
-PREFIX = 16
-#: Suffixes with one prefix that a tree may hold; groups beyond are split by the longest prefix, a whole window.
-GROUP = 30_000
-#: Suffixes whose trees are built in one go.
+#: Words of the prefixes that suffixes are grouped by, each length for the groups that are too large by the one before;
+#: what is still too large goes by the longest prefix, a whole window.
+PREFIXES = (16, 32)
+#: Suffixes that one subtree may hold.
+GROUP = 20_000
+#: Suffixes whose subtrees are built in one go.
 BATCH = 8_000
 WORDS_REMEMBERED = 200_000
 LAST = (1 << 63) - 1
+#: Odd multipliers of the two hashes of a window.
+ODD = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
 class _Hashes(dict):
@@ -30,25 +33,36 @@ class _Hashes(dict):
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > WORDS_REMEMBERED:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = (a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+def _mix(a: np.ndarray, b: np.ndarray, odd: tuple[int, int] = ODD[0]) -> np.ndarray:
+    x = (a * np.uint64(odd[0]) + b) * np.uint64(odd[1])
     return x ^ (x >> np.uint64(29))
 
 
-def sampled_suffixes(hashes: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(prefix hash, suffix start, first window, windows) of each sampled suffix of a document.
+def _grams(hashes: np.ndarray, n: int, odd: tuple[int, int] = ODD[0]) -> np.ndarray:
+    """A hash of the n words from each place on."""
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        hashes, size = _mix(hashes[:-step], hashes[step:], odd), size + step
+    return hashes
+
+
+def sampled_suffixes(hashes: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix hash, first window, windows) of each sampled suffix of a document.
 
     Every window is given to the leftmost of the suffixes in it whose `prefix` words have the least hash. Equal windows
     thus have their suffix at the same place in them, with the same prefix, and a suffix's windows are consecutive.
     """
-    empty = np.zeros(0, np.int64)
     if len(hashes) < window:
-        return empty, empty, empty, empty
-    grams, size = hashes, 1
-    while size < prefix:
-        step = min(size, prefix - size)
-        grams, size = _mix(grams[:-step], grams[step:]), size + step
+        empty = np.zeros(0, np.int64)
+        return empty, empty, empty
+    grams = _grams(hashes, prefix)
     least, at = grams, np.arange(len(grams))
     span, size = window - prefix + 1, 1
     while size < span:
@@ -56,11 +70,12 @@ def sampled_suffixes(hashes: np.ndarray, window: int, prefix: int) -> tuple[np.n
         first = least[:-step] <= least[step:]
         least, at, size = np.where(first, least[:-step], least[step:]), np.where(first, at[:-step], at[step:]), size + step
     begin = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
-    return grams[at[begin]].view(np.int64), at[begin], begin, np.diff(np.concatenate((begin, [len(at)])))
+    return grams[at[begin]].view(np.int64), begin, np.diff(np.concatenate((begin, [len(at)])))
 
 
 def _find_suffixes(texts: DataFrame, window: int, prefix: int) -> DataFrame:
-    names = ["prefix", "doc", "tie", "first", "windows", "lead"]
+    """(prefix, doc, tie, first, windows) of the sampled suffixes of all texts."""
+    names = ["prefix", "doc", "tie", "first", "windows"]
 
     def run(batches):
         known = _Hashes()
@@ -70,86 +85,150 @@ def _find_suffixes(texts: DataFrame, window: int, prefix: int) -> DataFrame:
                 words = text.encode().split()
                 if len(words) < window:
                     continue
-                if len(known) > WORDS_REMEMBERED:
-                    known.clear()
-                grams, at, first, count = sampled_suffixes(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), window, prefix)
-                for part, values in zip(parts, (grams, np.full(len(at), doc), np.full(len(at), tie), first, count, at - first), strict=True):
+                grams, first, count = sampled_suffixes(known.of(words), window, prefix)
+                for part, values in zip(parts, (grams, np.full(len(first), doc), np.full(len(first), tie), first, count), strict=True):
                     part.append(values)
             if parts[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), pa.int64() if i < 3 else pa.int32()) for i, p in enumerate(parts)], names)
 
-    return small_batches(texts).select("doc", "tie", "text").mapInArrow(run, "prefix long, doc long, tie long, first int, windows int, lead int")
+    return small_batches(texts).select("doc", "tie", "text").mapInArrow(run, "prefix long, doc long, tie long, first int, windows int")
 
 
-def _cut_out(found: DataFrame, window: int) -> DataFrame:
-    """The words of each suffix's windows, as text; found: doc, tie, text, spans of (prefix, n, first, windows, lead)."""
-    names = ["prefix", "n", "doc", "tie", "first", "windows", "lead", "words"]
+#: A suffix with the words of its windows; `split`: its group was too large, and the prefix is one of the next length.
+SUFFIX = "prefix long, doc long, tie long, first int, windows int, words string, split boolean"
 
-    def run(batches):
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    fields = [x.split() for x in SUFFIX.split(", ")]
+    held: list[tuple] = []
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(column, kinds[k]) for (_, k), column in zip(fields, zip(*held, strict=True), strict=True)], [n for n, _ in fields])
+
+    for row in rows:
+        held.append(row)
+        if len(held) == BATCH:
+            yield batch()
+            held = []
+    if held:
+        yield batch()
+
+
+def _split(words: list[bytes], doc: int, tie: int, first: int, window: int, prefix: int, known: _Hashes) -> Iterator[tuple]:
+    """The suffixes, by a longer prefix, that stand for the windows of one suffix of a group that is too large."""
+    grams, begin, count = sampled_suffixes(known.of(words), window, prefix)
+    for gram, at, n in zip(grams.tolist(), begin.tolist(), count.tolist(), strict=True):
+        yield gram, doc, tie, first + at, n, b" ".join(words[at : at + n - 1 + window]).decode(), True
+
+
+def _cut_out(found: DataFrame, window: int, group: int, longer: int) -> DataFrame:
+    """SUFFIX rows of each document's shared suffixes; found: doc, tie, text, spans of (prefix, n, first, windows)."""
+
+    def suffixes(batches):
+        known = _Hashes()
         for batch in batches:
-            rows = []
             for doc, tie, text, spans in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 words = text.encode().split()
                 for s in spans:
-                    rows.append((s["prefix"], s["n"], doc, tie, s["first"], s["windows"], s["lead"], b" ".join(words[s["first"] : s["first"] + s["windows"] - 1 + window]).decode()))
-                if len(rows) >= BATCH:
-                    yield _batch(rows, names)
-                    rows = []
-            if rows:
-                yield _batch(rows, names)
+                    own = words[s["first"] : s["first"] + s["windows"] - 1 + window]
+                    if s["n"] > group:
+                        yield from _split(own, doc, tie, s["first"], window, longer, known)
+                    else:
+                        yield s["prefix"], doc, tie, s["first"], s["windows"], b" ".join(own).decode(), False
 
-    return found.mapInArrow(run, "prefix long, n long, doc long, tie long, first int, windows int, lead int, words string")
+    return found.mapInArrow(lambda batches: _batches(suffixes(batches)), SUFFIX)
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = {"first": pa.int32(), "windows": pa.int32(), "lead": pa.int32(), "words": pa.string()}
-    return pa.RecordBatch.from_arrays([pa.array(column, kinds.get(n, pa.int64())) for n, column in zip(names, zip(*rows, strict=True), strict=True)], names)
+def _lengthened(rows: DataFrame, window: int, longer: int) -> DataFrame:
+    """SUFFIX rows with a longer prefix for those of groups that are too large."""
 
+    def suffixes(batches):
+        known = _Hashes()
+        for batch in batches:
+            for doc, tie, first, words in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "first", "words")), strict=True):
+                yield from _split(words.encode().split(b" "), doc, tie, first, window, longer, known)
+
+    return rows.select("doc", "tie", "first", "words").mapInArrow(lambda batches: _batches(suffixes(batches)), SUFFIX)
 
-def repeated_windows(groups: np.ndarray, docs: np.ndarray, windows: np.ndarray, leads: np.ndarray, words: list[str], window: int) -> Iterator[tuple[int, int, int]]:
-    """(suffix, start, stop) of runs of windows of a suffix that start in a smaller document too.
 
-    The trees of all groups at once, level by level: nodes at depth 1, 2, 4, ... words are named by pairs of nodes at
-    half the depth, up to depth `window`. A node there with two documents is a repeat; what its smallest document does
-    not hold is removed. Names are exact, so a clash of prefix hashes never joins different words.
+class Subtrees:
+    """The suffix trees of groups of suffixes, as one suffix array with the common prefix lengths of neighbours.
+
+    Suffixes are the starts of windows in the groups' texts. They are sorted by group, then by their first 64 words, or
+    a window if that is longer, by ranks of 1, 2, 4, ... words; each text ends in a symbol of its own. An internal node is a run of suffixes
+    whose neighbours have at least its depth in common.
     """
-    split = [w.encode().split(b" ") for w in words]
-    lengths = np.fromiter(map(len, split), np.int64, len(split))
-    ids: dict[bytes, int] = {}
-    names = np.fromiter((ids.setdefault(w, len(ids)) for s in split for w in s), np.int64, int(lengths.sum()))
-    begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    size = 1
-    while size < window:
-        step = min(size, window - size)
-        names, size = pd.factorize(names[:-step] * (int(names.max()) + 1) + names[step:])[0], size + step
-    suffix = np.repeat(np.arange(len(split)), windows)
-    place = np.arange(len(suffix)) - np.repeat(np.cumsum(windows) - windows, windows)
-    node = names[begins[suffix] + place]
-    group = pd.factorize(groups)[0][suffix]
-    node = pd.factorize(node * (int(group.max()) + 1) + group)[0]
-    least = np.full(node.max() + 1, LAST)
-    np.minimum.at(least, node, docs[suffix])
-    marked = docs[suffix] > least[node]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], marked, [False])).astype(np.int8)))
-    for start, stop in edge.reshape(-1, 2):
-        while start < stop:  # a run of marks may go on in the next suffix
-            s = suffix[start]
-            until = min(stop, start + windows[s] - place[start])
-            yield int(s), int(place[start]), int(place[start] + until - start)
-            start = until
+
+    def __init__(self, groups: np.ndarray, texts: list[str], window: int):
+        split = [t.encode().split(b" ") for t in texts]
+        lengths = np.fromiter(map(len, split), np.int64, len(split))
+        ids: dict[bytes, int] = {}
+        self.begins = np.cumsum(lengths + 1) - lengths - 1
+        symbols = np.empty(int(lengths.sum()) + len(split), np.int64)
+        ends = self.begins + lengths
+        inner = np.ones(len(symbols), bool)
+        inner[ends] = False
+        symbols[inner] = np.fromiter((ids.setdefault(w, len(ids)) for s in split for w in s), np.int64, int(lengths.sum()))
+        symbols[ends] = len(ids) + np.arange(len(split))
+        self.ranks, size = [symbols], 1
+        while size < max(window, 64):
+            known = self.ranks[-1]
+            after = np.zeros(len(known), np.int64)
+            after[:-size] = known[size:] + 1
+            self.ranks.append(np.unique(known * (int(known.max()) + 2) + after, return_inverse=True)[1])
+            size *= 2
+        owner = np.repeat(np.arange(len(split)), lengths + 1)
+        whole = np.flatnonzero(np.arange(len(symbols)) + window <= ends[owner])
+        order = np.lexsort((self.ranks[-1][whole], groups[owner[whole]]))
+        self.suffixes, self.owner = whole[order], owner[whole[order]]
+        self.common = np.zeros(len(order), np.int64)  # with the suffix before
+        a, b = self.suffixes[:-1].copy(), self.suffixes[1:].copy()
+        for k in reversed(range(len(self.ranks))):
+            same = self.ranks[k][np.minimum(a, len(symbols) - 1)] == self.ranks[k][np.minimum(b, len(symbols) - 1)]
+            self.common[1:] += same << k
+            a += same << k
+            b += same << k
+        self.common[1:][groups[self.owner[1:]] != groups[self.owner[:-1]]] = 0
+        self.length = len(symbols)
+
+    def deep_nodes(self, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """(node of each suffix, depth of each node) of the nodes nearest the root that are `window` words deep; a lone suffix has depth 0."""
+        begins = np.flatnonzero(self.common < window)
+        node = np.cumsum(self.common < window) - 1
+        depth = np.minimum.reduceat(np.where(self.common < window, LAST, self.common), begins) if len(begins) else np.zeros(0, np.int64)
+        return node, np.where(depth == LAST, 0, depth)
+
+    def maximal_repeats(self, docs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, start, stop): the longest runs of words that repeat a passage of `window` words or more of a smaller document.
+
+        A node is a passage that all its suffixes begin with; those that are not in its smallest document repeat it, as far
+        as the node is deep. Passages that overlap or touch in a text are one.
+        """
+        node, depth = self.deep_nodes(window)
+        own = docs[self.owner]
+        least = np.full(len(depth), LAST)
+        np.minimum.at(least, node, own)
+        late = own > least[node]
+        edge = np.zeros(self.length + 1, np.int64)
+        np.add.at(edge, self.suffixes[late], 1)
+        np.add.at(edge, self.suffixes[late] + depth[node[late]], -1)
+        covered = np.concatenate(([0], (np.cumsum(edge)[:-1] > 0).astype(np.int8), [0]))
+        start, stop = np.flatnonzero(np.diff(covered) == 1), np.flatnonzero(np.diff(covered) == -1)
+        text = np.searchsorted(self.begins, start, "right") - 1
+        return text, start - self.begins[text], stop - self.begins[text]
 
 
 def _in_trees(suffixes: DataFrame, window: int) -> DataFrame:
-    """(doc, tie, start, stop) of words to remove; suffixes arrive sorted by prefix, and whole groups are taken at a time."""
-    columns = ["prefix", "doc", "tie", "first", "windows", "lead", "words"]
+    """(doc, tie, start, stop) of words to remove; whole prefix groups come to a task, and their subtrees are built there."""
+    columns = ["prefix", "doc", "tie", "first", "words"]
     names = ["doc", "tie", "start", "stop"]
 
     def solve(t: pa.Table):
-        groups, docs, ties, first, windows, leads = (t.column(c).to_numpy() for c in columns[:6])
-        found = list(repeated_windows(groups, docs, windows.astype(np.int64), leads, t.column("words").to_pylist(), window))
-        if found:
-            s, a, b = (np.array(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(docs[s]), pa.array(ties[s]), pa.array(first[s] + a, pa.int32()), pa.array(first[s] + b - 1 + window, pa.int32())], names)
+        groups, docs, ties, first = (t.column(c).to_numpy() for c in columns[:4])
+        text, start, stop = Subtrees(groups, t.column("words").to_pylist(), window).maximal_repeats(docs, window)
+        if len(text):
+            yield pa.RecordBatch.from_arrays([pa.array(docs[text]), pa.array(ties[text]), pa.array(first[text] + start, pa.int32()), pa.array(first[text] + stop, pa.int32())], names)
 
     def run(batches):
         held: list[pa.Table] = []
@@ -166,46 +245,70 @@ def _in_trees(suffixes: DataFrame, window: int) -> DataFrame:
         if held and sum(map(len, held)):
             yield from solve(pa.concat_tables(held))
 
-    return suffixes.select(columns).mapInArrow(run, "doc long, tie long, start int, stop int")
+    return suffixes.select(columns).repartition("prefix").sortWithinPartitions("prefix").mapInArrow(run, "doc long, tie long, start int, stop int")
 
 
 def _by_window(suffixes: DataFrame, window: int) -> DataFrame:
-    """The same for prefixes with too many suffixes: the longest prefix, a whole window, is the group.
+    """The same for prefixes that are hot at any length: their subtree is one path, whose leaf is the whole window.
 
-    Of equal windows only the smallest document counts, which aggregation finds with map-side combining, and the join
-    back is one whose large partitions Spark can split, so no group is gathered.
+    Only the smallest document of such a leaf counts, which an aggregation by 128 bits of hash finds with map-side
+    combining, and no group is gathered; among 10^13 windows two would clash once in 10^12 times.
     """
-    words = F.split("words", " ")
-    each = suffixes.select("prefix", "doc", "tie", "first", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("windows")), lambda i: F.array_join(F.slice(words, i, window), " "))).alias("at", "text"))
-    least = each.groupBy("prefix", "text").agg(F.min("doc").alias("least"))
-    later = each.join(least, ["prefix", "text"]).filter("doc > least")
-    return later.select("doc", "tie", (F.col("first") + F.col("at")).alias("start"), (F.col("first") + F.col("at") + window).alias("stop"))
 
+    def run(batches):
+        known = _Hashes()
+        for batch in batches:
+            for doc, tie, first, words in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "first", "words")), strict=True):
+                hashes = known.of(words.encode().split(b" "))
+                keys = np.stack([_grams(h, window, odd) for h, odd in ((hashes, ODD[0]), (hashes ^ (hashes >> np.uint64(31)), ODD[1]))], axis=1)
+                n = len(keys)
+                yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(np.full(n, doc)), pa.array(np.full(n, tie)), pa.array(np.arange(first, first + n), pa.int32())], ["key", "doc", "tie", "start"])
+
+    each = stored(suffixes.select("doc", "tie", "first", "words").mapInArrow(run, "key binary, doc long, tie long, start int"))
+    least = stored(each.groupBy("key").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")))
+    later = skew_safe_join(each, least, "key", "n", F.xxhash64("doc", "start"), "leaf").filter("doc > leaf.least")
+    return later.select("doc", "tie", "start", (F.col("start") + window).alias("stop"))
+
+
+def _shared(suffixes: DataFrame) -> DataFrame:
+    """(prefix, n, a, b): the count and the least and greatest document of each prefix that more than one may hold."""
+    found = suffixes.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b"))
+    return stored(found.filter("a < b OR n > 1000"))
+
+
+def _with_group(suffixes: DataFrame, shared: DataFrame) -> DataFrame:
+    """The suffixes whose prefix two documents hold, with the size of its group as n."""
+    found = skew_safe_join(suffixes, shared, "prefix", "n", F.xxhash64("doc", "first"), "group").filter("group.a < group.b")
+    return found.withColumn("n", F.col("group.n")).drop("group")
 
-def removals(texts: DataFrame, *, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
-    """(doc, tie, spans) of word ranges to remove; texts: doc, tie, doc_id, text.
+
+def removals(texts: DataFrame, *, window: int = WINDOW, prefixes: Sequence[int] = PREFIXES, group: int = GROUP) -> DataFrame:
+    """(doc, tie, spans) of word ranges to remove; texts: doc, tie, text.
 
     1. Each document samples about two suffixes for every `window - prefix` words; only prefixes that occur in two
        documents go on, so text that repeats nothing is left here.
-    2. The words around those suffixes are dealt out by prefix, whole prefix groups to a task, and trees are built.
+    2. Prefixes are of variable length: where a group has more than `group` suffixes, its windows are given to suffixes
+       by the next longer prefix. Equal windows always go the same way, as it depends on nothing but their words.
+    3. Groups that fit are dealt out whole, and their subtrees are built; their nodes that are a window deep are repeats.
     """
-    suffixes = stored(_find_suffixes(texts, window, prefix))
-    shared = suffixes.groupBy("prefix").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b").select("prefix", "n")
-    spans = suffixes.join(shared, "prefix").groupBy("doc", "tie").agg(F.collect_list(F.struct("prefix", "n", "first", "windows", "lead")).alias("spans"))
-    joined = texts.join(spans, ["doc", "tie"])
-    few, many = (joined.select("doc", "tie", "text", F.filter("spans", test).alias("spans")).filter(F.size("spans") > 0) for test in (lambda s: s["n"] <= group, lambda s: s["n"] > group))
-    most = shared.agg(F.max("n")).first()[0] or 0
-    found = _in_trees(_cut_out(few, window).repartition("prefix").sortWithinPartitions("prefix"), window)
-    if most > group:
-        found = found.union(_by_window(_cut_out(many, window), window))
+    suffixes = stored(_find_suffixes(texts, window, prefixes[0]))
+    shared = _shared(suffixes)
+    spans = _with_group(suffixes, shared).groupBy("doc", "tie").agg(F.collect_list(F.struct("prefix", "n", "first", "windows")).alias("spans"))
+    lengths = [*prefixes, window]
+    rows = _cut_out(texts.join(spans, ["doc", "tie"]).select("doc", "tie", "text", "spans"), window, group, lengths[1])
+    if (shared.filter("a < b").agg(F.max("n")).first()[0] or 0) <= group:
+        found = _in_trees(rows, window)
+    else:
+        rows = stored(rows)
+        found, rest = _in_trees(rows.filter("NOT split"), window), rows.filter("split")
+        for longer in lengths[2:]:
+            grouped = _with_group(rest, _shared(rest))
+            found = found.union(_in_trees(grouped.filter(F.col("n") <= group), window))
+            rest = stored(_lengthened(grouped.filter(F.col("n") > group), window, longer))
+        found = found.union(_by_window(rest, window))
     return found.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(docs[text_col], F.lit(""))
-    return with_columns(docs, {"__doc": F.coalesce(docs[id_col].cast("long"), F.lit(LAST)), "__tie": F.xxhash64(text), "__text": text})
-
-
 def kept_words(text: str, spans: list[dict] | None) -> tuple[list[bytes], int]:
     """The words outside of spans, and the number of all words."""
     words = text.encode().split()
@@ -217,6 +320,13 @@ def kept_words(text: str, spans: list[dict] | None) -> tuple[list[bytes], int]:
     return [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)], len(words)
 
 
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """(box, doc, text, spans): every row with the word ranges that it loses, null if none."""
+    text = F.coalesce(docs[text_col], F.lit(""))
+    rows = docs.select(boxed(docs).alias("box"), F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    return rows.join(removals(rows.select("doc", "tie", "text"), **options), ["doc", "tie"], "left").select("box", "doc", "text", "spans")
+
+
 def substring_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (of the kept words, joined by one space) of every row.
 
@@ -224,7 +334,6 @@ def substring_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     came. Null texts have no words; a null id counts as larger than all others; rows that repeat an id are never each
     other's smaller document; texts shorter than a window keep everything; an empty table gives an empty one.
     """
-    rows = _keyed(docs.select(id_col, text_col), id_col, text_col).select(F.col("__doc").alias("doc"), F.col("__tie").alias("tie"), F.col("__text").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -234,28 +343,23 @@ def substring_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    joined = rows.join(removals(rows, **options), ["doc", "tie"], "left")
-    return joined.select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    found = _with_spans(docs, id_col, text_col, **options).select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), "text", "spans")
+    return found.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with the repeated words gone from their texts, and a column n_removed.
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lengths: str | None = None, **options) -> DataFrame:
+    """docs with the repeated words gone from their texts; a column named `lengths`, if there is one, gets the new code points.
 
-    Texts that lose nothing stay as they are; others become their kept words, joined by one space.
+    Texts that lose nothing stay as they are, null and empty ones too; others become their kept words, joined by one
+    space. Ids and rows count as for `substring_digests`; all other columns stay, whatever their names.
     """
-    rows = _keyed(docs, id_col, text_col)
-    spans = removals(rows.select(F.col("__doc").alias("doc"), F.col("__tie").alias("tie"), F.col("__text").alias("text")), **options)
-
-    @F.pandas_udf("text string, n_removed long")
-    def cut(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, own in zip(texts, found, strict=True):
-            words, n = kept_words(text, None if own is None else list(own))
-            out.append((b" ".join(words).decode(), n - len(words)))
-        return pd.DataFrame(out, columns=["text", "n_removed"])
-
-    joined = rows.join(spans, (rows["__doc"] == spans["doc"]) & (rows["__tie"] == spans["tie"]), "left")
-    joined = joined.withColumn("__cut", F.when(F.col("spans").isNotNull(), cut("__text", "spans")))
-    text = F.when(F.col("__cut").isNotNull(), F.col("__cut.text")).otherwise(F.col(text_col))
-    names = [c for c in docs.columns if c.lower() != "n_removed"]
-    return joined.select(*[text.alias(c) if c == text_col else rows[c] for c in names], F.coalesce("__cut.n_removed", F.lit(0).cast("long")).alias("n_removed"))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([b" ".join(kept_words(t, list(s))[0]).decode() for t, s in zip(texts, found, strict=True)], dtype=object)
+
+    found = _with_spans(docs, id_col, text_col, **options)
+    found = found.select("box", F.when(F.col("spans").isNotNull(), cut(F.when(F.col("spans").isNotNull(), F.col("text")).otherwise(""), F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")))).alias("cut"))
+    text = F.coalesce("cut", F.col("box")[text_col])
+    n = F.when(F.col("cut").isNotNull(), F.length("cut")).otherwise(F.col("box")[lengths]) if lengths in docs.columns else None
+    return found.select(*[text.alias(c) if c == text_col else n.cast(docs.schema[c].dataType).alias(c) if c == lengths else F.col("box")[c].alias(c) for c in docs.columns])

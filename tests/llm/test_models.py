@@ -94,7 +94,7 @@ def test_language(odd, empty, sf_dir, spark):
 
 
 def test_language_backs_off():
-    model = langid.WordFirst([(0, "haus", "de", 9), (0, "house", "en", 9), (3, "sch", "de", 5), (3, "the", "en", 5), (1, "x", "en", 3), (1, "x", "de", 1)])
+    model = langid.WordFirst.of([(0, "haus", "de", 9), (0, "house", "en", 9), (3, "sch", "de", 5), (3, "the", "en", 5), (1, "x", "en", 3), (1, "x", "de", 1)])
     assert model.predict("haus")[0] == "de" and model.predict("xxschxx")[0] == "de" and model.predict("athex")[0] == "en" and model.predict("qqx")[0] == "en"
     assert model.predict("12 34") == ("und", 0.0) and model.predict("qqq")[1] == pytest.approx(0.5)
 

@@ -110,18 +110,47 @@ def brute_repeats(rows, window=50):
 def test_repeats(odd, empty):
     assert Counter(map(tuple, substring.substring_digests(odd).collect())) == brute_repeats([(k, t) for k, t, _, _ in ROWS])
     assert substring.substring_digests(empty).count() == 0
-    cut = {r["doc_id"]: (r["text"], r["n_removed"]) for r in substring.remove_repeats(odd).collect()}
-    assert cut[11] == ("other words", 60) and cut[10] == (f"before {PASSAGE} after", 0) and cut[3] == (None, 0) and cut[7] == ("", 30_001) or cut[7][1] >= 30_000
-    assert set(substring.remove_repeats(odd).columns) == set(odd.columns)
+    found = substring.without_repeats(odd)
+    cut = {r["doc_id"]: r["text"] for r in found.collect()}
+    assert cut[11] == "other words" and cut[10] == f"before {PASSAGE} after" and cut[3] is None and cut[5] == "   \n " and cut[7] == "end"
+    assert found.columns == odd.columns and {r["n_removed"] for r in found.collect()} == {"x"}
 
 
-@pytest.mark.parametrize("group", [substring.GROUP, 1])
+@pytest.mark.parametrize("group", [substring.GROUP, 3, 1])
 def test_repeats_in_few_words(spark, group):
-    """Many overlapping repeats, also inside one document; small groups take the way by whole windows."""
+    """Many overlapping repeats, also inside one document; groups that are too large take longer prefixes, then whole windows."""
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice("ab") if i % 3 else "x" for _ in range(rng.randint(0, 90)))) for i in range(40)]
     rows += [(100 + i, " ".join(f"k{j}" for j in range(i, i + 70))) for i in range(0, 60, 7)] + [(7, rows[5][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     found = substring.substring_digests(df, group=group).collect()
     assert Counter(map(tuple, found)) == brute_repeats(rows)
-    assert Counter(map(tuple, substring.substring_digests(df.filter(F.length("text") > 0), window=10, prefix=3, group=group).collect())) == brute_repeats([r for r in rows if r[1]], 10)
+    assert Counter(map(tuple, substring.substring_digests(df.filter(F.length("text") > 0), window=10, prefixes=(3, 5), group=group).collect())) == brute_repeats([r for r in rows if r[1]], 10)
+
+
+def test_a_passage_in_a_third_of_all_rows(spark):
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{rng.random()}" for _ in range(n))
+    passage = words(65)
+    rows = [(i, f"{words(20)} {passage} {words(rng.randint(0, 30))}" if i % 3 == 0 else words(80)) for i in range(300)]
+    for group in (substring.GROUP, 20):
+        found = substring.substring_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), group=group).collect()
+        assert Counter(map(tuple, found)) == brute_repeats(rows)
+
+
+def test_subtrees():
+    """Nodes 3 words deep: what stands under one begins alike, as far as the node is deep and no further."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(3, 12))) for _ in range(60)]
+    trees = substring.Subtrees(np.array([i % 2 for i in range(60)]), texts, 3)
+    node, depth = trees.deep_nodes(3)
+    under = defaultdict(list)
+    for s, o, k in zip(trees.suffixes, trees.owner, node):
+        under[k].append((o % 2, texts[o].split()[s - trees.begins[o] :]))
+    for k, found in under.items():
+        assert len({g for g, _ in found}) == 1
+        if len(found) > 1:
+            d = depth[k]
+            assert d >= 3 and len({tuple(w[:d]) for _, w in found}) == 1 and (any(len(w) == d for _, w in found) or len({w[d] for _, w in found}) > 1)
+    tops = [(found[0][0], tuple(found[0][1][:3])) for found in under.values()]
+    assert len(set(tops)) == len(tops)
