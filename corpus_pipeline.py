@@ -3,39 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quire.llm import exact_dedup, langid, packing, simhash, substring
-from quire.llm.common import documents, stored
+from quire.llm.common import documents, spread, stored
+
+
+# Common to all stages: columns of docs pass through under any name, n_chars alone follows its text; nulls may stand in
+# any column; texts are worked on whole, empty and very long ones too; an empty table gives an empty one.
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that are null or hold no letter go; the predicted language itself rejects nothing, even if none can be learned."""
-    found = langid.with_language(docs, langid.fit(docs))
-    return found.filter("__language.lettered").select(docs.columns)
+    """Texts that are null or hold no letter go; the predicted language itself rejects nothing, even if none can be learned.
+
+    Repeated rows stay each; of equal scores the language first in the alphabet wins.
+    """
+    docs = spread(docs)
+    return langid.decided(docs, langid.fit(docs)).filter("lettered").select("box.*")
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space, the longest one."""
-    return exact_dedup.exact_dedup(docs).filter("kept").select(docs.columns)
+    """Of texts that are equal but for white space, the longest one, then the smallest id, null last; null counts as empty.
+
+    Of rows that repeat id and text one stays.
+    """
+    return exact_dedup.decided(docs).filter("kept").select("box.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
-    kept = simhash.near_duplicates(docs).filter("kept").select(simhash.order_of(F.col("doc_id")).alias("__order"), F.col("tie").alias("__tie"))
-    keyed = docs.withColumn("__order", simhash.order_of(F.col("doc_id"))).withColumn("__tie", simhash.tie_of(F.col("text")))
-    return keyed.join(kept, ["__order", "__tie"], "left_semi").select(docs.columns)
+    """Of each group of near-duplicates the document with the smallest id, null last; of rows with one id, by a hash of the text.
+
+    Rows that repeat id and text stay both, which the stage before has left none of.
+    """
+    return simhash.representatives(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 50 words and more that a document with a smaller id holds."""
-    found = substring.remove_repeats(docs)
-    chars = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return found.withColumns(chars).select(docs.columns)
+    """Texts without the passages of 50 words and more that a document with a smaller id holds, n_chars as they are then.
+
+    A null id counts as the largest; rows that share an id keep what they share; texts that lose nothing stay as they
+    are, null and empty ones too.
+    """
+    return substring.without_repeats(docs, lengths="n_chars")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, in sequences."""
+    """The pieces of all documents, in sequences; a null or empty text is its end token alone, repeated rows are packed each."""
     return packing.pack(docs)
 
 
