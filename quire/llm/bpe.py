@@ -15,8 +15,8 @@ from tokenizers import Regex, pre_tokenizers
 
 from quire.llm.common import byte_symbols, small_batches, tokenizer_path
 
-#: Distinct chunks, words and transitions that a worker remembers at most; beyond, it starts anew.
-CHUNKS, WORDS, TRANSITIONS = 500_000, 200_000, 1_000_000
+#: Distinct chunks and words, and states of the compiled automaton, that a worker holds at most; beyond, it starts anew.
+CHUNKS, WORDS, STATES = 500_000, 200_000, 150_000
 
 
 class MergeAutomaton:
@@ -29,7 +29,7 @@ class MergeAutomaton:
       lost arcs are those of the right spine s, y, ..., each up to the rank that made the token above it;
     - an arc of token t = (x, y) came from an x-arc that was there at t's rank; so t is lost with any token of its left
       spine t, x, ..., if that was lost up to the rank that made the token above it.
-    The gadgets thus leave three tables (lost pairs, left and right spines), from which transitions are filled in.
+    The gadgets thus leave three tables (lost pairs, left and right spines), which tell every arc.
     """
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]):
@@ -40,11 +40,6 @@ class MergeAutomaton:
         self.lost: dict[int, dict[int, int]] = {}
         for rank, (a, b) in enumerate(merges):
             self._gadget(rank, vocabulary[a], vocabulary[b], vocabulary[a + b])
-        self.reach: dict[str, int] = {}  # of each four first symbols, the longest token that begins so
-        for token in vocabulary:
-            if len(token) > 3:
-                self.reach[token[:4]] = max(len(token), self.reach.get(token[:4], 0))
-        self.known: dict[tuple[int, int], bool] = {}
 
     def _gadget(self, rank: int, a: int, b: int, ab: int) -> None:
         if b in self.lost.setdefault(a, {}) or len(self.left[ab]) > 1:
@@ -53,7 +48,8 @@ class MergeAutomaton:
         self.left[ab] += [(t, min(bound, rank)) for t, bound in self.left[a]]
         self.right[ab] += [(t, min(bound, rank)) for t, bound in self.right[b]]
 
-    def _has_arc(self, state: int, token: int) -> bool:
+    def has_arc(self, state: int, token: int) -> bool:
+        """Whether the state after `state` has an arc of `token`."""
         for s, until in self.right[state]:
             if lost := self.lost.get(s):
                 for t, since in self.left[token]:
@@ -62,50 +58,92 @@ class MergeAutomaton:
                         return False
         return True
 
-    def has_arc(self, state: int, token: int) -> bool:
-        """Whether the state after `state` has an arc of `token`: one entry of the transition table."""
-        pair = state, token
-        if (known := self.known.get(pair)) is None:
-            if len(self.known) >= TRANSITIONS:
-                self.known.clear()
-            known = self.known[pair] = self._has_arc(state, token)
-        return known
-
-    def path(self, symbols: str, end: str = "") -> list[int]:
-        """The arcs of the one path that spells symbols, the last of them with the end-of-word mark.
-
-        Longest arcs are tried first. As each prefix has one path, a place with no way on is given up for good.
-        """
-        n, whole, token_of, has_arc, reach = len(symbols), symbols + end, self.vocabulary.get, self.has_arc, self.reach
-        out: list[int] = []
-        begins: list[int] = []
-        dead: set[int] = set()
-        at, stop = 0, n + len(end)
-        while at < n:
-            stop = min(stop, at + reach.get(whole[at : at + 4], 3))
-            while stop > at:  # the mark belongs to the last symbol
-                if n <= stop < len(whole):
-                    stop = n - 1
-                    continue
-                token = token_of(whole[at:stop])
-                if token is not None and stop not in dead and (not out or has_arc(out[-1], token)):
-                    break
-                stop -= 1
-            if stop > at:
-                out.append(token)
-                begins.append(at)
-                at, stop = stop, n + len(end)
-            elif out:
-                dead.add(at)
-                out.pop()
-                at, stop = begins.pop(), at - 1
-            else:
+
+class SymbolTable:
+    """The merge automaton with its arcs spelled out in symbols, made deterministic: a table of state and symbol to state.
+
+    A state holds every place that the symbols read so far can lead to: a token just read, and the node of the tokens'
+    trie that has been spelled since. Each prefix has one path of whole arcs, so exactly one arc ends in a state, whose
+    token the state emits. Reading a word is one look-up a symbol; its path is then read off backwards, each state's
+    token leading to the state before it. The last symbol of a word, with the end-of-word mark, is a symbol of its own.
+
+    Only transitions that some word takes are compiled, each once, as the whole table has far more than texts ever use;
+    400,000 distinct words lead to 113,000 states and 302,000 transitions.
+    """
+
+    def __init__(self, automaton: MergeAutomaton, end: str = ""):
+        self.automaton, self.end = automaton, end
+        self.symbols: dict[str, int] = {}
+        self.child: dict[tuple[int, int], int] = {}
+        self.token_at = [None]  # of a trie node
+        self.size = {}
+        for token, i in automaton.vocabulary.items():
+            node, symbols = 0, self.spelled(token)
+            self.size[i] = len(symbols)
+            for s in symbols:
+                s = self.symbols.setdefault(s, len(self.symbols))
+                if (node, s) not in self.child:
+                    self.child[node, s] = len(self.token_at)
+                    self.token_at.append(None)
+                node = self.child[node, s]
+            self.token_at[node] = i
+        self.marked = {i for s, i in self.symbols.items() if len(s) > 1}
+        self.clear()
+
+    def spelled(self, word: str) -> list[str]:
+        """The symbols of a token or word; only the last of them may have the mark."""
+        core = word.removesuffix(self.end) if self.end else word
+        return [*core[:-1], core[-1] + self.end] if len(core) < len(word) else [*core]
+
+    def clear(self) -> None:
+        self.places: list[tuple] = [((None, 0),)]
+        self.emitted: list[int | None] = [None]
+        self.known = {(self.places[0], None): 0}
+        self.next: dict[tuple[int, int], int] = {}
+
+    def _compiled(self, state: int, symbol: int) -> int:
+        """The transition's target: arcs that go on, and the one arc that ends, behind which any arc may begin."""
+        going, ended, has_arc = [], None, self.automaton.has_arc
+        for last, node in self.places[state]:
+            if (to := self.child.get((node, symbol))) is None:
+                continue
+            token = self.token_at[to]
+            if ended is None and token is not None and (last is None or has_arc(last, token)):
+                ended = token
+            if symbol not in self.marked:
+                going.append((last, to))
+        if ended is None:
+            raise ValueError("a base symbol is missing in the vocabulary")
+        if symbol not in self.marked:
+            going.append((ended, 0))
+        key = tuple(going), ended
+        if (to := self.known.get(key)) is None:
+            to = self.known[key] = len(self.places)
+            self.places.append(key[0])
+            self.emitted.append(ended)
+        self.next[state, symbol] = to
+        return to
+
+    def path(self, word: str) -> list[int]:
+        """The tokens of the arcs that spell word, its mark included."""
+        if len(self.places) >= STATES:
+            self.clear()
+        state, read, table, number = 0, [], self.next, self.symbols
+        for s in self.spelled(word):
+            if s not in number:
                 raise ValueError("a base symbol is missing in the vocabulary")
-        return out
+            pair = state, number[s]
+            state = table[pair] if pair in table else self._compiled(*pair)
+            read.append(state)
+        out, at = [], len(read)
+        while at:
+            out.append(self.emitted[read[at - 1]])
+            at -= self.size[out[-1]]
+        return out[::-1]
 
 
 class BpeCodec:
-    """Encodes and decodes as the tokenizer file describes, by its automaton."""
+    """Encodes and decodes as the tokenizer file describes, by its compiled automaton."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -116,9 +154,10 @@ class BpeCodec:
         if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in splits] != ["Split", "ByteLevel"] or spec["decoder"]:
             raise ValueError("this kind of tokenizer file is not supported")
         self.end = model["end_of_word_suffix"] or ""
-        self.automaton = MergeAutomaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
+        automaton = MergeAutomaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
+        self.table = SymbolTable(automaton, self.end)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.labels = self.automaton.names | {i: t for t, i in self.special.items()}
+        self.labels = automaton.names | {i: t for t, i in self.special.items()}
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(splits[0]["pattern"]["Regex"])
         self.splitter = pre_tokenizers.Split(Regex(splits[0]["pattern"]["Regex"]), "removed", invert=True)
@@ -132,7 +171,7 @@ class BpeCodec:
             if len(self.paths) >= WORDS:
                 self.paths.clear()
             symbols = word if word.isascii() and word.isalnum() else "".join(self.symbols[b] for b in word.encode())
-            ids = self.paths[word] = self.automaton.path(symbols, self.end)
+            ids = self.paths[word] = self.table.path(symbols + self.end)
         return ids
 
     def _split(self, text: str) -> list[str]:

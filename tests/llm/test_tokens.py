@@ -46,7 +46,7 @@ def test_automaton_of_overlapping_merges():
     """All words over two letters: the only path is what merging by rank gives."""
     merges = [("a", "a"), ("b", "a"), ("aa", "b"), ("ba", "ba"), ("aab", "aa")]
     vocabulary = {t: i for i, t in enumerate(["a", "b", *[x + y for x, y in merges]])}
-    automaton = bpe.MergeAutomaton(vocabulary, merges)
+    table = bpe.SymbolTable(bpe.MergeAutomaton(vocabulary, merges))
     for n in range(1, 12):
         for k in range(1 << n):
             word = "".join("ab"[k >> i & 1] for i in range(n))
@@ -57,7 +57,21 @@ def test_automaton_of_overlapping_merges():
                     if (parts[i], parts[i + 1]) == (a, b):
                         parts[i : i + 2] = [a + b]
                     i += 1
-            assert automaton.path(word) == [vocabulary[p] for p in parts], word
+            assert table.path(word) == [vocabulary[p] for p in parts], word
+
+
+def test_compiled_table_is_read_without_search(library, monkeypatch):
+    """A word that has been compiled needs no arc of the automaton again, and a table that starts anew gives the same."""
+    codec = bpe.BpeCodec(tokenizer_path())
+    words = ["tokenization", "supercalifragilistic", "a", "größe"]
+    first = [codec._word(w) for w in words]
+    codec.paths.clear()
+    monkeypatch.setattr(codec.table, "_compiled", None)
+    assert [codec._word(w) for w in words] == first == [library.encode(w, add_special_tokens=False).ids for w in words]
+    monkeypatch.undo()
+    monkeypatch.setattr(bpe, "STATES", 5)
+    codec.paths.clear()
+    assert [codec._word(w) for w in words] == first
 
 
 def test_bpe(odd, empty, library):
