@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,7 +21,7 @@ KEPT = 8
 TRIES = 8
 #: Rows meant for a bucket of neighbouring ids, and buckets at most.
 BUCKET_ROWS, BUCKETS = 2_000, 65_536
-LEAST = -(1 << 63)
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -51,28 +53,41 @@ def minima(hashes: Column, bins: int = BINS) -> Column:
     return let(F.sort_array(F.transform(hashes, lambda h: F.shiftrightunsigned(h, 1))), firsts)
 
 
+def _tries(bins: int) -> list[int]:
+    """For each bin the TRIES bins that it tries in turn: xxhash64(bin, try) modulo bins, as Spark works it out."""
+
+    def chained(j: int, t: int) -> int:
+        h = xxhash.xxh64_intdigest(t.to_bytes(4, "little"), xxhash.xxh64_intdigest(j.to_bytes(4, "little"), 42))
+        return (h - (1 << 64) if h >> 63 else h) % bins
+
+    return [chained(j, t) for j in range(bins) for t in range(TRIES)]
+
+
 def codes(text: Column, *, width: int = SHINGLE, bins: int = BINS, kept: int = KEPT) -> Column:
     """The low-order bits of every bin's minimum; an empty array for a text without words.
 
     An empty bin takes the minimum of another by optimal densification: it tries bins in a random order of its own,
     set by a hash of (bin, try), until one is filled; after TRIES the filled bin with the least hash of (bin, filled
-    bin) is taken, which ends the order the same way for all texts.
+    bin) is taken, which ends the order the same way for all texts. The order of tries is a constant of the plan, and
+    minima lie in an array of one slot per bin, so a try is an index.
     """
     if bins & (bins - 1) or not 1 <= kept <= 8:
         raise ValueError("bins must be a power of two, and 1 to 8 bits are kept")
     shift = 63 - int(math.log2(bins))
+    tries, every = F.lit(_tries(bins)), F.lit(list(range(bins)))
 
-    def fill(least: Column, filled: Column) -> Column:
-        def place(j: Column) -> Column:
-            own = F.nullif(F.array_position(filled, j), F.lit(0))
-            tries = [F.nullif(F.array_position(filled, F.pmod(F.xxhash64(j, F.lit(t)), F.lit(bins)).cast("int")), F.lit(0)) for t in range(TRIES)]
-            ranked = F.array_min(F.transform(filled, lambda b, i: F.struct(F.xxhash64(j, b).alias("h"), (i + 1).cast("long").alias("at"))))["at"]
-            return F.coalesce(own, *tries, ranked)
+    def fill(slots: Column, filled: Column) -> Column:
+        def value(j: Column) -> Column:
+            ranked = F.array_min(F.transform(filled, lambda b: F.struct(F.xxhash64(j, b).alias("h"), b.alias("at"))))["at"]
+            found = F.coalesce(F.get(slots, j), *[F.get(slots, F.get(tries, j * TRIES + t)) for t in range(TRIES)], F.get(slots, ranked))
+            return found.bitwiseAND(F.lit((1 << kept) - 1)).cast("int")
 
-        return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda j: F.get(least, (place(j) - 1).cast("int")).bitwiseAND(F.lit((1 << kept) - 1)).cast("int"))
+        return F.transform(every, value)
+
+    def dense(m: Column) -> Column:
+        slot = lambda f: F.transform(every, lambda j: F.get(m, F.array_position(f, j).cast("int") - 1))
+        return let(F.transform(m, lambda x: F.shiftright(x, shift).cast("int")), lambda f: let(slot(f), lambda s: fill(s, f)))
 
-    filled = lambda m: F.transform(m, lambda x: F.shiftright(x, shift).cast("int"))
-    dense = lambda m: let(filled(m), lambda f: fill(m, f))
     return let(minima(shingle_hashes(text, width), bins), lambda m: F.when(F.size(m) > 0, dense(m)).otherwise(F.array().cast("array<int>")))
 
 
@@ -101,28 +116,43 @@ def _bucket(key: Column, edges: list[int]) -> Column:
     return F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when((at + step <= len(edges)) & (F.get(listed, at + step - 1) <= key), at + step).otherwise(at))
 
 
+def _cut(key: Column, tie: Column, quantiles: list[int]) -> Column:
+    """A bucket for neighbours in the order of (key, tie), as (number, part): a key that is a quantile m times has m parts by its tie."""
+    times = Counter(quantiles)
+    hot = {k: m for k, m in times.items() if m > 1}
+    edges = sorted({*times, *(k + 1 for k in hot if k < MOST)})
+    number = _bucket(key, edges)
+    if not hot:
+        return F.struct(number.alias("number"), F.lit(0).alias("part"))
+    parts = F.get(F.lit([hot.get(k, 1) for k in [LEAST, *edges]]), number)  # of the bucket that begins at an edge; a hot key fills its own
+    share = (tie.cast("double") / float(1 << 64) + 0.5) * parts
+    return F.struct(number.alias("number"), F.least(F.floor(share), parts - 1).cast("int").alias("part"))
+
+
 def with_next(docs: DataFrame, key: Column, tie: Column, columns: dict[str, Column], *, rows: int = BUCKET_ROWS, prefix: str = "next_") -> DataFrame:
-    """Adds columns of docs and, as prefix + name, of the row that follows in descending key; after the last, the first.
+    """Adds columns of docs and, as prefix + name, of the row that follows in descending (key, tie); after the last, the first.
 
-    Rows are dealt over buckets of neighbouring keys with near-equal counts; each bucket also gets a copy of the next
-    bucket's first row, so the order is followed without gathering rows in one task and texts are shuffled once.
+    Rows are dealt over buckets of neighbouring keys with near-equal counts, also where many rows share a key; each
+    bucket also gets a copy of the next bucket's first row, so the order is followed without gathering rows in one task
+    and texts are shuffled once. Only rows equal in key and tie can't be parted.
     """
     keyed = docs.withColumn("__key", F.coalesce(key.cast("long"), F.lit(LEAST))).withColumn("__tie", tie)
-    n = keyed.count()
-    buckets = min(BUCKETS, -(-n // rows))
-    edges: list[int] = []
+    buckets = min(BUCKETS, -(-keyed.count() // rows))
+    quantiles: list[int] = []
     if buckets > 1:
         cuts = [k / buckets for k in range(1, buckets)]
-        edges = sorted(set(keyed.agg(F.percentile_approx("__key", cuts, max(10_000, 10 * buckets)).alias("e")).first()["e"]))
-    keyed = keyed.withColumn("__bucket", _bucket(F.col("__key"), edges))
-    heads = keyed.groupBy("__bucket").agg(F.max("__key").alias("__head"))  # one row per bucket
+        quantiles = keyed.agg(F.percentile_approx("__key", cuts, max(10_000, 10 * buckets)).alias("e")).first()["e"]
+    keyed = keyed.withColumn("__bucket", _cut(F.col("__key"), F.col("__tie"), quantiles))
+    heads = keyed.groupBy("__bucket").agg(F.max(F.struct("__key", "__tie")).alias("__head"))  # one row per bucket
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("__bucket"))
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select(F.col("__bucket").alias("__for"), F.coalesce(F.lead("__head").over(order), F.first("__head").over(whole)).alias("__head"))
-    copies = keyed.join(F.broadcast(heads), F.col("__key") == F.col("__head")).drop("__bucket", "__head").withColumnRenamed("__for", "__bucket").withColumn("__copy", F.lit(1))
-    every = keyed.withColumn("__copy", F.lit(0)).unionByName(copies)
-    every = with_columns(every, columns)
-    follow = Window.partitionBy("__bucket").orderBy("__copy", F.desc("__key"), "__tie")
+    heads = heads.select("__for", F.col("__head.__key").alias("__k"), F.col("__head.__tie").alias("__t"))
+    met = keyed.join(F.broadcast(heads), (F.col("__key") == F.col("__k")) & (F.col("__tie") == F.col("__t"))).drop("__bucket", "__k", "__t")
+    first = met.groupBy("__for").agg(F.first(F.struct(*[c for c in met.columns if c != "__for"])).alias("__row"))
+    copies = first.select("__row.*", F.col("__for").alias("__bucket"), F.lit(1).alias("__copy"))
+    every = with_columns(keyed.withColumn("__copy", F.lit(0)).unionByName(copies), columns)
+    follow = Window.partitionBy("__bucket").orderBy("__copy", F.desc("__key"), F.desc("__tie"))
     for name in columns:
         every = every.withColumn(prefix + name, F.lead(name).over(follow))
     return every.filter("__copy = 0").drop("__copy", "__key", "__tie", "__bucket")

@@ -92,29 +92,41 @@ def brute_codes(text, bins=128):
     return out
 
 
+def brute_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    share = sum(x == y for x, y in zip(a, b)) / len(a)
+    return min(max((share - 1 / 256) / (1 - 1 / 256), 0.0), 1.0)
+
+
 def test_fingerprints(odd):
     found = fingerprint.fingerprints(odd).collect()
-    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
-    by_text = {}
+    hashed = lambda t: xxhash.xxh64_intdigest((t or "").encode(), 42)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, signed(hashed(r[1]))), reverse=True)
+    expected = Counter()
     for i, (k, t, _, _) in enumerate(order):
         a, b = t or "", order[(i + 1) % len(order)][1] or ""
         half = len(a) // 2
         edited = a[: len(a) - half] + b[:half]
-        by_text.setdefault((k, len(a)), []).append((hashlib.sha256(edited.encode()).hexdigest(), "".join(f"{c:02x}" for c in brute_codes(a)), "".join(f"{c:02x}" for c in brute_codes(edited))))
-    assert len(found) == len(ROWS)
-    for r in found:
-        assert (r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) in by_text[r["doc_id"], r["n_chars"]]
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        own, other, after = brute_codes(a), brute_codes(edited), brute_codes(b)
+        digits = lambda c: "".join(f"{x:02x}" for x in c)
+        expected[k, len(a), hashlib.sha256(edited.encode()).hexdigest(), digits(own), digits(other), round(brute_likeness(own, other), 9), round(brute_likeness(own, after), 9)] += 1
+    assert Counter((*r[:5], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in found) == expected
 
 
-def test_order_over_many_buckets(spark):
-    df = spark.range(500).select((F.col("id") * F.col("id") % 1009).alias("doc_id"), F.col("id").cast("string").alias("text"))
-    found = fingerprint.with_next(df, F.col("doc_id"), F.xxhash64("text"), {"text": F.col("text")}, rows=7).collect()
+@pytest.mark.parametrize("rows", [7, 40])
+def test_order_over_many_buckets(spark, rows):
+    """A third of the rows without a key, some keys that repeat, and the buckets' sizes bounded all the same."""
+    df = spark.range(600).select(F.when(F.col("id") % 3 > 0, F.col("id") * F.col("id") % 409).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    found = fingerprint.with_next(df, F.col("doc_id"), F.xxhash64("text"), {"text": F.col("text")}, rows=rows).collect()
     keys = {r["text"]: r["doc_id"] for r in df.collect()}
-    assert len(found) == 500
-    ordered = sorted(keys.values(), reverse=True)
-    follows = Counter((a, b) for a, b in zip(ordered, ordered[1:] + ordered[:1]))
-    assert Counter((r["doc_id"], keys[r["next_text"]]) for r in found) == follows
+    tie = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64)
+    ordered = sorted(keys, key=lambda t: (keys[t] is not None, keys[t] or 0, tie(t)), reverse=True)
+    assert Counter((r["text"], r["next_text"]) for r in found) == Counter(zip(ordered, ordered[1:] + ordered[:1]))
+    quantiles = [k for k in (fingerprint.LEAST,) for _ in range(5)] + [10, 20]
+    cut = df.select(fingerprint._cut(F.coalesce("doc_id", F.lit(fingerprint.LEAST)), F.xxhash64("text"), quantiles).alias("b")).groupBy("b").count().filter("b.number <= 1").collect()
+    assert len([r for r in cut if r["count"] > 20]) >= 5 and max(r["count"] for r in cut) < 80
 
 
 def test_likeness_has_no_bias(spark):
