@@ -6,9 +6,11 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,9 +19,11 @@ from quire.llm.common import crc_remainder, small_batches, stored
 
 #: Bytes of the longest context.
 ORDER = 5
-#: Text of a block, in bytes: what a task holds at once, with the part of the trie that its texts touch.
+#: Bytes of text that end a block: what a task holds at once, with the part of the trie that its texts touch.
 BLOCK = 32 << 20
 CHUNK = 1 << 20
+#: Parts that grams and words are dealt over, by size up to the most; a task holds what is distinct in a part.
+PARTS, MOST_PARTS = 64, 4096
 #: Grams of chunks that are kept before they are merged.
 MERGED = 3_000_000
 #: What a symbol's count gives to the escape.
@@ -90,83 +94,120 @@ def count_block(texts: list[bytes], held: np.ndarray, order: int) -> tuple[np.nd
     return keys, sums, words
 
 
-COUNTED = "block long, part int, grams binary, gram_n binary, words binary, word_n binary"
+#: A block's grams and words of one part, or, with part -1, some of its documents: ids, held_out, and texts, each before a byte 0xFF.
+COUNTED = "block long, part int, grams binary, gram_n binary, words binary, word_n binary, ids array<long>, held array<boolean>, texts binary"
 
 
-def _counted(rows: DataFrame, order: int, parts: int) -> DataFrame:
-    """One row per block and part of what its texts hold; rows of a block follow each other."""
+def _table(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
-    def emit(block: int, texts: list[str | None], held: list[bool]) -> pa.RecordBatch:
-        keys, sums, words = count_block(_bytes_of(texts), np.array(held, bool), order)
+
+def _counted(rows: DataFrame, order: int, parts: int, block_bytes: int) -> DataFrame:
+    """What each block holds; a block is a run of a task's rows that ends as soon as it has `block_bytes`.
+
+    The result must be stored, as blocks are named by their task.
+    """
+
+    def emit(block: int, ids: list[int | None], texts: list[bytes], held: list[bool]) -> Iterator[pa.RecordBatch]:
+        keys, sums, words = count_block(texts, np.array(held, bool), order)
         where = keys % parts
         by = np.argsort(where, kind="stable")
         cuts = np.searchsorted(where[by], np.arange(parts + 1))
         dealt: list[list[bytes]] = [[] for _ in range(parts)]
         for w in words:
             dealt[zlib.crc32(w) % parts].append(w)
-        columns: list[list] = [[] for _ in range(6)]
+        found = []
         for p in range(parts):
             own = by[cuts[p] : cuts[p + 1]]
-            values = block, p, packed(keys[own], "<i8"), packed(sums[own], "<i4"), b" ".join(dealt[p]), packed(np.array([words[w] for w in dealt[p]], np.int64), "<i4")
-            for column, value in zip(columns, values, strict=True):
-                column.append(value)
-        kinds = pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in COUNTED.split(", ")])
+            if len(own) or dealt[p]:
+                numbers = packed(np.array([words[w] for w in dealt[p]], np.int64), "<i4")
+                found.append((block, p, packed(keys[own], "<i8"), packed(sums[own], "<i4"), b" ".join(dealt[p]), numbers, None, None, None))
+        yield _table(COUNTED, found)
+        for start, part in _chunks(texts):
+            stop = start + len(part)
+            yield _table(COUNTED, [(block, -1, None, None, None, None, ids[start:stop], held[start:stop], b"".join(t + b"\xff" for t in part))])
 
     def run(batches):
-        at, texts, held = None, [], []
+        ids, texts, held, size, block = [], [], [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            for block, text, out in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if block != at and texts:
-                    yield emit(at, texts, held)
-                    texts, held = [], []
-                at = block
+            for doc, text, out in zip(batch.column(0).to_pylist(), _bytes_of(batch.column(1).to_pylist()), batch.column(2).to_pylist(), strict=True):
+                ids.append(doc)
                 texts.append(text)
                 held.append(out)
+                size += len(text)
+                if size >= block_bytes:
+                    yield from emit(block, ids, texts, held)
+                    ids, texts, held, size, block = [], [], [], 0, block + 1
         if texts:
-            yield emit(at, texts, held)
+            yield from emit(block, ids, texts, held)
 
-    return small_batches(rows).select("block", "text", "held_out").mapInArrow(run, COUNTED)
+    return small_batches(rows).select("doc_id", "text", "held_out").mapInArrow(run, COUNTED)
 
 
-def sum_grams(part: pa.Table) -> pa.Table:
-    """(gram, n) over all blocks of a part."""
-    keys, sums = _merged([(unpacked(k, "<i8"), unpacked(n, "<i4")) for k, n in zip(part.column("grams").to_pylist(), part.column("gram_n").to_pylist(), strict=True)])
-    return pa.table({"gram": keys, "n": sums})
+def sum_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, n) over all blocks of a part, which come one by one."""
+    found, sizes = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    for batch in batches:
+        for keys, n in zip(batch.column("grams").to_pylist(), batch.column("gram_n").to_pylist(), strict=True):
+            found.append((unpacked(keys, "<i8"), unpacked(n, "<i4")))
+            sizes += len(found[-1][0])
+            if sizes > MERGED:
+                found, sizes = [_merged(found)], 0
+    keys, sums = _merged(found)
+    for i in range(0, len(keys), CHUNK):
+        yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + CHUNK]), pa.array(sums[i : i + CHUNK])], ["gram", "n"])
 
 
-ANSWERS = "block long, grams binary, logs binary, words binary, word_n binary, tokens long, distinct long"
+VOCABULARY = "part int, words binary, word_n binary, tokens long, distinct long"
 
 
-def _answers(rows: list[tuple]) -> pa.Table:
-    kinds = pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()
-    columns = list(zip(*rows, strict=True)) or [[]] * 7
-    return pa.table({n.split()[0]: pa.array(c, k) for n, c, k in zip(ANSWERS.split(", "), columns, kinds, strict=True)})
+def sum_words(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A part's words with their counts over all blocks, which come one by one, and their totals."""
+    total: Counter = Counter()
+    for batch in batches:
+        for words, n in zip(batch.column("words").to_pylist(), batch.column("word_n").to_pylist(), strict=True):
+            if words:
+                for w, k in zip(words.split(b" "), unpacked(n, "<i4").tolist(), strict=True):
+                    total[w] += k
+    yield _table(VOCABULARY, [(key[0].as_py(), b" ".join(total), packed(np.array(list(total.values()), np.int64), "<i8"), total.total(), sum(k > 0 for k in total.values()))])
 
 
-def sum_words(part: pa.Table) -> pa.Table:
-    """For each block its words that other blocks hold too, with their counts; in a row without block, the part's totals."""
-    lists = [(b, w.split(b" ") if w else [], unpacked(n, "<i4")) for b, w, n in zip(*(part.column(c).to_pylist() for c in ("block", "words", "word_n")), strict=True)]
-    total: Counter = Counter()
-    for _, words, n in lists:
-        for w, k in zip(words, n.tolist(), strict=True):
-            total[w] += k
-    rows = [(None, None, None, None, None, total.total(), sum(k > 0 for k in total.values()))]
-    for block, words, n in lists:
-        other = [w for w, k in zip(words, n.tolist(), strict=True) if total[w] != k]
-        rows.append((block, None, None, b" ".join(other), packed(np.array([total[w] for w in other], np.int64), "<i8"), None, None))
-    return _answers(rows)
-
-
-def look_up(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """For each block the log probabilities of its grams; known: gram and logp of a part."""
-    keys, logs = known.column("gram").to_numpy(), known.column("logp").to_numpy()
-    by = np.argsort(keys)
-    keys, logs = keys[by], logs[by]
-    rows = []
-    for block, data in zip(asked.column("block").to_pylist(), asked.column("grams").to_pylist(), strict=True):
-        rows.append((block, data, packed(logs[np.searchsorted(keys, unpacked(data, "<i8"))], "<f4"), None, None, None, None))
-    return _answers(rows)
+#: What is known of a part, then what its blocks ask; the order of kinds within a part is kept.
+ASKED = "part int, kind int, block long, gram long, logp double, grams binary, words binary, word_n binary"
+ANSWERS = "block long, grams binary, logs binary, words binary, word_n binary"
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block and part the logs of its grams, and the counts of its words that other blocks hold too.
+
+    Only what is known of one part is held; blocks pass by.
+    """
+    part, known, words = None, [], {}
+    for batch in batches:
+        parts, kinds = batch.column("part").to_numpy(), batch.column("kind").to_numpy()
+        edges = np.flatnonzero(np.diff(parts) | np.diff(kinds)) + 1
+        for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), len(parts)], strict=True):
+            own = batch.slice(start, stop - start)
+            if parts[start] != part:
+                part, known, words = parts[start], [], {}
+            if kinds[start] == 0:
+                known.append((own.column("gram").to_numpy(), own.column("logp").to_numpy()))
+            elif kinds[start] == 1:
+                for w, n in zip(own.column("words").to_pylist(), own.column("word_n").to_pylist(), strict=True):
+                    words.update(zip(w.split(b" ") if w else [], unpacked(n, "<i8").tolist(), strict=True))
+            else:
+                if len(known) != 1 or known[0][0].base is not None:
+                    keys, logs = (np.concatenate([k[i] for k in known] or [np.zeros(0)]) for i in (0, 1))
+                    by = np.argsort(keys)
+                    known = [(keys[by], logs[by])]
+                keys, logs = known[0]
+                for block, grams, asked, n in zip(*(own.column(c).to_pylist() for c in ("block", "grams", "words", "word_n")), strict=True):
+                    found = logs[np.searchsorted(keys, unpacked(grams, "<i8"))] if grams else np.zeros(0)
+                    other = [w for w, k in zip(asked.split(b" ") if asked else [], unpacked(n, "<i4").tolist(), strict=True) if words[w] != k]
+                    yield _table(ANSWERS, [(block, grams, packed(found, "<f4"), b" ".join(other), packed(np.array([words[w] for w in other], np.int64), "<i8"))])
 
 
 def trie(grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> DataFrame:
@@ -206,19 +247,23 @@ def trie(grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> Da
     return parent.select(F.col("p_gram").alias("gram"), F.log10("p_prob").alias("logp"))
 
 
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
 def score_block(docs: pa.Table, known: pa.Table, *, order: int, tokens: int, distinct: int, ends: int) -> pa.Table:
-    """Scores of a block's documents; known: what was answered to the block."""
-    texts, held = _bytes_of(docs.column("text").to_pylist()), np.array(docs.column("held_out").to_pylist(), bool)
+    """Scores of a block's documents; docs: some of its documents in each row; known: what was answered to the block."""
+    ids = [i for row in docs.column("ids").to_pylist() for i in row]
+    held = np.array([h for row in docs.column("held").to_pylist() for h in row], bool)
+    texts = [t for row in docs.column("texts").to_pylist() for t in row.split(b"\xff")[:-1]]
     counts: Counter = Counter()
     for text, out in zip(texts, held, strict=True):
         if not out:
             counts.update(text.split())
     all_keys, all_logs = [], []
     for grams, logs, words, n in zip(*(known.column(c).to_pylist() for c in ("grams", "logs", "words", "word_n")), strict=True):
-        if grams is not None:
-            all_keys.append(unpacked(grams, "<i8"))
-            all_logs.append(unpacked(logs, "<f4"))
-        elif words:
+        all_keys.append(unpacked(grams, "<i8"))
+        all_logs.append(unpacked(logs, "<f4"))
+        if words:
             counts.update({w: k - counts[w] for w, k in zip(words.split(b" "), unpacked(n, "<i8").tolist(), strict=True)})
     keys = np.concatenate(all_keys)
     by = np.argsort(keys)
@@ -241,52 +286,45 @@ def score_block(docs: pa.Table, known: pa.Table, *, order: int, tokens: int, dis
                 log = logs_of[c] = math.log10((c + 0.5) / whole)
             total += log
         base.append(total)
-    return pa.table(
-        {
-            "doc_id": docs.column("doc_id"),
-            "held_out": docs.column("held_out"),
-            "n_tokens": pa.array(n_tokens, pa.int64()),
-            "n_known": pa.array(n_known, pa.int64()),
-            "train_tokens": pa.array([tokens] * len(texts), pa.int64()),
-            "base_score": pa.array(base, pa.float64()),
-            "score": pa.array(score),
-        }
-    )
-
-
-def lm_scores(docs: DataFrame, *, order: int = ORDER, block_bytes: int = BLOCK, in_place: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    columns = [pa.array(ids, pa.int64()), pa.array(held), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([tokens] * len(texts), pa.int64()), pa.array(base, pa.float64()), pa.array(score)]
+    return pa.table(dict(zip([x.split()[0] for x in SCORES.split(", ")], columns, strict=True)))
+
+
+def lm_scores(docs: DataFrame, *, order: int = ORDER, block_bytes: int = BLOCK, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     The model is the byte trie of all training texts; it learns from rows whose crc32 of the id does not leave 1 modulo
     5, and scores every whole text, A-Z in lower case, with its end. It is never held in one place: documents lie in
-    blocks of about `block_bytes`, each block lists its grams and words, the lists are summed part by part, the trie is
-    built as tables, and each block gets back just what its own grams and words need. The base is a word model with
+    blocks that end at `block_bytes`, each block lists its grams and words, the lists are summed part by part, the trie
+    is built as tables, and each block gets back just what its own grams and words need. The base is a word model with
     counts of the same texts.
 
-    in_place: docs is read from Parquet, and blocks are runs of rows of a file, so texts are shuffled once, for the
-    scores; otherwise a hash deals rows over blocks, and texts are shuffled for the counts too.
+    Texts are read once; each block's are stored with its lists and shuffled once, for the scores. Lists have one row for
+    each block and part, and the number of parts does not grow beyond MOST_PARTS, so rows grow with the blocks; tasks
+    hold a block, or what is distinct in a part. Log probabilities travel as 32-bit floats, which leaves scores with
+    about seven digits.
 
     Null texts are empty and consist of the end alone; with no training text at all every symbol has 1/256; a null id
-    hashes as the empty text; repeated rows count and are scored each; an empty table gives an empty one.
+    hashes as the empty text; a text longer than a block is a block of its own; repeated rows count and are scored each;
+    an empty table gives an empty one; other columns of docs are not read.
     """
     if not 1 <= order <= 6:
         raise ValueError("a gram of order + 1 bytes must fit a long, with a bit to spare")
     held_out = crc_remainder(docs[id_col], FOLDS) == HELD_OUT
-    size = docs.agg(F.sum(F.octet_length(text_col)).alias("bytes"), F.count(F.lit(1)).alias("rows"), F.sum((~held_out).cast("long")).alias("ends")).first()
-    blocks, ends = max(1, -(-(size["bytes"] or 0) // block_bytes)), size["ends"] or 0
-    if in_place:
-        block = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / -(-max(size["rows"], 1) // blocks)))
-    else:
-        block = F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), held_out.alias("held_out"), block.alias("block"))
-    parts = 2 * blocks + 1
-    counted = stored(_counted(rows if in_place else rows.repartition("block").sortWithinPartitions("block"), order, parts))
-    words = stored(counted.select("block", "part", "words", "word_n").groupBy("part").applyInArrow(sum_words, ANSWERS))
+    size = docs.agg(F.sum(F.octet_length(text_col)).alias("bytes"), F.sum((~held_out).cast("long")).alias("ends")).first()
+    ends = size["ends"] or 0
+    parts = parts or min(max(PARTS, 2 * ((size["bytes"] or 0) // block_bytes)), MOST_PARTS)
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), held_out.alias("held_out"))
+    counted = stored(_counted(rows, order, parts, block_bytes))
+    lists = counted.filter("part >= 0")
+    words = stored(lists.select("part", "words", "word_n").groupBy("part").applyInArrow(sum_words, VOCABULARY))
     totals = words.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("distinct")).first()
     tokens, distinct = (totals["n"] or 0) + ends, (totals["distinct"] or 0) + (ends > 0)
-    summed = stored(counted.select("part", "grams", "gram_n").groupBy("part").applyInArrow(sum_grams, "gram long, n long"))
-    model = trie(summed, order).withColumn("part", F.pmod("gram", F.lit(parts)).cast("int"))
-    grams = counted.select("block", "part", "grams").groupBy("part").cogroup(model.groupBy("part")).applyInArrow(look_up, ANSWERS)
-    answers = grams.unionByName(words.filter("block IS NOT NULL"))
+    summed = stored(lists.select("part", "grams", "gram_n").groupBy("part").applyInArrow(sum_grams, "gram long, n long"))
+    model = trie(summed, order).select(F.pmod("gram", F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "gram", "logp")
+    sides = model, words.select("part", F.lit(1).alias("kind"), "words", "word_n"), lists.select("part", F.lit(2).alias("kind"), "block", "grams", "words", "word_n")
+    asked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides).select(*[x.split()[0] for x in ASKED.split(", ")])
+    answers = asked.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_answered, ANSWERS)
     score = lambda a, b: score_block(a, b, order=order, tokens=tokens, distinct=distinct, ends=ends)
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    texts = counted.filter("part < 0").select("block", "ids", "held", "texts")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORES)

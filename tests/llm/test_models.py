@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import langid, ppm, toxicity
 from tests.llm.conftest import LONG, ROWS
@@ -45,22 +46,22 @@ def brute_scores(rows, order):
     return out
 
 
-@pytest.mark.parametrize("order,block", [(5, 1 << 24), (2, 60)])
-def test_ppm(spark, order, block):
+@pytest.mark.parametrize("order,block,parts", [(5, 1 << 24, None), (2, 60, 3)])
+def test_ppm(spark, order, block, parts):
     rows = [(k, t) for k, t, _, _ in ROWS if t is None or len(t) < 1000] + [(21, "hello hello world"), (22, "AAAA aaaa"), (30, "hello text")]
-    found = ppm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), order=order, block_bytes=block).collect()
+    found = ppm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), order=order, block_bytes=block, parts=parts).collect()
     key = lambda r: (r[0] is not None, r[0] or 0, r[2], r[6])
     for a, b in zip(sorted(map(tuple, found), key=key), sorted(brute_scores(rows, order), key=key), strict=True):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-8) and a[6] == pytest.approx(b[6], rel=1e-6)
 
 
-def test_ppm_in_place(spark, tmp_path):
-    rows = [(k, t) for k, t, _, _ in ROWS if t is None or len(t) < 1000]
-    spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "d"))
-    df = spark.read.parquet(str(tmp_path / "d"))
-    key = lambda r: (r[0] is not None, r[0] or 0, r[2], r[6])
-    a, b = (sorted(map(tuple, ppm.lm_scores(df, block_bytes=60, in_place=x).collect()), key=key) for x in (True, False))
-    assert [x[:5] for x in a] == [x[:5] for x in b] and [x[6] for x in a] == pytest.approx([x[6] for x in b], rel=1e-6)
+def test_ppm_blocks_end_by_bytes(spark):
+    """However uneven the texts: a block ends as soon as it is full, and lists of nothing are not written."""
+    rows = [(i, f"t{i} " * (400 if i > 30 else 1)) for i in range(40)]
+    found = ppm._counted(spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False)).coalesce(1), 3, 500, 1000).collect()
+    texts = [(r["block"], [len(t) for t in bytes(r["texts"]).split(b"\xff")[:-1]]) for r in found if r["part"] < 0]
+    assert sum(len(n) for _, n in texts) == 40 and all(sum(n[:-1]) < 1000 for _, n in texts) and len(texts) == 9
+    assert all(r["grams"] or r["words"] for r in found if r["part"] >= 0) and len(found) < 500 * len(texts)
 
 
 def test_ppm_of_odd_tables(spark, odd, empty):
