@@ -94,7 +94,7 @@ def skew_safe_join(rows: DataFrame, table: DataFrame, key: str, count: str, spre
 
     table has each key once, and `count` is the number of rows that hold it. The few keys with more than one HEAVY-th of
     all these rows are broadcast, and their rows are dealt over the tasks of the other join by `spread`, where they match
-    nothing. So no task gathers a hot key, and rows are shuffled once.
+    nothing. So no task gathers a hot key, and rows are shuffled once, in small tables as in large ones.
     """
     total = table.agg(F.sum(count)).first()[0] or 0
     kind = rows.schema[key].dataType.simpleString()
@@ -105,7 +105,7 @@ def skew_safe_join(rows: DataFrame, table: DataFrame, key: str, count: str, spre
     hot = F.col("__heavy").isNotNull()
     marked = rows.join(F.broadcast(heavy), F.col(key) == F.col("__key"), "left").drop("__key")
     marked = marked.withColumns({"__hot": hot, "__at": F.when(hot, dealt).otherwise(F.col(key))})
-    return marked.join(light, ["__at", "__hot"], "left").select(*rows.columns, F.coalesce("__heavy", "__light").alias(out))
+    return marked.join(light.hint("merge"), ["__at", "__hot"], "left").select(*rows.columns, F.coalesce("__heavy", "__light").alias(out))
 
 
 #: Rows that are meant to be ranked together.

@@ -295,7 +295,7 @@ def removals(texts: DataFrame, *, window: int = WINDOW, prefixes: Sequence[int]
     shared = _shared(suffixes)
     spans = _with_group(suffixes, shared).groupBy("doc", "tie").agg(F.collect_list(F.struct("prefix", "n", "first", "windows")).alias("spans"))
     lengths = [*prefixes, window]
-    rows = _cut_out(texts.join(spans, ["doc", "tie"]).select("doc", "tie", "text", "spans"), window, group, lengths[1])
+    rows = _cut_out(texts.join(spans.hint("merge"), ["doc", "tie"]).select("doc", "tie", "text", "spans"), window, group, lengths[1])
     if (shared.filter("a < b").agg(F.max("n")).first()[0] or 0) <= group:
         found = _in_trees(rows, window)
     else:
@@ -304,7 +304,9 @@ def removals(texts: DataFrame, *, window: int = WINDOW, prefixes: Sequence[int]
         for longer in lengths[2:]:
             grouped = _with_group(rest, _shared(rest))
             found = found.union(_in_trees(grouped.filter(F.col("n") <= group), window))
-            rest = stored(_lengthened(grouped.filter(F.col("n") > group), window, longer))
+            rest = grouped.filter(F.col("n") > group)
+            if longer < window:
+                rest = stored(_lengthened(rest, window, longer))
         found = found.union(_by_window(rest, window))
     return found.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
@@ -324,7 +326,8 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str, **options) -> DataF
     """(box, doc, text, spans): every row with the word ranges that it loses, null if none."""
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(boxed(docs).alias("box"), F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    return rows.join(removals(rows.select("doc", "tie", "text"), **options), ["doc", "tie"], "left").select("box", "doc", "text", "spans")
+    spans = removals(rows.select("doc", "tie", "text"), **options).hint("merge")  # the same plan for small tables and large
+    return rows.join(spans, ["doc", "tie"], "left").select("box", "doc", "text", "spans")
 
 
 def substring_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
