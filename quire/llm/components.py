@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import stored
 
-ROUNDS = 64
-
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label) of every node with a link; label is the smallest node of its component.
 
+    Nulls in either column link nothing; repeated links and links of a node to itself change nothing; without a link there
+    is no row; other columns of links are not read.
+
     Alternates large-star and small-star: each round links neighbours to a smaller one, until the links form stars. The
     smallest neighbour comes from an aggregation with map-side combining and returns by a join, whose large partitions
     Spark can split, so a node may have any number of links. Each round is stored, so lost executors cost one round.
+    Rounds go on until the links stay the same, which takes a number that grows with the logarithm of the nodes, squared.
     """
     edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     before = None
-    for _ in range(ROUNDS):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -31,6 +33,4 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("the components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -17,7 +17,9 @@ from quire.llm.common import crc_remainder, small_batches, stored
 
 #: Labelled documents that the model learns from, about; with more, a hash of the id picks them.
 SAMPLE = 16_000
-LEXICON = 300
+#: What makes a word of the sample one of the lexicon: it is ODDS times likelier in toxic documents, and SURE standard
+#: errors of the log odds away from being as likely in clean ones. All such words are kept.
+ODDS, SURE = 3.0, 3.5
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Words between a lexicon word and a form of address, at most.
@@ -54,10 +56,10 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     ]
 
 
-def learn_lexicon(labelled: DataFrame, size: int = LEXICON) -> dict[str, float]:
-    """Words far more frequent in toxic documents, with their log odds; at most `size` reach the driver.
+def learn_lexicon(labelled: DataFrame, odds: float = ODDS, sure: float = SURE) -> dict[str, float]:
+    """Words surely more frequent in toxic documents, with their log odds; labelled, of bounded size: text, toxic.
 
-    labelled: text, toxic. A word counts once a document; counts are combined in the tasks, then over the cluster.
+    A word counts once a document; counts are combined in the tasks, then over the cluster, and words reach the driver.
     """
 
     def count(batches):
@@ -72,9 +74,10 @@ def learn_lexicon(labelled: DataFrame, size: int = LEXICON) -> dict[str, float]:
     total = labelled.agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
     bad, good = total["toxic"] or 0, total["n"] - (total["toxic"] or 0)
     counts = small_batches(labelled).select("text", "toxic").mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    odds = F.ln((F.col("toxic") + 0.5) / (bad + 1)) - F.ln((F.col("clean") + 0.5) / (good + 1))
-    kept = counts.filter(F.col("toxic") >= max(3, bad // 200)).withColumn("odds", odds).filter(F.col("odds") >= math.log(3)).orderBy(F.desc("odds"), "word").limit(size).collect()
-    return {r["word"]: r["odds"] for r in kept}
+    log_odds = F.ln((F.col("toxic") + 0.5) / (bad + 1)) - F.ln((F.col("clean") + 0.5) / (good + 1))
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    kept = counts.withColumn("odds", log_odds).filter((F.col("odds") >= math.log(odds)) & (F.col("odds") >= sure * error)).collect()
+    return {r["word"]: r["odds"] for r in sorted(kept, key=lambda r: r["word"])}
 
 
 class ToxicityModel:

@@ -1,9 +1,12 @@
 """Scores of learned models."""
 
 import math
+import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +129,117 @@ def test_features():
     at = dict(zip(toxicity.NAMES, toxicity.features("You are SCUM! sc*m 5cum fine", lexicon), strict=True))
     assert at["hits"] == pytest.approx(math.log1p(1)) and at["near"] > 0 and at["disguised_hits"] == 1 and at["disguised"] > 0 and at["exclamations"] > 0
     assert len(toxicity.features(None, lexicon)) == len(toxicity.features(LONG, lexicon)) == len(toxicity.NAMES)
+
+
+def brute_features(text, lexicon):
+    """The same 14 values, character by character."""
+    text = text or ""
+    strip = lambda w: w.strip(toxicity.PUNCTUATION)
+    words = [strip(w) for w in text.lower().split()]
+    n, hits, near, odd, plain, weight = max(len(words), 1), [], 0, 0, 0, 0.0
+    for i, w in enumerate(words):
+        if w in lexicon:
+            hits.append(w)
+            weight += lexicon[w]
+            near += any(0 <= j < len(words) and words[j] in toxicity.SECOND_PERSON for j in range(i - toxicity.NEAR, i + toxicity.NEAR + 1))
+        bare = "".join(c for c in w if c not in "'-")
+        if any(c.isalpha() for c in w) and not all(c.isalpha() for c in bare):
+            odd += 1
+            undone = "".join({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}.get(c, c) for c in w if c not in "*.-_")
+            if w not in lexicon and undone in lexicon:
+                plain += 1
+                weight += lexicon[undone]
+    size = max(len(text.encode()), 1)
+    capitals = sum("A" <= c <= "Z" for c in text)
+    marks = sum(33 <= ord(c) <= 126 and not c.isalnum() for c in text)
+    return [len(hits) / n, math.log(1 + len(hits)), weight / n, math.log(1 + weight), len(set(hits)), near / n, math.log(1 + near), capitals / size, text.count("!") / n, text.count("?") / n, marks / size, odd / n, plain, math.log(1 + len(words))]
+
+
+def test_features_by_brute_force():
+    rng = random.Random(4)
+    lexicon = {"scum": 2.0, "loser": 1.5, "größe": 1.2, "it's": 1.1}
+    parts = ["you", "scum", "SC*M", "5cum", "l0ser!", "Loser,", "größe", "it's", "it's-", "r2d2", "--", "«toi»", "word", "don't", "a1-b", "?!", "ÉÀ", "\n", "x@y"]
+    for _ in range(300):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+        assert toxicity.features(text, lexicon) == pytest.approx(brute_features(text, lexicon)), text
+    assert toxicity.features(None, lexicon) == pytest.approx(brute_features(None, lexicon))
+
+
+def test_lexicon_by_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(" ".join(rng.choice(["a", "b", "c", "d"] + ["bad", "worse"] * (2 * (i % 4 == 0)) + ["worse"] * (i % 9 == 0)) for _ in range(5)), int(i % 4 == 0)) for i in range(400)]
+    found = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"), odds=2.0, sure=2.5)
+    bad, good, expected = sum(t for _, t in rows), sum(1 - t for _, t in rows), {}
+    for w in {w for x, _ in rows for w in x.split()}:
+        t, c = (sum(w in x.split() for x, k in rows if k == label) for label in (1, 0))
+        odds, error = math.log((t + 0.5) / (bad + 1)) - math.log((c + 0.5) / (good + 1)), math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+        if odds >= math.log(2) and odds >= 2.5 * error:
+            expected[w] = odds
+    assert found == pytest.approx(expected) and found
+
+
+def test_trees_and_calibration_by_brute_force(spark):
+    """Scores follow the saved trees and the calibration's steps, worked out row by row."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["fine", "day", "scum", "you", "lake"] if i % 3 == 0 else ["fine", "day", "lake", "tree"]) for _ in range(12))) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0 or i % 50 == 1)) for i in range(800)], "doc_id long, toxic int"))
+    found = {r["doc_id"]: r["score"] for r in model.score(docs, F.col("text"), F.col("doc_id")).collect()}
+    steps, values = list(model.calibration.boundaries), list(model.calibration.predictions)
+
+    def tree(node, x):
+        while node.numDescendants():
+            split = node.split()
+            node = node.leftChild() if x[split.featureIndex()] <= split.threshold() else node.rightChild()
+        return node.prediction()
+
+    trees = [(w, t._java_obj.rootNode()) for w, t in zip(model.trees.treeWeights, model.trees.trees)]
+    for i, text in rows[::40]:
+        x = toxicity.features(text, model.lexicon)
+        p = 1 / (1 + math.exp(-2 * sum(w * tree(t, x) for w, t in trees)))
+        assert found[i] == pytest.approx(min(max(float(np.interp(p, steps, values)), 0.0), 1.0), abs=1e-9)
+
+
+def brute_language(rows):
+    """Predictions by plain dictionaries, learned from (lang, text) rows."""
+    counts = [defaultdict(Counter) for _ in range(langid.LONGEST + 1)]
+    langs = sorted({lang for lang, _ in rows})
+    pieces = lambda w, n: [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)]
+    for lang, text in rows:
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            counts[0][w][lang] += 1
+            for n in range(1, langid.LONGEST + 1):
+                for g in pieces(w, n):
+                    counts[n][g][lang] += 1
+    totals = [{x: sum(c[x] for c in table.values()) for x in langs} for table in counts]
+    log = lambda n, e, x: math.log((counts[n][e][x] + 0.5) / (totals[n][x] + 0.5 * len(counts[n]) + 0.5))
+
+    def word(w):
+        for n in range(langid.LONGEST + 1):
+            n = n and langid.LONGEST + 1 - n
+            known = [e for e in ([w] if n == 0 else pieces(w, n)) if e in counts[n]]
+            if known:
+                return [sum(log(n, e, x) for e in known) / len(known) for x in langs]
+        return [0.0] * len(langs)
+
+    def predict(text):
+        found = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not found:
+            return "und", 0.0
+        total = [sum(column) for column in zip(*map(word, found))]
+        best = max(range(len(langs)), key=lambda i: (total[i], -i))
+        return langs[best], 1 / sum(math.exp(t - total[best]) for t in total)
+
+    return predict
+
+
+def test_language_by_brute_force(spark, sf_dir):
+    """Every word and n-gram of the sample counts, those seen once too, and unseen words back off."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").filter("doc_id < 120")
+    rows = [tuple(r) for r in docs.collect()]
+    held = lambda k: zlib.crc32(str(k).encode()) % 5 == 0
+    predict = brute_language([(lang, t) for k, t, lang in rows if t is not None and lang is not None and not held(k)])
+    found = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    for k, text, _ in rows:
+        lang, score = predict(text)
+        assert found[k]["held_out"] == held(k) and found[k]["lang_pred"] == lang and found[k]["score"] == pytest.approx(score, abs=1e-3)

@@ -1,6 +1,7 @@
 """Sharding, exact dedup and fingerprints."""
 
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import exact_dedup, fingerprint, sharding
+from quire.llm import common, exact_dedup, fingerprint, sharding
 from tests.llm.conftest import ROWS
 
 
@@ -27,6 +28,21 @@ def test_sharding(odd):
     assert len({r["shard"] for r in found if r["doc_id"] == 8}) == 1
 
 
+def test_shards_by_brute_force(odd, spark):
+    """The highest -weight / ln(u) wins, u being a hash of key and shard."""
+
+    def shard(key, weights):
+        text = "" if key is None else str(key)
+        uniform = lambda s: ((xxhash.xxh64_intdigest(struct.pack("<i", s), xxhash.xxh64_intdigest(text.encode(), 42)) >> 11) + 0.5) / (1 << 53)
+        return max(range(len(weights)), key=lambda s: -weights[s] / math.log(uniform(s)))
+
+    for r in sharding.shard_documents(odd).collect():
+        assert (r["shard"], r["grown_shard"]) == (shard(r["doc_id"], [1.0] * 24), shard(r["doc_id"], [1.0] * 25))
+    weights = [1.0, 0.5, 3.0, 2.0]
+    for r in spark.range(500).select("id", sharding.rendezvous(F.col("id"), weights).alias("s")).collect():
+        assert r["s"] == shard(r["id"], weights)
+
+
 def test_sharding_weights_and_growth(spark):
     ids = spark.range(40_000)
     n = dict(map(tuple, ids.select(sharding.rendezvous(F.col("id"), (1.0, 2.0, 1.0)).alias("s")).groupBy("s").count().collect()))
@@ -60,6 +76,23 @@ def test_exact_dedup(odd, options):
     assert len(kept) == len({r["text_sha256"] for r in found}) == len({r["text_sha256"] for r in kept})
 
 
+@pytest.mark.parametrize("heavy", [1000, 3])
+def test_exact_dedup_of_a_hot_text(spark, monkeypatch, heavy):
+    """A third of all rows are copies, most without an id; hot texts take the way by broadcast, others by shuffle."""
+    monkeypatch.setattr(common, "HEAVY", heavy)
+    rows = [(None if i % 2 else i, " " * (i % 5) + ("hot" if i % 3 == 0 else f"t{i % 40}")) for i in range(300)]
+    found = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    groups = defaultdict(list)
+    for k, t in rows:
+        groups[t.strip()].append((-len(t), k is None, k or 0, k))
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert len(found) == 300 and Counter(r["text_sha256"] for r in found) == {digest(t): len(g) for t, g in groups.items()}
+    for t, g in groups.items():
+        own = [r for r in found if r["text_sha256"] == digest(t)]
+        assert {r["keep_id"] for r in own} == {min(g)[3]} and {r["group_size"] for r in own} == {len(g)}
+        assert [(r["doc_id"], -len(r["text"])) for r in own if r["kept"]] == [(min(g)[3], min(g)[0])]
+
+
 def test_exact_dedup_of_nothing(empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 

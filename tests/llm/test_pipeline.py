@@ -1,5 +1,7 @@
 """The pipeline over a small table, stage by stage."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quire.llm.queries import ORACLES, QUERIES
 from tests.llm.conftest import PASSAGE, ROWS
@@ -7,12 +9,14 @@ from tests.util import same_rows
 
 
 def test_stages_take_effect(spark, odd):
+    odd = odd.withColumns({c: F.lit("x") for c in ("keep_id_", "text_sha256", "box", "lang_pred", "lettered", "doc", "spans", "order", "__key", "__language", "found", "row")})
     docs = odd
     seen = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, "")
         assert docs.columns == odd.columns, name
         docs = docs.cache()
+        assert [(f.name, f.dataType) for f in docs.schema] == [(f.name, f.dataType) for f in odd.schema] and all(tuple(r[4:]) == ("x",) * (len(r) - 4) for r in docs.collect()), name
         seen.append(sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in docs.select("doc_id").collect()))
     ids = [[None if none else k for none, k in s] for s in seen]
     assert set(ids[0]) == {k for k, *_ in ROWS} - {3, 4, 5, 12}
