@@ -78,39 +78,55 @@ class WordFirst:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(self.langs)), np.float32)
+        self.scores = np.zeros((0, len(self.langs)), np.float32)
 
-    def _known(self, n: int, entries: list[str]) -> np.ndarray:
-        """The logs of those entries that are in the table of n."""
+    def _looked_up(self, n: int, entries: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each entry is in the table of n, and where."""
         keys, wanted = self.keys[n], np.fromiter(map(entry_hash, entries), np.uint64, len(entries))
-        at = np.searchsorted(keys, wanted)
-        at[at == len(keys)] = 0
-        return self.logs[n][at[keys[at] == wanted]] if len(keys) else self.logs[n]
-
-    def word(self, word: str) -> np.ndarray:
-        for n, entries in ((0, [word]), *((n, grams(word, n)) for n in range(LONGEST, 0, -1))):
-            if entries and len(known := self._known(n, entries)):
-                return known.mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        found = words(text)
-        if not self.langs or not any(map(str.isalpha, found)):
-            return UNKNOWN, 0.0
+        if not len(keys):
+            return np.zeros(len(entries), bool), np.zeros(len(entries), np.int64)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return keys[at] == wanted, at
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """A row of logs for each word, all words at once: first by the table of words, then n by n those left over."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        known, at = self._looked_up(0, words)
+        out[known] = self.logs[0][at[known]]
+        left = np.flatnonzero(~known)
+        for n in range(LONGEST, 0, -1):
+            cut = [grams(words[i], n) for i in left]
+            owner = np.repeat(np.arange(len(left)), np.fromiter(map(len, cut), np.int64, len(cut)))
+            known, at = self._looked_up(n, [g for c in cut for g in c])
+            owner, at = owner[known], at[known]
+            found = np.bincount(owner, minlength=len(left))
+            sums = np.stack([np.bincount(owner, self.logs[n][at, k], len(left)) for k in range(len(self.langs))], axis=1)
+            some = found > 0
+            out[left[some]] = sums[some] / found[some, None]
+            left = left[~some]
+        return out
+
+    def predict_all(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
+        """(language, its posterior) of each text."""
+        split = [words(t) for t in texts]
+        if not self.langs:
+            return [(UNKNOWN, 0.0)] * len(split)
         if len(self.index) > REMEMBERED:
             self.clear()
-        at = []
-        for w in found:
-            if (i := self.index.get(w)) is None:
-                i = self.index[w] = len(self.index)
-                if i >= len(self.scores):
-                    self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                self.scores[i] = self.word(w)
-            at.append(i)
+        new = list(dict.fromkeys(w for found in split for w in found if w not in self.index))
+        if new:
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+            self.scores = np.concatenate([self.scores, self.word_scores(new)])
+        return [self._decided([self.index[w] for w in found]) if any(map(str.isalpha, found)) else (UNKNOWN, 0.0) for found in split]
+
+    def _decided(self, at: list[int]) -> tuple[str, float]:
         total = self.scores[at].sum(axis=0, dtype=np.float64)
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.predict_all([text])[0]
+
 
 def fit(docs: DataFrame, *, train: Column | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> WordFirst:
     """Counts words and n-grams by language in about `sample` labelled documents, picked by a hash of the id.
@@ -156,7 +172,7 @@ def predict(docs: DataFrame, model: WordFirst, *, id_col: str = "doc_id", text_c
     def run(batches):
         own = shared.value
         for batch in batches:
-            found = [own.predict(t) for t in batch.column(1).to_pylist()]
+            found = own.predict_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [id_col, "lang_pred", "score"])
 
     return small_batches(docs).select(docs[id_col], docs[text_col]).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
@@ -172,7 +188,7 @@ def decided(docs: DataFrame, model: WordFirst, text_col: str = "text") -> DataFr
 
     @F.pandas_udf("lang_pred string, score double, lettered boolean")
     def run(texts: pd.Series) -> pd.DataFrame:
-        found = [shared.value.predict(t) for t in texts]
+        found = shared.value.predict_all(texts)
         return pd.DataFrame([(*x, x[0] != UNKNOWN or lettered(t)) for x, t in zip(found, texts, strict=True)], columns=["lang_pred", "score", "lettered"])
 
     return small_batches(docs).select(boxed(docs).alias("box"), run(docs[text_col]).alias("found")).select("box", "found.*")
