@@ -135,10 +135,10 @@ def heading_level(s: Column) -> Column:
 
 
 def caption(s: Column) -> Column:
-    """(label, format, chapter, ordinal) of a caption such as `Figure 2-3 ...`; null for other text."""
+    """(label, format, chapter, ordinal) of a caption such as `Figure 2-3 ...`; null for other text, and for numbers beyond an int."""
     part = lambda i: F.regexp_extract(s, r"^(图|表|Figure|Table) *(?:(\d+)([.-]))?(\d+)", i)
     form = F.when(part(3) == ".", "chapter_dot").when(part(3) == "-", "chapter_hyphen").otherwise("simple")
-    return F.when(part(1) != "", F.struct(part(1).alias("label"), form.alias("format"), F.nullif(part(2), F.lit("")).cast("int").alias("chapter"), part(4).cast("int").alias("ordinal")))
+    return F.when(part(1) != "", F.struct(part(1).alias("label"), form.alias("format"), part(2).try_cast("int").alias("chapter"), part(4).try_cast("int").alias("ordinal")))
 
 
 def is_toc_line(s: Column) -> Column:

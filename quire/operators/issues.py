@@ -21,9 +21,16 @@ def union_of(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def checked(rows: DataFrame, keys: list[str], rules: list[tuple[str, str, Column, Column]]) -> DataFrame:
+    """Issues of all rules in one pass over rows; a rule: kind, severity, test, target."""
+    found = [F.when(test, F.struct(F.lit(kind).alias("kind"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), target.cast("string").alias("target"))) for kind, severity, test, target in rules]
+    return rows.select(*keys, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("i")).select(*keys, "i.*")
+
+
 def once_per_kind(found: DataFrame, keys: list[str]) -> DataFrame:
-    """One issue per kind, the one with the smallest target."""
-    return found.groupBy(*keys, "kind").agg(F.min("severity").alias("severity"), F.min("target").alias("target"))
+    """One issue per kind, the one with the smallest target, as it is."""
+    first = F.min(F.struct("target", "severity")).alias("first")
+    return found.groupBy(*keys, "kind").agg(first).select(*keys, "kind", "first.severity", "first.target")
 
 
 def status(found: DataFrame, subjects: DataFrame, keys: list[str]) -> DataFrame:

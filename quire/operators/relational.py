@@ -65,6 +65,13 @@ def mode_of(df: DataFrame, keys: Sequence[str], value: str, alias: str) -> DataF
     return counts.groupBy(*keys).agg(best)
 
 
+def heaviest_label(df: DataFrame, keys: Sequence[str], label: str, weight: str) -> DataFrame:
+    """(keys, label, confidence): the label of the greatest weight per key, of equal ones the smallest, and its share of all weight."""
+    sums = df.groupBy(*keys, label).agg(F.sum(weight).alias("w"))
+    best = F.min_by(F.struct(F.col(label).alias("label"), "w"), F.struct((-F.col("w")).alias("first"), F.col(label).alias("then"))).alias("best")
+    return sums.groupBy(*keys).agg(best, F.sum("w").alias("t")).select(*keys, "best.label", F.round(F.col("best.w") / F.col("t"), 6).alias("confidence"))
+
+
 def except_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Distinct keys of a that b lacks."""
     return a.select(key).distinct().join(b.select(key), key, "left_anti")
@@ -141,16 +148,6 @@ def histogram(df: DataFrame, keys: Sequence[str], column: str, values: Sequence[
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), *[F.count(F.when(F.col(column) == v, 1)).alias(f"n_{v}") for v in values])
 
 
-def first_containing(pages: DataFrame, needles: DataFrame, page_col: str, text_col: str, needle_col: str) -> DataFrame:
-    """The first page that holds each needle, 0 if none; needles are a rule table and are broadcast while they are few.
-
-    A containment test has no equal keys, so it is a nested-loop join: pages stay where they are.
-    """
-    few = needles.select(needle_col).distinct()
-    found = pages.join(few, F.contains(F.col(text_col), F.col(needle_col))).groupBy(needle_col).agg(F.min(page_col).alias("page"))
-    return few.join(found, needle_col, "left").select(needle_col, F.coalesce("page", F.lit(0)).alias("page"))
-
-
 def running(df: DataFrame, keys: Sequence[str], order: str) -> Window:
     """Rows of a key up to the current one."""
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -1,4 +1,4 @@
-"""Checks of a paper against a pack of rules; each gives issue rows (doc_id, kind, severity, target)."""
+"""Checks of a thesis against a pack of rules; each gives issue rows (doc_id, kind, severity, target)."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import text as T
-from quire.operators.issues import FATAL, REPAIRABLE, WARNING, issues, union_of
+from quire.operators.issues import REPAIRABLE, WARNING, issues, union_of
 
+# The sections that are asked for, the shape of a reference entry, and what stands for a missing value.
 SECTIONS = ("cover", "title_page", "abstract_cn", "abstract_en", "toc", "body", "references", "acknowledgements")
 ENTRY = r"^\[\d+\].+\. .+(\[[A-Z](/[A-Z]+)?\]|//)"
 PLACEHOLDER = r"^(_+|…+|\.{3,}|X+|x+|待填|请填写)$"
@@ -117,17 +118,6 @@ def tables(found: DataFrame, *, three_lines: bool) -> DataFrame:
     return union_of(checks)
 
 
-def part_structure(parts: DataFrame) -> DataFrame:
-    """XML parts with runs in runs, bookmarks in run properties, tracked changes or placeholders; parts: doc_id, part_name, content."""
-    tests = {
-        ("nested_word_run", FATAL): r"(?s)<w:r>(?:(?!</w:r>).)*<w:r>",
-        ("bookmark_in_run_properties", FATAL): r"(?s)<w:rPr>(?:(?!</w:rPr>).)*<w:bookmark",
-        ("tracked_changes_not_finalized", REPAIRABLE): r"<w:(ins|del|moveFrom|moveTo)\b",
-        ("placeholder", REPAIRABLE): r"\{\{[^{}]+\}\}",
-    }
-    return union_of([_where(parts, F.col("content").rlike(p), kind, severity, F.col("part_name")) for (kind, severity), p in tests.items()])
-
-
 def relationship_targets(relations: DataFrame, parts: DataFrame) -> DataFrame:
     """Internal targets that are no part of the package; a relative target starts at the folder of its source part."""
     folder = F.regexp_replace("source_part", "[^/]*$", "")

@@ -80,8 +80,8 @@ def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", blocks.membership_end(F.col("ends"), now, F.col("days")).cast("string").alias("new_end"), blocks.remaining_checks(F.col("active"), F.col("most"), F.col("used"), F.col("free")).alias("remaining"))
 
 
-POLICIES = "(1, '/api/papers/:id', 'GET'), (2, '/api/admin/*', '*'), (4, '/api/papers', 'POST')"
-ASKED = "(1, 'ann', '/api/papers/7', 'GET'), (2, 'ann', '/api/admin/a/b', 'DELETE'), (3, 'bob', '/api/papers/7', 'GET'), (4, 'bob', '/api/papers', 'GET'), (5, 'bob', '/api/papers', 'POST'), (6, 'eve', '/api/papers/7', 'GET')"
+POLICIES = "(1, '/api/items/:id', 'GET'), (2, '/api/admin/*', '*'), (4, '/api/items', 'POST')"
+ASKED = "(1, 'ann', '/api/items/7', 'GET'), (2, 'ann', '/api/admin/a/b', 'DELETE'), (3, 'bob', '/api/items/7', 'GET'), (4, 'bob', '/api/items', 'GET'), (5, 'bob', '/api/items', 'POST'), (6, 'eve', '/api/items/7', 'GET')"
 
 
 @query("SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, false), (5, true), (6, false)) t(request, allowed)")

@@ -87,7 +87,7 @@ def sticky_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.carried(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", marker, "since", -1).select("conv_id", "turn", "since")
 
 
-PAPER = """(1, 0, 'body', 'University'), (1, 1, 'abstract_title', 'Abstract'), (1, 2, 'body', 'We study'), (1, 3, 'table_of_contents_title', 'Contents'), (1, 4, 'heading_1', '1 Introduction'),
+THESIS = """(1, 0, 'body', 'University'), (1, 1, 'abstract_title', 'Abstract'), (1, 2, 'body', 'We study'), (1, 3, 'table_of_contents_title', 'Contents'), (1, 4, 'heading_1', '1 Introduction'),
 (1, 5, 'cover', 'thesis text'), (1, 6, 'references_title', 'References'), (1, 7, 'body', 'A. Author'), (1, 8, 'heading_1', '2 Late'), (1, 9, 'body', 'Acknowledgements'), (1, 10, 'body', 'thanks'), (2, 0, 'heading_1', '1 Only')"""
 
 
@@ -96,7 +96,7 @@ SELECT * FROM (VALUES (1, 0, 'cover', 'cover'), (1, 1, 'abstract', 'abstract_tit
 (1, 5, 'body', 'body'), (1, 6, 'references', 'references_title'), (1, 7, 'references', 'references'), (1, 8, 'body', 'heading_1'), (1, 9, 'acknowledgements', 'acknowledgements'), (1, 10, 'acknowledgements', 'acknowledgements'), (2, 0, 'body', 'heading_1')) t(doc_id, idx, zone, label)
 """)
 def zone_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.zones(rows(spark, PAPER, "doc_id, idx, label, text"))
+    return paragraphs.zones(rows(spark, THESIS, "doc_id, idx, label, text"))
 
 
 FIGURES = "(1, 0, 'Figure 1 a'), (1, 1, 'Figure 3 b'), (1, 2, 'Table 1-1 c'), (1, 3, 'Table 1-2 d'), (1, 4, 'Table 2 e'), (2, 0, 'Figure 1 x'), (2, 1, 'plain'), (2, 2, 'Figure 2 y')"

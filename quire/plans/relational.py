@@ -1,4 +1,4 @@
-"""Relational queries: orders stand for papers, customers for users, line items for results."""
+"""Relational queries: orders stand for records, customers for users, line items for results."""
 
 from __future__ import annotations
 
@@ -140,20 +140,20 @@ def replies_per_post(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts.join(replies, F.col("doc_id") == F.col("conv_id"), "left").select("doc_id", F.coalesce("n", F.lit(0).cast("long")).alias("replies"))
 
 
-@query("SELECT DISTINCT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT DISTINCT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_join_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return R.except_keys(table(spark, sf_dir, "customer"), orders, "c_custkey")
+    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return R.except_keys(table(spark, sf_dir, "customer"), urgent, "c_custkey")
 
 
-@query("SELECT count(*) AS orphans FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
+@query("SELECT count(*) AS orphans FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' WHERE o_orderkey IS NULL")
 def orphan_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
+    joined = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
     return joined.agg(F.count(F.lit(1)).alias("orphans"))
 
 
-GRANTS = "(1, 'paper:read'), (1, 'paper:create'), (2, 'paper:read'), (2, 'user:update'), (3, '*:*')"
-DIRECT = "(7, 'paper:read'), (7, 'cms:delete'), (8, 'user:update')"
+GRANTS = "(1, 'record:read'), (1, 'record:create'), (2, 'record:read'), (2, 'user:update'), (3, '*:*')"
+DIRECT = "(7, 'record:read'), (7, 'cms:delete'), (8, 'user:update')"
 HOLDERS = "(7, 1), (7, 2), (8, 3), (9, 1)"
 
 
@@ -177,10 +177,13 @@ def acl_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id FROM events WHERE props LIKE '%"k":%' AND CAST(json_extract(props, '$.k') AS BIGINT) = 3
+SELECT event_id FROM (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN '{"k": "x"}' WHEN event_id % 51 = 0 THEN '{"k": "3"}' WHEN event_id % 52 = 0 THEN 'no json' ELSE props END AS props FROM events)
+WHERE CASE WHEN json_valid(props) THEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) END = 3
 """)
 def json_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").filter(F.get_json_object("props", "$.k").cast("long") == 3).select("event_id")
+    odd = F.when(F.col("event_id") % 50 == 0, '{"k": "x"}').when(F.col("event_id") % 51 == 0, '{"k": "3"}').when(F.col("event_id") % 52 == 0, "no json")
+    events = table(spark, sf_dir, "events").select("event_id", F.coalesce(odd, F.col("props")).alias("props"))
+    return events.filter(F.get_json_object("props", "$.k").try_cast("long") == 3).select("event_id")
 
 
 TAGGED = """(1, '[{"text":"a"},{"text":"b"}]'), (2, '[{"text":"b"}]'), (3, '[]'), (4, NULL)"""
@@ -279,14 +282,13 @@ def style_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL),
-w AS (SELECT l_returnflag, l_linestatus, n, sum(n) OVER (PARTITION BY l_returnflag) AS t, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, l_linestatus) AS rn FROM m)
-SELECT l_returnflag, l_linestatus AS label, round(n / t, 6) AS confidence FROM w WHERE rn = 1
+WITH m AS (SELECT l_suppkey, l_linenumber % 3 AS label, sum(l_quantity) AS w FROM lineitem GROUP BY ALL),
+w AS (SELECT *, sum(w) OVER (PARTITION BY l_suppkey) AS t, row_number() OVER (PARTITION BY l_suppkey ORDER BY w DESC, label) AS rn FROM m)
+SELECT l_suppkey, CAST(label AS VARCHAR) AS label, round(w / t, 6) AS confidence FROM w WHERE rn = 1
 """)
 def weighted_label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
-    best = F.max_by(F.struct("l_linestatus", "n"), F.struct(F.col("n"), (-F.ascii("l_linestatus")).alias("tie"))).alias("best")
-    return counts.groupBy("l_returnflag").agg(best, F.sum("n").alias("t")).select("l_returnflag", F.col("best.l_linestatus").alias("label"), F.round(F.col("best.n") / F.col("t"), 6).alias("confidence"))
+    lines = table(spark, sf_dir, "lineitem").withColumn("label", (F.col("l_linenumber") % 3).cast("string"))
+    return R.heaviest_label(lines, ["l_suppkey"], "label", "l_quantity")
 
 
 @query("""

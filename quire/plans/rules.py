@@ -79,12 +79,6 @@ def table_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rulepack.tables(found, three_lines=True)
 
 
-@query(_expected("(1, 'nested_word_run', 'fatal', 'a'), (1, 'tracked_changes_not_finalized', 'repairable', 'b'), (1, 'placeholder', 'repairable', 'b'), (1, 'bookmark_in_run_properties', 'fatal', 'c')"))
-def part_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = rows(spark, "(1, 'a', '<w:r><w:t>x</w:t><w:r></w:r></w:r>'), (1, 'b', '<w:ins><w:r><w:t>{{name}}</w:t></w:r></w:ins>'), (1, 'c', '<w:rPr><w:bookmarkStart/></w:rPr>'), (1, 'd', '<w:r></w:r><w:r></w:r>')", "doc_id, part_name, content")
-    return rulepack.part_structure(parts)
-
-
 @query(_expected("(1, 'relationship_target_missing', 'repairable', 'word/media/b.png'), (1, 'media_content_type_missing', 'repairable', 'word/media/c.GIF')"))
 def package_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = rows(spark, "(1, 'word/media/a.PNG'), (1, 'word/media/c.GIF'), (1, 'word/styles.xml')", "doc_id, part_name")

@@ -73,13 +73,13 @@ def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, HEADINGS, "id, s").select("id", T.heading_level(F.col("s")).alias("level"))
 
 
-CAPTIONS = "(1, 'Figure 3 Result'), (2, 'Table 2-4 Data'), (3, 'Figure 1.2 Map'), (4, '图 5 结构'), (5, '表2.1 数据'), (6, 'none'), (7, 'Figure')"
+CAPTIONS = "(1, 'Figure 3 Result'), (2, 'Table 2-4 Data'), (3, 'Figure 1.2 Map'), (4, '图 5 结构'), (5, '表2.1 数据'), (6, 'none'), (7, 'Figure'), (8, 'Figure 12345678901'), (9, 'Table 99999999999-2')"
 
 
 @query(rf"""
 WITH p AS (SELECT id, regexp_extract(s, '^(图|表|Figure|Table) *(?:(\d+)([.-]))?(\d+)', ['label', 'chapter', 'mark', 'n']) AS p FROM (VALUES {CAPTIONS}) t(id, s))
 SELECT id, p.label AS label, CASE p.mark WHEN '.' THEN 'chapter_dot' WHEN '-' THEN 'chapter_hyphen' ELSE 'simple' END AS format,
- coalesce(CAST(nullif(p.chapter, '') AS INT), -1) AS chapter, CAST(p.n AS INT) AS ordinal FROM p WHERE p.label <> ''
+ coalesce(TRY_CAST(p.chapter AS INT), -1) AS chapter, TRY_CAST(p.n AS INT) AS ordinal FROM p WHERE p.label <> ''
 """)
 def caption_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, CAPTIONS, "id, s").select("id", T.caption(F.col("s")).alias("c")).filter("c IS NOT NULL").select("id", "c.*").fillna(-1, ["chapter"])
@@ -142,7 +142,7 @@ def unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.twips(mm).alias("twips"), (mm * 36000).cast("long").alias("emu"), F.round(mm * F.lit(2.83465), 2).alias("points"), F.round(mm / F.lit(25.4), 4).alias("inches"))
 
 
-REQUESTS = "(1, 'paper:read', 'read', 'paper', 'GET'), (2, 'paper:update', 'update', 'paper', 'GET'), (3, '*:*', '*', 'cms', 'DELETE'), (4, 'user:delete', 'delete', 'user', 'DELETE'), (5, 'user:x', 'x', 'user', 'GET')"
+REQUESTS = "(1, 'record:read', 'read', 'record', 'GET'), (2, 'record:update', 'update', 'record', 'GET'), (3, '*:*', '*', 'cms', 'DELETE'), (4, 'user:delete', 'delete', 'user', 'DELETE'), (5, 'user:x', 'x', 'user', 'GET')"
 
 
 @query(f"""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 BLOCKS = {"p", "div", "section", "article", "main", "blockquote", "pre"}
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
-#: Limits that a DOCX package must keep.
+# Limits that a DOCX package must keep.
 MOST_ENTRIES, MOST_TOTAL, MOST_XML, MOST_RATIO = 10_000, 512 << 20, 16 << 20, 1000
 
 

@@ -52,9 +52,9 @@ def test_latest_per_key_of_empty(spark):
 
 
 def test_first_page(spark):
-    pages = spark.createDataFrame([(1, "cover"), (2, "abstract here"), (3, "abstract")], "page int, text string")
-    needles = spark.createDataFrame([("abstract",), ("none",)], "needle string")
-    assert {tuple(r) for r in relational.first_containing(pages, needles, "page", "text", "needle").collect()} == {("abstract", 2), ("none", 0)}
+    pages = spark.createDataFrame([(1, 1, "cover"), (1, 2, "the abs tract"), (1, 3, "abstract")], "doc_id int, page int, text string")
+    needles = spark.createDataFrame([(1, "abstract"), (1, "none")], "doc_id int, landmark string")
+    assert {tuple(r) for r in issues.pages_with(pages, needles, "page").collect()} == {(1, "abstract", 2), (1, "none", 0)}
 
 
 def test_chinese_rules(spark):
@@ -68,7 +68,7 @@ def test_chinese_rules(spark):
         (1, 6, "第二章 标题", 12.0, False, "left"),
         (1, 7, "基于图的系统设计", 16.0, False, "center"),
         (1, 8, "参考文献", 16.0, True, "center"),
-        (1, 9, "[1] Author A. A long title of some paper. 2021.", 10.5, False, "left"),
+        (1, 9, "[1] Author A. A long title of some work. 2021.", 10.5, False, "left"),
         (1, 10, "", 12.0, False, "left"),
         (1, 11, "原创性声明", 16.0, True, "center"),
         (1, 12, "本科生学院毕业", 12.0, False, "left"),
