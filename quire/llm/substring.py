@@ -258,11 +258,19 @@ def _by_window(suffixes: DataFrame, window: int) -> DataFrame:
     def run(batches):
         known = _Hashes()
         for batch in batches:
-            for doc, tie, first, words in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "first", "words")), strict=True):
-                hashes = known.of(words.encode().split(b" "))
-                keys = np.stack([_grams(h, window, odd) for h, odd in ((hashes, ODD[0]), (hashes ^ (hashes >> np.uint64(31)), ODD[1]))], axis=1)
-                n = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(np.full(n, doc)), pa.array(np.full(n, tie)), pa.array(np.arange(first, first + n), pa.int32())], ["key", "doc", "tie", "start"])
+            docs, ties, firsts = (batch.column(c).to_numpy() for c in ("doc", "tie", "first"))
+            hashes = [known.of(w.encode().split(b" ")) for w in batch.column("words").to_pylist()]
+            if not hashes:
+                continue
+            n = np.fromiter((len(h) - window + 1 for h in hashes), np.int64, len(hashes))
+            keys = np.empty((int(n.sum()), 2), np.uint64)
+            begins = np.cumsum(n) - n
+            for h, at, k in zip(hashes, begins.tolist(), n.tolist(), strict=True):
+                keys[at : at + k, 0] = _grams(h, window, ODD[0])
+                keys[at : at + k, 1] = _grams(h ^ (h >> np.uint64(31)), window, ODD[1])
+            start = np.repeat(firsts - begins, n) + np.arange(len(keys))
+            key = pa.Array.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([key, pa.array(np.repeat(docs, n)), pa.array(np.repeat(ties, n)), pa.array(start, pa.int32())], ["key", "doc", "tie", "start"])
 
     each = stored(suffixes.select("doc", "tie", "first", "words").mapInArrow(run, "key binary, doc long, tie long, start int"))
     least = stored(each.groupBy("key").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")))
@@ -295,12 +303,9 @@ def removals(texts: DataFrame, *, window: int = WINDOW, prefixes: Sequence[int]
     shared = _shared(suffixes)
     spans = _with_group(suffixes, shared).groupBy("doc", "tie").agg(F.collect_list(F.struct("prefix", "n", "first", "windows")).alias("spans"))
     lengths = [*prefixes, window]
-    rows = _cut_out(texts.join(spans.hint("merge"), ["doc", "tie"]).select("doc", "tie", "text", "spans"), window, group, lengths[1])
-    if (shared.filter("a < b").agg(F.max("n")).first()[0] or 0) <= group:
-        found = _in_trees(rows, window)
-    else:
-        rows = stored(rows)
-        found, rest = _in_trees(rows.filter("NOT split"), window), rows.filter("split")
+    rows = stored(_cut_out(texts.join(spans.hint("merge"), ["doc", "tie"]).select("doc", "tie", "text", "spans"), window, group, lengths[1]))
+    found, rest = _in_trees(rows.filter("NOT split"), window), rows.filter("split")
+    if (shared.filter("a < b").agg(F.max("n")).first()[0] or 0) > group:
         for longer in lengths[2:]:
             grouped = _with_group(rest, _shared(rest))
             found = found.union(_in_trees(grouped.filter(F.col("n") <= group), window))
