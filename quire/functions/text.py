@@ -211,3 +211,150 @@ def permitted(code: Column, method: Column, resource: Column, verb: Column) -> C
     prefix = F.substring_index(code, ":", 1)
     verbs = F.when(method == "read", "GET").when(method == "create", "POST").when(method == "update", "PUT").when(method == "delete", "DELETE")
     return ((prefix == "*") | (prefix == resource)) & ((method == "*") | (verbs == verb))
+
+
+def fallback_text(s: Column) -> Column:
+    """Printable ASCII, Han characters and line ends of what is left of a file; null under ten bytes."""
+    kept = F.regexp_replace(s, r"[^\x20-\x7E一-鿿\n\r]", "")
+    return F.when(F.octet_length(kept) >= 10, kept)
+
+
+def is_garbage(line: Column) -> Column:
+    """Whether a line looks like bytes read as Han characters: rare ones prevail, or many without any punctuation."""
+    n, rare, common = F.length(line), count_matches(line, r"[一-俿送-鿿]"), count_matches(line, r"[倀-退]")
+    marks, plain = count_matches(line, "[，。、：；“”（）《》]"), count_matches(line, "[A-Za-z0-9]")
+    mixed = (n > 30) & (marks == 0) & (rare + common > F.floor(n / 2)) & (plain > F.floor(n / 4))
+    return (n >= 3) & (((rare * 2 > n) & (marks == 0)) | mixed | ((n > 10) & (rare > 5) & (common < F.floor(rare / 2))))
+
+
+def cleaned_lines(s: Column) -> Column:
+    """The lines of a text that say something: none that are blank, of one character, garbage or mostly control characters."""
+    lines = F.transform(F.split(s, "\n"), uni_trim)
+    return F.array_join(F.filter(lines, lambda x: (F.length(x) >= 2) & ~is_garbage(x) & (count_matches(x, r"[^\x00-\x1F]") * 2 >= F.length(x))), "\n")
+
+
+def after_marker(s: Column, marker: str) -> Column:
+    """What follows a section's marker and a colon or semicolon; empty for the marker alone, null for other text."""
+    whole = uni_trim(s)
+    rest = uni_trim(F.substring(whole, len(marker) + 1, 1 << 30))
+    return F.when(whole.startswith(marker) & rest.rlike("^([：:；;]|$)"), uni_trim(F.regexp_replace(rest, "^([：:]|[；;]+)", "")))
+
+
+def science_depth(s: Column) -> Column:
+    """The parts of a decimal heading number, four at most; 0 without one."""
+    number = F.regexp_extract(uni_trim(s), r"^\d+(\.\d+){0,3}", 0)
+    return F.when(number == "", 0).otherwise(F.size(F.split(number, r"\.")))
+
+
+def arts_depth(s: Column) -> Column:
+    """The depth of a heading numbered `一、`, `（一）`, `1.` or `（1）`; 0 for other text."""
+    t = uni_trim(s)
+    return F.when(t.rlike("^[一二三四五六七八九十]+、"), 1).when(t.rlike(r"^(（[一二三四五六七八九十]+）|\([一二三四五六七八九十]+\))"), 2).when(t.rlike(r"^\d+\."), 3).when(t.rlike(r"^(（\d+）|\(\d+\))"), 4).otherwise(0)
+
+
+def _first_place(lines: Column, test) -> Column:
+    return F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull()))
+
+
+def section_by_heading(s: Column, starts: list[str], ends: list[str]) -> Column:
+    """The lines after the first one that is a start, or begins with it and a space, up to one that begins with an end."""
+    lines = F.split(s, "\n")
+    low = F.transform(lines, lambda x: uni_trim(F.lower(x)))
+    any_of = lambda tests: tests[0] if len(tests) == 1 else tests[0] | any_of(tests[1:])
+    start = _first_place(low, lambda x: any_of([(x == w.lower()) | x.startswith(w.lower() + " ") for w in starts])) + 1
+    rest = F.slice(low, start + 1, F.size(low))
+    stop = F.coalesce(_first_place(rest, lambda x: any_of([x.startswith(w.lower()) for w in ends])), F.size(rest))
+    return F.when(start < F.size(lines), F.array_join(F.slice(lines, start + 1, stop), "\n")).otherwise("")
+
+
+# The title of the references, and what ends them.
+REFERENCES_TITLE, AFTER_REFERENCES = "参考文献", ("附录", "致谢", "攻读", "声明")
+
+
+def reference_lines(s: Column, title: str = REFERENCES_TITLE, ends: tuple[str, ...] = AFTER_REFERENCES) -> Column:
+    """Lines after the title up to an end that are numbered or hold a Latin letter."""
+    lines = F.transform(F.split(s, "\n"), uni_trim)
+    start = _first_place(F.transform(lines, F.lower), lambda x: x.startswith(title.lower())) + 1
+    rest = F.slice(lines, start + 1, F.size(lines))
+    stop = F.coalesce(_first_place(rest, lambda x: F.lower(x).rlike("^(" + "|".join(w.lower() for w in ends) + ")")), F.size(rest))
+    return F.coalesce(F.filter(F.slice(rest, 1, stop), lambda x: x.rlike(r"^(\[\d+\]|\d+\.)|[A-Za-z]")), F.array().cast("array<string>"))
+
+
+def spaced_heading_numbers(s: Column) -> Column:
+    """A space after heading numbers (one digit, or up to two dots) that stand at the start or after white space."""
+    return F.regexp_replace(s, r"(?<![^ \t\n\r])([1-9](?:[0-9]*(?:\.[0-9]*){1,2})?)(?<!\.)(?=[^0-9. \t\n\r])", "$1 ")
+
+
+# Words that make a text after a single number a heading.
+SINGLE_HEADING_WORDS = ("绪论", "引言", "研究", "对象", "方法", "结果", "分析", "结论", "总结", "参考文献", "致谢")
+
+
+def visible_text(s: Column) -> Column:
+    """Headings and dates as they should read; the first rule that fits rewrites the trimmed text, others leave it alone."""
+    t = uni_trim(s)
+    numbered = lambda text, page: F.when(page == "", text).otherwise(F.concat(text, F.lit(" "), page))
+    part = lambda pattern, i: F.regexp_extract(t, pattern, i)
+    date, single = r"^(\d{4})年\s*(\d{1,2})\s*月", r"^([1-9]|1[0-9]|20)([\p{IsHan}A-Za-z].*?)(\d*)$"
+    states = ((r"^\d+\.\d+\s*国内外研究现状[：:]?\s*(\d*)$", "1.4 国内外研究现状"), (r"^\d+\.\d+\.\d+\s*国外研究现状[：:]?\s*(\d*)$", "1.4.1 国外研究现状"), (r"^\d+\.\d+\.\d+\s*国内(?:研究)?现状[：:]?\s*(\d*)$", "1.4.2 国内研究现状"))
+    found = F.when(t.rlike(date), F.concat(part(date, 1), F.lit("年"), part(date, 2), F.lit("月")))
+    for pattern, title in states:
+        found = found.when(t.rlike(pattern), numbered(F.lit(title), part(pattern, 1)))
+    found = found.when(F.contains(t, F.lit("结论/总结")), F.replace(t, F.lit("结论/总结"), F.lit("结论")))
+    found = found.when(t.rlike(r"^\d+(\.\d+)+[\p{IsHan}A-Za-z]"), F.regexp_replace(t, r"^(\d+(?:\.\d+)+)(?=[\p{IsHan}A-Za-z])", "$1 "))
+    title = part(single, 2)
+    is_title = (title != "") & (F.length(uni_trim(title)) <= 30) & title.rlike("|".join(SINGLE_HEADING_WORDS))
+    return found.when(is_title, numbered(F.concat(part(single, 1), F.lit(" "), uni_trim(title)), part(single, 3))).otherwise(s)
+
+
+# Names of font sizes, in points.
+FONT_SIZES = {"初": 42.0, "小初": 36.0, "一": 26.0, "小一": 24.0, "二": 22.0, "小二": 18.0, "三": 16.0, "小三": 15.0, "四": 14.0, "小四": 12.0, "五": 10.5, "小五": 9.0, "六": 7.5, "小六": 6.5, "七": 5.5, "八": 5.0}
+
+
+def font_points(s: Column) -> Column:
+    """A font size by name or in points; 12 for anything else."""
+    name = F.regexp_replace(uni_trim(s), "号$", "")
+    table = F.create_map(*[F.lit(x) for pair in FONT_SIZES.items() for x in pair])
+    number = uni_trim(F.regexp_replace(F.regexp_replace(name, "pt$", ""), "磅$", "")).try_cast("double")
+    return F.coalesce(F.try_element_at(table, name), F.when(number > 0, number), F.lit(12.0))
+
+
+def repaired_unit(s: Column) -> Column:
+    """Lengths whose unit lost a letter, in full."""
+    return F.when(s == "2.54", "2.54cm").when(s.rlike(r"^\d+(\.\d+)?c$"), F.concat(s, F.lit("m"))).otherwise(s)
+
+
+def chinese_number(n: Column) -> Column:
+    """1 to 5 as Chinese numerals, other numbers as they are."""
+    return F.coalesce(F.get(F.split(F.lit("一,二,三,四,五"), ","), (n - 1).cast("int")), n.cast("string"))
+
+
+def scaled_widths(widths: Column, total: Column) -> Column:
+    """Widths in proportion that add up to total: rounded half up, at least 1, the last takes what is left; zeros without any width."""
+    whole = F.aggregate(widths, F.lit(0).cast("long"), lambda a, x: a + x)
+    most = F.transform(widths, lambda x: F.greatest(F.floor(x * total / whole + 0.5), F.lit(1).cast("long")))
+    head = F.slice(most, 1, F.size(most) - 1)
+    last = total - F.aggregate(head, F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.when(whole > 0, F.concat(head, F.array(last))).otherwise(F.transform(widths, lambda x: F.lit(0).cast("long")))
+
+
+# Settings of payment providers that are secret, and the order of access levels.
+SECRETS = {"alipay": ("private_key", "alipay_public_key"), "wechat": ("api_key", "api_v3_key", "platform_public_key")}
+LEVELS = {"read": 1, "write": 2, "admin": 3}
+
+
+def masked_settings(provider: Column, settings: Column) -> Column:
+    """A provider's map of settings with six stars for secrets."""
+    secret = lambda k: F.coalesce(*[F.when(provider == name, k.isin(*keys)) for name, keys in SECRETS.items()], F.lit(False))
+    return F.transform_values(settings, lambda k, v: F.when(secret(k), "******").otherwise(v))
+
+
+def level_allows(current: Column, required: Column) -> Column:
+    """Whether an access level covers another; unknown levels cover nothing and are covered by none."""
+    table = F.create_map(*[F.lit(x) for pair in LEVELS.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, current) >= F.try_element_at(table, required), F.lit(False))
+
+
+def parse_quality(coverage: Column, success: Column, verified: Column, schema: Column) -> Column:
+    """(score, grade) of a parsed format text: a weighted mean, high from 0.98 on."""
+    score = F.round(coverage * 0.35 + success * 0.30 + verified * 0.20 + schema * 0.15, 4)
+    return F.struct(score.alias("score"), F.when(score >= 0.98, "high").otherwise("review").alias("grade"))

@@ -1,3 +1,3 @@
 """Queries by name. Importing this package registers all of them."""
 
-from quire.plans import blocks, documents, packages, relational, rules, sources, text  # noqa: F401
+from quire.plans import blocks, documents, helpers, packages, relational, rules, sources, text  # noqa: F401
