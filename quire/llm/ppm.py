@@ -10,6 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +21,12 @@ from quire.llm.common import crc_remainder, small_batches, stored
 #: Bytes of the longest context.
 ORDER = 5
 #: Bytes of text that end a block: what a task holds at once, with the part of the trie that its texts touch.
-BLOCK = 32 << 20
+BLOCK = 24 << 20
 CHUNK = 1 << 20
 #: Parts that grams and words are dealt over, by size up to the most; a task holds what is distinct in a part.
 PARTS, MOST_PARTS = 64, 4096
 #: Grams of chunks that are kept before they are merged.
-MERGED = 3_000_000
+MERGED = 1_500_000
 #: What a symbol's count gives to the escape.
 DISCOUNT = 0.5
 FOLDS, HELD_OUT = 5, 1
@@ -77,24 +78,44 @@ def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(at, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64)
 
 
-def count_block(texts: list[bytes], held: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, Counter]:
-    """Each distinct gram and word of a block, with its count in the block's training texts (0: held out only)."""
-    words: Counter = Counter()
-    found, sizes = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
-    for start, part in _chunks(texts):
-        grams, owner = byte_grams(part, order)
-        own, count = np.unique(grams * 2 + held[start + owner], return_counts=True)
-        found.append((own >> 1, np.where(own & 1, 0, count)))
-        sizes += len(own)
-        if sizes > MERGED:
-            found, sizes = [_merged(found)], 0
-    keys, sums = _merged(found)
-    for text, out in zip(texts, held, strict=True):
-        words.update(dict.fromkeys(text.split(), 0) if out else text.split())
-    return keys, sums, words
+class Block:
+    """What a run of documents holds, gathered chunk by chunk: grams and words with their counts in training texts (0: held
+    out only), and the texts themselves, compressed."""
+
+    def __init__(self, order: int):
+        self.order, self.words, self.documents = order, Counter(), []
+        self.found, self.sizes = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+
+    def add(self, ids: list[int | None], texts: list[bytes], held: list[bool]) -> None:
+        grams, owner = byte_grams(texts, self.order)
+        own, count = np.unique(grams * 2 + np.array(held, bool)[owner], return_counts=True)
+        self.found.append((own >> 1, np.where(own & 1, 0, count)))
+        self.sizes += len(own)
+        if self.sizes > MERGED:
+            self.found, self.sizes = [_merged(self.found)], 0
+        for text, out in zip(texts, held, strict=True):
+            self.words.update(dict.fromkeys(text.split(), 0) if out else text.split())
+        self.documents.append((ids, held, zstandard.compress(b"".join(t + b"\xff" for t in texts), 3)))
+
+    def rows(self, block: int, parts: int) -> Iterator[tuple]:
+        """COUNTED rows: one for each part that is not empty, and one for each chunk of documents."""
+        keys, sums = _merged(self.found)
+        where = keys % parts
+        by = np.argsort(where, kind="stable")
+        cuts = np.searchsorted(where[by], np.arange(parts + 1))
+        dealt: list[list[bytes]] = [[] for _ in range(parts)]
+        for w in self.words:
+            dealt[zlib.crc32(w) % parts].append(w)
+        for p in range(parts):
+            own = by[cuts[p] : cuts[p + 1]]
+            if len(own) or dealt[p]:
+                numbers = packed(np.array([self.words[w] for w in dealt[p]], np.int64), "<i4")
+                yield block, p, packed(keys[own], "<i8"), packed(sums[own], "<i4"), b" ".join(dealt[p]), numbers, None, None, None
+        for ids, held, texts in self.documents:
+            yield block, -1, None, None, None, None, ids, held, texts
 
 
-#: A block's grams and words of one part, or, with part -1, some of its documents: ids, held_out, and texts, each before a byte 0xFF.
+#: A block's grams and words of one part, or, with part -1, some of its documents: ids, held_out, and texts, each before a byte 0xFF, compressed.
 COUNTED = "block long, part int, grams binary, gram_n binary, words binary, word_n binary, ids array<long>, held array<boolean>, texts binary"
 
 
@@ -106,43 +127,25 @@ def _table(schema: str, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _counted(rows: DataFrame, order: int, parts: int, block_bytes: int) -> DataFrame:
-    """What each block holds; a block is a run of a task's rows that ends as soon as it has `block_bytes`.
+    """What each block holds; a block is a run of a task's rows that ends with the chunk that brings it to `block_bytes`.
 
     The result must be stored, as blocks are named by their task.
     """
 
-    def emit(block: int, ids: list[int | None], texts: list[bytes], held: list[bool]) -> Iterator[pa.RecordBatch]:
-        keys, sums, words = count_block(texts, np.array(held, bool), order)
-        where = keys % parts
-        by = np.argsort(where, kind="stable")
-        cuts = np.searchsorted(where[by], np.arange(parts + 1))
-        dealt: list[list[bytes]] = [[] for _ in range(parts)]
-        for w in words:
-            dealt[zlib.crc32(w) % parts].append(w)
-        found = []
-        for p in range(parts):
-            own = by[cuts[p] : cuts[p + 1]]
-            if len(own) or dealt[p]:
-                numbers = packed(np.array([words[w] for w in dealt[p]], np.int64), "<i4")
-                found.append((block, p, packed(keys[own], "<i8"), packed(sums[own], "<i4"), b" ".join(dealt[p]), numbers, None, None, None))
-        yield _table(COUNTED, found)
-        for start, part in _chunks(texts):
-            stop = start + len(part)
-            yield _table(COUNTED, [(block, -1, None, None, None, None, ids[start:stop], held[start:stop], b"".join(t + b"\xff" for t in part))])
-
     def run(batches):
-        ids, texts, held, size, block = [], [], [], 0, TaskContext.get().partitionId() << 32
+        own, number, size = Block(order), TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for doc, text, out in zip(batch.column(0).to_pylist(), _bytes_of(batch.column(1).to_pylist()), batch.column(2).to_pylist(), strict=True):
-                ids.append(doc)
-                texts.append(text)
-                held.append(out)
-                size += len(text)
+            ids, texts, held = batch.column(0).to_pylist(), _bytes_of(batch.column(1).to_pylist()), batch.column(2).to_pylist()
+            for start, part in _chunks(texts):
+                own.add(ids[start : start + len(part)], part, held[start : start + len(part)])
+                size += sum(map(len, part))
                 if size >= block_bytes:
-                    yield from emit(block, ids, texts, held)
-                    ids, texts, held, size, block = [], [], [], 0, block + 1
-        if texts:
-            yield from emit(block, ids, texts, held)
+                    for row in own.rows(number, parts):
+                        yield _table(COUNTED, [row])
+                    own, number, size = Block(order), number + 1, 0
+        if own.documents:
+            for row in own.rows(number, parts):
+                yield _table(COUNTED, [row])
 
     return small_batches(rows).select("doc_id", "text", "held_out").mapInArrow(run, COUNTED)
 
@@ -252,41 +255,43 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def score_block(docs: pa.Table, known: pa.Table, *, order: int, tokens: int, distinct: int, ends: int) -> pa.Table:
     """Scores of a block's documents; docs: some of its documents in each row; known: what was answered to the block."""
-    ids = [i for row in docs.column("ids").to_pylist() for i in row]
-    held = np.array([h for row in docs.column("held").to_pylist() for h in row], bool)
-    texts = [t for row in docs.column("texts").to_pylist() for t in row.split(b"\xff")[:-1]]
+    chunks = list(zip(docs.column("ids").to_pylist(), docs.column("held").to_pylist(), docs.column("texts"), strict=True))
+    opened = lambda data: zstandard.decompress(data.as_buffer()).split(b"\xff")[:-1]
     counts: Counter = Counter()
-    for text, out in zip(texts, held, strict=True):
-        if not out:
-            counts.update(text.split())
+    for _, held, data in chunks:
+        for text, out in zip(opened(data), held, strict=True):
+            if not out:
+                counts.update(text.split())
     all_keys, all_logs = [], []
-    for grams, logs, words, n in zip(*(known.column(c).to_pylist() for c in ("grams", "logs", "words", "word_n")), strict=True):
-        all_keys.append(unpacked(grams, "<i8"))
-        all_logs.append(unpacked(logs, "<f4"))
-        if words:
-            counts.update({w: k - counts[w] for w, k in zip(words.split(b" "), unpacked(n, "<i8").tolist(), strict=True)})
+    for grams, logs, words, n in zip(*(known.column(c) for c in ("grams", "logs", "words", "word_n")), strict=True):
+        all_keys.append(unpacked(grams.as_buffer(), "<i8") if grams.is_valid else np.zeros(0, np.int64))
+        all_logs.append(unpacked(logs.as_buffer(), "<f4"))
+        if words := words.as_py():
+            counts.update({w: k - counts[w] for w, k in zip(words.split(b" "), unpacked(n.as_buffer(), "<i8").tolist(), strict=True)})
     keys = np.concatenate(all_keys)
     by = np.argsort(keys)
-    keys, logs = keys[by], np.concatenate(all_logs)[by].astype(float)
-    score = np.zeros(len(texts))
-    for start, part in _chunks(texts):
-        own, owner = byte_grams(part, order)
-        score[start : start + len(part)] = np.bincount(owner, logs[np.searchsorted(keys, own)], len(part))
+    keys, logs = keys[by], np.concatenate(all_logs)[by]
     whole = tokens + 0.5 * (distinct + 1)
     logs_of: dict[int, float] = {}
-    base, n_tokens, n_known = [], [], []
-    for text in texts:
-        found = [counts[w] for w in text.split()]
-        found.append(ends)
-        n_tokens.append(len(found))
-        n_known.append(len(found) - found.count(0))
-        total = 0.0
-        for c in found:
-            if (log := logs_of.get(c)) is None:
-                log = logs_of[c] = math.log10((c + 0.5) / whole)
-            total += log
-        base.append(total)
-    columns = [pa.array(ids, pa.int64()), pa.array(held), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([tokens] * len(texts), pa.int64()), pa.array(base, pa.float64()), pa.array(score)]
+    ids, is_held, score, base, n_tokens, n_known = [], [], [], [], [], []
+    for own_ids, held, data in chunks:
+        texts = opened(data)
+        own, owner = byte_grams(texts, order)
+        score.append(np.bincount(owner, logs[np.searchsorted(keys, own)], len(texts)))
+        ids += own_ids
+        is_held += held
+        for text in texts:
+            found = [counts[w] for w in text.split()]
+            found.append(ends)
+            n_tokens.append(len(found))
+            n_known.append(len(found) - found.count(0))
+            total = 0.0
+            for c in found:
+                if (log := logs_of.get(c)) is None:
+                    log = logs_of[c] = math.log10((c + 0.5) / whole)
+                total += log
+            base.append(total)
+    columns = [pa.array(ids, pa.int64()), pa.array(is_held), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([tokens] * len(ids), pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(score))]
     return pa.table(dict(zip([x.split()[0] for x in SCORES.split(", ")], columns, strict=True)))
 
 
@@ -295,7 +300,7 @@ def lm_scores(docs: DataFrame, *, order: int = ORDER, block_bytes: int = BLOCK,
 
     The model is the byte trie of all training texts; it learns from rows whose crc32 of the id does not leave 1 modulo
     5, and scores every whole text, A-Z in lower case, with its end. It is never held in one place: documents lie in
-    blocks that end at `block_bytes`, each block lists its grams and words, the lists are summed part by part, the trie
+    blocks that end when they reach `block_bytes`, each block lists its grams and words, the lists are summed part by part, the trie
     is built as tables, and each block gets back just what its own grams and words need. The base is a word model with
     counts of the same texts.
 

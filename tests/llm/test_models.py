@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from quire.llm import langid, ppm, toxicity
@@ -60,11 +61,16 @@ def test_ppm(spark, order, block, parts):
 
 def test_ppm_blocks_end_by_bytes(spark):
     """However uneven the texts: a block ends as soon as it is full, and lists of nothing are not written."""
-    rows = [(i, f"t{i} " * (400 if i > 30 else 1)) for i in range(40)]
-    found = ppm._counted(spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False)).coalesce(1), 3, 500, 1000).collect()
-    texts = [(r["block"], [len(t) for t in bytes(r["texts"]).split(b"\xff")[:-1]]) for r in found if r["part"] < 0]
-    assert sum(len(n) for _, n in texts) == 40 and all(sum(n[:-1]) < 1000 for _, n in texts) and len(texts) == 9
-    assert all(r["grams"] or r["words"] for r in found if r["part"] >= 0) and len(found) < 500 * len(texts)
+    rows = [(i, f"t{i} " * (150_000 if i > 20 else 1)) for i in range(40)]
+    found = ppm._counted(spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False)).coalesce(1), 3, 500, 3 << 20).collect()
+    blocks = defaultdict(list)
+    for r in found:
+        if r["part"] < 0:
+            texts = zstandard.decompress(bytes(r["texts"])).split(b"\xff")[:-1]
+            assert len(texts) == len(r["ids"]) == len(r["held"])
+            blocks[r["block"]].append(sum(map(len, texts)))
+    assert sum(map(sum, blocks.values())) == sum(len(t) for _, t in rows) and len(blocks) > 2 and all(sum(n[:-1]) < (3 << 20) for n in blocks.values())
+    assert all(r["grams"] or r["words"] for r in found if r["part"] >= 0) and len(found) < 500 * len(blocks)
 
 
 def test_ppm_of_odd_tables(spark, odd, empty):
