@@ -57,6 +57,12 @@ def consensus(samples: DataFrame, keys: list[str], modes: list[str], means: list
     return out
 
 
+def modal_share(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(keys, name): the share of the most frequent value, times 100: how consistent fonts or line spacings are."""
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    return counts.groupBy(*keys).agg(F.round(F.max("__n") / F.sum("__n") * 100, 6).alias(name))
+
+
 def font_consistency(runs: DataFrame, keys: list[str], font: str, empty: float = 0.0) -> DataFrame:
     """(keys, score): the share of the most frequent font, times 100."""
     counts = runs.groupBy(*keys, font).agg(F.count(F.lit(1)).alias("n"))

@@ -1,3 +1,3 @@
 """Queries by name. Importing this package registers all of them."""
 
-from quire.plans import blocks, classify, documents, helpers, packages, relational, rendered, rules, sources, text  # noqa: F401
+from quire.plans import blocks, classify, documents, helpers, packages, relational, rendered, rules, sinks, sources, text  # noqa: F401
