@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import text as T
-from quire.operators.issues import REPAIRABLE, WARNING, issues, union_of
+from quire.operators.issues import REPAIRABLE, WARNING, checked, issues, union_of
 
 # The sections that are asked for, the shape of a reference entry, and what stands for a missing value.
 SECTIONS = ("cover", "title_page", "abstract_cn", "abstract_en", "toc", "body", "references", "acknowledgements")
@@ -165,3 +165,27 @@ def requirements(texts: DataFrame) -> DataFrame:
         part(r"(?i)(?:参考文献|references)[^\d]{0,12}(\d+)").alias("references"),
         part(r"(?i)(?:关键词|keywords)[^\d]{0,8}(\d+)").alias("keywords"),
     )
+
+
+#: Characters that a Chinese abstract should have at least.
+ABSTRACT_CHARS = 2000
+
+
+def abstracts(docs: DataFrame, least: int = ABSTRACT_CHARS) -> DataFrame:
+    """A Chinese abstract that is there but short, and an English one that is missing; docs: doc_id, text."""
+    found = docs.withColumns({"cn": F.length(T.section_by_heading(F.col("text"), ["摘要"], ["关键词", "abstract", "目录"])), "en": T.uni_trim(T.section_by_heading(F.col("text"), ["abstract"], ["keywords", "目录", "正文"]))})
+    rules = [("cn_abstract_len", WARNING, (F.col("cn") > 0) & (F.col("cn") < least), F.col("cn")), ("en_abstract_missing", WARNING, F.col("en") == "", F.lit("missing"))]
+    return checked(found, ["doc_id"], rules)
+
+
+def profile(violations: list[DataFrame]) -> DataFrame:
+    """One issue per document with the sum of all violations (doc_id, n) of a profile's rules; none without any."""
+    total = union_of(violations).groupBy("doc_id").agg(F.sum("n").alias("n")).filter("n > 0")
+    return issues(total, "profile_rule", REPAIRABLE, ["doc_id"], F.col("n"))
+
+
+def template_quality(rows: DataFrame, title: str = "参考文献") -> DataFrame:
+    """Captions that a template holds twice, and templates without a title of references; rows: doc_id, idx, text."""
+    captions = rows.filter(T.caption(F.col("text")).isNotNull()).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    titled = rows.groupBy("doc_id").agg(F.bool_or(T.squeezed(F.coalesce("text", F.lit(""))) == title).alias("there")).filter("NOT there")
+    return issues(captions, "duplicate_caption", WARNING, ["doc_id"], F.col("text")).unionByName(issues(titled, "references_title_missing", WARNING, ["doc_id"], F.lit(title)))

@@ -1,4 +1,4 @@
-"""Rule-pack queries, mostly over written-out rows, as the tables hold no packages or layouts."""
+"""Rule-pack queries over tables, and over rows that both engines generate from the same SQL, as the tables hold no packages or layouts."""
 
 from __future__ import annotations
 
@@ -8,27 +8,32 @@ from pyspark.sql import functions as F
 from quire.operators import rulepack
 from quire.plans.documents import LINES
 from quire.plans.registry import query
+from quire.plans.rendered import GOLDEN
 from quire.plans.text import RE2
 from quire.sources.tables import rows, table
 
+PRESENT = "SELECT d.i AS doc_id, CASE (d.i + s.i) % 5 WHEN 0 THEN 'cover' WHEN 1 THEN 'body' WHEN 2 THEN 'toc' ELSE 'references' END AS section FROM range(100) AS d(i) CROSS JOIN range(3) AS s(i)"
 
-def _expected(values: str) -> str:
-    return f"SELECT * FROM (VALUES {values}) t(doc_id, kind, severity, target)"
 
-
-PRESENT = "(1, 'cover'), (1, 'body'), (1, 'references'), (2, 'body')"
-
-
-@query("SELECT doc_id, 'section_missing' AS kind, 'repairable' AS severity, s AS target FROM (VALUES (1), (2)) d(doc_id) CROSS JOIN (VALUES ('cover'), ('body'), ('references'), ('odd')) w(s) WHERE (doc_id, s) NOT IN (SELECT * FROM (VALUES (1, 'cover'), (1, 'body'), (1, 'references'), (2, 'body')) p(a, b))")
+@query(f"SELECT doc_id, 'section_missing' AS kind, 'repairable' AS severity, s AS target FROM (SELECT DISTINCT doc_id FROM ({PRESENT})) d CROSS JOIN (VALUES ('cover'), ('body'), ('references'), ('odd')) w(s) WHERE (doc_id, s) NOT IN ({PRESENT})")
 def required_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    present = rows(spark, PRESENT, "doc_id, section")
+    present = spark.sql(PRESENT)
     return rulepack.required_sections(present, present, ("cover", "body", "references", "odd"))
 
 
-@query(_expected("(1, 'field_missing', 'repairable', 'Major'), (2, 'field_missing', 'repairable', 'Name'), (2, 'field_missing', 'repairable', 'Major')"))
+FIELDS = """
+SELECT d.i AS doc_id, k.i AS idx, concat(CASE (d.i + k.i) % 4 WHEN 0 THEN 'Name' WHEN 1 THEN 'Major' WHEN 2 THEN 'Names' ELSE 'Title' END, CASE d.i % 3 WHEN 0 THEN ': ' WHEN 1 THEN '：' ELSE ' ' END, CASE (d.i * 3 + k.i) % 7 WHEN 0 THEN '' WHEN 1 THEN '____' WHEN 2 THEN 'XX' WHEN 3 THEN '待填' WHEN 4 THEN '...' WHEN 5 THEN 'Ann' ELSE 'Xa' END) AS text
+FROM range(120) AS d(i) CROSS JOIN range(3) AS k(i)
+"""
+
+
+@query(rf"""
+WITH l AS ({FIELDS}), w(label) AS (VALUES ('Name'), ('Major'))
+SELECT doc_id, 'field_missing' AS kind, 'repairable' AS severity, label AS target FROM (SELECT DISTINCT doc_id FROM l) d CROSS JOIN w WHERE NOT EXISTS (SELECT 1 FROM (SELECT *, trim(regexp_replace(substr(text, length(label) + 1), '^[:：]', '')) AS rest FROM l, w WHERE starts_with(text, label)) r
+ WHERE r.doc_id = d.doc_id AND r.label = w.label AND rest <> '' AND NOT regexp_matches(rest, '^(_+|…+|\.{{3,}}|X+|x+|待填|请填写)$'))
+""")
 def required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = rows(spark, "(1, 0, 'Name: Ann'), (1, 1, 'Major:  '), (2, 0, 'Name：____'), (2, 1, 'other')", "doc_id, idx, text")
-    return rulepack.required_fields(lines, ("Name", "Major"))
+    return rulepack.required_fields(spark.sql(FIELDS), ("Name", "Major"))
 
 
 @query(rf"""
@@ -40,65 +45,157 @@ def length_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rulepack.lengths(docs, title_cn=20, title_en=12, body=20)
 
 
-@query(_expected("(1, 'reference_shape', 'repairable', '1'), (2, 'reference_quantity', 'warning', '1'), (2, 'reference_foreign', 'warning', '0.0'), (1, 'reference_recent', 'warning', '0.3333'), (2, 'reference_recent', 'warning', '0.0')"))
+REFERENCES = """
+SELECT d.i AS doc_id, k.i AS idx, concat(CASE (d.i + k.i) % 5 WHEN 0 THEN '' ELSE concat('[', CAST(k.i + 1 AS STRING), '] ') END, CASE d.i % 3 WHEN 0 THEN '王五. 题目' ELSE 'Ann B. A title' END, CASE (d.i * 2 + k.i) % 4 WHEN 0 THEN '' ELSE '. Press, ' END, CAST(2012 + (d.i * 7 + k.i * 5) % 14 AS STRING), CASE k.i % 3 WHEN 0 THEN '[J]' WHEN 1 THEN '[EB/OL]' ELSE '' END) AS text
+FROM range(80) AS d(i) CROSS JOIN range(6) AS k(i) WHERE k.i < 1 + d.i % 6
+"""
+
+
+@query(rf"""
+WITH l AS (SELECT *, CAST(nullif(regexp_extract(text, '20[2-3]\d'), '') AS INT) AS year, len(regexp_extract_all(text, '[A-Za-z]')) > len(regexp_extract_all(text, '[^\x00-\x7F{RE2}]')) AS alien FROM ({REFERENCES})),
+c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (alien) / count(*) AS alien, count(*) FILTER (year >= 2020) / count(*) AS recent FROM l GROUP BY doc_id)
+SELECT doc_id, 'reference_shape' AS kind, 'repairable' AS severity, CAST(idx AS VARCHAR) AS target FROM l WHERE NOT regexp_matches(text, '^\[\d+\].+\. .+(\[[A-Z](/[A-Z]+)?\]|//)')
+UNION ALL SELECT doc_id, 'reference_quantity', 'warning', CAST(n AS VARCHAR) FROM c WHERE n < 3 UNION ALL SELECT doc_id, 'reference_foreign', 'warning', CAST(round(alien, 4) AS VARCHAR) FROM c WHERE alien < 0.3 UNION ALL SELECT doc_id, 'reference_recent', 'warning', CAST(round(recent, 4) AS VARCHAR) FROM c WHERE recent < 0.5
+""")
 def reference_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = rows(spark, "(1, 0, '[1] Ann B. A title. Press, 2021[J]'), (1, 1, 'no shape 2010'), (1, 2, '[2] Cy D. Some. Work 2012[M]'), (2, 0, '[1] 王五. 题目. 出版社, 2010[M]')", "doc_id, idx, text")
-    return rulepack.reference_rules(refs, least=3, foreign=0.3, recent=0.5)
+    return rulepack.reference_rules(spark.sql(REFERENCES), least=3, foreign=0.3, recent=0.5)
 
 
-@query(_expected("(1, 'page_setup', 'repairable', 'left_margin'), (2, 'page_setup', 'repairable', 'top_margin')"))
+@query("""
+SELECT doc_id, 'page_setup' AS kind, 'repairable' AS severity, name AS target FROM (SELECT p_partkey AS doc_id, CASE WHEN p_size % 7 = 0 THEN NULL ELSE 1430 + p_size % 30 END AS top_margin, 1780 + p_size AS left_margin FROM part) UNPIVOT INCLUDE NULLS (v FOR name IN (top_margin, left_margin))
+WHERE v IS NULL OR abs(v - CASE name WHEN 'top_margin' THEN 1445 ELSE 1800 END) > 10
+""")
 def page_setup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    actual = rows(spark, "(1, 1440, 1700), (2, NULL, 1800)", "doc_id, top_margin, left_margin")
+    size = F.col("p_size")
+    actual = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.when(size % 7 != 0, 1430 + size % 30).alias("top_margin"), (1780 + size).alias("left_margin"))
     return rulepack.page_setup(actual, {"top_margin": 1445, "left_margin": 1800})
 
 
-@query(_expected("(1, 'heading_scheme_mixed', 'warning', '2'), (2, 'heading_too_deep', 'warning', '1')"))
+HEADINGS = """
+SELECT d.i AS doc_id, k.i AS idx, CASE (d.i + k.i * (d.i % 3)) % 6 WHEN 0 THEN '1 A' WHEN 1 THEN '1.1.1.1.1 Deep' WHEN 2 THEN CASE WHEN d.i % 2 = 0 THEN '第二章 B' ELSE '2.1 C' END WHEN 3 THEN '（一）节' WHEN 4 THEN '1.2.3.4 D' ELSE 'plain' END AS text FROM range(90) AS d(i) CROSS JOIN range(4) AS k(i)
+"""
+
+
+@query(rf"""
+WITH l AS (SELECT *, CASE WHEN regexp_matches(text, '^\d') THEN 'decimal' WHEN regexp_matches(text, '^(第|[一二三四五六七八九十（(])') THEN 'chapter' END AS scheme FROM ({HEADINGS}))
+SELECT doc_id, 'heading_scheme_mixed' AS kind, 'warning' AS severity, '2' AS target FROM l GROUP BY doc_id HAVING count(DISTINCT scheme) > 1
+UNION ALL SELECT doc_id, 'heading_too_deep', 'warning', CAST(idx AS VARCHAR) FROM l WHERE scheme = 'decimal' AND len(string_split(regexp_extract(text, '^[\d.]*\d'), '.')) > 4
+""")
 def heading_scheme(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rulepack.heading_scheme(rows(spark, "(1, 0, '1 A'), (1, 1, '第二章 B'), (2, 0, '1.1 C'), (2, 1, '1.1.1.1.1 D')", "doc_id, idx, text"))
+    return rulepack.heading_scheme(spark.sql(HEADINGS))
+
 
+PLACED = """
+SELECT d.i AS doc_id, k.i AS idx, CASE (d.i + k.i) % 3 WHEN 0 THEN 'p' WHEN 1 THEN CASE WHEN d.i % 2 = 0 THEN 'tbl' ELSE 'p' END ELSE 'drawing' END AS kind, CASE (d.i * 2 + k.i) % 6 WHEN 0 THEN 'Table 1 a' WHEN 1 THEN 'Figure 1-2 b' WHEN 2 THEN '表2 数据' WHEN 3 THEN '图3.1 图' ELSE 'text' END AS text FROM range(80) AS d(i) CROSS JOIN range(9) AS k(i)
+"""
 
-@query(_expected("(1, 'caption_position', 'repairable', '3'), (1, 'caption_position', 'repairable', '6')"))
+
+@query(rf"""
+WITH l AS (SELECT *, lead(kind) OVER w AS after, lag(kind) OVER w AS before FROM ({PLACED}) WINDOW w AS (PARTITION BY doc_id ORDER BY idx))
+SELECT doc_id, 'caption_position' AS kind, 'repairable' AS severity, CAST(idx AS VARCHAR) AS target FROM l WHERE (regexp_matches(text, '^(Table|表) *\d') AND coalesce(after, '') <> 'tbl') OR (regexp_matches(text, '^(Figure|图) *\d') AND coalesce(before, '') <> 'drawing')
+""")
 def caption_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rows(spark, "(1, 0, 'p', 'Table 1 ok'), (1, 1, 'tbl', ''), (1, 2, 'tbl', ''), (1, 3, 'p', 'Table 2 below'), (1, 4, 'drawing', ''), (1, 5, 'p', 'Figure 1 ok'), (1, 6, 'p', 'Figure 2 alone')", "doc_id, idx, kind, text")
-    return rulepack.caption_positions(found)
+    return rulepack.caption_positions(spark.sql(PLACED))
 
 
-LAYOUT = "(1, 0, NULL, NULL, NULL, NULL), (1, 1, 'h1', 'f1', 'upperRoman', 1), (1, 2, NULL, 'f1', 'decimal', 5), (2, 0, 'h', 'f', 'decimal', 1), (2, 1, 'h', 'g', NULL, NULL)"
-LAYOUT_NAMES = "doc_id, idx, header_id, footer_id, number_format, number_start"
+LAYOUT = """
+SELECT d.i AS doc_id, s.i AS idx, CASE WHEN (d.i + s.i) % 3 = 0 THEN concat('h', CAST(s.i AS STRING)) END AS header_id, CASE (d.i + s.i * 2) % 5 WHEN 0 THEN NULL WHEN 1 THEN 'f1' ELSE concat('f', CAST(s.i AS STRING)) END AS footer_id,
+ CASE (d.i + s.i) % 4 WHEN 0 THEN 'upperRoman' WHEN 1 THEN 'decimal' WHEN 2 THEN NULL ELSE 'lowerRoman' END AS number_format, CASE (d.i * 3 + s.i) % 3 WHEN 0 THEN 1 WHEN 1 THEN 5 END AS number_start FROM range(120) AS d(i) CROSS JOIN range(4) AS s(i) WHERE s.i < 1 + d.i % 4
+"""
 
 
-@query(_expected("(1, 'section_header_footer_inherited', 'repairable', '2'), (1, 'linked_header_footer_sections', 'repairable', 'f1'), (1, 'body_page_number_not_decimal_start', 'repairable', '2')"))
+@query(f"""
+WITH l AS (SELECT *, CAST(idx AS VARCHAR) AS t, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS place FROM ({LAYOUT}))
+SELECT doc_id, 'section_header_footer_inherited' AS kind, 'repairable' AS severity, t AS target FROM l WHERE header_id IS NULL AND EXISTS (SELECT 1 FROM l b WHERE b.doc_id = l.doc_id AND b.idx < l.idx AND b.header_id IS NOT NULL)
+UNION ALL SELECT doc_id, 'linked_header_footer_sections', 'repairable', footer_id FROM l WHERE footer_id IS NOT NULL GROUP BY doc_id, footer_id HAVING count(*) > 1
+UNION ALL SELECT doc_id, 'cover_page_number_present', 'repairable', number_format FROM l WHERE n >= 3 AND place = 1 AND number_format IS NOT NULL
+UNION ALL SELECT doc_id, 'front_page_number_not_roman', 'repairable', t FROM l WHERE n >= 3 AND place = 2 AND NOT (coalesce(number_format, '') ILIKE '%roman' AND coalesce(number_start, 0) = 1)
+UNION ALL SELECT doc_id, 'body_page_number_not_decimal_start', 'repairable', t FROM l WHERE n >= 3 AND place = 3 AND NOT (coalesce(number_format, 'decimal') = 'decimal' AND coalesce(number_start, 0) = 1)
+""")
 def section_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    layout = rows(spark, LAYOUT, LAYOUT_NAMES)
+    layout = spark.sql(LAYOUT)
     return rulepack.section_headers(layout).union(rulepack.page_numbers(layout))
 
 
-@query(_expected("(1, 'table_layout_not_centered', 'repairable', '2'), (1, 'table_repeating_header_missing', 'repairable', '1'), (1, 'table_three_line_format', 'repairable', '2')"))
+TABLES = "SELECT d.i AS doc_id, k.i AS idx, (d.i + k.i) % 5 = 0 AS on_cover, d.i % 2 = 0 AS centred, (d.i + k.i) % 7 = 1 AS floating, (d.i * k.i) % 3 AS width, (d.i + k.i) % 3 > 0 AS repeats_header, (d.i + k.i) % 4 > 0 AS three_lines FROM range(60) AS d(i) CROSS JOIN range(5) AS k(i)"
+
+
+@query(f"""
+WITH t AS (SELECT *, CAST(idx AS VARCHAR) AS target FROM ({TABLES}) WHERE NOT on_cover) SELECT doc_id, 'table_layout_not_centered' AS kind, 'repairable' AS severity, target FROM t WHERE NOT centred OR width <= 0 OR floating
+UNION ALL SELECT doc_id, 'table_repeating_header_missing', 'repairable', target FROM t WHERE NOT repeats_header UNION ALL SELECT doc_id, 'table_three_line_format', 'repairable', target FROM t WHERE NOT three_lines
+""")
 def table_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rows(spark, "(1, 0, true, false, false, 0, false, false), (1, 1, false, true, false, 9, false, true), (1, 2, false, true, true, 9, true, false)", "doc_id, idx, on_cover, centred, floating, width, repeats_header, three_lines")
-    return rulepack.tables(found, three_lines=True)
+    return rulepack.tables(spark.sql(TABLES), three_lines=True)
+
 
+MEDIA = "SELECT d.i AS doc_id, concat('word/media/', CAST(k.i AS STRING), CASE (d.i + k.i) % 4 WHEN 0 THEN '.PNG' WHEN 1 THEN '.png' WHEN 2 THEN '.GIF' ELSE '.jpeg' END) AS part_name FROM range(50) AS d(i) CROSS JOIN range(4) AS k(i) UNION ALL SELECT i, 'word/styles.xml' FROM range(50) AS t(i)"
+LINKS = "SELECT d.i AS doc_id, 'word/document.xml' AS source_part, CASE (d.i + k.i) % 6 WHEN 0 THEN concat('media/', CAST(k.i AS STRING), '.PNG') WHEN 1 THEN '../word/styles.xml' WHEN 2 THEN 'http://x' WHEN 3 THEN '#top' WHEN 4 THEN '/word/gone.xml' ELSE './media/1.png' END AS target, (d.i + k.i) % 6 = 2 AS external FROM range(50) AS d(i) CROSS JOIN range(5) AS k(i)"
+TYPES = "SELECT i AS doc_id, CASE WHEN i % 3 = 0 THEN 'GIF' ELSE 'png' END AS extension FROM range(50) AS t(i)"
 
-@query(_expected("(1, 'relationship_target_missing', 'repairable', 'word/media/b.png'), (1, 'media_content_type_missing', 'repairable', 'word/media/c.GIF')"))
+
+@query(f"""
+WITH r AS (SELECT doc_id, CASE WHEN target LIKE '/%' THEN substr(target, 2) WHEN target LIKE '../%' THEN substr(target, 4) WHEN target LIKE './%' THEN 'word/' || substr(target, 3) ELSE 'word/' || target END AS path FROM ({LINKS}) WHERE NOT external AND target NOT LIKE '#%')
+SELECT DISTINCT doc_id, 'relationship_target_missing' AS kind, 'repairable' AS severity, path AS target FROM r WHERE (doc_id, path) NOT IN ({MEDIA})
+UNION ALL SELECT doc_id, 'media_content_type_missing', 'repairable', part_name FROM ({MEDIA}) WHERE part_name LIKE '%/media/%' AND (doc_id, lower(split_part(part_name, '.', -1))) NOT IN (SELECT doc_id, lower(extension) FROM ({TYPES}))
+""")
 def package_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = rows(spark, "(1, 'word/media/a.PNG'), (1, 'word/media/c.GIF'), (1, 'word/styles.xml')", "doc_id, part_name")
-    relations = rows(spark, "(1, 'word/document.xml', 'media/b.png', false), (1, 'word/document.xml', '../word/styles.xml', false), (1, 'word/document.xml', 'http://x', true), (1, 'word/document.xml', '#top', false), (1, 'word/document.xml', '/word/media/c.GIF', false)", "doc_id, source_part, target, external")
-    return rulepack.relationship_targets(relations, parts).union(rulepack.media_types(parts, rows(spark, "(1, 'png')", "doc_id, extension")))
+    parts = spark.sql(MEDIA)
+    return rulepack.relationship_targets(spark.sql(LINKS), parts).union(rulepack.media_types(parts, spark.sql(TYPES)))
+
 
+PAGES = f"{GOLDEN} UNION ALL SELECT i, 9, CASE WHEN i % 4 = 0 THEN '  ' ELSE 'Err or !' END FROM range(60) AS t(i)"
+TEXT_RULES = "SELECT d.i AS doc_id, CASE WHEN r.i % 2 = 0 THEN 'required' ELSE 'forbidden' END AS rule, CASE r.i WHEN 0 THEN 'Abstract' WHEN 1 THEN 'Error!' WHEN 2 THEN 'Not there' ELSE 'End' END AS text FROM range(60) AS d(i) CROSS JOIN range(4) AS r(i)"
 
-@query(_expected("(1, 'missing_rendered_text', 'error', 'Not there'), (1, 'forbidden_rendered_text', 'error', 'Error!'), (1, 'blank_rendered_page', 'error', '2')"))
+
+@query(f"""
+WITH p AS (SELECT doc_id, page, replace(text, ' ', '') AS bare FROM ({PAGES})), r AS (SELECT *, EXISTS (SELECT 1 FROM p WHERE p.doc_id = r.doc_id AND contains(bare, replace(r.text, ' ', ''))) AS held FROM ({TEXT_RULES}) r)
+SELECT doc_id, 'missing_rendered_text' AS kind, 'error' AS severity, text AS target FROM r WHERE rule = 'required' AND NOT held UNION ALL SELECT doc_id, 'forbidden_rendered_text', 'error', text FROM r WHERE rule = 'forbidden' AND held
+UNION ALL SELECT doc_id, 'blank_rendered_page', 'error', CAST(page AS VARCHAR) FROM p WHERE bare = ''
+""")
 def rendered_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = rows(spark, "(1, 1, 'Ab stract Error !'), (1, 2, '  ')", "doc_id, page, text")
-    return rulepack.rendered(pages, rows(spark, "(1, 'required', 'Abstract'), (1, 'required', 'Not there'), (1, 'forbidden', 'Error!'), (1, 'forbidden', 'none')", "doc_id, rule, text"))
+    return rulepack.rendered(spark.sql(PAGES), spark.sql(TEXT_RULES))
+
 
+PRINTED = f"SELECT doc_id, page, CASE WHEN (doc_id + page) % 5 > 0 THEN CAST(page - 1 AS STRING) END AS printed, text FROM ({GOLDEN}) AS g"
+TOC = "SELECT d.i AS doc_id, CASE h.i WHEN 0 THEN 'Abstract' WHEN 1 THEN 'Method' WHEN 2 THEN 'Results' ELSE 'Gone' END AS heading FROM range(60) AS d(i) CROSS JOIN range(4) AS h(i)"
 
-@query("SELECT * FROM (VALUES (1, '1 Intro', '1'), (1, '2 End', '3')) t(doc_id, heading, printed)")
+
+@query(f"SELECT h.doc_id, heading, arg_min(printed, page) AS printed FROM ({TOC}) h JOIN ({PRINTED}) p ON p.doc_id = h.doc_id AND printed IS NOT NULL AND contains(replace(text, ' ', ''), heading) GROUP BY h.doc_id, heading")
 def toc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = rows(spark, "(1, 1, NULL, 'Contents 1 Intro 2 End'), (1, 2, '1', '1  Intro text'), (1, 4, '3', 'then 2 End'), (1, 5, '4', '2 End again')", "doc_id, page, printed, text")
-    return rulepack.toc_pages(rows(spark, "(1, '1 Intro'), (1, '2 End'), (1, '3 Gone')", "doc_id, heading"), pages)
+    return rulepack.toc_pages(spark.sql(TOC), spark.sql(PRINTED))
 
 
 @query("SELECT * FROM (VALUES (1, '2.5', '3', '1.5', '15', NULL), (2, '2.54', NULL, NULL, NULL, '3')) t(doc_id, top_cm, left_cm, line, \"references\", keywords)")
 def requirement_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = rows(spark, "(1, 'Top margin 2.5 cm, left 3cm; line spacing 1.5; at least references: 15'), (2, '上边距 2.54cm，关键词 3 至 5 个')", "doc_id, text")
     return rulepack.requirements(texts)
+
+
+ABSTRACTS = """
+SELECT d.i AS doc_id, concat('cover', chr(10), CASE WHEN d.i % 5 = 0 THEN 'none' ELSE '摘要' END, chr(10), repeat('内容文字', CAST((d.i * 37) % 900 AS INT)), chr(10), '关键词', chr(10), CASE WHEN d.i % 3 = 0 THEN 'nothing' ELSE 'Abstract' END, chr(10), CASE WHEN d.i % 4 = 0 THEN ' ' ELSE 'We study.' END, chr(10), 'Keywords') AS text FROM range(90) AS d(i)
+"""
+
+
+@query(f"""
+SELECT doc_id, 'cn_abstract_len' AS kind, 'warning' AS severity, CAST(4 * ((doc_id * 37) % 900) AS VARCHAR) AS target FROM ({ABSTRACTS}) WHERE doc_id % 5 > 0 AND 4 * ((doc_id * 37) % 900) BETWEEN 1 AND 1999
+UNION ALL SELECT doc_id, 'en_abstract_missing', 'warning', 'missing' FROM ({ABSTRACTS}) WHERE doc_id % 3 = 0 OR doc_id % 4 = 0
+""")
+def abstract_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rulepack.abstracts(spark.sql(ABSTRACTS))
+
+
+@query(f"""
+WITH v AS (SELECT doc_id, 1 AS n FROM ({HEADINGS}) WHERE text LIKE '第%' UNION ALL SELECT doc_id, 2 FROM ({HEADINGS}) WHERE text = 'plain')
+SELECT doc_id, 'profile_rule' AS kind, 'repairable' AS severity, CAST(sum(n) AS VARCHAR) AS target FROM v GROUP BY doc_id
+""")
+def profile_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headings = spark.sql(HEADINGS)
+    return rulepack.profile([headings.filter("text LIKE '第%'").select("doc_id", F.lit(1).alias("n")), headings.filter("text = 'plain'").select("doc_id", F.lit(2).alias("n"))])
+
+
+@query(rf"""
+WITH c AS (SELECT *, regexp_extract(text, '^(Table|Figure|表|图)') AS label FROM ({PLACED}) WHERE regexp_matches(text, '^(Table|Figure|表|图) *\d'))
+SELECT doc_id, 'duplicate_caption' AS kind, 'warning' AS severity, text AS target FROM c GROUP BY doc_id, text HAVING count(*) > 1 UNION ALL SELECT DISTINCT doc_id, 'references_title_missing', 'warning', '参考文献' FROM ({PLACED})
+""")
+def template_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rulepack.template_quality(spark.sql(PLACED))
