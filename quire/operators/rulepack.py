@@ -34,15 +34,16 @@ def required_fields(rows: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     return issues(found, "field_missing", REPAIRABLE, ["doc_id"], F.col("label"))
 
 
-def lengths(facts: DataFrame, *, title_cn: int, title_en: int, body: int) -> DataFrame:
+def lengths(facts: DataFrame, *, title_cn: int, title_en: int, least_body: int) -> DataFrame:
     """Titles over their length in Han characters or English words, bodies under theirs; facts: doc_id, title, body."""
-    return union_of(
-        [
-            _where(facts, T.han_count(F.col("title")) > title_cn, "title_too_long", REPAIRABLE, T.han_count(F.col("title"))),
-            _where(facts, (T.han_count(F.col("title")) == 0) & (T.ascii_words(F.col("title")) > title_en), "title_too_long", REPAIRABLE, T.ascii_words(F.col("title"))),
-            _where(facts, T.wide_count(F.col("body")) < body, "body_too_short", REPAIRABLE, T.wide_count(F.col("body"))),
-        ]
-    )
+    title, body = F.col("title"), T.wide_count(F.col("body"))
+    han, words = T.han_count(title), T.ascii_words(title)
+    rules = [
+        ("title_too_long", REPAIRABLE, han > title_cn, han),
+        ("title_too_long", REPAIRABLE, (han == 0) & (words > title_en), words),
+        ("body_too_short", REPAIRABLE, F.col("wide") < F.lit(least_body), F.col("wide")),
+    ]
+    return checked(facts.withColumn("wide", body), ["doc_id"], rules)
 
 
 def reference_rules(rows: DataFrame, *, least: int, foreign: float, recent: float, this_year: int = 2025) -> DataFrame:
@@ -50,14 +51,13 @@ def reference_rules(rows: DataFrame, *, least: int, foreign: float, recent: floa
     year = F.nullif(T.first_year(F.col("text")), F.lit("")).cast("int")
     n = F.count(F.lit(1))
     counted = rows.groupBy("doc_id").agg(n.alias("n"), (F.count(F.when(T.is_foreign(F.col("text")), 1)) / n).alias("foreign"), (F.count(F.when(year >= this_year - 5, 1)) / n).alias("recent"))
-    return union_of(
-        [
-            _where(rows, ~F.col("text").rlike(ENTRY), "reference_shape", REPAIRABLE, F.col("idx")),
-            _where(counted, F.col("n") < least, "reference_quantity", WARNING, F.col("n")),
-            _where(counted, F.col("foreign") < foreign, "reference_foreign", WARNING, F.round("foreign", 4)),
-            _where(counted, F.col("recent") < recent, "reference_recent", WARNING, F.round("recent", 4)),
-        ]
-    )
+    shapes = checked(rows, ["doc_id"], [("reference_shape", REPAIRABLE, ~F.col("text").rlike(ENTRY), F.col("idx"))])
+    shares = [
+        ("reference_quantity", WARNING, F.col("n") < least, F.col("n")),
+        ("reference_foreign", WARNING, F.col("foreign") < foreign, F.round("foreign", 4)),
+        ("reference_recent", WARNING, F.col("recent") < recent, F.round("recent", 4)),
+    ]
+    return shapes.unionByName(checked(counted, ["doc_id"], shares))
 
 
 def page_setup(actual: DataFrame, wanted: dict[str, int], tolerance: int = 10) -> DataFrame:
@@ -97,25 +97,24 @@ def page_numbers(sections: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id")
     ranked = sections.withColumns({"n": F.count(F.lit(1)).over(w), "place": F.row_number().over(w.orderBy("idx"))}).filter("n >= 3")
     form, start = F.col("number_format"), F.col("number_start")
-    return union_of(
-        [
-            _where(ranked, (F.col("place") == 1) & form.isNotNull(), "cover_page_number_present", REPAIRABLE, form),
-            _where(ranked, (F.col("place") == 2) & ~F.coalesce(F.lower(form).like("%roman") & (start == 1), F.lit(False)), "front_page_number_not_roman", REPAIRABLE, F.col("idx")),
-            _where(ranked, (F.col("place") == 3) & ~(F.coalesce(form, F.lit("decimal")) == "decimal") | ((F.col("place") == 3) & ~F.coalesce(start == 1, F.lit(False))), "body_page_number_not_decimal_start", REPAIRABLE, F.col("idx")),
-        ]
-    )
+    place = F.col("place")
+    rules = [
+        ("cover_page_number_present", REPAIRABLE, (place == 1) & form.isNotNull(), form),
+        ("front_page_number_not_roman", REPAIRABLE, (place == 2) & ~F.coalesce(F.lower(form).like("%roman") & (start == 1), F.lit(False)), F.col("idx")),
+        ("body_page_number_not_decimal_start", REPAIRABLE, (place == 3) & ~((F.coalesce(form, F.lit("decimal")) == "decimal") & F.coalesce(start == 1, F.lit(False))), F.col("idx")),
+    ]
+    return checked(ranked, ["doc_id"], rules)
 
 
 def tables(found: DataFrame, *, three_lines: bool) -> DataFrame:
     """Tables outside of the cover: centred, with a width, a repeating header and, if asked, three lines."""
-    body = found.filter("NOT on_cover")
-    checks = [
-        _where(body, ~(F.col("centred") & (F.col("width") > 0) & ~F.col("floating")), "table_layout_not_centered", REPAIRABLE, F.col("idx")),
-        _where(body, ~F.col("repeats_header"), "table_repeating_header_missing", REPAIRABLE, F.col("idx")),
+    idx = F.col("idx")
+    rules = [
+        ("table_layout_not_centered", REPAIRABLE, ~(F.col("centred") & (F.col("width") > 0) & ~F.col("floating")), idx),
+        ("table_repeating_header_missing", REPAIRABLE, ~F.col("repeats_header"), idx),
+        ("table_three_line_format", REPAIRABLE, ~F.col("three_lines") & F.lit(three_lines), idx),
     ]
-    if three_lines:
-        checks.append(_where(body, ~F.col("three_lines"), "table_three_line_format", REPAIRABLE, F.col("idx")))
-    return union_of(checks)
+    return checked(found.filter("NOT on_cover"), ["doc_id"], rules)
 
 
 def relationship_targets(relations: DataFrame, parts: DataFrame) -> DataFrame:

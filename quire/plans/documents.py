@@ -87,26 +87,41 @@ def sticky_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.carried(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", marker, "since", -1).select("conv_id", "turn", "since")
 
 
-THESIS = """(1, 0, 'body', 'University'), (1, 1, 'abstract_title', 'Abstract'), (1, 2, 'body', 'We study'), (1, 3, 'table_of_contents_title', 'Contents'), (1, 4, 'heading_1', '1 Introduction'),
-(1, 5, 'cover', 'thesis text'), (1, 6, 'references_title', 'References'), (1, 7, 'body', 'A. Author'), (1, 8, 'heading_1', '2 Late'), (1, 9, 'body', 'Acknowledgements'), (1, 10, 'body', 'thanks'), (2, 0, 'heading_1', '1 Only')"""
+LABELLED = """
+SELECT d.i AS doc_id, k.i AS idx, CASE (d.i * 5 + k.i * (1 + d.i % 4)) % 14 WHEN 0 THEN 'cover' WHEN 1 THEN 'abstract_title' WHEN 2 THEN 'abstract' WHEN 3 THEN 'en_abstract' WHEN 4 THEN 'en_keywords' WHEN 5 THEN 'table_of_contents_title' WHEN 6 THEN 'table_of_contents'
+  WHEN 7 THEN 'heading_1' WHEN 8 THEN 'heading_2' WHEN 9 THEN 'references_title' WHEN 10 THEN 'title' WHEN 11 THEN 'references' ELSE 'body' END AS label,
+ CASE (d.i + k.i * 3) % 11 WHEN 0 THEN CASE WHEN k.i > 15 THEN '附录 A' ELSE 'x' END WHEN 1 THEN CASE WHEN k.i > 12 THEN 'Acknowledgements' ELSE 'y' END WHEN 2 THEN 'a........1' WHEN 3 THEN 'An appendix that is much too long to be a heading' ELSE 'text' END AS text
+FROM range(80) AS d(i) CROSS JOIN range(25) AS k(i)
+"""
 
 
-@query("""
-SELECT * FROM (VALUES (1, 0, 'cover', 'cover'), (1, 1, 'abstract', 'abstract_title'), (1, 2, 'body', 'body'), (1, 3, 'body', 'table_of_contents_title'), (1, 4, 'body', 'heading_1'),
-(1, 5, 'body', 'body'), (1, 6, 'references', 'references_title'), (1, 7, 'references', 'references'), (1, 8, 'body', 'heading_1'), (1, 9, 'acknowledgements', 'acknowledgements'), (1, 10, 'acknowledgements', 'acknowledgements'), (2, 0, 'body', 'heading_1')) t(doc_id, idx, zone, label)
+@query(rf"""
+WITH RECURSIVE l AS (SELECT *, lower(text) AS low, label LIKE 'heading\_%' ESCAPE '\' AS heads, len(regexp_extract_all(text, '\.')) > 5 AS toc FROM ({LABELLED})),
+f AS (SELECT DISTINCT doc_id, CAST(-1 AS BIGINT) AS idx, 0 AS zone, '' AS label FROM l UNION ALL SELECT l.doc_id, l.idx, CASE WHEN regexp_matches(low, '附录|appendix') AND length(text) <= 30 THEN 7 WHEN regexp_matches(low, '致谢|acknowledg') AND length(text) <= 20 THEN 6 WHEN zone = 5 AND heads AND NOT toc THEN 4
+  WHEN zone <= 0 AND l.label IN ('abstract', 'abstract_title') THEN 1 WHEN zone <= 1 AND l.label IN ('en_abstract', 'en_abstract_title', 'en_keywords') THEN 2 WHEN zone <= 2 AND l.label IN ('table_of_contents', 'table_of_contents_title') THEN 3
+  WHEN zone <= 3 AND (heads OR l.label = 'body') AND NOT toc THEN CASE WHEN zone = 0 AND l.label = 'body' THEN zone ELSE 4 END WHEN zone = 4 AND l.label = 'references_title' AND NOT toc THEN 5 ELSE zone END, l.label FROM f JOIN l ON l.doc_id = f.doc_id AND l.idx = f.idx + 1),
+m(z, label, new) AS (VALUES {', '.join(f"({paragraphs.ZONES.index(z)}, '{a}', '{b}')" for z, t in paragraphs.RELABEL.items() for a, b in t.items())})
+SELECT doc_id, idx, [{', '.join(f"'{z}'" for z in paragraphs.ZONES)}][zone + 1] AS zone, coalesce(new, f.label) AS label FROM f LEFT JOIN m ON m.z = f.zone AND m.label = f.label WHERE idx >= 0
 """)
 def zone_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.zones(rows(spark, THESIS, "doc_id, idx, label, text"))
+    return paragraphs.zones(spark.sql(LABELLED))
 
 
-FIGURES = "(1, 0, 'Figure 1 a'), (1, 1, 'Figure 3 b'), (1, 2, 'Table 1-1 c'), (1, 3, 'Table 1-2 d'), (1, 4, 'Table 2 e'), (2, 0, 'Figure 1 x'), (2, 1, 'plain'), (2, 2, 'Figure 2 y')"
+CAPTIONED = """
+SELECT d.i AS doc_id, k.i AS idx, concat(CASE (d.i + k.i) % 3 WHEN 0 THEN 'Figure ' WHEN 1 THEN 'Table ' ELSE '图' END, CASE (d.i + CAST(floor(k.i / 4) AS INT)) % 4 WHEN 0 THEN '1-' WHEN 1 THEN '2.' ELSE '' END, CAST(CAST(floor(k.i / 3) AS INT) + 1 - CASE WHEN d.i % 5 = 0 THEN 1 ELSE 0 END AS STRING), CASE WHEN d.i % 7 = 3 AND k.i = 2 THEN '99999999999' ELSE ' caption' END) AS text
+FROM range(60) AS d(i) CROSS JOIN range(12) AS k(i) UNION ALL SELECT i, 50, 'plain' FROM range(60) AS t(i)
+"""
 
 
-@query("""
-SELECT * FROM (VALUES (1, 1, 'caption_number_sequence'), (1, 4, 'caption_number_sequence'), (1, 2, 'caption_numbering_mixed_format'), (1, 2, 'caption_missing_chapter_number')) t(doc_id, idx, kind)
+@query(rf"""
+WITH p AS (SELECT doc_id, idx, regexp_extract(text, '^(图|表|Figure|Table) *(?:(\d+)([.-]))?(\d+)', ['label', 'chapter', 'mark', 'n']) AS p FROM ({CAPTIONED})),
+c AS (SELECT doc_id, idx, p.label AS label, p.mark AS mark, p.chapter AS chapter, TRY_CAST(p.n AS INT) AS ordinal FROM p WHERE p.label <> ''),
+e AS (SELECT *, coalesce(max(ordinal) OVER (PARTITION BY doc_id, label, mark, chapter ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS expected FROM c),
+g AS (SELECT doc_id, label, min(idx) AS idx, count(DISTINCT mark) AS forms, bool_or(mark = '') AS simple FROM c GROUP BY doc_id, label)
+SELECT doc_id, idx, 'caption_number_sequence' AS kind FROM e WHERE ordinal <= 0 OR ordinal <> expected UNION ALL SELECT doc_id, idx, 'caption_numbering_mixed_format' FROM g WHERE forms > 1 UNION ALL SELECT doc_id, idx, 'caption_missing_chapter_number' FROM g WHERE forms > 1 AND simple
 """)
 def caption_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.caption_issues(rows(spark, FIGURES, "doc_id, idx, text"))
+    return paragraphs.caption_issues(spark.sql(CAPTIONED))
 
 
 @query(rf"""
@@ -151,18 +166,27 @@ def consensus_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.consensus(samples, ["l_returnflag", "l_linestatus"], ["quantity"], ["l_linenumber"], ["discounted"])
 
 
-SPECS = "(1, 'SimSun', 'Times', 24, true, 'center', 360, 0, 0, 480, 'SimSun', 'Arial', 25, false, 'left', 390, 10, 0, 430), (2, '', '', 0, false, '', 0, 0, 0, 0, 'x', 'y', 9, false, 'z', 1, 1, 1, 1), (3, 'Hei', 'Times', 28, false, 'left', 240, 20, 20, 0, NULL, 'Times', 26, false, NULL, 245, 45, 39, 7)"
 SPEC_COLUMNS = ("font_east_asia", "font_ascii", "size_half_pt", "bold", "alignment", "line", "space_before", "space_after", "first_line_indent")
-SPEC_NAMES = "id, " + ", ".join([f"e_{c}" for c in SPEC_COLUMNS] + [f"a_{c}" for c in SPEC_COLUMNS])
+SPECS = """
+SELECT i AS id, CASE i % 4 WHEN 0 THEN '' WHEN 1 THEN 'SimSun' ELSE 'Hei' END AS e_font_east_asia, CASE i % 3 WHEN 0 THEN 'Times' END AS e_font_ascii, CASE i % 5 WHEN 0 THEN 0 ELSE 24 + i % 3 END AS e_size_half_pt, i % 2 = 0 AS e_bold, CASE i % 3 WHEN 0 THEN 'left' ELSE '' END AS e_alignment,
+ i % 7 * 100 AS e_line, i % 3 * 20 AS e_space_before, i % 2 * 30 AS e_space_after, i % 5 * 100 AS e_first_line_indent, CASE i % 5 WHEN 0 THEN NULL WHEN 1 THEN 'SimSun' ELSE 'Hei' END AS a_font_east_asia, CASE i % 7 WHEN 0 THEN 'Times' ELSE 'Arial' END AS a_font_ascii, 23 + i % 4 AS a_size_half_pt,
+ i % 3 = 0 AS a_bold, CASE i % 4 WHEN 0 THEN 'left' WHEN 1 THEN NULL ELSE 'center' END AS a_alignment, i % 7 * 100 + i % 30 AS a_line, CASE WHEN i % 6 = 0 THEN NULL ELSE i % 4 * 20 END AS a_space_before, i % 3 * 25 AS a_space_after, i % 5 * 100 + i % 50 AS a_first_line_indent FROM range(210) AS t(i)
+"""
 
 
-@query("""
-SELECT * FROM (VALUES (1, 'font_ascii', 'warning', 'Times', 'Arial'), (1, 'bold', 'error', 'true', 'false'), (1, 'alignment', 'error', 'center', 'left'), (1, 'line', 'warning', '360', '390'), (1, 'first_line_indent', 'warning', '480', '430'),
-(3, 'font_east_asia', 'error', 'Hei', NULL), (3, 'size_half_pt', 'error', '28', '26'), (3, 'alignment', 'error', 'left', NULL), (3, 'space_before', 'warning', '20', '45')) t(id, attribute, severity, wanted, found)
-""")
+def _compared() -> str:
+    out = []
+    for name, severity, tolerance in formats.ATTRIBUTES:
+        given = "true" if name == "bold" else f"e_{name} <> ''" if tolerance is None else f"e_{name} <> 0"
+        differs = f"e_{name} IS DISTINCT FROM a_{name}" if tolerance is None else f"abs(e_{name} - coalesce(a_{name}, 0)) > {tolerance}"
+        out.append(f"SELECT id, '{name}' AS attribute, '{severity}' AS severity, CAST(e_{name} AS VARCHAR) AS wanted, CAST(a_{name} AS VARCHAR) AS found FROM s WHERE e_{name} IS NOT NULL AND {given} AND {differs}")
+    return " UNION ALL ".join(out)
+
+
+@query(f"WITH s AS ({SPECS}) {_compared()}")
 def spec_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda p: F.struct(*[F.col(f"{p}_{c}").alias(c) for c in SPEC_COLUMNS])
-    return formats.spec_diff(rows(spark, SPECS, SPEC_NAMES).select("id", side("e").alias("expected"), side("a").alias("actual")))
+    return formats.spec_diff(spark.sql(SPECS).select("id", side("e").alias("expected"), side("a").alias("actual")))
 
 
 @query(f"""
@@ -239,25 +263,14 @@ def issue_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues.fingerprint(found_issues(spark, sf_dir), ["doc_id"]).withColumn("fingerprint", F.md5("fingerprint"))
 
 
-KEYWORD_LINES = "(1, 'a；b；c'), (2, 'a, b'), (3, 'a'), (4, 'a；b；c。'), (5, 'a；b；c；d；e；f')"
-
-
-@query("SELECT * FROM (VALUES (1, 0), (2, 1), (3, 1), (4, 1), (5, 1)) t(id, violations)")
-def rule_pack_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, KEYWORD_LINES, "id, line").select("id", issues.keyword_violations(F.col("line"), 3, 5).alias("violations"))
-
-
-GOLDEN = "(1, 1, 'Cover page'), (1, 2, 'Abs tract text'), (1, 3, 'Chapter 1'), (2, 1, 'Cover')"
-CANDIDATE = "(1, 1, 'Cover page Abstract text'), (1, 2, 'Chapter 1 begins'), (2, 1, 'Cov er'), (2, 2, 'Extra')"
-LANDMARKS = "(1, 'Abstract'), (1, 'Chapter 1'), (1, 'Missing'), (1, 'Cover'), (2, 'Extra'), (2, 'Cover')"
+KEYWORD_LINES = "SELECT i AS id, concat(repeat('词；', CAST(i % 7 AS INT)), CASE i % 5 WHEN 0 THEN '末' WHEN 1 THEN 'a, b' WHEN 2 THEN '。' WHEN 3 THEN ' ；last' ELSE 'x;y' END) AS line FROM range(140) AS t(i)"
 
 
-@query("""
-SELECT * FROM (VALUES (1, 'page_count_drift', 'error', '2'), (2, 'page_count_drift', 'error', '2'), (1, 'landmark_page_drift', 'error', 'Abstract'), (1, 'landmark_page_drift', 'error', 'Chapter 1'),
-(1, 'golden_landmark_missing', 'warning', 'Missing'), (2, 'golden_landmark_missing', 'warning', 'Extra')) t(doc_id, kind, severity, target)
+@query(f"""
+SELECT id, CASE WHEN regexp_matches(line, '[,，]|[.。]$') THEN 1 WHEN len(list_filter(regexp_split_to_array(line, '[；;]'), lambda k: trim(k) <> '')) NOT BETWEEN 3 AND 5 THEN 1 ELSE 0 END AS violations FROM ({KEYWORD_LINES})
 """)
-def golden_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return issues.golden_drift(rows(spark, GOLDEN, "doc_id, page, text"), rows(spark, CANDIDATE, "doc_id, page, text"), rows(spark, LANDMARKS, "doc_id, landmark"))
+def rule_pack_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(KEYWORD_LINES).select("id", issues.keyword_violations(F.col("line"), 3, 5).alias("violations"))
 
 
 USED, DEFINED = "(1, 'a'), (1, 'b'), (1, 'b'), (2, 'a')", "(1, 'a'), (2, 'c')"
@@ -273,22 +286,26 @@ def integrity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues.dangling(used, defined, keys, "style_reference_missing", "id").union(issues.unpaired(used, defined, keys, "bookmark_pair_missing", "id"))
 
 
-FOOTERS = "(1, 1, 3), (1, 2, 3), (1, 3, 3), (2, 1, 2), (2, 4, 5)"
-
-
-@query("SELECT 2 AS doc_id, 'page_footer_total_mismatch' AS kind, 'error' AS severity, '5' AS target")
+@query("""
+SELECT l_orderkey AS doc_id, 'page_footer_total_mismatch' AS kind, 'error' AS severity, CAST(total AS VARCHAR) AS target FROM (SELECT l_orderkey, max(l_linenumber) AS current, max(l_orderkey % 7 + 1) AS total FROM lineitem GROUP BY l_orderkey) WHERE current <> total
+""")
 def footer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return issues.footer_totals(rows(spark, FOOTERS, "doc_id, current, total"))
+    pages = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("current"), (F.col("l_orderkey") % 7 + 1).alias("total"))
+    return issues.footer_totals(pages)
 
 
-STYLES = "('normal', NULL, 'SimSun', 24, false), ('h', 'normal', NULL, 32, true), ('h1', 'h', 'SimHei', NULL, NULL), ('loop1', 'loop2', NULL, 10, false), ('loop2', 'loop1', 'X', NULL, false)"
+#: Chains of styles, some of which end in a loop.
+STYLES = """
+SELECT i AS style_id, CASE WHEN i % 10 = 0 AND i > 0 THEN CASE WHEN i % 20 = 0 THEN i + 3 END WHEN i > 0 THEN i - 1 END AS based_on, CASE i % 4 WHEN 0 THEN concat('font', CAST(i AS STRING)) WHEN 1 THEN '' END AS font, CASE i % 3 WHEN 1 THEN i END AS size, CASE i % 7 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END AS bold FROM range(100) AS t(i)
+"""
 
 
-@query("""
-SELECT * FROM (VALUES ('normal', 'SimSun', 24, false), ('h', 'SimSun', 32, true), ('h1', 'SimHei', 32, true), ('loop1', 'X', 10, false), ('loop2', 'X', 10, false)) t(style_id, font, size, bold)
+@query(f"""
+WITH RECURSIVE s AS ({STYLES}), c AS (SELECT style_id AS node, style_id AS at, 0 AS depth FROM s UNION ALL SELECT node, s.based_on, depth + 1 FROM c JOIN s ON s.style_id = c.at WHERE s.based_on IS NOT NULL AND depth < 30)
+SELECT node AS style_id, arg_min(font, depth) FILTER (font <> '') AS font, arg_min(size, depth) FILTER (size IS NOT NULL) AS size, coalesce(bool_or(bold), false) AS bold FROM c JOIN s ON s.style_id = c.at GROUP BY node
 """)
 def style_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inherited(rows(spark, STYLES, "style_id, based_on, font, size, bold"), "style_id", "based_on", ["font", "size"], ["bold"])
+    return inherited(spark.sql(STYLES), "style_id", "based_on", ["font", "size"], ["bold"])
 
 
 ROLES = "(1, NULL, 'root'), (2, 1, 'admin'), (3, 2, 'editor'), (4, 1, 'viewer'), (5, 3, 'author')"
@@ -310,16 +327,25 @@ def menu_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths(rows(spark, ROLES, "id, parent, code"), "id", "parent", "code")
 
 
-LAYERS = ("('body', 'SimSun', 24), ('title', 'SimHei', 44)", "('body', '', 21)", "('title', 'Kai', NULL)")
+@query("""
+SELECT category, coalesce(CASE WHEN category % 3 = 0 THEN concat('c', category) END, CASE WHEN category % 2 = 0 THEN concat('b', category) END, concat('a', category)) AS font, coalesce(CASE WHEN category % 5 = 0 AND category % 3 = 0 THEN 30 END, CASE WHEN category % 2 = 0 AND category % 4 = 0 THEN 20 END, 10) AS size FROM range(90) t(category)
+""")
+def rule_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = lambda letter: F.concat(F.lit(letter), F.col("id").cast("string")).alias("font")
+    every, key = spark.range(90), F.col("id").alias("category")
+    low = every.select(key, named("a"), F.lit(10).alias("size"))
+    middle = every.filter("id % 2 = 0").select(key, named("b"), F.when(F.col("id") % 4 == 0, 20).alias("size"))
+    high = every.filter("id % 3 = 0").select(key, named("c"), F.when(F.col("id") % 5 == 0, 30).alias("size"))
+    return formats.effective([low, middle, high], "category", ["font", "size"])
 
 
-@query("SELECT * FROM (VALUES ('body', 'SimSun', 21), ('title', 'Kai', 44)) t(category, font, size)")
-def rule_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formats.effective([rows(spark, v, "category, font, size") for v in LAYERS], "category", ["font", "size"])
+WANTED = "SELECT d.i AS doc_id, k.i AS idx, concat('t', CAST((d.i * 3 + k.i * (1 + d.i % 3)) % 5 AS STRING)) AS text FROM range(120) AS d(i) CROSS JOIN range(3) AS k(i)"
+WRITTEN = "SELECT d.i AS doc_id, k.i AS idx, concat('t', CAST((d.i + k.i * 2) % 5 AS STRING)) AS text FROM range(120) AS d(i) CROSS JOIN range(8) AS k(i) WHERE k.i < 2 + d.i % 7"
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, false)) t(doc_id, found)")
+@query(f"""
+WITH RECURSIVE f AS (SELECT doc_id, CAST(-1 AS BIGINT) AS idx, CAST(0 AS BIGINT) AS done FROM (SELECT DISTINCT doc_id FROM ({WANTED})) UNION ALL SELECT b.doc_id, b.idx, done + CASE WHEN b.text = (SELECT a.text FROM ({WANTED}) a WHERE a.doc_id = f.doc_id AND a.idx = f.done) THEN 1 ELSE 0 END FROM f JOIN ({WRITTEN}) b ON b.doc_id = f.doc_id AND b.idx = f.idx + 1)
+SELECT doc_id, max(done) = 3 AS found FROM f GROUP BY doc_id
+""")
 def ordered_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = rows(spark, "(1, 0, 'x'), (1, 1, 'y'), (2, 0, 'x'), (2, 1, 'x')", "doc_id, idx, text")
-    b = rows(spark, "(1, 0, 'x'), (1, 1, 'q'), (1, 2, 'y'), (2, 0, 'x'), (2, 1, 'y')", "doc_id, idx, text")
-    return paragraphs.in_order(a, b)
+    return paragraphs.in_order(spark.sql(WANTED), spark.sql(WRITTEN))

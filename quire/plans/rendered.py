@@ -84,3 +84,16 @@ UNION ALL SELECT doc_id, 'figure_caption_missing_chapter_number', 'repairable',
 """)
 def picture_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.pictures(spark.sql(PICTURES))
+
+
+@query(f"""
+WITH c AS (SELECT doc_id, max(page) AS n FROM ({GOLDEN}) GROUP BY doc_id), k AS (SELECT doc_id, max(page) AS n FROM ({CANDIDATE}) WHERE page < 4 OR doc_id % 3 > 0 GROUP BY doc_id), l AS (SELECT doc_id, landmark AS target FROM ({LANDMARKS}) UNION ALL SELECT i, 'Nowhere' FROM range(60) t(i)),
+f AS (SELECT *, coalesce((SELECT min(page) FROM ({GOLDEN}) g WHERE g.doc_id = l.doc_id AND contains(replace(text, ' ', ''), target)), 0) AS g, coalesce((SELECT min(page) FROM ({CANDIDATE}) g WHERE (page < 4 OR g.doc_id % 3 > 0) AND g.doc_id = l.doc_id AND contains(replace(text, ' ', ''), target)), 0) AS c FROM l)
+SELECT doc_id, 'page_count_drift' AS kind, 'error' AS severity, CAST(k.n AS VARCHAR) AS target FROM c JOIN k USING (doc_id) WHERE abs(c.n - k.n) > 0
+UNION ALL SELECT doc_id, CASE WHEN g = 0 THEN 'golden_landmark_missing' WHEN c = 0 THEN 'candidate_landmark_missing' ELSE 'landmark_page_drift' END, CASE WHEN g = 0 THEN 'warning' ELSE 'error' END, target FROM f WHERE g = 0 OR c = 0 OR g <> c
+""")
+def golden_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators.issues import golden_drift as drift
+
+    landmarks = spark.sql(f"{LANDMARKS} UNION ALL SELECT i, 'Nowhere' FROM range(60) AS t(i)")
+    return drift(spark.sql(GOLDEN), spark.sql(CANDIDATE).filter("page < 4 OR doc_id % 3 > 0"), landmarks)

@@ -42,7 +42,7 @@ UNION ALL SELECT doc_id, 'body_too_short', 'repairable', CAST(len(regexp_extract
 """)
 def length_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("title"), F.col("text").alias("body"))
-    return rulepack.lengths(docs, title_cn=20, title_en=12, body=20)
+    return rulepack.lengths(docs, title_cn=20, title_en=12, least_body=20)
 
 
 REFERENCES = """
