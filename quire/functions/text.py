@@ -30,6 +30,19 @@ def count_matches(s: Column, pattern: str) -> Column:
     return F.regexp_count(s, F.lit(pattern))
 
 
+def occurrences(s: Column, char: str) -> Column:
+    """How often one character occurs, from lengths alone."""
+    return F.length(s) - F.length(F.translate(s, char, ""))
+
+
+def any_word(s: Column, words: tuple[str, ...]) -> Column:
+    """Whether a text holds one of the words, tried one after the other."""
+    test = F.contains(s, F.lit(words[0]))
+    for w in words[1:]:
+        test = test | F.contains(s, F.lit(w))
+    return test
+
+
 def han_block_count(s: Column) -> Column:
     """Characters from U+4E00 to U+9FFF."""
     return count_matches(s, r"[\u4E00-\u9FFF]")
