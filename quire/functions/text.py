@@ -371,3 +371,10 @@ def parse_quality(coverage: Column, success: Column, verified: Column, schema: C
     """(score, grade) of a parsed format text: a weighted mean, high from 0.98 on."""
     score = F.round(coverage * 0.35 + success * 0.30 + verified * 0.20 + schema * 0.15, 4)
     return F.struct(score.alias("score"), F.when(score >= 0.98, "high").otherwise("review").alias("grade"))
+
+
+def paragraph_chunks(s: Column) -> Column:
+    """The parts between blank lines, or the lines where there is one part at most; empty ones go."""
+    cut = lambda pattern: F.filter(F.transform(F.split(s, pattern), lambda x: F.regexp_replace(x, r"^[ \t\n\r]+|[ \t\n\r]+$", "")), lambda x: x != "")
+    parts = cut(r"\n[ \t]*\n")
+    return F.when(F.size(parts) <= 1, cut("\n")).otherwise(parts)

@@ -7,9 +7,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import blocks, formats, hierarchy, issues, paragraphs, relational
+from quire.operators import blocks, formats, hierarchy, issues, packages, paragraphs, relational
 from quire.plans import registry
-from quire.sources import markup, tables
+from quire.sources import markup, sinks, tables
 from quire.streaming import stateful
 
 
@@ -223,3 +223,50 @@ def test_nearest_looks_both_ways(spark):
     df = spark.createDataFrame(rows, "d int, i int, t string")
     find = lambda most, back: blocks.nearest(df, ["d"], "i", F.col("t") == "start", F.col("t") == "goal", F.col("t") != "", most, back=back).first()["nearest"]
     assert (find(8, False), find(1, False), find(8, True), find(1, True)) == (4, None, 0, 0)
+
+
+def test_whole_text_files(spark, tmp_path):
+    for name, text in (("a", "one\ntwo\n"), ("b", ""), ("c", "größe")):
+        (tmp_path / f"{name}.txt").write_text(text, encoding="utf-8")
+    found = markup.text_files(spark, str(tmp_path)).collect()
+    assert {r["path"][-5:]: r["text"] for r in found} in ({"a.txt": "one\ntwo\n", "b.txt": "", "c.txt": "größe"}, {"a.txt": "one\ntwo\n", "c.txt": "größe"})
+
+
+def test_package_without_document(spark):
+    parts = spark.createDataFrame([(1, "word/styles.xml", None), (2, "word/document.xml", "x" * 30)], "doc_id int, part_name string, content string")
+    found = {tuple(r) for r in packages.verify(parts).collect()}
+    assert (1, "missing_document_xml", "fatal", "word/document.xml") in found and not any(k == 2 for k, *_ in found)
+    assert {tuple(r) for r in packages.verdicts(parts).collect()} == {(1, "rejected"), (2, "compliant")}
+
+
+@pytest.mark.parametrize(
+    "content,nested,bookmark",
+    [
+        ("<w:r><w:r/></w:r>", True, False),
+        ('<w:r w:rsidR="1"><w:r w:rsidR="2"></w:r></w:r>', True, False),
+        ("<w:r><w:pict><w:txbxContent><w:p><w:r><w:t>x</w:t></w:r></w:p></w:txbxContent></w:pict></w:r>", False, False),
+        ("<w:r></w:r><w:r></w:r>", False, False),
+        ("<w:r/><w:r/>", False, False),
+        ("<w:r><w:rPr><w:bookmarkStart w:id='1'/></w:rPr></w:r>", False, True),
+        ("<w:pPr><w:rPr><w:bookmarkStart w:id='1'/></w:rPr></w:pPr>", False, False),
+        ("<w:r><w:rPr/><w:bookmarkStart w:id='1'/></w:r>", False, False),
+        ("</w:r></w:r><w:r><w:rFonts/></w:r>", False, False),
+        ("", False, False),
+    ],
+)
+def test_nesting(spark, content, nested, bookmark):
+    row = spark.createDataFrame([(content,)], "c string").select(packages.nesting(F.col("c")).alias("n")).first()["n"]
+    assert (row["nested"], row["bookmark"]) == (nested, bookmark)
+
+
+def test_job_results_of_unknown_jobs(spark):
+    log = spark.createDataFrame([(1, 1, "queued"), (2, 1, "queued")], "job int, at int, status string")
+    updates = spark.createDataFrame([(1, 2, "done"), (9, 2, "done")], "job int, at int, status string")
+    found, faults = sinks.job_results(log, updates, "job", ["at"])
+    assert {tuple(r) for r in found.collect()} == {(1, 2, "done"), (2, 1, "queued")} and [r["job"] for r in faults.collect()] == [9]
+
+
+def test_bulk_update_tells_how_many(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, s string")
+    found, n = sinks.update_by_ids(table, "id", spark.createDataFrame([(1,), (1,), (7,)], "id int"), {"s": F.lit("x")})
+    assert {tuple(r) for r in found.collect()} == {(1, "x"), (2, "b"), (3, "c")} and n.first()["n"] == 1
