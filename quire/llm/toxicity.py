@@ -19,7 +19,7 @@ from quire.llm.common import crc_remainder, small_batches, stored
 SAMPLE = 16_000
 #: What makes a word of the sample one of the lexicon: it is ODDS times likelier in toxic documents, and SURE standard
 #: errors of the log odds away from being as likely in clean ones. All such words are kept.
-ODDS, SURE = 3.0, 3.5
+ODDS, SURE = 20.0, 2.5
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Words between a lexicon word and a form of address, at most.
