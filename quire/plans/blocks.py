@@ -12,14 +12,17 @@ from quire.plans.documents import LINES, ROLES
 from quire.plans.registry import query
 from quire.sources.tables import rows, table
 
-SLOTS = "('s1', 'heading', '', false), ('s2', 'body', 'intro,end', true), ('s3', 'table', '', false), ('s4', 'figure', '', false)"
-PAYLOADS = "('p1', 'heading', 'h'), ('p2', 'body', 'intro'), ('p3', 'body', 'end'), ('p4', 'body', 'other'), ('p5', 'table', 'a'), ('p6', 'table', 'b')"
+SLOTS = "SELECT concat('s', CAST(i AS STRING)) AS slot_id, CASE i % 4 WHEN 0 THEN 'heading' WHEN 1 THEN 'body' WHEN 2 THEN 'table' ELSE 'figure' END AS kind, CASE i % 3 WHEN 0 THEN '' WHEN 1 THEN 'k1,k2' ELSE concat('k', CAST(i AS STRING)) END AS accepts, i % 5 = 0 AS repeatable FROM range(40) AS t(i)"
+PAYLOADS = "SELECT concat('p', CAST(i AS STRING)) AS payload_id, CASE i % 5 WHEN 0 THEN 'heading' WHEN 1 THEN 'body' WHEN 2 THEN 'table' ELSE 'other' END AS kind, concat('k', CAST(i % 6 AS STRING)) AS key FROM range(30) AS t(i)"
 
 
-@query("SELECT * FROM (VALUES ('s1', 'p1', 'bound'), ('s2', 'p2', 'bound'), ('s2', 'p3', 'bound'), ('s3', 'p5', 'ambiguous'), ('s3', 'p6', 'ambiguous'), ('s4', NULL, 'unmapped')) t(slot_id, payload_id, state)")
+@query(f"""
+WITH m AS (SELECT slot_id, repeatable, payload_id, count(payload_id) OVER (PARTITION BY slot_id) AS n FROM ({SLOTS}) s LEFT JOIN ({PAYLOADS}) p ON p.kind = s.kind AND (accepts = '' OR list_contains(string_split(accepts, ','), p.key)))
+SELECT slot_id, payload_id, CASE WHEN payload_id IS NULL THEN 'unmapped' WHEN NOT repeatable AND n > 1 THEN 'ambiguous' ELSE 'bound' END AS state FROM m
+""")
 def slot_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots = rows(spark, SLOTS, "slot_id, kind, accepts, repeatable").withColumn("accepts", F.filter(F.split("accepts", ","), lambda x: x != ""))
-    return blocks.bindings(slots, rows(spark, PAYLOADS, "payload_id, kind, key"))
+    slots = spark.sql(SLOTS).withColumn("accepts", F.filter(F.split("accepts", ","), lambda x: x != ""))
+    return blocks.bindings(slots, spark.sql(PAYLOADS))
 
 
 @query("""
@@ -43,12 +46,19 @@ def nearest_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.nearest(lines, ["doc_id"], "idx", F.col("text").like("%the%"), F.col("text").like("%of%"), F.col("text") != "").fillna(-1, ["nearest"])
 
 
-RULES = "('body', 5, 0.9, 1, 'a', NULL), ('body', 5, 0.9, 2, 'b', 'left'), ('body', 9, 0.1, 3, NULL, 'center'), ('title', 1, 0.5, 4, 'c', NULL)"
-
-
-@query("SELECT * FROM (VALUES ('body', 3, 'a', 'center'), ('title', 4, 'c', NULL)) t(target, winner, font, align)")
+@query("""
+WITH r AS (SELECT l_suppkey AS target, l_orderkey * 10 + l_linenumber AS seq, l_linenumber % 4 AS priority, l_discount AS confidence, CASE WHEN l_quantity > 30 THEN l_linestatus || CAST(l_linenumber AS VARCHAR) END AS font, CASE WHEN l_tax > 0.04 THEN l_returnflag END AS align FROM lineitem)
+SELECT target, arg_min(seq, (-priority, -confidence, seq)) AS winner, arg_min(font, (-priority, -confidence, seq)) FILTER (font IS NOT NULL) AS font, arg_min(align, (-priority, -confidence, seq)) FILTER (align IS NOT NULL) AS align FROM (SELECT DISTINCT ON (target, seq) * FROM r ORDER BY target, seq, priority, confidence, font NULLS FIRST, align NULLS FIRST) GROUP BY target
+""")
 def conflict_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.strongest(rows(spark, RULES, "target, priority, confidence, seq, font, align"), "target", ["font", "align"])
+    n = F.col("l_linenumber")
+    rules = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("target"), (F.col("l_orderkey") * 10 + n).alias("seq"), (n % 4).alias("priority"), F.col("l_discount").alias("confidence"),
+        F.when(F.col("l_quantity") > 30, F.concat("l_linestatus", n.cast("string"))).alias("font"), F.when(F.col("l_tax") > 0.04, F.col("l_returnflag")).alias("align"),
+    )
+    first = F.min(F.struct("priority", "confidence", F.col("font").isNotNull().alias("has_font"), "font", F.col("align").isNotNull().alias("has_align"), "align")).alias("r")
+    once = rules.groupBy("target", "seq").agg(first).select("target", "seq", "r.priority", "r.confidence", "r.font", "r.align")
+    return blocks.strongest(once, "target", ["font", "align"])
 
 
 @query(rf"""
@@ -60,11 +70,18 @@ def text_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.rule_counts(lines, ["doc_id"], "text", {"double_space": "  +", "number": r"\d+"})
 
 
-@query("SELECT 1 AS doc_id, 1 AS idx, 'gone text' AS text UNION ALL SELECT 2, 0, 'all'")
+WRITTEN = "SELECT d.i AS doc_id, k.i AS idx, concat('part ', CAST(k.i * (1 + d.i % 3) AS STRING), '  of ', CAST(d.i % 4 AS STRING)) AS text FROM range(60) AS d(i) CROSS JOIN range(16) AS k(i)"
+KEPT = f"SELECT doc_id, idx, CASE WHEN idx % 2 = 0 THEN replace(text, ' ', '') ELSE text END AS text FROM ({WRITTEN}) AS w WHERE (doc_id + idx) % 4 > 0 AND doc_id % 9 > 0"
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, string_agg(replace(text, ' ', ''), '' ORDER BY idx) AS whole FROM ({KEPT}) GROUP BY doc_id),
+m AS (SELECT s.*, row_number() OVER (PARTITION BY s.doc_id ORDER BY idx) AS rn FROM ({WRITTEN}) s LEFT JOIN w ON w.doc_id = s.doc_id WHERE NOT contains(coalesce(whole, ''), replace(text, ' ', '')))
+SELECT doc_id, idx, text FROM m WHERE rn <= 10
+""")
 def missing_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = rows(spark, "(1, 0, 'kept  words'), (1, 1, 'gone text'), (2, 0, 'all')", "doc_id, idx, text")
-    output = rows(spark, "(1, 0, 'kept'), (1, 1, ' words and more')", "doc_id, idx, text")
-    return blocks.uncontained(source, output, "doc_id", "text")
+    """A report of ten missing texts a document, as many as are shown."""
+    return blocks.uncontained(spark.sql(WRITTEN), spark.sql(KEPT), "doc_id", "text")
 
 
 MEMBERS = "(1, DATE '2024-03-10', 30, true, 10, 4, 1), (2, DATE '2023-01-01', 365, false, 10, 4, 2), (3, NULL, 7, true, 3, 9, 0)"
@@ -81,16 +98,24 @@ def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 POLICIES = "(1, '/api/items/:id', 'GET'), (2, '/api/admin/*', '*'), (4, '/api/items', 'POST')"
-ASKED = "(1, 'ann', '/api/items/7', 'GET'), (2, 'ann', '/api/admin/a/b', 'DELETE'), (3, 'bob', '/api/items/7', 'GET'), (4, 'bob', '/api/items', 'GET'), (5, 'bob', '/api/items', 'POST'), (6, 'eve', '/api/items/7', 'GET')"
+ASKED = """
+SELECT u.i * 20 + p.i * 4 + a.i AS request, concat('user', CAST(u.i AS STRING)) AS user, CASE p.i WHEN 0 THEN '/api/items/7' WHEN 1 THEN '/api/admin/a/b' WHEN 2 THEN '/api/items' WHEN 3 THEN '/api/items/7/x' ELSE '/api/admin' END AS path, CASE a.i WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'DELETE' ELSE 'PUT' END AS action
+FROM range(8) AS u(i) CROSS JOIN range(5) AS p(i) CROSS JOIN range(4) AS a(i)
+"""
+HELD = "SELECT concat('user', CAST(i AS STRING)) AS user, i AS node FROM range(1, 8) AS t(i)"
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, false), (5, true), (6, false)) t(request, allowed)")
+@query(rf"""
+WITH RECURSIVE h AS (SELECT t.user, t.node AS role FROM ({HELD.replace(' AS user', ' AS "user"')}) t UNION SELECT h.user, parent FROM h JOIN (VALUES {ROLES}) r(id, parent, code) ON r.id = h.role WHERE parent IS NOT NULL),
+p AS (SELECT role, '^' || replace(regexp_replace(path, ':[^/]+', '[^/]+', 'g'), '*', '.*') || '$' AS path, action FROM (VALUES {POLICIES}) x(role, path, action))
+SELECT request, EXISTS (SELECT 1 FROM h JOIN p USING (role) WHERE h.user = a.user AND (p.action = '*' OR p.action = a.action) AND regexp_matches(a.path, p.path)) AS allowed FROM ({ASKED.replace(' AS user', ' AS "user"')}) a
+""")
 def policy_enforcement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ann holds role 3, which inherits 2 and 1; bob holds role 4, which inherits 1."""
+    """Each user holds a role and those that it inherits."""
     inherits = closure(rows(spark, ROLES, "id, parent, code"), "id", "parent")
-    held = rows(spark, "('ann', 3), ('bob', 4)", "user, node").join(inherits, "node").select("user", F.col("ancestor").alias("role"))
+    held = spark.sql(HELD).join(inherits, "node").select("user", F.col("ancestor").alias("role"))
     policies = rows(spark, POLICIES, "role, path, action").withColumn("path", blocks.path_pattern(F.col("path")))
-    return blocks.allowed(rows(spark, ASKED, "request, user, path, action"), policies, held)
+    return blocks.allowed(spark.sql(ASKED), policies, held)
 
 
 NESTED = """(1, '{"a":{"b":"x","c":2},"d":"y"}'), (2, 'no'), (3, '{"a":null,"e":[1]}')"""
@@ -101,9 +126,14 @@ def map_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, NESTED, "id, s").select("id", F.explode(maps.flattened(F.col("s"))).alias("k", "v"))
 
 
-@query("SELECT * FROM (VALUES (1, 'font', 'Kai'), (1, 'size', '12'), (1, 'line', '20')) t(id, k, v)")
+OVERLAID = "SELECT i AS id, CASE i % 3 WHEN 0 THEN '' WHEN 1 THEN 'Kai' END AS font, CASE WHEN i % 2 = 0 THEN '20' ELSE '' END AS line FROM range(60) AS t(i)"
+
+
+@query(f"""
+SELECT id, k, v FROM (SELECT id, 'font' AS k, coalesce(nullif(font, ''), 'Sim') AS v FROM ({OVERLAID}) UNION ALL SELECT id, 'size', '12' FROM ({OVERLAID}) UNION ALL SELECT id, 'line', nullif(line, '') FROM ({OVERLAID})) WHERE v IS NOT NULL
+""")
 def map_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    two = rows(spark, "(1)", "id").select("id", F.expr("map('font', 'Sim', 'size', '12')").alias("base"), F.expr("map('font', 'Kai', 'size', '', 'line', '20')").alias("over"))
+    two = spark.sql(OVERLAID).select("id", F.expr("map('font', 'Sim', 'size', '12')").alias("base"), F.create_map(F.lit("font"), F.col("font"), F.lit("size"), F.lit(""), F.lit("line"), F.col("line")).alias("over"))
     return two.select("id", F.explode(maps.merged(F.col("base"), F.col("over"))).alias("k", "v"))
 
 

@@ -40,12 +40,16 @@ def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-HEADS = "(1, '504B030414'), (2, 'D0CF11E0A1'), (3, '255044462D'), (4, '7B5C727466'), (5, '3C21444F43'), (6, '00'), (7, '0102030405')"
+HEADS = """
+SELECT i AS id, concat(CASE i % 8 WHEN 0 THEN '504B0304' WHEN 1 THEN 'D0CF11E0' WHEN 2 THEN '25504446' WHEN 3 THEN '7B5C727466' WHEN 4 THEN '3C21444F43' WHEN 5 THEN '3C68746D6C' WHEN 6 THEN '00' ELSE '01020304' END, CASE WHEN i % 3 = 0 THEN '' ELSE '4142' END) AS h FROM range(120) AS t(i)
+"""
 
 
-@query("SELECT * FROM (VALUES (1, 'docx'), (2, 'doc'), (3, 'pdf'), (4, 'rtf'), (5, 'html'), (6, NULL), (7, '')) t(id, kind)")
+@query(f"""
+SELECT id, CASE WHEN length(h) < 8 THEN NULL WHEN h LIKE '504B0304%' THEN 'docx' WHEN h LIKE 'D0CF11E0%' THEN 'doc' WHEN h LIKE '25504446%' THEN 'pdf' WHEN h LIKE '7B5C727466%' THEN 'rtf' WHEN h LIKE '3C21444F43%' OR h LIKE '3C68746D6C%' THEN 'html' ELSE '' END AS kind FROM ({HEADS})
+""")
 def file_type_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, HEADS, "id, h").select("id", T.sniffed(F.unhex("h")).alias("kind"))
+    return spark.sql(HEADS).select("id", T.sniffed(F.unhex("h")).alias("kind"))
 
 
 @query(r"SELECT * FROM (VALUES (1, 'Hello World' || chr(10) || 'Next')) t(id, text)")

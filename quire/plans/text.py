@@ -105,14 +105,15 @@ def keyword_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, LISTS, "id, s").select("id", F.array_join(T.keywords(F.col("s")), "|").alias("keywords"))
 
 
-NUMBERS = "(1, 4), (2, 9), (3, 1994), (4, 0), (5, 49)"
-
-
+@query("""
+WITH n AS (SELECT p_partkey AS id, (p_size * 83 + p_partkey) % 4000 AS n FROM part)
+SELECT id, ['', 'M', 'MM', 'MMM'][CAST(floor(n / 1000) AS INT) + 1] || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][CAST(floor(n / 100) AS INT) % 10 + 1] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][CAST(floor(n / 10) AS INT) % 10 + 1]
+ || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][n % 10 + 1] AS roman FROM n
+""")
 def roman_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, NUMBERS, "id, n").select("id", T.roman(F.col("n")).alias("roman"))
-
+    n = (F.col("p_size") * 83 + F.col("p_partkey")) % 4000
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.roman(n).alias("roman"))
 
-query("SELECT * FROM (VALUES (1, 'IV'), (2, 'IX'), (3, 'MCMXCIV'), (4, ''), (5, 'XLIX')) t(id, roman)")(roman_numerals)
 
 CODES = "(1, 'ab-cd 1234', 'a/b:c.docx', 'ABCDEF+Times New-Roman'), (2, 'short', 'fine.txt', 'Sim_Sun')"
 
@@ -126,12 +127,17 @@ def code_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", T.code_hash(F.col("c")).alias("hashed"), T.masked_code(F.col("c")).alias("masked"), T.safe_filename(F.col("f")).alias("file"), T.font_key(F.col("n")).alias("font"))
 
 
-SPACINGS = "(1, 'single'), (2, '1.5'), (3, '2倍'), (4, '20磅'), (5, 'fixed_18_pt'), (6, '300'), (7, 'odd'), (8, '1.25')"
+SPACINGS = """
+SELECT i AS id, CASE i % 8 WHEN 0 THEN 'single' WHEN 1 THEN 'double' WHEN 2 THEN '1.5' WHEN 3 THEN concat(CAST(i % 4 AS STRING), '.25倍') WHEN 4 THEN concat(CAST(i AS STRING), '磅') WHEN 5 THEN concat('fixed ', CAST(i AS STRING), 'pt') WHEN 6 THEN CAST(i AS STRING) ELSE 'odd' END AS s FROM range(160) AS t(i)
+"""
 
 
-@query("SELECT * FROM (VALUES (1, 240.0::DOUBLE), (2, 360.0), (3, 480.0), (4, 400.0), (5, 360.0), (6, 300.0), (7, 0.0), (8, 300.0)) t(id, twips)")
+@query(rf"""
+WITH n AS (SELECT id, s, TRY_CAST(regexp_extract(s, '\d+(\.\d+)?') AS DOUBLE) AS n FROM ({SPACINGS}))
+SELECT id, CAST(CASE s WHEN 'single' THEN 240 WHEN '1.5' THEN 360 WHEN 'double' THEN 480 ELSE CASE WHEN s LIKE '%倍' THEN n * 240 WHEN regexp_matches(s, '(磅|pt)$') THEN n * 20 WHEN regexp_matches(s, '^\d') THEN CASE WHEN n <= 10 THEN n * 240 ELSE n END ELSE 0 END END AS DOUBLE) AS twips FROM n
+""")
 def line_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, SPACINGS, "id, s").select("id", T.line_twips(F.regexp_replace("s", "_pt$", "pt")).alias("twips"))
+    return spark.sql(SPACINGS).select("id", T.line_twips(F.col("s")).alias("twips"))
 
 
 @query("""
@@ -162,9 +168,13 @@ def json_array_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, REPLIES, "id, s").select("id", T.json_array_part(F.col("s")).alias("part"))
 
 
-TITLES = "(1, 'the effect of pH on DNA'), (2, 'state-of-the-art SYSTEMS a')"
+TITLES = """
+SELECT i AS id, concat(CASE i % 5 WHEN 0 THEN 'the' WHEN 1 THEN 'pH' WHEN 2 THEN 'DNA' WHEN 3 THEN 'state-of-art' ELSE 'SPARK2' END, ' ', CASE i % 7 WHEN 0 THEN 'effect' WHEN 1 THEN 'A' WHEN 2 THEN 'oF' WHEN 3 THEN 'x' WHEN 4 THEN 'well-Known' WHEN 5 THEN 'ON' ELSE 'data' END) AS s FROM range(140) AS t(i)
+"""
 
 
-@query("SELECT * FROM (VALUES (1, 'The Effect Of pH On DNA'), (2, 'state-of-the-art SYSTEMS A')) t(id, title)")
+@query(rf"""
+SELECT id, array_to_string(list_transform(string_split(s, ' '), lambda w: CASE WHEN contains(w, '-') OR w = 'pH' OR regexp_matches(w, '^[A-Z]{{2,}}$') THEN w ELSE upper(left(w, 1)) || lower(substr(w, 2)) END), ' ') AS title FROM ({TITLES})
+""")
 def title_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, TITLES, "id, s").select("id", T.title_case(F.col("s")).alias("title"))
+    return spark.sql(TITLES).select("id", T.title_case(F.col("s")).alias("title"))
