@@ -269,15 +269,22 @@ def _first_place(lines: Column, test) -> Column:
     return F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull()))
 
 
+def let(value: Column, body) -> Column:
+    """body with value worked out once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def section_by_heading(s: Column, starts: list[str], ends: list[str]) -> Column:
     """The lines after the first one that is a start, or begins with it and a space, up to one that begins with an end."""
-    lines = F.split(s, "\n")
-    low = F.transform(lines, lambda x: uni_trim(F.lower(x)))
     any_of = lambda tests: tests[0] if len(tests) == 1 else tests[0] | any_of(tests[1:])
-    start = _first_place(low, lambda x: any_of([(x == w.lower()) | x.startswith(w.lower() + " ") for w in starts])) + 1
-    rest = F.slice(low, start + 1, F.size(low))
-    stop = F.coalesce(_first_place(rest, lambda x: any_of([x.startswith(w.lower()) for w in ends])), F.size(rest))
-    return F.when(start < F.size(lines), F.array_join(F.slice(lines, start + 1, stop), "\n")).otherwise("")
+    begins = lambda low: _first_place(low, lambda x: any_of([(x == w.lower()) | x.startswith(w.lower() + " ") for w in starts])) + 1
+    ended = lambda rest: F.coalesce(_first_place(rest, lambda x: any_of([x.startswith(w.lower()) for w in ends])), F.size(rest))
+    lower = lambda lines: F.transform(lines, lambda x: uni_trim(F.lower(x)))
+
+    def cut(lines: Column) -> Column:
+        return let(begins(lower(lines)), lambda start: F.when(start < F.size(lines), let(F.slice(lines, start + 1, F.size(lines)), lambda rest: F.array_join(F.slice(rest, 1, ended(lower(rest))), "\n"))).otherwise(""))
+
+    return F.coalesce(let(F.split(s, "\n"), cut), F.lit(""))
 
 
 # The title of the references, and what ends them.
@@ -286,11 +293,14 @@ REFERENCES_TITLE, AFTER_REFERENCES = "参考文献", ("附录", "致谢", "攻
 
 def reference_lines(s: Column, title: str = REFERENCES_TITLE, ends: tuple[str, ...] = AFTER_REFERENCES) -> Column:
     """Lines after the title up to an end that are numbered or hold a Latin letter."""
-    lines = F.transform(F.split(s, "\n"), uni_trim)
-    start = _first_place(F.transform(lines, F.lower), lambda x: x.startswith(title.lower())) + 1
-    rest = F.slice(lines, start + 1, F.size(lines))
-    stop = F.coalesce(_first_place(rest, lambda x: F.lower(x).rlike("^(" + "|".join(w.lower() for w in ends) + ")")), F.size(rest))
-    return F.coalesce(F.filter(F.slice(rest, 1, stop), lambda x: x.rlike(r"^(\[\d+\]|\d+\.)|[A-Za-z]")), F.array().cast("array<string>"))
+    last = "^(" + "|".join(w.lower() for w in ends) + ")"
+
+    def cut(lines: Column) -> Column:
+        start = _first_place(F.transform(lines, F.lower), lambda x: x.startswith(title.lower())) + 1
+        listed = lambda rest: F.slice(rest, 1, F.coalesce(_first_place(rest, lambda x: F.lower(x).rlike(last)), F.size(rest)))
+        return let(F.slice(lines, start + 1, F.size(lines)), lambda rest: F.filter(listed(rest), lambda x: x.rlike(r"^(\[\d+\]|\d+\.)|[A-Za-z]")))
+
+    return F.coalesce(let(F.transform(F.split(s, "\n"), uni_trim), cut), F.array().cast("array<string>"))
 
 
 def spaced_heading_numbers(s: Column) -> Column:

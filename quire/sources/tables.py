@@ -34,10 +34,12 @@ def lookup(df: DataFrame, key: str, value) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder's path where driver and executors share files; a local one only where the session names none."""
+    """A new folder's path where driver and executors share files. Only a local session may name none; it gets one of its own."""
     context = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not there:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         there = context.getCheckpointDir()
     return f"{there}/quire-{uuid.uuid4().hex}"

@@ -35,3 +35,19 @@ def test_stays_in_the_engine(spark, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - {"cross_join_grants"}))
 def test_no_cartesian_product(spark, sf_dir, name):
     assert "CartesianProduct" not in plan_of(registry.QUERIES[name](spark, sf_dir))
+
+
+@pytest.mark.parametrize("name", ["issue_severity_rollup", "issue_dedupe", "issue_fingerprint"])
+def test_all_rules_are_one_scan(spark, sf_dir, name):
+    assert plan_of(registry.QUERIES[name](spark, sf_dir)).count("FileScan parquet") == 1
+
+
+@pytest.mark.parametrize("name", ["style_inheritance", "role_hierarchy", "menu_tree"])
+def test_hierarchies_do_not_grow_plans(spark, sf_dir, name):
+    """However deep: earlier rounds are read back, not planned again."""
+    plan = plan_of(registry.QUERIES[name](spark, sf_dir))
+    assert plan.count("FileScan parquet") <= 2 and plan.count("Join") <= 2
+
+
+def test_packages_are_one_shuffle(spark, sf_dir):
+    assert plan_of(registry.QUERIES["package_verifier"](spark, sf_dir)).count("Exchange hashpartitioning") == 1
