@@ -49,5 +49,5 @@ def test_hierarchies_do_not_grow_plans(spark, sf_dir, name):
     assert plan.count("FileScan parquet") <= 2 and plan.count("Join") <= 2
 
 
-def test_packages_are_one_shuffle(spark, sf_dir):
-    assert plan_of(registry.QUERIES["package_verifier"](spark, sf_dir)).count("Exchange hashpartitioning") == 1
+def test_packages_are_at_most_one_shuffle(spark, sf_dir):
+    assert plan_of(registry.QUERIES["package_verifier"](spark, sf_dir)).count("Exchange hashpartitioning") <= 1
