@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, exact_dedup, fingerprint, langid, packing, ppm, sharding, simhash, substring, toxicity
+from quire.llm import bpe, exact_dedup, fim, fingerprint, langid, packing, ppm, sharding, simhash, substring, toxicity, variants
 from quire.llm.common import documents, spread
 
 
@@ -50,6 +50,14 @@ def op10_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(documents(spark, sf_dir))
 
 
+def op11_fim_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digests(spread(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+def op12_wildcard_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.document_variants(spread(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -63,6 +71,8 @@ QUERIES = {
         op8_suffix_tree_repeats,
         op9_bpe_automaton,
         op10_one_permutation_minhash,
+        op11_fim_scan,
+        op12_wildcard_variants,
     )
 }
-ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op11_fim_scan": fim.ORACLE_SQL, "op12_wildcard_variants": variants.ORACLE_SQL}
