@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, exact_dedup, fim, fingerprint, langid, packing, ppm, sharding, simhash, substring, toxicity, variants
+from quire.llm import bpe, bytespans, exact_dedup, fim, fingerprint, langid, packing, ppm, sharding, simhash, substring, toxicity, variants
 from quire.llm.common import documents, spread
 
 
@@ -58,6 +58,10 @@ def op12_wildcard_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.document_variants(spread(documents(spark, sf_dir).select("doc_id", "text")))
 
 
+def op13_external_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytespans.byte_digests(documents(spark, sf_dir).select("doc_id", "text"), in_place=True)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,6 +77,7 @@ QUERIES = {
         op10_one_permutation_minhash,
         op11_fim_scan,
         op12_wildcard_variants,
+        op13_external_suffix_arrays,
     )
 }
-ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op11_fim_scan": fim.ORACLE_SQL, "op12_wildcard_variants": variants.ORACLE_SQL}
+ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op11_fim_scan": fim.ORACLE_SQL, "op12_wildcard_variants": variants.ORACLE_SQL, "op13_external_suffix_arrays": bytespans.ORACLE_SQL}
