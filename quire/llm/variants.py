@@ -89,14 +89,14 @@ def word_counts(docs: DataFrame, *, shortest: int = SHORTEST, rarest: int = RARE
 
 
 def _keyed(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, word, n) of all words, and (key, open, id, n) of their neighbours."""
+    """(id, own, word, n) of all words, own being the key, and (key, open, id, n) of their neighbours; ids are short, as rows repeat them."""
 
     def own(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([key(w) for w in batch.column(0).to_pylist()], pa.binary()), *batch.columns], ["id", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([key(w) for w in batch.column(0).to_pylist()], pa.binary()), *batch.columns], ["own", "word", "n"])
 
     def near(batches):
-        kinds, held = (pa.binary(), pa.int32(), pa.binary(), pa.int64()), []
+        kinds, held = (pa.binary(), pa.int32(), pa.int64(), pa.int64()), []
         for batch in batches:
             for id, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 for k, code in neighbours(word):
@@ -107,8 +107,8 @@ def _keyed(words: DataFrame) -> tuple[DataFrame, DataFrame]:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], ["key", "open", "id", "n"])
 
-    known = stored(words.select("word", "n").mapInArrow(own, "id binary, word string, n long"))
-    return known, stored(small_batches(known).mapInArrow(near, "key binary, open int, id binary, n long"))
+    known = stored(words.select("word", "n").mapInArrow(own, "own binary, word string, n long").withColumn("id", F.monotonically_increasing_id()))
+    return known, stored(small_batches(known).select("id", "word", "n").mapInArrow(near, "key binary, open int, id long, n long"))
 
 
 def _replies(known: DataFrame, rows: DataFrame) -> DataFrame:
@@ -123,9 +123,9 @@ def _replies(known: DataFrame, rows: DataFrame) -> DataFrame:
     groups = same.groupBy("key").agg(F.count(F.lit(1)).alias("size"), top.alias("top")).filter("size > 1")
     best = F.when(F.col("top")[0]["id"] == F.col("id"), F.col("top")[1]).otherwise(F.col("top")[0])
     replaced = same.join(groups, "key").select("id", "n", (F.col("size") - 1).alias("near"), best["id"].alias("of"), (-best["rank"]).alias("of_n"))
-    shorter = known.select(F.col("id").alias("key"), F.col("n").alias("short_n"))
+    shorter = known.select(F.col("own").alias("key"), F.col("id").alias("short"), F.col("n").alias("short_n"))
     met = rows.filter("open < 0").join(shorter, "key")
-    both = F.array(F.struct("id", "n", F.lit(1).cast("long").alias("near"), F.col("key").alias("of"), F.col("short_n").alias("of_n")), F.struct(F.col("key").alias("id"), F.col("short_n").alias("n"), F.lit(1).cast("long").alias("near"), F.col("id").alias("of"), F.col("n").alias("of_n")))
+    both = F.array(F.struct("id", "n", F.lit(1).cast("long").alias("near"), F.col("short").alias("of"), F.col("short_n").alias("of_n")), F.struct(F.col("short").alias("id"), F.col("short_n").alias("n"), F.lit(1).cast("long").alias("near"), F.col("id").alias("of"), F.col("n").alias("of_n")))
     return replaced.union(met.select(F.inline(both)))
 
 
