@@ -15,8 +15,10 @@ from tokenizers import Regex, pre_tokenizers
 
 from quire.llm.common import byte_symbols, small_batches, tokenizer_path
 
-#: Distinct chunks and words, and states of the compiled automaton, that a worker holds at most; beyond, it starts anew.
-CHUNKS, WORDS, STATES = 500_000, 200_000, 150_000
+#: Bytes of chunks with their ids and labels, distinct words, and states of the compiled automaton, that a worker holds at
+#: most; beyond, it starts anew. A chunk or word of more than LONGEST bytes, as texts without white space have, is not
+#: remembered; chunks are looked up RUN at a time.
+CHUNKS, WORDS, STATES, LONGEST, RUN = 128 << 20, 200_000, 150_000, 200, 50_000
 
 
 class MergeAutomaton:
@@ -171,7 +173,9 @@ class BpeCodec:
             if len(self.paths) >= WORDS:
                 self.paths.clear()
             symbols = word if word.isascii() and word.isalnum() else "".join(self.symbols[b] for b in word.encode())
-            ids = self.paths[word] = self.table.path(symbols + self.end)
+            ids = self.table.path(symbols + self.end)
+            if len(symbols) <= LONGEST:
+                self.paths[word] = ids
         return ids
 
     def _split(self, text: str) -> list[str]:
@@ -200,24 +204,42 @@ class BpeCodec:
 
     def text(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, ids, decoded text) of a whole text."""
-        if len(self.ids) >= CHUNKS:
-            self.ids.clear()
-            self.decoded.clear()
         chunks = (text or "").encode().split()
-        ids = "".join(map(self.ids.__getitem__, chunks))
-        return ids.count(" "), ids[:-1], "".join(map(self.decoded.__getitem__, chunks))[:-1]
+        ids, labels = [], []
+        for i in range(0, len(chunks), RUN):
+            if self.ids.size >= CHUNKS:
+                self.ids.clear()
+                self.decoded.clear()
+                self.ids.size = 0
+            run = chunks[i : i + RUN]
+            ids.append("".join(map(self.ids.__getitem__, run)))
+            labels.append("".join(map(self.decoded.__getitem__, run)))
+            for chunk in self.ids.long:
+                del self.decoded[chunk]
+            self.ids.long.clear()
+        ids = "".join(ids)
+        return ids.count(" "), ids[:-1], "".join(labels)[:-1]
 
 
 class _Chunks(dict):
-    """Ids of what stands between white space, each followed by a space; filled in, with the labels, as asked for."""
+    """Ids of what stands between white space, each followed by a space; filled in, with the labels, as asked for.
+
+    `size` is what they take: 300 bytes for an entry, and what its three strings hold. Long chunks are listed in `long`:
+    their labels stay until they are read.
+    """
 
     def __init__(self, codec: BpeCodec):
-        self.codec = codec
+        self.codec, self.size, self.long = codec, 0, set()
 
     def __missing__(self, chunk: bytes) -> str:
         ids = self.codec.encode_chunk(chunk.decode())
-        self.codec.decoded[chunk] = self.codec.decode(ids) + " " if ids else ""
-        found = self[chunk] = "".join([f"{i} " for i in ids])
+        labels = self.codec.decoded[chunk] = self.codec.decode(ids) + " " if ids else ""
+        found = "".join([f"{i} " for i in ids])
+        if len(chunk) <= LONGEST:
+            self[chunk] = found
+            self.size += 300 + len(chunk) + len(found) + len(labels)
+        else:
+            self.long.add(chunk)
         return found
 
 

@@ -17,8 +17,9 @@ from quire.llm.common import byte_symbols, numbered, small_batches, stored, toke
 
 SEQUENCE = 4096
 END = 2
-#: Distinct white-space-separated chunks whose ids a worker remembers at most; beyond, it starts anew.
-REMEMBERED = 400_000
+#: Bytes of white-space-separated chunks, words and their ids that a worker remembers at most; beyond, it starts anew. A
+#: chunk or word of more than LONGEST bytes, as texts without white space have, is not remembered; chunks are looked up RUN at a time.
+REMEMBERED, LONGEST, RUN = 48 << 20, 200, 50_000
 
 # A word of Latin letters, all of them whole under NFC, then ASCII punctuation that starts no contraction or special token.
 _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{}~]*)")
@@ -64,18 +65,27 @@ class ChunkEncoder:
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for text in texts:
-            for known in (self.ids, self.words, self.whole):
-                if len(known) > REMEMBERED:
-                    known.clear()
-            yield b"".join(map(self.ids.__getitem__, (text or "").encode().split()))
+            chunks, found = (text or "").encode().split(), []
+            for i in range(0, len(chunks), RUN):
+                for known in (self.ids, self.words, self.whole):
+                    if known.size > REMEMBERED // 3:
+                        known.clear()
+                        known.size = 0
+                found.append(b"".join(map(self.ids.__getitem__, chunks[i : i + RUN])))
+            yield b"".join(found)
 
 
 class _Remembered(dict):
+    """Values by key, with the bytes that they take: 200 for an entry, and what key and value hold."""
+
     def __init__(self, find):
-        self.find = find
+        self.find, self.size = find, 0
 
     def __missing__(self, key):
-        found = self[key] = self.find(key)
+        found = self.find(key)
+        if len(key) <= LONGEST:
+            self[key] = found
+            self.size += 200 + len(key) + len(found)
         return found
 
 
@@ -129,9 +139,12 @@ def pack(docs: DataFrame, **options) -> DataFrame:
     """Packs every document into sequences of power-of-two length, none of which crosses documents or is padded.
 
     Equal lengths form a bucket; sequences are numbered bucket by bucket, so equal lengths lie together and batches of
-    one shape can be cut from consecutive numbers. Null and empty texts are the end token alone; repeated rows are
+    one shape can be cut from consecutive numbers. Pieces are dealt over the tasks that number them by their place in the
+    stored table, so equal ones lie apart. Null and empty texts are the end token alone; repeated rows are
     packed once each; a null id is kept; an empty table gives an empty one; other columns of docs are not read.
     """
     cut = stored(pieces(docs, **options))  # the tokenizer runs once, though numbering reads its result twice
-    found = numbered(cut.withColumn("bucket", F.log2("length").cast("int")), ["bucket"], F.struct("doc_id", "start"), ["doc_id", "start", "ids_crc32"], "sequence_id", per_group=False)
-    return found.withColumn("offset", F.lit(0).cast("long"))
+    place = cut.metadataColumn("_metadata")
+    cut = cut.select("*", F.log2("length").cast("int").alias("bucket"), F.xxhash64(place["file_path"], place["row_index"]).alias("place"))
+    found = numbered(cut, ["bucket"], F.col("place"), ["doc_id", "start", "ids_crc32"], "sequence_id", per_group=False)
+    return found.drop("place").withColumn("offset", F.lit(0).cast("long"))

@@ -14,7 +14,7 @@ def op1_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return sharding.shard_documents(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return sharding.shard_documents(docs, in_place=True).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op7_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.substring_digests(spread(documents(spark, sf_dir)))
+    return substring.substring_digests(documents(spark, sf_dir).select("doc_id", "text"), in_place=True)
 
 
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
