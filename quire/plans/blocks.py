@@ -10,10 +10,10 @@ from quire.operators import blocks, paragraphs
 from quire.operators.hierarchy import closure
 from quire.plans.documents import LINES, ROLES
 from quire.plans.registry import query
-from quire.sources.tables import rows, table
+from quire.sources.tables import rows, sql, table
 
-SLOTS = "SELECT concat('s', CAST(i AS STRING)) AS slot_id, CASE i % 4 WHEN 0 THEN 'heading' WHEN 1 THEN 'body' WHEN 2 THEN 'table' ELSE 'figure' END AS kind, CASE i % 3 WHEN 0 THEN '' WHEN 1 THEN 'k1,k2' ELSE concat('k', CAST(i AS STRING)) END AS accepts, i % 5 = 0 AS repeatable FROM range(40) AS t(i)"
-PAYLOADS = "SELECT concat('p', CAST(i AS STRING)) AS payload_id, CASE i % 5 WHEN 0 THEN 'heading' WHEN 1 THEN 'body' WHEN 2 THEN 'table' ELSE 'other' END AS kind, concat('k', CAST(i % 6 AS STRING)) AS key FROM range(30) AS t(i)"
+SLOTS = "SELECT concat('s', CAST(i AS STRING)) AS slot_id, concat(CASE i % 4 WHEN 0 THEN 'heading' WHEN 1 THEN 'body' WHEN 2 THEN 'table' ELSE 'figure' END, CAST(CAST(floor(i / 40) AS BIGINT) AS STRING)) AS kind, CASE i % 3 WHEN 0 THEN '' WHEN 1 THEN 'k1,k2' ELSE concat('k', CAST(i AS STRING)) END AS accepts, i % 5 = 0 AS repeatable FROM (SELECT p_partkey FROM part) AS t(i)"
+PAYLOADS = "SELECT concat('p', CAST(i AS STRING)) AS payload_id, concat(CASE i % 5 WHEN 0 THEN 'heading' WHEN 1 THEN 'body' WHEN 2 THEN 'table' ELSE 'other' END, CAST(CAST(floor(i / 40) AS BIGINT) AS STRING)) AS kind, concat('k', CAST(i % 6 AS STRING)) AS key FROM (SELECT p_partkey FROM part WHERE p_size > 12) AS t(i)"
 
 
 @query(f"""
@@ -21,8 +21,8 @@ WITH m AS (SELECT slot_id, repeatable, payload_id, count(payload_id) OVER (PARTI
 SELECT slot_id, payload_id, CASE WHEN payload_id IS NULL THEN 'unmapped' WHEN NOT repeatable AND n > 1 THEN 'ambiguous' ELSE 'bound' END AS state FROM m
 """)
 def slot_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots = spark.sql(SLOTS).withColumn("accepts", F.filter(F.split("accepts", ","), lambda x: x != ""))
-    return blocks.bindings(slots, spark.sql(PAYLOADS))
+    slots = sql(spark, sf_dir, SLOTS).withColumn("accepts", F.filter(F.split("accepts", ","), lambda x: x != ""))
+    return blocks.bindings(slots, sql(spark, sf_dir, PAYLOADS))
 
 
 @query("""
@@ -70,7 +70,7 @@ def text_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.rule_counts(lines, ["doc_id"], "text", {"double_space": "  +", "number": r"\d+"})
 
 
-WRITTEN = "SELECT d.i AS doc_id, k.i AS idx, concat('part ', CAST(k.i * (1 + d.i % 3) AS STRING), '  of ', CAST(d.i % 4 AS STRING)) AS text FROM range(60) AS d(i) CROSS JOIN range(16) AS k(i)"
+WRITTEN = "SELECT d.i AS doc_id, k.i AS idx, concat('part ', CAST(k.i * (1 + d.i % 3) AS STRING), '  of ', CAST(d.i % 4 AS STRING)) AS text FROM (SELECT doc_id FROM documents) AS d(i) CROSS JOIN range(16) AS k(i)"
 KEPT = f"SELECT doc_id, idx, CASE WHEN idx % 2 = 0 THEN replace(text, ' ', '') ELSE text END AS text FROM ({WRITTEN}) AS w WHERE (doc_id + idx) % 4 > 0 AND doc_id % 9 > 0"
 
 
@@ -81,28 +81,28 @@ SELECT doc_id, idx, text FROM m WHERE rn <= 10
 """)
 def missing_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report of ten missing texts a document, as many as are shown."""
-    return blocks.uncontained(spark.sql(WRITTEN), spark.sql(KEPT), "doc_id", "text")
+    return blocks.uncontained(sql(spark, sf_dir, WRITTEN), sql(spark, sf_dir, KEPT), "doc_id", "text")
 
 
-MEMBERS = "(1, DATE '2024-03-10', 30, true, 10, 4, 1), (2, DATE '2023-01-01', 365, false, 10, 4, 2), (3, NULL, 7, true, 3, 9, 0)"
+MEMBERS = "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 > 0 THEN DATE '2023-12-20' + CAST(c_custkey % 60 AS INT) END AS ends, CAST(c_custkey % 400 AS INT) AS days, c_custkey % 2 = 0 AS active, c_nationkey AS most, CAST(c_custkey % 20 AS INT) AS used, CAST(c_custkey % 7 AS INT) AS free FROM customer"
 
 
 @query(f"""
 SELECT id, CAST(CAST(CASE WHEN ends > DATE '2024-01-15' THEN ends ELSE DATE '2024-01-15' END + days AS DATE) AS VARCHAR) AS new_end, CASE WHEN active THEN greatest(most - used, 0) ELSE free END AS remaining
-FROM (VALUES {MEMBERS}) t(id, ends, days, active, most, used, free)
+FROM ({MEMBERS}) t
 """)
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.to_date(F.lit("2024-01-15"))
-    found = rows(spark, MEMBERS, "id, ends, days, active, most, used, free")
+    found = sql(spark, sf_dir, MEMBERS)
     return found.select("id", blocks.membership_end(F.col("ends"), now, F.col("days")).cast("string").alias("new_end"), blocks.remaining_checks(F.col("active"), F.col("most"), F.col("used"), F.col("free")).alias("remaining"))
 
 
 POLICIES = "(1, '/api/items/:id', 'GET'), (2, '/api/admin/*', '*'), (4, '/api/items', 'POST')"
 ASKED = """
 SELECT u.i * 20 + p.i * 4 + a.i AS request, concat('user', CAST(u.i AS STRING)) AS user, CASE p.i WHEN 0 THEN '/api/items/7' WHEN 1 THEN '/api/admin/a/b' WHEN 2 THEN '/api/items' WHEN 3 THEN '/api/items/7/x' ELSE '/api/admin' END AS path, CASE a.i WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'DELETE' ELSE 'PUT' END AS action
-FROM range(8) AS u(i) CROSS JOIN range(5) AS p(i) CROSS JOIN range(4) AS a(i)
+FROM (SELECT c_custkey FROM customer) AS u(i) CROSS JOIN range(5) AS p(i) CROSS JOIN range(4) AS a(i)
 """
-HELD = "SELECT concat('user', CAST(i AS STRING)) AS user, i AS node FROM range(1, 8) AS t(i)"
+HELD = "SELECT concat('user', CAST(i AS STRING)) AS user, 1 + i % 7 AS node FROM (SELECT c_custkey FROM customer WHERE c_custkey % 8 > 0) AS t(i)"
 
 
 @query(rf"""
@@ -113,34 +113,39 @@ SELECT request, EXISTS (SELECT 1 FROM h JOIN p USING (role) WHERE h.user = a.use
 def policy_enforcement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user holds a role and those that it inherits."""
     inherits = closure(rows(spark, ROLES, "id, parent, code"), "id", "parent")
-    held = spark.sql(HELD).join(inherits, "node").select("user", F.col("ancestor").alias("role"))
+    held = sql(spark, sf_dir, HELD).join(inherits, "node").select("user", F.col("ancestor").alias("role"))
     policies = rows(spark, POLICIES, "role, path, action").withColumn("path", blocks.path_pattern(F.col("path")))
-    return blocks.allowed(spark.sql(ASKED), policies, held)
+    return blocks.allowed(sql(spark, sf_dir, ASKED), policies, held)
 
 
-NESTED = """(1, '{"a":{"b":"x","c":2},"d":"y"}'), (2, 'no'), (3, '{"a":null,"e":[1]}')"""
+NESTED = """
+SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN concat('{"a":{"b":"', c_mktsegment, '","c":', CAST(c_nationkey AS STRING), '},"d":"y"}') WHEN 1 THEN 'no' ELSE concat('{"a":null,"e":[', CAST(c_custkey AS STRING), ']}') END AS s FROM customer
+"""
 
 
-@query("SELECT * FROM (VALUES (1, 'a.b', 'x'), (1, 'a.c', '2'), (1, 'd', 'y'), (3, 'e', '[1]')) t(id, k, v)")
+@query("""
+SELECT c_custkey AS id, k, v FROM (SELECT c_custkey, 'a.b' AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'a.c', CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_custkey % 3 = 0
+ UNION ALL SELECT c_custkey, 'd', 'y' FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'e', '[' || c_custkey || ']' FROM customer WHERE c_custkey % 3 = 2)
+""")
 def map_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, NESTED, "id, s").select("id", F.explode(maps.flattened(F.col("s"))).alias("k", "v"))
+    return sql(spark, sf_dir, NESTED).select("id", F.explode(maps.flattened(F.col("s"))).alias("k", "v"))
 
 
-OVERLAID = "SELECT i AS id, CASE i % 3 WHEN 0 THEN '' WHEN 1 THEN 'Kai' END AS font, CASE WHEN i % 2 = 0 THEN '20' ELSE '' END AS line FROM range(60) AS t(i)"
+OVERLAID = "SELECT i AS id, CASE i % 3 WHEN 0 THEN '' WHEN 1 THEN 'Kai' END AS font, CASE WHEN i % 2 = 0 THEN '20' ELSE '' END AS line FROM (SELECT p_partkey FROM part) AS t(i)"
 
 
 @query(f"""
 SELECT id, k, v FROM (SELECT id, 'font' AS k, coalesce(nullif(font, ''), 'Sim') AS v FROM ({OVERLAID}) UNION ALL SELECT id, 'size', '12' FROM ({OVERLAID}) UNION ALL SELECT id, 'line', nullif(line, '') FROM ({OVERLAID})) WHERE v IS NOT NULL
 """)
 def map_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    two = spark.sql(OVERLAID).select("id", F.expr("map('font', 'Sim', 'size', '12')").alias("base"), F.create_map(F.lit("font"), F.col("font"), F.lit("size"), F.lit(""), F.lit("line"), F.col("line")).alias("over"))
+    two = sql(spark, sf_dir, OVERLAID).select("id", F.expr("map('font', 'Sim', 'size', '12')").alias("base"), F.create_map(F.lit("font"), F.col("font"), F.lit("size"), F.lit(""), F.lit("line"), F.col("line")).alias("over"))
     return two.select("id", F.explode(maps.merged(F.col("base"), F.col("over"))).alias("k", "v"))
 
 
-@query("SELECT 1 AS id, 'font,size' AS kept, 0.6667::DOUBLE AS score, 'size' AS bad")
+@query("SELECT p_partkey AS id, 'font,size' AS kept, 0.6667::DOUBLE AS score, CASE WHEN p_partkey % 2 = 0 THEN 'size' ELSE '' END AS bad FROM part")
 def map_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = F.expr("map('字体', 'Kai', 'size', 'big', 'odd', '1')")
-    named = rows(spark, "(1)", "id").select("id", maps.renamed(rules, {"字体": "font"}).alias("m"))
+    rules = F.create_map(F.lit("字体"), F.col("p_brand"), F.lit("size"), F.when(F.col("p_partkey") % 2 == 0, "big").otherwise(F.col("p_size").cast("string")), F.lit("odd"), F.lit("1"))
+    named = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), maps.renamed(rules, {"字体": "font"}).alias("m"))
     listed = maps.whitelisted(F.col("m"), ["font", "size", "line"])
     return named.select("id", F.array_join(F.array_sort(F.map_keys(listed["kept"])), ",").alias("kept"), F.round(listed["score"], 4).alias("score"), F.array_join(maps.violations(F.col("m"), {"font": ".+", "size": r"\d+"}), ",").alias("bad"))
 

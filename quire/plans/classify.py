@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import classify as C
 from quire.plans.registry import query
+from quire.sources.tables import sql, table
 
 THESES = """
 SELECT d.i AS doc_id, k.i AS idx, CASE WHEN (d.i + k.i) % 13 = 12 THEN 'table' ELSE 'paragraph' END AS kind,
@@ -15,25 +16,25 @@ SELECT d.i AS doc_id, k.i AS idx, CASE WHEN (d.i + k.i) % 13 = 12 THEN 'table' E
   WHEN 8 THEN CASE WHEN d.i % 2 = 0 THEN '致谢' ELSE '致谢；谢谢' END WHEN 9 THEN '表2.1 数据' WHEN 10 THEN '图3 结构' WHEN 11 THEN '1 绪论' WHEN 12 THEN '1.2 背景' WHEN 13 THEN '第二章 方法' WHEN 14 THEN '一、引言' WHEN 15 THEN '姓名：张三' WHEN 16 THEN 'Name: Ann'
   WHEN 17 THEN '' WHEN 18 THEN '[7] A. Work' WHEN 19 THEN '2 Methods' WHEN 20 THEN '普通正文' WHEN 21 THEN '  ' WHEN 22 THEN '表：数据' WHEN 23 THEN '图 结构' WHEN 24 THEN '1 Introduction' WHEN 25 THEN '[9]B. Book' ELSE 'plain body text' END AS text,
  CASE k.i % 4 WHEN 0 THEN 'Heading1' WHEN 1 THEN 'Normal' WHEN 2 THEN '标题 2' ELSE '' END AS style, k.i % 9 = 5 AS figure, d.i % 2 = 0 AS data
-FROM range(90) AS d(i) CROSS JOIN range(30) AS k(i)
+FROM (SELECT doc_id FROM documents) AS d(i) CROSS JOIN range(30) AS k(i)
 """
 #: Labels and confidences that rules, a model and an arbiter might give.
 SCORED = """
 SELECT d.i AS doc_id, k.i AS idx, CASE (d.i + k.i * 5) % 7 WHEN 0 THEN 'heading_1' WHEN 1 THEN 'references_title' WHEN 2 THEN 'acknowledgements_title' ELSE 'body' END AS label, ((d.i * 31 + k.i * 17) % 60 + 40) / 100.0D AS confidence,
  CASE (d.i + k.i) % 4 WHEN 0 THEN '' WHEN 1 THEN 'title' ELSE 'abstract' END AS model_label, ((d.i * 13 + k.i * 29) % 50 + 50) / 100.0D AS model_confidence,
  CASE (d.i + k.i * 3) % 5 WHEN 0 THEN 'nonsense' WHEN 1 THEN 'cover' ELSE 'keywords' END AS said_label, ((d.i * 11 + k.i * 7) % 130 - 10) / 100.0D AS said_confidence
-FROM range(70) AS d(i) CROSS JOIN range(45) AS k(i) WHERE k.i < 5 + d.i % 41
+FROM (SELECT doc_id FROM documents) AS d(i) CROSS JOIN range(45) AS k(i) WHERE k.i < 5 + d.i % 41
 """
 DUCK_SCORED = SCORED.replace("100.0D", "100.0::DOUBLE")
 COMPACT = "regexp_replace(trim(text), '[ \\t\\x{A0}\\x{3000}]', '', 'g')"
 
 
-def _theses(spark: SparkSession) -> DataFrame:
-    return spark.sql(THESES)
+def _theses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql(spark, sf_dir, THESES)
 
 
-def _scored(spark: SparkSession) -> DataFrame:
-    return spark.sql(SCORED)
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql(spark, sf_dir, SCORED)
 
 
 ROLES = rf"""
@@ -50,12 +51,12 @@ SELECT doc_id, idx, kind, role, level, CAST(round(CASE WHEN role IN ('table', 'b
 
 @query(ROLES)
 def ast_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.ast_roles(_theses(spark)).select("doc_id", "idx", "kind", "role", "level", "confidence", "section")
+    return C.ast_roles(_theses(spark, sf_dir)).select("doc_id", "idx", "kind", "role", "level", "confidence", "section")
 
 
 @query(f"SELECT doc_id, count(*) FILTER (kind = 'paragraph') AS paragraphs, count(*) FILTER (role = 'blank') AS blanks, count(*) FILTER (kind = 'table') AS tables, count(*) FILTER (role = 'heading') AS headings FROM ({ROLES}) GROUP BY doc_id")
 def role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.role_counts(C.ast_roles(_theses(spark)))
+    return C.role_counts(C.ast_roles(_theses(spark, sf_dir)))
 
 
 PARTS = rf"""
@@ -73,14 +74,14 @@ SELECT doc_id, idx, part, text FROM f WHERE part IS NOT NULL
 
 @query(PARTS)
 def section_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.section_parts(_theses(spark))
+    return C.section_parts(_theses(spark, sf_dir))
 
 
 @query(f"""
 SELECT doc_id, trim(regexp_extract(text, '^([^：:]+)[：:](.+)', 1)) AS "key", arg_max(trim(regexp_extract(text, '^([^：:]+)[：:](.+)', 2)), idx) AS "value" FROM ({PARTS}) WHERE part = 'cover_field' GROUP BY ALL
 """)
 def cover_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.cover_fields(C.section_parts(_theses(spark)))
+    return C.cover_fields(C.section_parts(_theses(spark, sf_dir)))
 
 
 BLOCKS = rf"""
@@ -98,7 +99,7 @@ SELECT doc_id, idx, block, chapter, in_body, text, p FROM f WHERE n > 0
 
 @query(f"SELECT doc_id, idx, block, chapter, in_body FROM ({BLOCKS})")
 def semantic_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.semantic_blocks(_theses(spark)).select("doc_id", "idx", "block", "chapter", "in_body")
+    return C.semantic_blocks(_theses(spark, sf_dir)).select("doc_id", "idx", "block", "chapter", "in_body")
 
 
 @query(f"""
@@ -106,7 +107,7 @@ SELECT doc_id, idx, block, left(text, 80) AS preview, before, after FROM (SELECT
 WHERE in_body AND block IN ('data_table', 'layout_table', 'figure')
 """)
 def semantic_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.candidates(C.semantic_blocks(_theses(spark)))
+    return C.candidates(C.semantic_blocks(_theses(spark, sf_dir)))
 
 
 @query(rf"""
@@ -114,12 +115,12 @@ WITH u AS (SELECT *, left(text, 1) AS label, regexp_replace(substr(text, 2), '^[
 SELECT doc_id, idx, label || chapter || '.' || row_number() OVER (PARTITION BY doc_id, chapter, label ORDER BY idx) || ' ' || name AS caption FROM u
 """)
 def numbered_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.numbered_captions(C.semantic_blocks(_theses(spark)))
+    return C.numbered_captions(C.semantic_blocks(_theses(spark, sf_dir)))
 
 
 @query(rf"SELECT doc_id, idx, '[' || row_number() OVER (PARTITION BY doc_id ORDER BY idx) || '] ' || trim(regexp_replace(text, '^\[\d+\]', '')) AS text FROM ({BLOCKS}) WHERE block = 'reference_entry'")
 def renumbered_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.renumbered_references(C.semantic_blocks(_theses(spark)))
+    return C.renumbered_references(C.semantic_blocks(_theses(spark, sf_dir)))
 
 
 @query(f"""
@@ -127,26 +128,26 @@ SELECT doc_id, idx, CASE WHEN label = 'body' AND EXISTS (SELECT 1 FROM ({DUCK_SC
  AND NOT EXISTS (SELECT 1 FROM ({DUCK_SCORED}) r WHERE r.doc_id = s.doc_id AND r.label = 'acknowledgements_title' AND r.idx <= s.idx) THEN 'references' ELSE label END AS label FROM ({DUCK_SCORED}) s
 """)
 def order_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.order_constraints(_scored(spark).select("doc_id", "idx", "label"))
+    return C.order_constraints(_scored(spark, sf_dir).select("doc_id", "idx", "label"))
 
 
 @query("""
 SELECT id, CASE s WHEN 'Heading1' THEN 'heading_1' WHEN ' heading 2 ' THEN 'heading_2' WHEN '标题3' THEN 'heading_3' WHEN 'TITLE' THEN 'title' WHEN 'TOC 2' THEN 'table_of_contents' WHEN 'TocHeading' THEN 'table_of_contents_title' ELSE '' END AS label
-FROM (SELECT id, CASE id % 9 WHEN 0 THEN 'Heading1' WHEN 1 THEN ' heading 2 ' WHEN 2 THEN '标题3' WHEN 3 THEN 'TITLE' WHEN 4 THEN 'TOC 2' WHEN 5 THEN 'TocHeading' WHEN 6 THEN 'heading5' WHEN 7 THEN 'Normal' END AS s FROM range(200) t(id))
+FROM (SELECT id, CASE id % 9 WHEN 0 THEN 'Heading1' WHEN 1 THEN ' heading 2 ' WHEN 2 THEN '标题3' WHEN 3 THEN 'TITLE' WHEN 4 THEN 'TOC 2' WHEN 5 THEN 'TocHeading' WHEN 6 THEN 'heading5' WHEN 7 THEN 'Normal' END AS s FROM (SELECT p_partkey FROM part) t(id))
 """)
 def style_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    styles = spark.sql("SELECT id, CASE id % 9 WHEN 0 THEN 'Heading1' WHEN 1 THEN ' heading 2 ' WHEN 2 THEN '标题3' WHEN 3 THEN 'TITLE' WHEN 4 THEN 'TOC 2' WHEN 5 THEN 'TocHeading' WHEN 6 THEN 'heading5' WHEN 7 THEN 'Normal' END AS s FROM range(200) AS t(id)")
+    styles = sql(spark, sf_dir, "SELECT id, CASE id % 9 WHEN 0 THEN 'Heading1' WHEN 1 THEN ' heading 2 ' WHEN 2 THEN '标题3' WHEN 3 THEN 'TITLE' WHEN 4 THEN 'TOC 2' WHEN 5 THEN 'TocHeading' WHEN 6 THEN 'heading5' WHEN 7 THEN 'Normal' END AS s FROM (SELECT p_partkey FROM part) AS t(id)")
     return styles.select("id", C.style_label(F.col("s")).alias("label"))
 
 
 @query(f"SELECT label, count(*) AS n, count(*) FILTER (confidence < 0.92) AS low FROM ({DUCK_SCORED}) GROUP BY label")
 def label_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.label_stats(_scored(spark), []).select("label", "n", "low")
+    return C.label_stats(_scored(spark, sf_dir), []).select("label", "n", "low")
 
 
 @query(f"SELECT doc_id, round(100.0 * count(*) FILTER (model_label <> '') / count(*), 4) AS coverage, round(100.0 * count(*) FILTER (model_label <> '') / count(*), 4) >= 70 AS enough FROM ({DUCK_SCORED}) GROUP BY doc_id")
 def label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.coverage(_scored(spark).withColumn("label", F.col("model_label")))
+    return C.coverage(_scored(spark, sf_dir).withColumn("label", F.col("model_label")))
 
 
 CASCADE = f"""
@@ -160,7 +161,7 @@ a AS (SELECT *, coalesce(asks AND item <= 30 AND said_label <> 'nonsense' AND su
 
 @query(CASCADE + "SELECT doc_id, idx, CASE WHEN answered THEN said_label ELSE label END AS label, round(CASE WHEN answered THEN sure ELSE confidence END, 4) AS confidence, CASE WHEN answered THEN 'arbiter' ELSE source END AS source FROM a")
 def classification_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _scored(spark)
+    scored = _scored(spark, sf_dir)
     found = C.with_model(scored.drop("said_label", "said_confidence"))
     answers = scored.select("doc_id", "idx", F.col("said_label").alias("label"), F.col("said_confidence").alias("confidence"))
     merged = C.arbitrated(found, answers, C.needs_arbiter(found, independent=False))
@@ -169,7 +170,7 @@ def classification_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CASCADE + "SELECT doc_id, asks, asks_later FROM g")
 def arbitration_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = C.with_model(_scored(spark))
+    found = C.with_model(_scored(spark, sf_dir))
     return C.needs_arbiter(found, independent=False).join(C.needs_arbiter(found, independent=True).withColumnRenamed("asks", "asks_later"), "doc_id")
 
 
@@ -178,9 +179,9 @@ WITH n AS (SELECT *, floor((row_number() OVER (PARTITION BY doc_id ORDER BY idx)
 SELECT doc_id, idx, CASE WHEN (doc_id + batch) % 3 = 0 OR said_label = 'nonsense' THEN label ELSE said_label END AS label FROM n
 """)
 def whole_document_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _scored(spark)
+    scored = _scored(spark, sf_dir)
     answers = scored.filter("said_label <> 'nonsense'").select("doc_id", "idx", F.col("said_label").alias("label"))
-    failed = spark.sql("SELECT d.i AS doc_id, b.i AS batch FROM range(70) AS d(i) CROSS JOIN range(5) AS b(i) WHERE (d.i + b.i) % 3 = 0")
+    failed = sql(spark, sf_dir, "SELECT d.i AS doc_id, b.i AS batch FROM (SELECT doc_id FROM documents) AS d(i) CROSS JOIN range(5) AS b(i) WHERE (d.i + b.i) % 3 = 0")
     return C.whole_document(scored.select("doc_id", "idx", "label"), answers, failed, 10)
 
 
@@ -206,7 +207,7 @@ def recent_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CASE label WHEN 'heading_1' THEN 'body' WHEN 'references_title' THEN 'references' WHEN 'acknowledgements_title' THEN 'thanks' ELSE label END AS section, min(idx) AS first_idx, string_agg(model_label, chr(10) ORDER BY idx) AS text FROM ({DUCK_SCORED}) GROUP BY ALL
 """)
 def label_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scored(spark).select("doc_id", "idx", "label", F.col("model_label").alias("text"))
+    rows = _scored(spark, sf_dir).select("doc_id", "idx", "label", F.col("model_label").alias("text"))
     return C.sections_of(rows, {"heading_1": "body", "references_title": "references", "acknowledgements_title": "thanks"})
 
 
@@ -215,7 +216,7 @@ WITH s AS (SELECT doc_id, idx AS seq, label AS key FROM ({DUCK_SCORED})), h AS (
 SELECT s.doc_id, s.seq, s.key, CASE WHEN h.key = '' OR h.key = s.key THEN h.style ELSE 'default' END AS style FROM s LEFT JOIN h USING (doc_id, seq)
 """)
 def segment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _scored(spark)
+    scored = _scored(spark, sf_dir)
     key = F.when(F.col("idx") % 3 == 0, "").when(F.col("idx") % 3 == 1, "body").otherwise("title")
     hints = scored.filter("idx < 12").select("doc_id", F.col("idx").alias("seq"), key.alias("key"), F.col("said_label").alias("style"))
     return C.aligned(scored.select("doc_id", F.col("idx").alias("seq"), F.col("label").alias("key")), hints)
@@ -228,15 +229,15 @@ SELECT doc_id, idx, role, repair, coalesce(style, '') AS style FROM r JOIN m USI
 def repair_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.sources.tables import rows
 
-    return C.repair_targets(C.ast_roles(_theses(spark)), rows(spark, "('heading', 'Heading 1'), ('table', 'Grid')", "role, style"))
+    return C.repair_targets(C.ast_roles(_theses(spark, sf_dir)), rows(spark, "('heading', 'Heading 1'), ('table', 'Grid')", "role, style"))
 
 
 @query("""
-SELECT id AS doc_id, 'artifact_missing' AS kind FROM range(90) t(id) WHERE id % 4 = 0 UNION ALL SELECT id, 'steps_missing' FROM range(90) t(id) WHERE id % 3 = 0
-UNION ALL SELECT id, 'guard_missing:rewrite_text' FROM range(90) t(id) WHERE id % 5 = 0 UNION ALL SELECT id, 'guard_missing:delete_paragraph' FROM range(90) t(id) WHERE id % 5 < 2
+SELECT id AS doc_id, 'artifact_missing' AS kind FROM (SELECT doc_id FROM documents) t(id) WHERE id % 4 = 0 UNION ALL SELECT id, 'steps_missing' FROM (SELECT doc_id FROM documents) t(id) WHERE id % 3 = 0
+UNION ALL SELECT id, 'guard_missing:rewrite_text' FROM (SELECT doc_id FROM documents) t(id) WHERE id % 5 = 0 UNION ALL SELECT id, 'guard_missing:delete_paragraph' FROM (SELECT doc_id FROM documents) t(id) WHERE id % 5 < 2
 """)
 def contract_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = spark.range(90).select(
+    made = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).select(
         F.col("id").alias("doc_id"),
         F.when(F.col("id") % 4 > 0, "fixed.docx").alias("artifact"),
         F.when(F.col("id") % 3 > 0, F.array(F.lit("verify"))).otherwise(F.array().cast("array<string>")).alias("steps"),

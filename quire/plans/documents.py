@@ -10,7 +10,7 @@ from quire.operators import formats, issues, paragraphs
 from quire.operators.hierarchy import closure, inherited, paths
 from quire.plans.registry import query
 from quire.plans.text import RE2
-from quire.sources.tables import rows, table
+from quire.sources.tables import sql, table
 
 LINES = "SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx, unnest(string_split(text, chr(10))) AS text FROM documents"
 TRIM = f"regexp_replace(text, '^[{RE2}]+|[{RE2}]+$', '', 'g')"
@@ -91,7 +91,7 @@ LABELLED = """
 SELECT d.i AS doc_id, k.i AS idx, CASE (d.i * 5 + k.i * (1 + d.i % 4)) % 14 WHEN 0 THEN 'cover' WHEN 1 THEN 'abstract_title' WHEN 2 THEN 'abstract' WHEN 3 THEN 'en_abstract' WHEN 4 THEN 'en_keywords' WHEN 5 THEN 'table_of_contents_title' WHEN 6 THEN 'table_of_contents'
   WHEN 7 THEN 'heading_1' WHEN 8 THEN 'heading_2' WHEN 9 THEN 'references_title' WHEN 10 THEN 'title' WHEN 11 THEN 'references' ELSE 'body' END AS label,
  CASE (d.i + k.i * 3) % 11 WHEN 0 THEN CASE WHEN k.i > 15 THEN '附录 A' ELSE 'x' END WHEN 1 THEN CASE WHEN k.i > 12 THEN 'Acknowledgements' ELSE 'y' END WHEN 2 THEN 'a........1' WHEN 3 THEN 'An appendix that is much too long to be a heading' ELSE 'text' END AS text
-FROM range(80) AS d(i) CROSS JOIN range(25) AS k(i)
+FROM (SELECT doc_id FROM documents) AS d(i) CROSS JOIN range(25) AS k(i)
 """
 
 
@@ -104,12 +104,12 @@ m(z, label, new) AS (VALUES {', '.join(f"({paragraphs.ZONES.index(z)}, '{a}', '{
 SELECT doc_id, idx, [{', '.join(f"'{z}'" for z in paragraphs.ZONES)}][zone + 1] AS zone, coalesce(new, f.label) AS label FROM f LEFT JOIN m ON m.z = f.zone AND m.label = f.label WHERE idx >= 0
 """)
 def zone_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.zones(spark.sql(LABELLED))
+    return paragraphs.zones(sql(spark, sf_dir, LABELLED))
 
 
 CAPTIONED = """
 SELECT d.i AS doc_id, k.i AS idx, concat(CASE (d.i + k.i) % 3 WHEN 0 THEN 'Figure ' WHEN 1 THEN 'Table ' ELSE '图' END, CASE (d.i + CAST(floor(k.i / 4) AS INT)) % 4 WHEN 0 THEN '1-' WHEN 1 THEN '2.' ELSE '' END, CAST(CAST(floor(k.i / 3) AS INT) + 1 - CASE WHEN d.i % 5 = 0 THEN 1 ELSE 0 END AS STRING), CASE WHEN d.i % 7 = 3 AND k.i = 2 THEN '99999999999' ELSE ' caption' END) AS text
-FROM range(60) AS d(i) CROSS JOIN range(12) AS k(i) UNION ALL SELECT i, 50, 'plain' FROM range(60) AS t(i)
+FROM (SELECT doc_id FROM documents) AS d(i) CROSS JOIN range(12) AS k(i) UNION ALL SELECT i, 50, 'plain' FROM (SELECT doc_id FROM documents) AS t(i)
 """
 
 
@@ -121,7 +121,7 @@ g AS (SELECT doc_id, label, min(idx) AS idx, count(DISTINCT mark) AS forms, bool
 SELECT doc_id, idx, 'caption_number_sequence' AS kind FROM e WHERE ordinal <= 0 OR ordinal <> expected UNION ALL SELECT doc_id, idx, 'caption_numbering_mixed_format' FROM g WHERE forms > 1 UNION ALL SELECT doc_id, idx, 'caption_missing_chapter_number' FROM g WHERE forms > 1 AND simple
 """)
 def caption_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.caption_issues(spark.sql(CAPTIONED))
+    return paragraphs.caption_issues(sql(spark, sf_dir, CAPTIONED))
 
 
 @query(rf"""
@@ -170,7 +170,7 @@ SPEC_COLUMNS = ("font_east_asia", "font_ascii", "size_half_pt", "bold", "alignme
 SPECS = """
 SELECT i AS id, CASE i % 4 WHEN 0 THEN '' WHEN 1 THEN 'SimSun' ELSE 'Hei' END AS e_font_east_asia, CASE i % 3 WHEN 0 THEN 'Times' END AS e_font_ascii, CASE i % 5 WHEN 0 THEN 0 ELSE 24 + i % 3 END AS e_size_half_pt, i % 2 = 0 AS e_bold, CASE i % 3 WHEN 0 THEN 'left' ELSE '' END AS e_alignment,
  i % 7 * 100 AS e_line, i % 3 * 20 AS e_space_before, i % 2 * 30 AS e_space_after, i % 5 * 100 AS e_first_line_indent, CASE i % 5 WHEN 0 THEN NULL WHEN 1 THEN 'SimSun' ELSE 'Hei' END AS a_font_east_asia, CASE i % 7 WHEN 0 THEN 'Times' ELSE 'Arial' END AS a_font_ascii, 23 + i % 4 AS a_size_half_pt,
- i % 3 = 0 AS a_bold, CASE i % 4 WHEN 0 THEN 'left' WHEN 1 THEN NULL ELSE 'center' END AS a_alignment, i % 7 * 100 + i % 30 AS a_line, CASE WHEN i % 6 = 0 THEN NULL ELSE i % 4 * 20 END AS a_space_before, i % 3 * 25 AS a_space_after, i % 5 * 100 + i % 50 AS a_first_line_indent FROM range(210) AS t(i)
+ i % 3 = 0 AS a_bold, CASE i % 4 WHEN 0 THEN 'left' WHEN 1 THEN NULL ELSE 'center' END AS a_alignment, i % 7 * 100 + i % 30 AS a_line, CASE WHEN i % 6 = 0 THEN NULL ELSE i % 4 * 20 END AS a_space_before, i % 3 * 25 AS a_space_after, i % 5 * 100 + i % 50 AS a_first_line_indent FROM (SELECT p_partkey FROM part) AS t(i)
 """
 
 
@@ -186,7 +186,7 @@ def _compared() -> str:
 @query(f"WITH s AS ({SPECS}) {_compared()}")
 def spec_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda p: F.struct(*[F.col(f"{p}_{c}").alias(c) for c in SPEC_COLUMNS])
-    return formats.spec_diff(spark.sql(SPECS).select("id", side("e").alias("expected"), side("a").alias("actual")))
+    return formats.spec_diff(sql(spark, sf_dir, SPECS).select("id", side("e").alias("expected"), side("a").alias("actual")))
 
 
 @query(f"""
@@ -263,25 +263,26 @@ def issue_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues.fingerprint(found_issues(spark, sf_dir), ["doc_id"]).withColumn("fingerprint", F.md5("fingerprint"))
 
 
-KEYWORD_LINES = "SELECT i AS id, concat(repeat('词；', CAST(i % 7 AS INT)), CASE i % 5 WHEN 0 THEN '末' WHEN 1 THEN 'a, b' WHEN 2 THEN '。' WHEN 3 THEN ' ；last' ELSE 'x;y' END) AS line FROM range(140) AS t(i)"
+KEYWORD_LINES = "SELECT i AS id, concat(repeat('词；', CAST(i % 7 AS INT)), CASE i % 5 WHEN 0 THEN '末' WHEN 1 THEN 'a, b' WHEN 2 THEN '。' WHEN 3 THEN ' ；last' ELSE 'x;y' END) AS line FROM (SELECT p_partkey FROM part) AS t(i)"
 
 
 @query(f"""
 SELECT id, CASE WHEN regexp_matches(line, '[,，]|[.。]$') THEN 1 WHEN len(list_filter(regexp_split_to_array(line, '[；;]'), lambda k: trim(k) <> '')) NOT BETWEEN 3 AND 5 THEN 1 ELSE 0 END AS violations FROM ({KEYWORD_LINES})
 """)
 def rule_pack_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(KEYWORD_LINES).select("id", issues.keyword_violations(F.col("line"), 3, 5).alias("violations"))
+    return sql(spark, sf_dir, KEYWORD_LINES).select("id", issues.keyword_violations(F.col("line"), 3, 5).alias("violations"))
 
 
-USED, DEFINED = "(1, 'a'), (1, 'b'), (1, 'b'), (2, 'a')", "(1, 'a'), (2, 'c')"
+USED = "SELECT l_orderkey AS doc_id, concat('s', CAST(l_partkey % 5 AS STRING)) AS id FROM lineitem"
+DEFINED = "SELECT o_orderkey AS doc_id, concat('s', CAST((o_custkey + i) % 5 AS STRING)) AS id FROM orders CROSS JOIN (VALUES (0), (1), (2)) AS k(i)"
 
 
 @query(f"""
-SELECT DISTINCT doc_id, 'style_reference_missing' AS kind, 'repairable' AS severity, id AS target FROM (VALUES {USED}) u(doc_id, id) WHERE (doc_id, id) NOT IN (SELECT * FROM (VALUES {DEFINED}) d(doc_id, id))
-UNION ALL SELECT DISTINCT coalesce(u.doc_id, d.doc_id), 'bookmark_pair_missing', 'repairable', coalesce(u.id, d.id) FROM (VALUES {USED}) u(doc_id, id) FULL JOIN (VALUES {DEFINED}) d(doc_id, id) ON u.doc_id = d.doc_id AND u.id = d.id WHERE u.id IS NULL OR d.id IS NULL
+SELECT DISTINCT doc_id, 'style_reference_missing' AS kind, 'repairable' AS severity, id AS target FROM ({USED}) u WHERE (doc_id, id) NOT IN (SELECT doc_id, id FROM ({DEFINED}) d)
+UNION ALL SELECT DISTINCT coalesce(u.doc_id, d.doc_id), 'bookmark_pair_missing', 'repairable', coalesce(u.id, d.id) FROM ({USED}) u FULL JOIN ({DEFINED}) d ON u.doc_id = d.doc_id AND u.id = d.id WHERE u.id IS NULL OR d.id IS NULL
 """)
 def integrity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used, defined = rows(spark, USED, "doc_id, id"), rows(spark, DEFINED, "doc_id, id")
+    used, defined = sql(spark, sf_dir, USED), sql(spark, sf_dir, DEFINED)
     keys = ["doc_id", "id"]
     return issues.dangling(used, defined, keys, "style_reference_missing", "id").union(issues.unpaired(used, defined, keys, "bookmark_pair_missing", "id"))
 
@@ -296,7 +297,7 @@ def footer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Chains of styles, some of which end in a loop.
 STYLES = """
-SELECT i AS style_id, CASE WHEN i % 10 = 0 AND i > 0 THEN CASE WHEN i % 20 = 0 THEN i + 3 END WHEN i > 0 THEN i - 1 END AS based_on, CASE i % 4 WHEN 0 THEN concat('font', CAST(i AS STRING)) WHEN 1 THEN '' END AS font, CASE i % 3 WHEN 1 THEN i END AS size, CASE i % 7 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END AS bold FROM range(100) AS t(i)
+SELECT i AS style_id, CASE WHEN i % 10 = 0 AND i > 0 THEN CASE WHEN i % 20 = 0 THEN i + 3 END WHEN i > 0 THEN i - 1 END AS based_on, CASE i % 4 WHEN 0 THEN concat('font', CAST(i AS STRING)) WHEN 1 THEN '' END AS font, CASE i % 3 WHEN 1 THEN i END AS size, CASE i % 7 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END AS bold FROM (SELECT p_partkey - 1 FROM part) AS t(i)
 """
 
 
@@ -305,42 +306,44 @@ WITH RECURSIVE s AS ({STYLES}), c AS (SELECT style_id AS node, style_id AS at, 0
 SELECT node AS style_id, arg_min(font, depth) FILTER (font <> '') AS font, arg_min(size, depth) FILTER (size IS NOT NULL) AS size, coalesce(bool_or(bold), false) AS bold FROM c JOIN s ON s.style_id = c.at GROUP BY node
 """)
 def style_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inherited(spark.sql(STYLES), "style_id", "based_on", ["font", "size"], ["bold"])
+    return inherited(sql(spark, sf_dir, STYLES), "style_id", "based_on", ["font", "size"], ["bold"])
 
 
 ROLES = "(1, NULL, 'root'), (2, 1, 'admin'), (3, 2, 'editor'), (4, 1, 'viewer'), (5, 3, 'author')"
+#: Trees of forty parts each, where a node has two children.
+TREES = "SELECT p_partkey AS id, CASE WHEN p_partkey % 40 > 1 THEN p_partkey - p_partkey % 40 + CAST(floor((p_partkey % 40) / 2) AS BIGINT) END AS parent, p_brand AS code FROM part"
 
 
 @query(f"""
-WITH RECURSIVE r AS (SELECT id AS node, id AS ancestor, 0 AS depth FROM (VALUES {ROLES}) t(id, parent, code) UNION ALL SELECT r.node, t.parent, depth + 1 FROM r JOIN (VALUES {ROLES}) t(id, parent, code) ON t.id = r.ancestor WHERE t.parent IS NOT NULL)
+WITH RECURSIVE r AS (SELECT id AS node, id AS ancestor, 0 AS depth FROM ({TREES}) t UNION ALL SELECT r.node, t.parent, depth + 1 FROM r JOIN ({TREES}) t ON t.id = r.ancestor WHERE t.parent IS NOT NULL)
 SELECT * FROM r
 """)
 def role_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return closure(rows(spark, ROLES, "id, parent, code"), "id", "parent")
+    return closure(sql(spark, sf_dir, TREES), "id", "parent")
 
 
 @query(f"""
-WITH RECURSIVE r AS (SELECT id, 0 AS depth, code AS path FROM (VALUES {ROLES}) t(id, parent, code) WHERE parent IS NULL UNION ALL SELECT t.id, depth + 1, path || '/' || t.code FROM r JOIN (VALUES {ROLES}) t(id, parent, code) ON t.parent = r.id)
+WITH RECURSIVE r AS (SELECT id, 0 AS depth, code AS path FROM ({TREES}) t WHERE parent IS NULL UNION ALL SELECT t.id, depth + 1, path || '/' || t.code FROM r JOIN ({TREES}) t ON t.parent = r.id)
 SELECT * FROM r
 """)
 def menu_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths(rows(spark, ROLES, "id, parent, code"), "id", "parent", "code")
+    return paths(sql(spark, sf_dir, TREES), "id", "parent", "code")
 
 
 @query("""
-SELECT category, coalesce(CASE WHEN category % 3 = 0 THEN concat('c', category) END, CASE WHEN category % 2 = 0 THEN concat('b', category) END, concat('a', category)) AS font, coalesce(CASE WHEN category % 5 = 0 AND category % 3 = 0 THEN 30 END, CASE WHEN category % 2 = 0 AND category % 4 = 0 THEN 20 END, 10) AS size FROM range(90) t(category)
+SELECT category, coalesce(CASE WHEN category % 3 = 0 THEN concat('c', category) END, CASE WHEN category % 2 = 0 THEN concat('b', category) END, concat('a', category)) AS font, coalesce(CASE WHEN category % 5 = 0 AND category % 3 = 0 THEN 30 END, CASE WHEN category % 2 = 0 AND category % 4 = 0 THEN 20 END, 10) AS size FROM (SELECT p_partkey FROM part) t(category)
 """)
 def rule_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = lambda letter: F.concat(F.lit(letter), F.col("id").cast("string")).alias("font")
-    every, key = spark.range(90), F.col("id").alias("category")
+    every, key = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), F.col("id").alias("category")
     low = every.select(key, named("a"), F.lit(10).alias("size"))
     middle = every.filter("id % 2 = 0").select(key, named("b"), F.when(F.col("id") % 4 == 0, 20).alias("size"))
     high = every.filter("id % 3 = 0").select(key, named("c"), F.when(F.col("id") % 5 == 0, 30).alias("size"))
     return formats.effective([low, middle, high], "category", ["font", "size"])
 
 
-WANTED = "SELECT d.i AS doc_id, k.i AS idx, concat('t', CAST((d.i * 3 + k.i * (1 + d.i % 3)) % 5 AS STRING)) AS text FROM range(120) AS d(i) CROSS JOIN range(3) AS k(i)"
-WRITTEN = "SELECT d.i AS doc_id, k.i AS idx, concat('t', CAST((d.i + k.i * 2) % 5 AS STRING)) AS text FROM range(120) AS d(i) CROSS JOIN range(8) AS k(i) WHERE k.i < 2 + d.i % 7"
+WANTED = "SELECT d.i AS doc_id, k.i AS idx, concat('t', CAST((d.i * 3 + k.i * (1 + d.i % 3)) % 5 AS STRING)) AS text FROM (SELECT doc_id FROM documents) AS d(i) CROSS JOIN range(3) AS k(i)"
+WRITTEN = "SELECT d.i AS doc_id, k.i AS idx, concat('t', CAST((d.i + k.i * 2) % 5 AS STRING)) AS text FROM (SELECT doc_id FROM documents) AS d(i) CROSS JOIN range(8) AS k(i) WHERE k.i < 2 + d.i % 7"
 
 
 @query(f"""
@@ -348,4 +351,4 @@ WITH RECURSIVE f AS (SELECT doc_id, CAST(-1 AS BIGINT) AS idx, CAST(0 AS BIGINT)
 SELECT doc_id, max(done) = 3 AS found FROM f GROUP BY doc_id
 """)
 def ordered_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.in_order(spark.sql(WANTED), spark.sql(WRITTEN))
+    return paragraphs.in_order(sql(spark, sf_dir, WANTED), sql(spark, sf_dir, WRITTEN))

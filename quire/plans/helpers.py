@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.plans.registry import query
 from quire.plans.text import RE2
-from quire.sources.tables import table
+from quire.sources.tables import sql, table
 
-#: 420 lines: every start with every end, some with white space around.
+#: A line for each order: every start with every end, some with white space around.
 LINES = """
-SELECT a.i * 20 + b.i AS id, concat(CASE WHEN a.i % 4 = 0 THEN '  ' ELSE '' END,
+SELECT a.k AS id, concat(CASE WHEN a.i % 4 = 0 THEN '  ' ELSE '' END,
  CASE a.i WHEN 0 THEN '1' WHEN 1 THEN '1.2' WHEN 2 THEN '2.3.4' WHEN 3 THEN '12' WHEN 4 THEN '3.' WHEN 5 THEN '一、' WHEN 6 THEN '（二）' WHEN 7 THEN '(3)' WHEN 8 THEN '（4）' WHEN 9 THEN '[5]'
   WHEN 10 THEN '摘要' WHEN 11 THEN '摘要：' WHEN 12 THEN '摘要；；' WHEN 13 THEN '2024年 3 月' WHEN 14 THEN '1.4.2' WHEN 15 THEN '1.1' WHEN 16 THEN 'a 4' WHEN 17 THEN '20' WHEN 18 THEN '1.2.3.4' WHEN 19 THEN '摘 要' ELSE '' END,
  CASE b.i WHEN 0 THEN '绪论' WHEN 1 THEN ' Introduction' WHEN 2 THEN '国内外研究现状：12' WHEN 3 THEN '国外研究现状' WHEN 4 THEN '国内现状 7' WHEN 5 THEN '结论/总结' WHEN 6 THEN 'Text' WHEN 7 THEN '方法与结果的分析9' WHEN 8 THEN '' WHEN 9 THEN '日'
   WHEN 10 THEN '丐丑专且丕世丘丙业丛东丝' WHEN 11 THEN '研究。abc' WHEN 12 THEN '的数据处理方法研究分析abcdefghij0123数据处理方法研究分析' WHEN 13 THEN ' 5 x' WHEN 14 THEN '.5' WHEN 15 THEN '万' WHEN 16 THEN ':内容' WHEN 17 THEN '附录' WHEN 18 THEN ' Reference A. 2021' ELSE '7Seven' END) AS s
-FROM range(21) AS a(i) CROSS JOIN range(20) AS b(i)
+FROM (SELECT o_orderkey AS k, o_orderkey % 21 AS i FROM orders) AS a JOIN (SELECT o_orderkey AS k, CAST(floor(o_orderkey / 21) AS BIGINT) % 20 AS i FROM orders) AS b ON a.k = b.k
 """
 TRIM = f"regexp_replace(s, '^[{RE2}]+|[{RE2}]+$', '', 'g')"
 
@@ -26,8 +26,8 @@ def _count(pattern: str, of: str = "t") -> str:
     return f"len(regexp_extract_all({of}, '{pattern}'))"
 
 
-def _lines(spark: SparkSession) -> DataFrame:
-    return spark.sql(LINES)
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql(spark, sf_dir, LINES)
 
 
 @query(rf"""
@@ -39,7 +39,7 @@ SELECT id, CASE WHEN regexp_matches(t, '^\d+') THEN len(string_split(regexp_extr
 """)
 def heading_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s")
-    return _lines(spark).select("id", T.science_depth(s).alias("science"), T.arts_depth(s).alias("arts"), T.spaced_heading_numbers(s).alias("spaced"), T.after_marker(s, "摘要").alias("after_marker"))
+    return _lines(spark, sf_dir).select("id", T.science_depth(s).alias("science"), T.arts_depth(s).alias("arts"), T.spaced_heading_numbers(s).alias("spaced"), T.after_marker(s, "摘要").alias("after_marker"))
 
 
 @query(rf"""
@@ -54,7 +54,7 @@ SELECT id, CASE WHEN regexp_matches(t, '^\d{{4}}年\s*\d{{1,2}}\s*月') THEN reg
  ELSE s END AS text FROM m
 """)
 def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark).select("id", T.visible_text(F.col("s")).alias("text"))
+    return _lines(spark, sf_dir).select("id", T.visible_text(F.col("s")).alias("text"))
 
 
 GARBAGE = rf"""n >= 3 AND ((rare * 2 > n AND marks = 0) OR (n > 30 AND marks = 0 AND rare + common > floor(n / 2) AND plain > floor(n / 4)) OR (n > 10 AND rare > 5 AND common < floor(rare / 2)))"""
@@ -67,7 +67,7 @@ SELECT *, length(t) AS n, {_count('[\\x{4E00}-\\x{4FFF}\\x{9001}-\\x{9FFF}]')} A
 SELECT CAST(floor(id / 7) AS BIGINT) AS doc, coalesce(string_agg(t, chr(10) ORDER BY id) FILTER (n >= 2 AND NOT ({GARBAGE})), '') AS text, count(*) FILTER ({GARBAGE}) AS garbage FROM ({COUNTED}) GROUP BY 1
 """)
 def line_cleaner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark).withColumn("doc", F.floor(F.col("id") / 7))
+    lines = _lines(spark, sf_dir).withColumn("doc", F.floor(F.col("id") / 7))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "s"))), lambda x: x["s"]), "\n").alias("whole")
     return lines.groupBy("doc").agg(whole, F.count_if(T.is_garbage(T.uni_trim(F.col("s")))).alias("garbage")).select("doc", T.cleaned_lines(F.col("whole")).alias("text"), "garbage")
 
@@ -82,7 +82,7 @@ def fallback_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Eighty documents of eight lines each: which lines stand where depends on the document.
 SECTIONS = """
 SELECT d.i AS doc, k.i AS line, CASE (d.i * 3 + k.i * (1 + d.i % 5)) % 11 WHEN 0 THEN 'Abstract' WHEN 1 THEN 'abstract of all' WHEN 2 THEN 'Keywords: a' WHEN 3 THEN '参考文献' WHEN 4 THEN '[1] one' WHEN 5 THEN '2. two' WHEN 6 THEN '无' WHEN 7 THEN 'Zeta 2020' WHEN 8 THEN '致谢' WHEN 9 THEN '' ELSE ' 目录' END AS text
-FROM range(80) AS d(i) CROSS JOIN range(8) AS k(i)
+FROM (SELECT doc_id FROM documents) AS d(i) CROSS JOIN range(8) AS k(i)
 """
 
 
@@ -95,13 +95,13 @@ SELECT doc, coalesce(string_agg(text, chr(10) ORDER BY line) FILTER (line > a AN
 """)
 def sections_by_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("s")
-    docs = spark.sql(SECTIONS).groupBy("doc").agg(whole)
+    docs = sql(spark, sf_dir, SECTIONS).groupBy("doc").agg(whole)
     return docs.select("doc", T.section_by_heading(F.col("s"), ["abstract"], ["keywords", "目录"]).alias("section"), F.array_join(T.reference_lines(F.col("s")), "|").alias("refs"))
 
 
 SIZES = """
-SELECT id, concat(CASE WHEN id % 3 = 0 THEN '小' ELSE '' END, CASE CAST(floor(id / 3) AS INT) % 9 WHEN 0 THEN '初' WHEN 1 THEN '一' WHEN 2 THEN '二' WHEN 3 THEN '三' WHEN 4 THEN '四' WHEN 5 THEN '五' WHEN 6 THEN '六' WHEN 7 THEN '七' ELSE '八' END, CASE WHEN id % 2 = 0 THEN '号' ELSE '' END) AS s FROM range(54) AS t(id)
-UNION ALL SELECT id, concat(CAST(id % 13 AS STRING), CASE id % 4 WHEN 0 THEN 'pt' WHEN 1 THEN '磅' WHEN 2 THEN '' ELSE 'px' END) FROM range(54, 120) AS t(id)
+SELECT id, concat(CASE WHEN id % 3 = 0 THEN '小' ELSE '' END, CASE CAST(floor(id / 3) AS INT) % 9 WHEN 0 THEN '初' WHEN 1 THEN '一' WHEN 2 THEN '二' WHEN 3 THEN '三' WHEN 4 THEN '四' WHEN 5 THEN '五' WHEN 6 THEN '六' WHEN 7 THEN '七' ELSE '八' END, CASE WHEN id % 2 = 0 THEN '号' ELSE '' END) AS s FROM (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0) AS t(id)
+UNION ALL SELECT id, concat(CAST(id % 13 AS STRING), CASE id % 4 WHEN 0 THEN 'pt' WHEN 1 THEN '磅' WHEN 2 THEN '' ELSE 'px' END) FROM (SELECT p_partkey FROM part WHERE p_partkey % 2 = 1) AS t(id)
 """
 
 
@@ -110,7 +110,7 @@ WITH m(s, v) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in T.FONT_SIZES.item
 SELECT id, CAST(coalesce(v, nullif(greatest(TRY_CAST(regexp_replace(n.s, '(pt|磅)$', '') AS DOUBLE), 0), 0), 12) AS DOUBLE) AS points FROM n LEFT JOIN m ON m.s = n.s
 """)
 def font_size_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(SIZES).select("id", T.font_points(F.col("s")).alias("points"))
+    return sql(spark, sf_dir, SIZES).select("id", T.font_points(F.col("s")).alias("points"))
 
 
 @query(r"""

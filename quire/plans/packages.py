@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.operators import packages
 from quire.plans.registry import query
+from quire.sources.tables import sql
 
-COUNT = 240
 PACKAGES = f"""
 SELECT i AS doc_id, p AS part_name, CASE p
  WHEN 'word/document.xml' THEN CASE WHEN i % 41 = 0 THEN '<w:document/>' ELSE concat('<w:document xmlns:w="x"><w:body>',
@@ -29,7 +29,7 @@ SELECT i AS doc_id, p AS part_name, CASE p
   CASE i % 4 WHEN 0 THEN '<Relationship Id="m" Type="x/relationships/image" Target="media/a.png"/>' WHEN 1 THEN '<Relationship Id="u" Type="x/relationships/link" Target="http://y" TargetMode="External"/>' WHEN 2 THEN '<Relationship Id="n" Type="x/relationships/numbering" Target="/word/numbering.xml"/>' ELSE '<Relationship Id="q" Type="x/relationships/custom" Target="../custom/z.xml"/>' END)
  WHEN '_rels/.rels' THEN '<Relationship Id="d" Type="x/relationships/officeDocument" Target="word/document.xml"/>'
  ELSE '' END AS content
-FROM range({COUNT}) AS t(i) CROSS JOIN (VALUES ('word/document.xml'), ('word/styles.xml'), ('word/numbering.xml'), ('word/settings.xml'), ('word/footnotes.xml'), ('word/comments.xml'), ('word/header1.xml'),
+FROM (SELECT doc_id FROM documents) AS t(i) CROSS JOIN (VALUES ('word/document.xml'), ('word/styles.xml'), ('word/numbering.xml'), ('word/settings.xml'), ('word/footnotes.xml'), ('word/comments.xml'), ('word/header1.xml'),
  ('[Content_Types].xml'), ('word/_rels/document.xml.rels'), ('_rels/.rels'), ('word/media/a.png'), ('word/media/b.gif')) AS q(p)
 WHERE NOT (p = 'word/document.xml' AND i % 31 = 0) AND NOT (p = 'word/comments.xml' AND i % 6 > 0) AND NOT (p = 'word/footnotes.xml' AND i % 5 = 0) AND NOT (p = 'word/header1.xml' AND i % 13 = 0)
  AND NOT (p = 'word/numbering.xml' AND i % 17 = 0) AND NOT (p = 'word/media/b.gif' AND i % 3 > 0) AND NOT (p = 'word/media/a.png' AND i % 8 = 0)
@@ -101,18 +101,18 @@ UNION SELECT doc_id, 'fields_not_marked_for_update', 'repairable', 'word/setting
 """
 
 
-def _parts(spark: SparkSession) -> DataFrame:
-    return spark.sql(PACKAGES)
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql(spark, sf_dir, PACKAGES)
 
 
 @query(f"WITH p AS ({PACKAGES}), w AS (SELECT * FROM p WHERE part_name LIKE 'word/%' AND part_name LIKE '%.xml'), {STRUCTURE} SELECT * FROM structure")
 def part_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packages.structure(_parts(spark))
+    return packages.structure(_parts(spark, sf_dir))
 
 
 @query(VERIFIED)
 def package_verifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packages.verify(_parts(spark))
+    return packages.verify(_parts(spark, sf_dir))
 
 
 @query(f"""
@@ -120,4 +120,4 @@ SELECT doc_id, CASE WHEN bool_or(severity = 'fatal') THEN 'rejected' WHEN bool_o
 FROM (SELECT DISTINCT doc_id FROM ({PACKAGES})) LEFT JOIN ({VERIFIED}) USING (doc_id) GROUP BY doc_id
 """)
 def package_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packages.verdicts(_parts(spark))
+    return packages.verdicts(_parts(spark, sf_dir))

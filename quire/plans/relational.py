@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quire.operators import relational as R
 from quire.plans.registry import query
-from quire.sources.tables import rows, table, with_deleted
+from quire.sources.tables import dealt, rows, sql, table, with_deleted
 
 NOW = "1998-08-02"
 DELETED = "l_returnflag = 'R'"
@@ -153,17 +153,17 @@ def orphan_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GRANTS = "(1, 'record:read'), (1, 'record:create'), (2, 'record:read'), (2, 'user:update'), (3, '*:*')"
-DIRECT = "(7, 'record:read'), (7, 'cms:delete'), (8, 'user:update')"
-HOLDERS = "(7, 1), (7, 2), (8, 3), (9, 1)"
+DIRECT = "SELECT c_custkey AS user_id, CASE WHEN c_nationkey % 2 = 0 THEN 'record:read' ELSE 'cms:delete' END AS code FROM customer WHERE c_custkey % 5 = 0"
+HOLDERS = "SELECT c_custkey AS user_id, CAST(1 + (c_custkey + i) % 3 AS INT) AS role_id FROM customer CROSS JOIN (VALUES (0), (1)) AS k(i) WHERE c_custkey % 4 > i"
 
 
 @query(f"""
-SELECT user_id, code FROM (VALUES {HOLDERS}) h(user_id, role_id) JOIN (VALUES {GRANTS}) g(role_id, code) USING (role_id)
-UNION SELECT user_id, code FROM (VALUES {DIRECT}) d(user_id, code)
+SELECT user_id, code FROM ({HOLDERS}) h JOIN (VALUES {GRANTS}) g(role_id, code) USING (role_id)
+UNION SELECT user_id, code FROM ({DIRECT}) d
 """)
 def permission_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_role = rows(spark, HOLDERS, "user_id, role_id").join(rows(spark, GRANTS, "role_id, code"), "role_id").select("user_id", "code")
-    return by_role.union(rows(spark, DIRECT, "user_id, code")).distinct()
+    by_role = sql(spark, sf_dir, HOLDERS).join(rows(spark, GRANTS, "role_id, code"), "role_id").select("user_id", "code")
+    return by_role.union(sql(spark, sf_dir, DIRECT)).distinct()
 
 
 @query("""
@@ -186,15 +186,17 @@ def json_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.filter(F.get_json_object("props", "$.k").try_cast("long") == 3).select("event_id")
 
 
-TAGGED = """(1, '[{"text":"a"},{"text":"b"}]'), (2, '[{"text":"b"}]'), (3, '[]'), (4, NULL)"""
+TAGGED = """
+SELECT doc_id AS id, CASE doc_id % 7 WHEN 0 THEN '[]' WHEN 1 THEN NULL ELSE concat('[{"text":"', lang, '"},{"text":"', source, '"},{"text":"', CAST(doc_id % 150 AS STRING), '"}]') END AS tags FROM documents
+"""
 
 
 @query(f"""
-SELECT DISTINCT json_extract_string(t, '$.text') AS tag FROM (SELECT unnest(CAST(tags AS JSON[])) AS t FROM (VALUES {TAGGED}) x(id, tags))
+SELECT DISTINCT json_extract_string(t, '$.text') AS tag FROM (SELECT unnest(CAST(tags AS JSON[])) AS t FROM ({TAGGED}) x)
 """)
 def distinct_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.explode(F.from_json("tags", "array<struct<text:string>>"))
-    return rows(spark, TAGGED, "id, tags").select(tags.alias("t")).select(F.col("t.text").alias("tag")).distinct()
+    return sql(spark, sf_dir, TAGGED).select(tags.alias("t")).select(F.col("t.text").alias("tag")).distinct()
 
 
 @query(f"""
@@ -205,18 +207,21 @@ def expire_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.update_where(table(spark, sf_dir, "orders"), stale, {"o_orderstatus": F.lit("expired")}).select("o_orderkey", F.col("o_orderstatus").alias("status"))
 
 
-PEOPLE = "(1, '13812345678', 'ann@example.org', '110101199003071234', 'abc'), (2, '12345', 'b', '1101', 'longer'), (3, NULL, '@x', '', 'wxyz')"
+PEOPLE = """
+SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN '12345' WHEN 1 THEN NULL ELSE concat('138', lpad(CAST(c_custkey AS STRING), 8, '0')) END AS phone, CASE c_custkey % 5 WHEN 0 THEN 'b' WHEN 1 THEN '@x' ELSE concat(c_name, '@example.org') END AS email,
+ CASE c_custkey % 3 WHEN 0 THEN '1101' WHEN 1 THEN '' ELSE concat('1101011990', lpad(CAST(c_custkey AS STRING), 8, '0')) END AS card, c_mktsegment AS other FROM customer
+"""
 
 
 @query(f"""
 SELECT id, CASE WHEN strlen(phone) < 4 THEN '****' WHEN strlen(phone) >= 11 THEN left(phone, 3) || '****' || right(phone, 4) ELSE '****' END AS phone,
  CASE WHEN strlen(email) < 4 THEN '****' WHEN instr(email, '@') > 1 THEN left(email, 1) || '***@' || split_part(email, '@', -1) ELSE '****' END AS email,
  CASE WHEN strlen(card) < 4 THEN '****' WHEN strlen(card) >= 18 THEN left(card, 6) || '*********' || right(card, 4) ELSE '****' END AS card, other
-FROM (VALUES {PEOPLE}) t(id, phone, email, card, other)
+FROM ({PEOPLE}) t
 """)
 def masking_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     policies = {"phone": (True, True, "phone"), "email": (True, True, "email"), "card": (True, True, "id_card"), "other": (True, False, "")}
-    return R.mask_columns(rows(spark, PEOPLE, "id, phone, email, card, other"), policies)
+    return R.mask_columns(sql(spark, sf_dir, PEOPLE), policies)
 
 
 @query("SELECT c_custkey FROM customer WHERE c_nationkey = 7")
@@ -306,16 +311,17 @@ def duplicate_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.union(texts)
 
 
-TOKENS = "(1, 'a'), (2, 'b'), (3, 'c')"
-NEW_TOKENS = "(2, 'x'), (4, 'y')"
+TOKENS = "SELECT c_custkey AS id, c_name AS token FROM customer WHERE c_custkey % 3 > 0"
+NEW_TOKENS = "SELECT c_custkey AS id, c_mktsegment AS token FROM customer WHERE c_custkey % 2 = 0"
 
 
 @query(f"""
-SELECT id, token, 'keep' AS mode FROM (VALUES {TOKENS}) t(id, token) UNION ALL SELECT id, token, 'keep' FROM (VALUES {NEW_TOKENS}) n(id, token) WHERE id NOT IN (1, 2, 3)
-UNION ALL SELECT id, token, 'replace' FROM (VALUES {TOKENS}) t(id, token) WHERE id NOT IN (2, 4) UNION ALL SELECT id, token, 'replace' FROM (VALUES {NEW_TOKENS}) n(id, token)
+WITH t AS ({TOKENS}), n AS ({NEW_TOKENS})
+SELECT id, token, 'keep' AS mode FROM t UNION ALL SELECT id, token, 'keep' FROM n WHERE id NOT IN (SELECT id FROM t)
+UNION ALL SELECT id, token, 'replace' FROM t WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT id, token, 'replace' FROM n
 """)
 def upsert_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now, new = rows(spark, TOKENS, "id, token"), rows(spark, NEW_TOKENS, "id, token")
+    now, new = sql(spark, sf_dir, TOKENS), sql(spark, sf_dir, NEW_TOKENS)
     return R.upsert(now, new, "id", update=False).withColumn("mode", F.lit("keep")).unionByName(R.upsert(now, new, "id", update=True).withColumn("mode", F.lit("replace")))
 
 
@@ -325,32 +331,35 @@ def cascading_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.delete_where_in(table(spark, sf_dir, "lineitem"), "l_orderkey", doomed, "o_orderkey").select("l_orderkey", "l_linenumber")
 
 
-RULES_BEFORE, RULES_AFTER = "(1, 'a'), (2, 'b'), (3, NULL)", "(1, 'a'), (2, 'c'), (3, 'd')"
+RULES_BEFORE = "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 > 0 THEN p_brand END AS rules FROM part"
+RULES_AFTER = "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN p_partkey % 7 > 0 THEN p_brand END AS rules FROM part"
 
 
-@query(f"SELECT b.id, b.rules AS old_value FROM (VALUES {RULES_BEFORE}) b(id, rules) JOIN (VALUES {RULES_AFTER}) a(id, rules) USING (id) WHERE a.rules IS DISTINCT FROM b.rules")
+@query(f"SELECT b.id, b.rules AS old_value FROM ({RULES_BEFORE}) b JOIN ({RULES_AFTER}) a USING (id) WHERE a.rules IS DISTINCT FROM b.rules")
 def rule_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.revisions(rows(spark, RULES_BEFORE, "id, rules"), rows(spark, RULES_AFTER, "id, rules"), "id", "rules")
+    return R.revisions(sql(spark, sf_dir, RULES_BEFORE), sql(spark, sf_dir, RULES_AFTER), "id", "rules")
 
 
-KEYS_A, KEYS_B = "('font', 'serif'), ('size', '12'), ('bold', NULL)", "('font', 'sans'), ('size', '12'), ('line', '20')"
+KEYS_A = "SELECT concat('field', CAST(p_partkey AS STRING)) AS k, CASE WHEN p_partkey % 9 > 0 THEN p_brand END AS v FROM part WHERE p_partkey % 4 > 0"
+KEYS_B = "SELECT concat('field', CAST(p_partkey AS STRING)) AS k, CASE WHEN p_partkey % 5 > 0 THEN p_brand ELSE p_type END AS v FROM part WHERE p_partkey % 3 > 0"
 
 
-@query(f"SELECT coalesce(a.k, b.k) AS k, a.v AS left_value, b.v AS right_value FROM (VALUES {KEYS_A}) a(k, v) FULL JOIN (VALUES {KEYS_B}) b(k, v) ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v")
+@query(f"SELECT coalesce(a.k, b.k) AS k, a.v AS left_value, b.v AS right_value FROM ({KEYS_A}) a FULL JOIN ({KEYS_B}) b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v")
 def key_union_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.key_union_diff(rows(spark, KEYS_A, "k, v"), rows(spark, KEYS_B, "k, v"), "k", "v")
+    return R.key_union_diff(sql(spark, sf_dir, KEYS_A), sql(spark, sf_dir, KEYS_B), "k", "v")
 
 
 USERS = "(1, 'admin', 5.0, false, false, false, 0, 0, false), (2, 'user', 0.0, false, false, false, 0, 0, false), (3, 'user', 5.0, true, false, false, 0, 0, false), (4, 'user', 5.0, false, true, true, 1, 3, false), (5, 'user', 5.0, false, true, true, 3, 3, false), (6, 'user', 5.0, false, false, false, 0, 0, true), (7, NULL, 0.0, true, true, true, 0, 9, true)"
 USER_NAMES = "id, role, price, free, active, allowed, used, quota, paid"
+HELD_BY = dealt(USERS, USER_NAMES, "customer", "c_custkey")
 
 
 @query(f"""
 SELECT id, CASE WHEN role IS NULL THEN false WHEN price <= 0 THEN true WHEN free THEN true WHEN role IN ('admin', 'free') THEN true
- WHEN active AND allowed AND used < quota THEN true WHEN paid THEN true ELSE false END AS ok FROM (VALUES {USERS}) t({USER_NAMES})
+ WHEN active AND allowed AND used < quota THEN true WHEN paid THEN true ELSE false END AS ok FROM ({HELD_BY}) t
 """)
 def entitlement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = rows(spark, USERS, USER_NAMES)
+    users = sql(spark, sf_dir, HELD_BY)
     return users.select("id", R.entitled(*[F.col(c) for c in ("price", "free", "role", "active", "allowed", "used", "quota", "paid")]).alias("ok"))
 
 

@@ -7,24 +7,25 @@ from pyspark.sql import functions as F
 
 from quire.operators import rendered as R
 from quire.plans.registry import query
+from quire.sources.tables import sql
 
 WORDS = "CASE {} WHEN 0 THEN 'Abs tract' WHEN 1 THEN 'Intro duction' WHEN 2 THEN 'Method' WHEN 3 THEN 'Results' ELSE 'End' END"
 
 
 def _pages(shift: str) -> str:
-    return f"SELECT d.i AS doc_id, p.i + 1 AS page, concat('page ', {WORDS.format('(p.i + ' + shift + ') % 6')}, ' ', {WORDS.format('(p.i * 2 + d.i) % 5')}) AS text FROM range(60) AS d(i) CROSS JOIN range(4) AS p(i)"
+    return f"SELECT d.i AS doc_id, p.i + 1 AS page, concat('page ', {WORDS.format('(p.i + ' + shift + ') % 6')}, ' ', {WORDS.format('(p.i * 2 + d.i) % 5')}) AS text FROM (SELECT doc_id FROM documents) AS d(i) CROSS JOIN range(4) AS p(i)"
 
 
 def _spans(font: str, size: str, x: str) -> str:
-    return f"SELECT d.i AS doc_id, s.i AS seq, s.i + 1 AS page, {WORDS.format('(s.i + d.i) % 6')} AS text, {font} AS font, {size} AS font_size, {x} AS x, 100.0D AS width, 400.0D AS page_width FROM range(60) AS d(i) CROSS JOIN range(4) AS s(i)"
+    return f"SELECT d.i AS doc_id, s.i AS seq, s.i + 1 AS page, {WORDS.format('(s.i + d.i) % 6')} AS text, {font} AS font, {size} AS font_size, {x} AS x, 100.0D AS width, 400.0D AS page_width FROM (SELECT doc_id FROM documents) AS d(i) CROSS JOIN range(4) AS s(i)"
 
 
 GOLDEN, CANDIDATE = _pages("0"), _pages("d.i % 2")
-PAIRS = "SELECT d.i AS doc_id, p.i AS name, CASE p.i WHEN 0 THEN 'Abstract' ELSE 'Method' END AS left, CASE p.i WHEN 0 THEN 'Introduction' WHEN 1 THEN 'End' ELSE 'Results' END AS right FROM range(60) AS d(i) CROSS JOIN range(3) AS p(i)"
-LANDMARKS = "SELECT d.i AS doc_id, CASE p.i WHEN 0 THEN 'Abstract' WHEN 1 THEN 'Methods' ELSE 'Results' END AS landmark FROM range(60) AS d(i) CROSS JOIN range(3) AS p(i)"
+PAIRS = "SELECT d.i AS doc_id, p.i AS name, CASE p.i WHEN 0 THEN 'Abstract' ELSE 'Method' END AS left, CASE p.i WHEN 0 THEN 'Introduction' WHEN 1 THEN 'End' ELSE 'Results' END AS right FROM (SELECT doc_id FROM documents) AS d(i) CROSS JOIN range(3) AS p(i)"
+LANDMARKS = "SELECT d.i AS doc_id, CASE p.i WHEN 0 THEN 'Abstract' WHEN 1 THEN 'Methods' ELSE 'Results' END AS landmark FROM (SELECT doc_id FROM documents) AS d(i) CROSS JOIN range(3) AS p(i)"
 GOLD_SPANS = _spans("'ABC+Sim Sun'", "12.0D", "150.0D")
 OTHER_SPANS = _spans("CASE WHEN (d.i + s.i) % 3 = 0 THEN 'Kai-Ti' ELSE 'simsun' END", "12.0D + (d.i % 4) * 0.1D", "CAST(147 + s.i * 2 + d.i % 3 AS DOUBLE)")
-STYLE_RULES = "SELECT d.i AS doc_id, r.i AS name, CASE r.i WHEN 0 THEN 'Abstract' WHEN 1 THEN 'Method' ELSE 'Gone' END AS wanted, CASE d.i % 3 WHEN 0 THEN 'Sim' ELSE '' END AS font, CASE d.i % 2 WHEN 0 THEN 12.0D ELSE 0.0D END AS size, CASE d.i % 5 WHEN 0 THEN 0.05D ELSE 0.0D END AS tolerance, CASE d.i % 4 WHEN 0 THEN 'center' WHEN 1 THEN 'left' ELSE '' END AS alignment FROM range(60) AS d(i) CROSS JOIN range(3) AS r(i)"
+STYLE_RULES = "SELECT d.i AS doc_id, r.i AS name, CASE r.i WHEN 0 THEN 'Abstract' WHEN 1 THEN 'Method' ELSE 'Gone' END AS wanted, CASE d.i % 3 WHEN 0 THEN 'Sim' ELSE '' END AS font, CASE d.i % 2 WHEN 0 THEN 12.0D ELSE 0.0D END AS size, CASE d.i % 5 WHEN 0 THEN 0.05D ELSE 0.0D END AS tolerance, CASE d.i % 4 WHEN 0 THEN 'center' WHEN 1 THEN 'left' ELSE '' END AS alignment FROM (SELECT doc_id FROM documents) AS d(i) CROSS JOIN range(3) AS r(i)"
 
 
 def _duck(sql: str) -> str:
@@ -42,7 +43,7 @@ WITH p AS ({_duck(PAIRS)}), f AS (SELECT *, {_page_of('left', GOLDEN)} AS gl, {_
 SELECT doc_id, CASE WHEN cl = 0 OR cr = 0 THEN 'candidate_same_page_landmark_missing' ELSE 'candidate_same_page_drift' END AS kind, 'error' AS severity, CAST(name AS VARCHAR) AS target FROM f WHERE gl > 0 AND gl = gr AND (cl = 0 OR cr = 0 OR cl <> cr)
 """)
 def same_page_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.same_page_drift(spark.sql(GOLDEN), spark.sql(CANDIDATE), spark.sql(PAIRS))
+    return R.same_page_drift(sql(spark, sf_dir, GOLDEN), sql(spark, sf_dir, CANDIDATE), sql(spark, sf_dir, PAIRS))
 
 
 def _span_of(needles: str, needle: str, spans: str) -> str:
@@ -56,7 +57,7 @@ SELECT doc_id, 'landmark_style_unavailable' AS kind, 'warning' AS severity, targ
 UNION ALL SELECT doc_id, 'landmark_font_size_drift', 'error', target FROM b WHERE abs(c.size - g.size) > 0.25 UNION ALL SELECT doc_id, 'landmark_horizontal_drift', 'error', target FROM b WHERE abs(c.x - g.x) > 3
 """)
 def landmark_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.style_drift(spark.sql(GOLD_SPANS), spark.sql(OTHER_SPANS), spark.sql(LANDMARKS))
+    return R.style_drift(sql(spark, sf_dir, GOLD_SPANS), sql(spark, sf_dir, OTHER_SPANS), sql(spark, sf_dir, LANDMARKS))
 
 
 @query(f"""
@@ -67,12 +68,12 @@ UNION ALL SELECT doc_id, 'rendered_font_size_mismatch', 'error', target FROM a W
 UNION ALL SELECT doc_id, 'rendered_alignment_mismatch', 'error', target FROM a WHERE alignment <> '' AND span IS NOT NULL AND side <> alignment
 """)
 def rendered_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.style_rules(spark.sql(OTHER_SPANS), spark.sql(STYLE_RULES))
+    return R.style_rules(sql(spark, sf_dir, OTHER_SPANS), sql(spark, sf_dir, STYLE_RULES))
 
 
 PICTURES = """
 SELECT d.i AS doc_id, k.i AS idx, CASE (d.i + k.i) % 6 WHEN 0 THEN '图2.1 结构' WHEN 1 THEN '图3 结构' WHEN 2 THEN ' ' WHEN 3 THEN '' ELSE 'text' END AS text, (d.i + k.i * 3) % 4 = 0 AS picture, d.i % 5 = 0 AS anchored, 5700000 + (k.i % 3) * 100000 AS width,
- k.i % 2 = 0 AS kept_with_next, (d.i + k.i) % 7 = 0 AS grouped, k.i > 2 AS in_body FROM range(60) AS d(i) CROSS JOIN range(14) AS k(i)
+ k.i % 2 = 0 AS kept_with_next, (d.i + k.i) % 7 = 0 AS grouped, k.i > 2 AS in_body FROM (SELECT doc_id FROM documents) AS d(i) CROSS JOIN range(14) AS k(i)
 """
 
 
@@ -83,11 +84,11 @@ UNION ALL SELECT doc_id, 'image_keep_with_caption_missing', 'repairable', target
 UNION ALL SELECT doc_id, 'figure_caption_missing_chapter_number', 'repairable', target FROM f WHERE NOT grouped AND after LIKE '图%' AND NOT regexp_matches(after, '^图\d+[.-]\d+')
 """)
 def picture_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.pictures(spark.sql(PICTURES))
+    return R.pictures(sql(spark, sf_dir, PICTURES))
 
 
 @query(f"""
-WITH c AS (SELECT doc_id, max(page) AS n FROM ({GOLDEN}) GROUP BY doc_id), k AS (SELECT doc_id, max(page) AS n FROM ({CANDIDATE}) WHERE page < 4 OR doc_id % 3 > 0 GROUP BY doc_id), l AS (SELECT doc_id, landmark AS target FROM ({LANDMARKS}) UNION ALL SELECT i, 'Nowhere' FROM range(60) t(i)),
+WITH c AS (SELECT doc_id, max(page) AS n FROM ({GOLDEN}) GROUP BY doc_id), k AS (SELECT doc_id, max(page) AS n FROM ({CANDIDATE}) WHERE page < 4 OR doc_id % 3 > 0 GROUP BY doc_id), l AS (SELECT doc_id, landmark AS target FROM ({LANDMARKS}) UNION ALL SELECT i, 'Nowhere' FROM (SELECT doc_id FROM documents) t(i)),
 f AS (SELECT *, coalesce((SELECT min(page) FROM ({GOLDEN}) g WHERE g.doc_id = l.doc_id AND contains(replace(text, ' ', ''), target)), 0) AS g, coalesce((SELECT min(page) FROM ({CANDIDATE}) g WHERE (page < 4 OR g.doc_id % 3 > 0) AND g.doc_id = l.doc_id AND contains(replace(text, ' ', ''), target)), 0) AS c FROM l)
 SELECT doc_id, 'page_count_drift' AS kind, 'error' AS severity, CAST(k.n AS VARCHAR) AS target FROM c JOIN k USING (doc_id) WHERE abs(c.n - k.n) > 0
 UNION ALL SELECT doc_id, CASE WHEN g = 0 THEN 'golden_landmark_missing' WHEN c = 0 THEN 'candidate_landmark_missing' ELSE 'landmark_page_drift' END, CASE WHEN g = 0 THEN 'warning' ELSE 'error' END, target FROM f WHERE g = 0 OR c = 0 OR g <> c
@@ -95,5 +96,5 @@ UNION ALL SELECT doc_id, CASE WHEN g = 0 THEN 'golden_landmark_missing' WHEN c =
 def golden_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators.issues import golden_drift as drift
 
-    landmarks = spark.sql(f"{LANDMARKS} UNION ALL SELECT i, 'Nowhere' FROM range(60) AS t(i)")
-    return drift(spark.sql(GOLDEN), spark.sql(CANDIDATE).filter("page < 4 OR doc_id % 3 > 0"), landmarks)
+    landmarks = sql(spark, sf_dir, f"{LANDMARKS} UNION ALL SELECT i, 'Nowhere' FROM (SELECT doc_id FROM documents) AS t(i)")
+    return drift(sql(spark, sf_dir, GOLDEN), sql(spark, sf_dir, CANDIDATE).filter("page < 4 OR doc_id % 3 > 0"), landmarks)

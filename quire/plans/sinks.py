@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.plans.documents import ISSUES, found_issues
 from quire.plans.registry import query
 from quire.sources import sinks as S
-from quire.sources.tables import table
+from quire.sources.tables import sql, table
 
 
 @query("SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_nationkey < 10 UNION ALL SELECT c_custkey + 1000000, c_name, c_nationkey FROM customer WHERE c_nationkey >= 8")
@@ -89,7 +89,7 @@ def purged_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Settings in three dialects, some in a wrapper, some broken.
 SETTINGS = """
 SELECT i AS id, CASE i % 6 WHEN 0 THEN concat('{"rule_pack": {"font": "Sim", "size": ', CAST(i % 20 AS STRING), '}}') WHEN 1 THEN concat('{"font": "Kai", "size": ', CAST(i % 9 AS STRING), '}') WHEN 2 THEN '{"字体": "宋体", "字号": "小四"}'
- WHEN 3 THEN '{"fontName": "Times", "fontSize": "12"}' WHEN 4 THEN 'no json' ELSE '{}' END AS s FROM range(120) AS t(i)
+ WHEN 3 THEN '{"fontName": "Times", "fontSize": "12"}' WHEN 4 THEN 'no json' ELSE '{}' END AS s FROM (SELECT c_custkey FROM customer) AS t(i)
 """
 
 
@@ -97,7 +97,7 @@ SELECT i AS id, CASE i % 6 WHEN 0 THEN concat('{"rule_pack": {"font": "Sim", "si
 WITH b AS (SELECT id, CASE WHEN json_valid(s) THEN coalesce(json_extract(s, '$.rule_pack'), CAST(s AS JSON)) END AS s FROM ({SETTINGS})) SELECT id, json_extract_string(s, '$.font') AS font, TRY_CAST(json_extract_string(s, '$.size') AS INT) AS size FROM b
 """)
 def json_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.json_settings(spark.sql(SETTINGS), "s", "font string, size int").select("id", "font", "size")
+    return S.json_settings(sql(spark, sf_dir, SETTINGS), "s", "font string, size int").select("id", "font", "size")
 
 
 @query(f"""
@@ -105,7 +105,7 @@ WITH b AS (SELECT id, CASE WHEN json_valid(s) THEN s END AS s FROM ({SETTINGS}))
 SELECT id, coalesce(json_extract_string(s, '$.font'), json_extract_string(s, '$.字体'), json_extract_string(s, '$.fontName')) AS font, coalesce(json_extract_string(s, '$.size'), json_extract_string(s, '$.字号'), json_extract_string(s, '$.fontSize')) AS size FROM b
 """)
 def standard_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(SETTINGS).select("id", S.first_known(("font", "字体", "fontName"), "s").alias("font"), S.first_known(("size", "字号", "fontSize"), "s").alias("size"))
+    return sql(spark, sf_dir, SETTINGS).select("id", S.first_known(("font", "字体", "fontName"), "s").alias("font"), S.first_known(("size", "字号", "fontSize"), "s").alias("size"))
 
 
 @query("""

@@ -13,7 +13,7 @@ from quire.functions import text as T
 from quire.operators import paragraphs
 from quire.plans.registry import query
 from quire.sources.markup import html_blocks as blocks
-from quire.sources.tables import rows, table
+from quire.sources.tables import sql, table
 from quire.streaming import stateful
 
 
@@ -41,7 +41,7 @@ def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HEADS = """
-SELECT i AS id, concat(CASE i % 8 WHEN 0 THEN '504B0304' WHEN 1 THEN 'D0CF11E0' WHEN 2 THEN '25504446' WHEN 3 THEN '7B5C727466' WHEN 4 THEN '3C21444F43' WHEN 5 THEN '3C68746D6C' WHEN 6 THEN '00' ELSE '01020304' END, CASE WHEN i % 3 = 0 THEN '' ELSE '4142' END) AS h FROM range(120) AS t(i)
+SELECT i AS id, concat(CASE i % 8 WHEN 0 THEN '504B0304' WHEN 1 THEN 'D0CF11E0' WHEN 2 THEN '25504446' WHEN 3 THEN '7B5C727466' WHEN 4 THEN '3C21444F43' WHEN 5 THEN '3C68746D6C' WHEN 6 THEN '00' ELSE '01020304' END, CASE WHEN i % 3 = 0 THEN '' ELSE '4142' END) AS h FROM (SELECT p_partkey FROM part) AS t(i)
 """
 
 
@@ -49,13 +49,13 @@ SELECT i AS id, concat(CASE i % 8 WHEN 0 THEN '504B0304' WHEN 1 THEN 'D0CF11E0'
 SELECT id, CASE WHEN length(h) < 8 THEN NULL WHEN h LIKE '504B0304%' THEN 'docx' WHEN h LIKE 'D0CF11E0%' THEN 'doc' WHEN h LIKE '25504446%' THEN 'pdf' WHEN h LIKE '7B5C727466%' THEN 'rtf' WHEN h LIKE '3C21444F43%' OR h LIKE '3C68746D6C%' THEN 'html' ELSE '' END AS kind FROM ({HEADS})
 """)
 def file_type_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(HEADS).select("id", T.sniffed(F.unhex("h")).alias("kind"))
+    return sql(spark, sf_dir, HEADS).select("id", T.sniffed(F.unhex("h")).alias("kind"))
 
 
-@query(r"SELECT * FROM (VALUES (1, 'Hello World' || chr(10) || 'Next')) t(id, text)")
+@query(r"SELECT c_custkey AS id, 'Hello ' || c_mktsegment || chr(10) || 'Next' || c_nationkey AS text FROM customer")
 def rtf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = spark.createDataFrame([(1, r"{\rtf1\ansi{\fonttbl{\f0 Arial;}}\f0\fs24 Hello {\b World}\par Next}")], "id int, s string")
-    return source.select("id", T.rtf_text(F.col("s")).alias("text"))
+    source = F.concat(F.lit(r"{\rtf1\ansi{\fonttbl{\f0 Arial;}}\f0\fs24 Hello {\b "), "c_mktsegment", F.lit(r"}\par Next"), F.col("c_nationkey").cast("string"), F.lit("}"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), source.alias("s")).select("id", T.rtf_text(F.col("s")).alias("text"))
 
 
 @query()

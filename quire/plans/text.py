@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.plans.registry import query
-from quire.sources.tables import rows, table
+from quire.sources.tables import dealt, sql, table
 
 #: The class of Unicode white space in RE2 spelling, for the SQL.
 RE2 = r"\t\n\v\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-SAMPLES = "(1, '  　摘要：研究  '), (2, 'Hello  World\t\tagain'), (3, ''), (4, '毕业设计 thesis 中文 words 12'), (5, 'a\n\n\n\nb')"
+SAMPLES = dealt("(1, '  　摘要：研究  '), (2, 'Hello  World\t\tagain'), (3, ''), (4, '毕业设计 thesis 中文 words 12'), (5, 'a\n\n\n\nb')", "id, s", "documents", "doc_id")
 
 
 @query(f"""
@@ -19,11 +19,11 @@ SELECT id, regexp_replace(s, '^[{RE2}]+|[{RE2}]+$', '', 'g') AS trimmed, regexp_
  length(regexp_replace(s, '[^\\x{{4E00}}-\\x{{9FFF}}]', '', 'g')) AS han, length(regexp_replace(s, '\\P{{Han}}', '', 'g')) AS han_b,
  len(regexp_extract_all(s, '[^\\x00-\\x7F{RE2}]')) AS wide, len(regexp_extract_all(s, '[A-Za-z]+')) AS ascii_words,
  len(regexp_extract_all(s, '[A-Za-z]')) > len(regexp_extract_all(s, '[^\\x00-\\x7F{RE2}]')) AS is_foreign
-FROM (VALUES {SAMPLES}) t(id, s)
+FROM ({SAMPLES}) t
 """)
 def unicode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s")
-    return rows(spark, SAMPLES, "id, s").select(
+    return sql(spark, sf_dir, SAMPLES).select(
         "id", T.uni_trim(s).alias("trimmed"), T.squeezed(s).alias("squeezed"), T.han_block_count(s).alias("han"), T.han_count(s).alias("han_b"),
         T.wide_count(s).alias("wide"), T.ascii_words(s).alias("ascii_words"), T.is_foreign(s).alias("is_foreign"),
     )
@@ -59,7 +59,7 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "idx", F.length("c").alias("chars"), F.md5("c").alias("digest"))
 
 
-HEADINGS = "(1, '1.2.3 Deep'), (2, '(1) short'), (3, '(1) a much longer remainder than twenty'), (4, '2.1 Second'), (5, '3. Third'), (6, '第一章 绪论'), (7, '一、引言'), (8, '（二）方法'), (9, '4 Fourth'), (10, '1998 2000'), (11, 'plain')"
+HEADINGS = dealt("(1, '1.2.3 Deep'), (2, '(1) short'), (3, '(1) a much longer remainder than twenty'), (4, '2.1 Second'), (5, '3. Third'), (6, '第一章 绪论'), (7, '一、引言'), (8, '（二）方法'), (9, '4 Fourth'), (10, '1998 2000'), (11, 'plain')", "id, s", "documents", "doc_id")
 
 
 @query(rf"""
@@ -67,42 +67,42 @@ SELECT id, CASE WHEN regexp_matches(s, '^\d+\.\d+\.\d+') THEN 3
  WHEN regexp_matches(s, '^[(（]\d+[)）]') THEN CASE WHEN length(regexp_replace(s, '^[(（]\d+[)）]', '')) <= 20 THEN 3 ELSE 0 END
  WHEN regexp_matches(s, '^\d+\.\d+|^[(（][一二三四五六七八九十]+[)）]') THEN 2
  WHEN regexp_matches(s, '^([一二三四五六七八九十]+|\d+)[、.]|^第[一二三四五六七八九十\d]+[章节]|^\d+ +[^\d ]') THEN 1 ELSE 0 END AS level
-FROM (VALUES {HEADINGS}) t(id, s)
+FROM ({HEADINGS}) t
 """)
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, HEADINGS, "id, s").select("id", T.heading_level(F.col("s")).alias("level"))
+    return sql(spark, sf_dir, HEADINGS).select("id", T.heading_level(F.col("s")).alias("level"))
 
 
-CAPTIONS = "(1, 'Figure 3 Result'), (2, 'Table 2-4 Data'), (3, 'Figure 1.2 Map'), (4, '图 5 结构'), (5, '表2.1 数据'), (6, 'none'), (7, 'Figure'), (8, 'Figure 12345678901'), (9, 'Table 99999999999-2')"
+CAPTIONS = dealt("(1, 'Figure 3 Result'), (2, 'Table 2-4 Data'), (3, 'Figure 1.2 Map'), (4, '图 5 结构'), (5, '表2.1 数据'), (6, 'none'), (7, 'Figure'), (8, 'Figure 12345678901'), (9, 'Table 99999999999-2')", "id, s", "documents", "doc_id")
 
 
 @query(rf"""
-WITH p AS (SELECT id, regexp_extract(s, '^(图|表|Figure|Table) *(?:(\d+)([.-]))?(\d+)', ['label', 'chapter', 'mark', 'n']) AS p FROM (VALUES {CAPTIONS}) t(id, s))
+WITH p AS (SELECT id, regexp_extract(s, '^(图|表|Figure|Table) *(?:(\d+)([.-]))?(\d+)', ['label', 'chapter', 'mark', 'n']) AS p FROM ({CAPTIONS}) t)
 SELECT id, p.label AS label, CASE p.mark WHEN '.' THEN 'chapter_dot' WHEN '-' THEN 'chapter_hyphen' ELSE 'simple' END AS format,
  coalesce(TRY_CAST(p.chapter AS INT), -1) AS chapter, TRY_CAST(p.n AS INT) AS ordinal FROM p WHERE p.label <> ''
 """)
 def caption_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, CAPTIONS, "id, s").select("id", T.caption(F.col("s")).alias("c")).filter("c IS NOT NULL").select("id", "c.*").fillna(-1, ["chapter"])
+    return sql(spark, sf_dir, CAPTIONS).select("id", T.caption(F.col("s")).alias("c")).filter("c IS NOT NULL").select("id", "c.*").fillna(-1, ["chapter"])
 
 
-PAIRS = "(1, '题目：基于 Spark'), (2, 'Name: Ann: B'), (3, 'empty:'), (4, 'none'), (5, '：x')"
+PAIRS = dealt("(1, '题目：基于 Spark'), (2, 'Name: Ann: B'), (3, 'empty:'), (4, 'none'), (5, '：x')", "id, s", "documents", "doc_id")
 
 
 @query(rf"""
-WITH c AS (SELECT id, s, CASE WHEN contains(s, '：') THEN '：' ELSE ':' END AS m FROM (VALUES {PAIRS}) t(id, s)),
+WITH c AS (SELECT id, s, CASE WHEN contains(s, '：') THEN '：' ELSE ':' END AS m FROM ({PAIRS}) t),
 k AS (SELECT id, trim(substr(s, 1, strpos(s, m) - 1)) AS k, trim(substr(s, strpos(s, m) + 1)) AS v, strpos(s, m) AS place FROM c)
 SELECT id, k AS "key", v AS "value" FROM k WHERE place > 0 AND k <> '' AND v <> ''
 """)
 def key_value_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, PAIRS, "id, s").select("id", T.key_value(F.col("s")).alias("p")).filter("p IS NOT NULL").select("id", "p.*")
+    return sql(spark, sf_dir, PAIRS).select("id", T.key_value(F.col("s")).alias("p")).filter("p IS NOT NULL").select("id", "p.*")
 
 
-LISTS = "(1, '模型，数据；训练'), (2, 'a, b;;c ,'), (3, '')"
+LISTS = dealt("(1, '模型，数据；训练'), (2, 'a, b;;c ,'), (3, '')", "id, s", "documents", "doc_id")
 
 
-@query(f"SELECT id, array_to_string(list_filter(list_transform(regexp_split_to_array(s, '[，、；;,]'), lambda k: trim(k)), lambda k: k <> ''), '|') AS keywords FROM (VALUES {LISTS}) t(id, s)")
+@query(f"SELECT id, array_to_string(list_filter(list_transform(regexp_split_to_array(s, '[，、；;,]'), lambda k: trim(k)), lambda k: k <> ''), '|') AS keywords FROM ({LISTS}) t")
 def keyword_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, LISTS, "id, s").select("id", F.array_join(T.keywords(F.col("s")), "|").alias("keywords"))
+    return sql(spark, sf_dir, LISTS).select("id", F.array_join(T.keywords(F.col("s")), "|").alias("keywords"))
 
 
 @query("""
@@ -115,20 +115,20 @@ def roman_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.roman(n).alias("roman"))
 
 
-CODES = "(1, 'ab-cd 1234', 'a/b:c.docx', 'ABCDEF+Times New-Roman'), (2, 'short', 'fine.txt', 'Sim_Sun')"
+CODES = dealt("(1, 'ab-cd 1234', 'a/b:c.docx', 'ABCDEF+Times New-Roman'), (2, 'short', 'fine.txt', 'Sim_Sun')", "id, c, f, n", "documents", "doc_id")
 
 
 @query(rf"""
 SELECT id, sha256(upper(regexp_replace(c, '[- ]', '', 'g'))) AS hashed, CASE WHEN length(c) < 9 THEN c ELSE left(c, 4) || '-****-' || right(c, 4) END AS masked,
- regexp_replace(f, '[<>:"/\\|?*]', '_', 'g') AS file, regexp_replace(regexp_replace(lower(n), '^[^+]*\+', ''), '[ _-]', '', 'g') AS font FROM (VALUES {CODES}) t(id, c, f, n)
+ regexp_replace(f, '[<>:"/\\|?*]', '_', 'g') AS file, regexp_replace(regexp_replace(lower(n), '^[^+]*\+', ''), '[ _-]', '', 'g') AS font FROM ({CODES}) t
 """)
 def code_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rows(spark, CODES, "id, c, f, n")
+    found = sql(spark, sf_dir, CODES)
     return found.select("id", T.code_hash(F.col("c")).alias("hashed"), T.masked_code(F.col("c")).alias("masked"), T.safe_filename(F.col("f")).alias("file"), T.font_key(F.col("n")).alias("font"))
 
 
 SPACINGS = """
-SELECT i AS id, CASE i % 8 WHEN 0 THEN 'single' WHEN 1 THEN 'double' WHEN 2 THEN '1.5' WHEN 3 THEN concat(CAST(i % 4 AS STRING), '.25倍') WHEN 4 THEN concat(CAST(i AS STRING), '磅') WHEN 5 THEN concat('fixed ', CAST(i AS STRING), 'pt') WHEN 6 THEN CAST(i AS STRING) ELSE 'odd' END AS s FROM range(160) AS t(i)
+SELECT i AS id, CASE i % 8 WHEN 0 THEN 'single' WHEN 1 THEN 'double' WHEN 2 THEN '1.5' WHEN 3 THEN concat(CAST(i % 4 AS STRING), '.25倍') WHEN 4 THEN concat(CAST(i AS STRING), '磅') WHEN 5 THEN concat('fixed ', CAST(i AS STRING), 'pt') WHEN 6 THEN CAST(i AS STRING) ELSE 'odd' END AS s FROM (SELECT p_partkey FROM part) AS t(i)
 """
 
 
@@ -137,7 +137,7 @@ WITH n AS (SELECT id, s, TRY_CAST(regexp_extract(s, '\d+(\.\d+)?') AS DOUBLE) AS
 SELECT id, CAST(CASE s WHEN 'single' THEN 240 WHEN '1.5' THEN 360 WHEN 'double' THEN 480 ELSE CASE WHEN s LIKE '%倍' THEN n * 240 WHEN regexp_matches(s, '(磅|pt)$') THEN n * 20 WHEN regexp_matches(s, '^\d') THEN CASE WHEN n <= 10 THEN n * 240 ELSE n END ELSE 0 END END AS DOUBLE) AS twips FROM n
 """)
 def line_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(SPACINGS).select("id", T.line_twips(F.col("s")).alias("twips"))
+    return sql(spark, sf_dir, SPACINGS).select("id", T.line_twips(F.col("s")).alias("twips"))
 
 
 @query("""
@@ -148,28 +148,28 @@ def unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.twips(mm).alias("twips"), (mm * 36000).cast("long").alias("emu"), F.round(mm * F.lit(2.83465), 2).alias("points"), F.round(mm / F.lit(25.4), 4).alias("inches"))
 
 
-REQUESTS = "(1, 'record:read', 'read', 'record', 'GET'), (2, 'record:update', 'update', 'record', 'GET'), (3, '*:*', '*', 'cms', 'DELETE'), (4, 'user:delete', 'delete', 'user', 'DELETE'), (5, 'user:x', 'x', 'user', 'GET')"
+REQUESTS = dealt("(1, 'record:read', 'read', 'record', 'GET'), (2, 'record:update', 'update', 'record', 'GET'), (3, '*:*', '*', 'cms', 'DELETE'), (4, 'user:delete', 'delete', 'user', 'DELETE'), (5, 'user:x', 'x', 'user', 'GET')", "id, code, method, resource, verb", "documents", "doc_id")
 
 
 @query(f"""
 SELECT id, (split_part(code, ':', 1) IN ('*', resource)) AND (method = '*' OR coalesce(CASE method WHEN 'read' THEN 'GET' WHEN 'create' THEN 'POST' WHEN 'update' THEN 'PUT' WHEN 'delete' THEN 'DELETE' END = verb, false)) AS ok
-FROM (VALUES {REQUESTS}) t(id, code, method, resource, verb)
+FROM ({REQUESTS}) t
 """)
 def permission_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = rows(spark, REQUESTS, "id, code, method, resource, verb")
+    asked = sql(spark, sf_dir, REQUESTS)
     return asked.select("id", F.coalesce(T.permitted(*[F.col(c) for c in ("code", "method", "resource", "verb")]), F.lit(False)).alias("ok"))
 
 
-REPLIES = "(1, 'noise [1,2] end]'), (2, 'none'), (3, '[{\"a\":1}]')"
+REPLIES = dealt("(1, 'noise [1,2] end]'), (2, 'none'), (3, '[{\"a\":1}]')", "id, s", "documents", "doc_id")
 
 
-@query(rf"SELECT id, CASE WHEN regexp_matches(s, '(?s)\[.*\]') THEN regexp_extract(s, '(?s)\[.*\]') ELSE s END AS part FROM (VALUES {REPLIES}) t(id, s)")
+@query(rf"SELECT id, CASE WHEN regexp_matches(s, '(?s)\[.*\]') THEN regexp_extract(s, '(?s)\[.*\]') ELSE s END AS part FROM ({REPLIES}) t")
 def json_array_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, REPLIES, "id, s").select("id", T.json_array_part(F.col("s")).alias("part"))
+    return sql(spark, sf_dir, REPLIES).select("id", T.json_array_part(F.col("s")).alias("part"))
 
 
 TITLES = """
-SELECT i AS id, concat(CASE i % 5 WHEN 0 THEN 'the' WHEN 1 THEN 'pH' WHEN 2 THEN 'DNA' WHEN 3 THEN 'state-of-art' ELSE 'SPARK2' END, ' ', CASE i % 7 WHEN 0 THEN 'effect' WHEN 1 THEN 'A' WHEN 2 THEN 'oF' WHEN 3 THEN 'x' WHEN 4 THEN 'well-Known' WHEN 5 THEN 'ON' ELSE 'data' END) AS s FROM range(140) AS t(i)
+SELECT i AS id, concat(CASE i % 5 WHEN 0 THEN 'the' WHEN 1 THEN 'pH' WHEN 2 THEN 'DNA' WHEN 3 THEN 'state-of-art' ELSE 'SPARK2' END, ' ', CASE i % 7 WHEN 0 THEN 'effect' WHEN 1 THEN 'A' WHEN 2 THEN 'oF' WHEN 3 THEN 'x' WHEN 4 THEN 'well-Known' WHEN 5 THEN 'ON' ELSE 'data' END) AS s FROM (SELECT p_partkey FROM part) AS t(i)
 """
 
 
@@ -177,4 +177,4 @@ SELECT i AS id, concat(CASE i % 5 WHEN 0 THEN 'the' WHEN 1 THEN 'pH' WHEN 2 THEN
 SELECT id, array_to_string(list_transform(string_split(s, ' '), lambda w: CASE WHEN contains(w, '-') OR w = 'pH' OR regexp_matches(w, '^[A-Z]{{2,}}$') THEN w ELSE upper(left(w, 1)) || lower(substr(w, 2)) END), ' ') AS title FROM ({TITLES})
 """)
 def title_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(TITLES).select("id", T.title_case(F.col("s")).alias("title"))
+    return sql(spark, sf_dir, TITLES).select("id", T.title_case(F.col("s")).alias("title"))

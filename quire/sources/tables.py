@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from typing import Literal
@@ -20,6 +21,27 @@ def rows(spark: SparkSession, values: str, names: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM (VALUES {values}) AS t({names})")
 
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A query in the SQL that DuckDB shares, over the tables that it names."""
+    for name in TABLES:
+        if re.search(rf"\b{name}\b", text):
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return spark.sql(text)
+
+
+def dealt(values: str, names: str, of: str, key: str) -> str:
+    """SQL of a row for each row of a table, with the id `key` and the values of one of the samples, dealt by that id.
+
+    values: rows that begin with 1, 2, ..., as names begin with id.
+    """
+    count = 1 + max(int(x) for x in re.findall(r"(?:^|\), )\((\d+), ", values))
+    rest = names.split(", ", 1)[1]
+    return f"SELECT t.{key} AS id, {', '.join('v.' + n for n in rest.split(', '))} FROM {of} t JOIN (VALUES {values}) AS v({names}) ON v.id = 1 + t.{key} % {count - 1}"
+
+
 def with_deleted(df: DataFrame, show: Literal["", "true", "false"], deleted: Column) -> DataFrame:
     """Soft-deleted rows: all ("") or only deleted ("true") or only live ("false") ones."""
     return df.filter(deleted) if show == "true" else df.filter(~deleted) if show == "false" else df
