@@ -153,7 +153,9 @@ def verify(parts: DataFrame) -> DataFrame:
     page_parts = F.filter(by_id, lambda r: r["type"].rlike("/relationships/(header|footer)") & (r["target"] != ""))
     undeclared = F.filter(page_parts, lambda r: ~F.contains(types, F.concat(F.lit('PartName="/'), resolved(r["part"], r["target"]), F.lit('"'))) | ~F.contains(types, F.concat(F.lit("wordprocessingml."), F.regexp_extract(r["type"], "/relationships/(header|footer)", 1), F.lit("+xml"))))
     extensions = F.transform(_all(types, r'<Default\b[^>]*\bExtension="([^"]+)"'), F.lower)
-    media = F.filter("names", lambda n: F.contains(n, F.lit("/media/")) & ~F.array_contains(extensions, F.lower(F.substring_index(n, ".", -1))))
+    extension = lambda n: F.lower(F.regexp_extract(n, r"\.([^.]*)$", 1))
+    declared = lambda n: F.array_contains(extensions, extension(n)) | F.contains(types, F.concat(F.lit('PartName="/'), n, F.lit('"')))
+    media = F.exists("names", lambda n: n.startswith("word/media/") & ~declared(n))
     lost = F.filter("relations", lambda r: ~r["external"] & (r["target"] != "") & ~r["target"].startswith("#") & ~F.array_contains(F.col("names"), resolved(r["part"], r["target"])))
     checks = [
         _issue(~has(DOCUMENT), "missing_document_xml", FATAL, F.lit(DOCUMENT)),
@@ -169,8 +171,8 @@ def verify(parts: DataFrame) -> DataFrame:
         _issue(document.rlike('w:type="even"') & document.rlike("<w:(header|footer)Reference") & ~said(F.col("settings"), "<w:evenAndOddHeaders"), "even_headers_not_enabled", REPAIRABLE, F.lit(SETTINGS)),
         _each(F.transform(F.filter(headers, lambda h: F.size(h["to"]) == 0), lambda h: h["id"]), "header_footer_reference_relationship_missing"),
         _each(F.transform(F.filter(headers, lambda h: (F.size(h["to"]) > 0) & ~F.contains(F.get(h["to"], F.lit(0))["type"], F.concat(F.lit("/relationships/"), h["kind"]))), lambda h: h["id"]), "header_footer_reference_type_mismatch"),
-        _each(F.transform(undeclared, lambda r: r["target"]), "header_footer_content_type_missing"),
-        _each(media, "media_content_type_missing"),
+        _issue(F.size(undeclared) > 0, "header_footer_content_type_missing", REPAIRABLE, F.lit(TYPES)),
+        _issue(media, "media_content_type_missing", REPAIRABLE, F.lit(TYPES)),
         _each(F.transform(lost, lambda r: r["target"]), "relationship_target_missing"),
         _issue(F.col("refreshed") & ~said(F.col("settings"), "<w:updateFields"), "fields_not_marked_for_update", REPAIRABLE, F.lit(SETTINGS)),
         _issue(F.col("refreshed") & document.rlike(TOC_PAGE_ZERO), "toc_page_numbers_not_materialized", REPAIRABLE, F.lit(SETTINGS)),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.operators import packages
 from quire.plans.registry import query
+from quire.plans.text import RE2
 from quire.sources.tables import sql
 
 PACKAGES = f"""
@@ -24,7 +25,7 @@ SELECT i AS doc_id, p AS part_name, CASE p
  WHEN 'word/footnotes.xml' THEN '<w:footnote w:id="-1"/><w:footnote w:id="1"/>'
  WHEN 'word/comments.xml' THEN '<w:comments/>'
  WHEN 'word/header1.xml' THEN '<w:hdr xmlns:w="x"><w:r><w:t>h</w:t></w:r></w:hdr>'
- WHEN '[Content_Types].xml' THEN concat('<Default Extension="PNG"/><Override PartName="/word/styles.xml" ContentType="wordprocessingml.styles+xml"/>', CASE WHEN i % 2 = 0 THEN '<Override PartName="/word/header1.xml" ContentType="wordprocessingml.header+xml"/><Override PartName="/word/numbering.xml" ContentType="wordprocessingml.numbering+xml"/>' ELSE '' END)
+ WHEN '[Content_Types].xml' THEN concat('<Default Extension="PNG"/><Override PartName="/word/styles.xml" ContentType="wordprocessingml.styles+xml"/>', CASE WHEN i % 4 = 0 THEN '<Override PartName="/word/media/b.gif" ContentType="image/gif"/>' ELSE '' END, CASE WHEN i % 2 = 0 THEN '<Override PartName="/word/header1.xml" ContentType="wordprocessingml.header+xml"/><Override PartName="/word/numbering.xml" ContentType="wordprocessingml.numbering+xml"/>' ELSE '' END)
  WHEN 'word/_rels/document.xml.rels' THEN concat('<Relationship Id="s" Type="x/relationships/styles" Target="styles.xml"/><Relationship Id="h1" Type="x/relationships/header" Target="header1.xml"/>',
   CASE i % 4 WHEN 0 THEN '<Relationship Id="m" Type="x/relationships/image" Target="media/a.png"/>' WHEN 1 THEN '<Relationship Id="u" Type="x/relationships/link" Target="http://y" TargetMode="External"/>' WHEN 2 THEN '<Relationship Id="n" Type="x/relationships/numbering" Target="/word/numbering.xml"/>' ELSE '<Relationship Id="q" Type="x/relationships/custom" Target="../custom/z.xml"/>' END)
  WHEN '_rels/.rels' THEN '<Relationship Id="d" Type="x/relationships/officeDocument" Target="word/document.xml"/>'
@@ -71,7 +72,7 @@ NOTES = _found(r'<w:footnote\b[^>]*\bw:id="([1-9]\d*)"', ONLY.format("word/footn
 VERIFIED = rf"""
 WITH p AS ({PACKAGES}), w AS (SELECT * FROM p WHERE part_name LIKE 'word/%' AND part_name LIKE '%.xml'),
 d AS (SELECT doc_id, max(CASE WHEN part_name = 'word/document.xml' THEN content END) AS document, coalesce(max(CASE WHEN part_name = 'word/settings.xml' THEN content END), '') AS settings,
- max(CASE WHEN part_name = '[Content_Types].xml' THEN content END) AS types, max(CASE WHEN part_name = 'word/_rels/document.xml.rels' THEN content END) AS links, bool_or(regexp_matches(content, '<w:instrText[^>]*>\s*(TOC|REF|PAGEREF|NOTEREF|SEQ)\b')) AS refreshed FROM p GROUP BY doc_id),
+ coalesce(max(CASE WHEN part_name = '[Content_Types].xml' THEN content END), '') AS types, coalesce(max(CASE WHEN part_name = 'word/_rels/document.xml.rels' THEN content END), '') AS links, bool_or(regexp_matches(content, '<w:instrText[^>]*>\s*(TOC|REF|PAGEREF|NOTEREF|SEQ)\b')) AS refreshed FROM p GROUP BY doc_id),
 r AS (SELECT doc_id, part_name, regexp_extract(t, '\bId="([^"]*)"', 1) AS id, regexp_extract(t, '\bType="([^"]*)"', 1) AS type, regexp_extract(t, '\bTarget="([^"]*)"', 1) AS target, contains(t, 'External') AS external
  FROM (SELECT doc_id, part_name, unnest(regexp_extract_all(content, '<Relationship\b[^>]*>')) AS t FROM p WHERE part_name LIKE '%.rels')),
 full_path AS (SELECT *, CASE WHEN target LIKE '/%' THEN substr(target, 2) WHEN target LIKE '../%' THEN substr(target, 4) WHEN part_name = '_rels/.rels' THEN target ELSE 'word/' || target END AS path FROM r),
@@ -80,7 +81,7 @@ refs AS (SELECT doc_id, regexp_extract(t, 'r:id="([^"]*)"', 1) AS id, regexp_ext
 SELECT * FROM structure
 UNION SELECT doc_id, 'missing_document_xml', 'fatal', 'word/document.xml' FROM d WHERE document IS NULL
 UNION SELECT doc_id, 'placeholder', 'repairable', 'word/document.xml' FROM d WHERE regexp_matches(document, '\{{\{{[^{{}}]+\}}\}}')
-UNION SELECT doc_id, 'short_document', 'warning', 'word/document.xml' FROM d WHERE strlen(document) < 20
+UNION SELECT doc_id, 'short_document', 'warning', 'word/document.xml' FROM d WHERE strlen(regexp_replace(document, '^[{RE2}]+|[{RE2}]+$', '', 'g')) < 20
 UNION SELECT doc_id, 'renderer_incompatible_ooxml', 'fatal', part_name FROM w WHERE contains(content, 'w:val="start"')
 UNION SELECT doc_id, 'comments_not_finalized', 'repairable', part_name FROM p WHERE part_name = 'word/comments.xml'
 {_lacking("style_reference_missing", _found(packages.USED_STYLE, WORD_BUT.format("word/styles.xml")), _found(packages.DEFINED_STYLE, ONLY.format("word/styles.xml")), "doc_id IN (SELECT doc_id FROM p WHERE part_name = 'word/styles.xml' AND contains(content, 'w:styleId'))")}
@@ -91,8 +92,8 @@ UNION SELECT doc_id, 'comments_not_finalized', 'repairable', part_name FROM p WH
 UNION SELECT doc_id, 'even_headers_not_enabled', 'repairable', 'word/settings.xml' FROM d WHERE contains(document, 'w:type="even"') AND NOT contains(settings, '<w:evenAndOddHeaders')
 UNION SELECT doc_id, 'header_footer_reference_relationship_missing', 'repairable', id FROM refs WHERE (doc_id, id) NOT IN (SELECT doc_id, id FROM r WHERE part_name = 'word/_rels/document.xml.rels')
 UNION SELECT refs.doc_id, 'header_footer_reference_type_mismatch', 'repairable', refs.id FROM refs JOIN r ON r.doc_id = refs.doc_id AND r.id = refs.id AND part_name = 'word/_rels/document.xml.rels' WHERE NOT contains(type, '/relationships/' || kind)
-UNION SELECT doc_id, 'header_footer_content_type_missing', 'repairable', target FROM full_path JOIN d USING (doc_id) WHERE type LIKE '%/relationships/header' AND NOT (contains(types, 'PartName="/' || path || '"') AND contains(types, 'header+xml'))
-UNION SELECT doc_id, 'media_content_type_missing', 'repairable', part_name FROM p WHERE part_name LIKE '%.gif'
+UNION SELECT doc_id, 'header_footer_content_type_missing', 'repairable', '[Content_Types].xml' FROM full_path JOIN d USING (doc_id) WHERE part_name = 'word/_rels/document.xml.rels' AND regexp_matches(type, '/relationships/(header|footer)') AND NOT (contains(types, 'PartName="/' || path || '"') AND contains(types, 'wordprocessingml.' || regexp_extract(type, '/relationships/(header|footer)', 1) || '+xml'))
+UNION SELECT doc_id, 'media_content_type_missing', 'repairable', '[Content_Types].xml' FROM p JOIN d USING (doc_id) WHERE part_name LIKE 'word/media/%' AND NOT contains(types, 'PartName="/' || part_name || '"') AND NOT list_contains(list_transform(regexp_extract_all(types, '<Default\b[^>]*\bExtension="([^"]+)"', 1), lambda e: lower(e)), lower(regexp_extract(part_name, '\.([^.]*)$', 1)))
 UNION SELECT doc_id, 'relationship_target_missing', 'repairable', target FROM full_path WHERE NOT external AND (doc_id, path) NOT IN (SELECT doc_id, part_name FROM p)
 UNION SELECT doc_id, 'fields_not_marked_for_update', 'repairable', 'word/settings.xml' FROM d WHERE refreshed AND NOT contains(settings, '<w:updateFields')
 {_lacking("footnotes_reference_missing_definition", MARKS, NOTES, "doc_id IN (SELECT doc_id FROM p WHERE part_name = 'word/footnotes.xml')").replace("'repairable', v", "'repairable', 'word/footnotes.xml'")}

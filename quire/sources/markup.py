@@ -185,3 +185,9 @@ def docx_part_rows(packages: DataFrame, key: str, content: str) -> DataFrame:
     """(key, idx, part_name, content) of the XML parts of DOCX packages."""
     found = _rows(packages.select(F.col(key).cast("long"), content), lambda x: list(docx_parts(x)), {"part_name": ("string", pa.string()), "content": ("string", pa.string())})
     return found.withColumnRenamed("key", key)
+
+
+def body_elements(documents: DataFrame, key: str, document: str) -> DataFrame:
+    """(key, idx, kind, text) of the body elements of the main parts of packages, as text."""
+    found = _rows(documents.select(F.col(key).cast("long"), document), lambda x: list(docx_elements(x or "")), {"kind": ("string", pa.string()), "text": ("string", pa.string())})
+    return found.withColumnRenamed("key", key)
