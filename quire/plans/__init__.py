@@ -1,3 +1,3 @@
 """Queries by name. Importing this package registers all of them."""
 
-from quire.plans import blocks, classify, documents, helpers, office, packages, packs, relational, rendered, rules, scans, sinks, sources, text  # noqa: F401
+from quire.plans import blocks, cart, classify, documents, helpers, office, packages, packs, relational, rendered, rules, scans, sinks, sources, text  # noqa: F401

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import paragraphs
+from quire.operators import cart, paragraphs
 from quire.plans.registry import query
 from quire.sources.markup import html_blocks as blocks
-from quire.sources.tables import sql, table
+from quire.sources.tables import sql, stored, table
 from quire.streaming import stateful
 
 
@@ -83,8 +81,5 @@ def decision_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A depth-12 tree over the paragraph features, weighted by confidence, with rule labels as truth."""
     lines = paragraphs.paragraphs(table(spark, sf_dir, "documents")).withColumns({"font_size_pt": F.when(F.col("idx") == 0, 16.0).otherwise(12.0), "is_bold": F.col("idx") % 7 == 0, "alignment": F.lit("left")})
     found = paragraphs.with_rule_label(paragraphs.with_features(lines))
-    sample = found.select("doc_id", "idx", "label", F.greatest("confidence", F.lit(0.01)).alias("weight"), array_to_vector(paragraphs.vector()).alias("features"))
-    names = [r["label"] for r in sample.select("label").distinct().orderBy("label").collect()]
-    numbered = sample.withColumn("y", F.array_position(F.array(*map(F.lit, names)), F.col("label")).cast("double") - 1)
-    tree = DecisionTreeClassifier(labelCol="y", weightCol="weight", maxDepth=12, minInstancesPerNode=2, maxBins=20, seed=1).fit(numbered)
-    return tree.transform(numbered).select("doc_id", "idx", "label", F.element_at(F.array(*map(F.lit, names)), F.col("prediction").cast("int") + 1).alias("predicted"))
+    sample = stored(found.select("doc_id", "idx", "label", F.round(100 * F.col("confidence")).cast("long").alias("weight"), paragraphs.vector().alias("features")))
+    return cart.predict(sample, cart.grow(sample)).select("doc_id", "idx", "label", "predicted")
