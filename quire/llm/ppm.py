@@ -23,8 +23,11 @@ ORDER = 5
 #: Bytes of text that end a block: what a task holds at once, with the part of the trie that its texts touch.
 BLOCK = 24 << 20
 CHUNK = 1 << 20
-#: Parts that grams and words are dealt over, by size up to the most; a task holds what is distinct in a part.
-PARTS, MOST_PARTS = 64, 4096
+#: Parts that grams and words are dealt over, by size; a task holds what is distinct in a part. A block of 24 MB has about
+#: 1.5 million distinct grams, so that at the most parts its lists still hold a score of grams each.
+PARTS, MOST_PARTS = 64, 1 << 16
+#: A prime below 2^31 and a primitive root of it: what a gram leaves modulo the prime, times the root, is its part.
+PRIME, ROOT = (1 << 31) - 1, 48271
 #: Grams of chunks that are kept before they are merged.
 MERGED = 1_500_000
 #: What a symbol's count gives to the escape.
@@ -100,7 +103,7 @@ class Block:
     def rows(self, block: int, parts: int) -> Iterator[tuple]:
         """COUNTED rows: one for each part that is not empty, and one for each chunk of documents."""
         keys, sums = _merged(self.found)
-        where = keys % parts
+        where = keys % PRIME * ROOT % PRIME % parts
         by = np.argsort(where, kind="stable")
         cuts = np.searchsorted(where[by], np.arange(parts + 1))
         dealt: list[list[bytes]] = [[] for _ in range(parts)]
@@ -326,7 +329,7 @@ def lm_scores(docs: DataFrame, *, order: int = ORDER, block_bytes: int = BLOCK,
     totals = words.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("distinct")).first()
     tokens, distinct = (totals["n"] or 0) + ends, (totals["distinct"] or 0) + (ends > 0)
     summed = stored(lists.select("part", "grams", "gram_n").groupBy("part").applyInArrow(sum_grams, "gram long, n long"))
-    model = trie(summed, order).select(F.pmod("gram", F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "gram", "logp")
+    model = trie(summed, order).select((F.col("gram") % PRIME * ROOT % PRIME % parts).cast("int").alias("part"), F.lit(0).alias("kind"), "gram", "logp")
     sides = model, words.select("part", F.lit(1).alias("kind"), "words", "word_n"), lists.select("part", F.lit(2).alias("kind"), "block", "grams", "words", "word_n")
     asked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides).select(*[x.split()[0] for x in ASKED.split(", ")])
     answers = asked.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_answered, ANSWERS)
