@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import boxed, skew_safe_join, small_batches, stored
+from quire.llm.common import boxed, skew_safe_join, small_batches, spread, stored
 
 WINDOW = 50
 #: Words of the prefixes that suffixes are grouped by, each length for the groups that are too large by the one before;
@@ -327,20 +327,23 @@ def kept_words(text: str, spans: list[dict] | None) -> tuple[list[bytes], int]:
     return [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)], len(words)
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """(box, doc, text, spans): every row with the word ranges that it loses, null if none."""
-    text = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.select(boxed(docs).alias("box"), F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"))
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, in_place: bool, **options) -> DataFrame:
+    """(box, doc, text, spans): every row with the word ranges that it loses, null if none; rows that share an id are told apart by their places."""
+    docs = docs if in_place else stored(docs)
+    place = docs.metadataColumn("_metadata")
+    tie = F.xxhash64(place["file_path"], place["row_index"])
+    rows = spread(docs.select(boxed(docs).alias("box"), F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("doc"), tie.alias("tie"), F.coalesce(docs[text_col], F.lit("")).alias("text")))
     spans = removals(rows.select("doc", "tie", "text"), **options).hint("merge")  # the same plan for small tables and large
     return rows.join(spans, ["doc", "tie"], "left").select("box", "doc", "text", "spans")
 
 
-def substring_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def substring_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", in_place: bool = False, **options) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (of the kept words, joined by one space) of every row.
 
     A word goes if a window of 50 words around it also starts in a document with a smaller id, in the texts as they
     came. Null texts have no words; a null id counts as larger than all others; rows that repeat an id are never each
-    other's smaller document; texts shorter than a window keep everything; an empty table gives an empty one.
+    other's smaller document; texts shorter than a window keep everything; an empty table gives an empty one. in_place: docs is
+    read from Parquet and not changed since; otherwise it is written once, so that rows have places.
     """
 
     def run(batches):
@@ -351,11 +354,11 @@ def substring_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    found = _with_spans(docs, id_col, text_col, **options).select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), "text", "spans")
+    found = _with_spans(docs, id_col, text_col, in_place, **options).select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), "text", "spans")
     return found.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lengths: str | None = None, **options) -> DataFrame:
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lengths: str | None = None, in_place: bool = False, **options) -> DataFrame:
     """docs with the repeated words gone from their texts; a column named `lengths`, if there is one, gets the new code points.
 
     Texts that lose nothing stay as they are, null and empty ones too; others become their kept words, joined by one
@@ -366,7 +369,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([b" ".join(kept_words(t, list(s))[0]).decode() for t, s in zip(texts, found, strict=True)], dtype=object)
 
-    found = _with_spans(docs, id_col, text_col, **options)
+    found = _with_spans(docs, id_col, text_col, in_place, **options)
     found = found.select("box", F.when(F.col("spans").isNotNull(), cut(F.when(F.col("spans").isNotNull(), F.col("text")).otherwise(""), F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")))).alias("cut"))
     text = F.coalesce("cut", F.col("box")[text_col])
     n = F.when(F.col("cut").isNotNull(), F.length("cut")).otherwise(F.col("box")[lengths]) if lengths in docs.columns else None
