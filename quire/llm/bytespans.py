@@ -17,7 +17,7 @@ WINDOW = 50
 #: Bytes of an anchor.
 ANCHOR = 16
 #: Bytes of text in a block, of anchors in a bucket, of text in a shard, and windows that are hashed at a time.
-BLOCK, BUCKET, SHARD, SLICE = 8 << 20, 16 << 20, 16 << 20, 1 << 19
+BLOCK, BUCKET, SHARD, SLICE = 2 << 20, 8 << 20, 6 << 20, 1 << 19
 #: Blocks that hold an anchor from which on its windows go to shards one by one.
 HOT = 1000
 LAST = (1 << 63) - 1

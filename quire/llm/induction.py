@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Tuples that the queues of one sweep, or one tape, hold before they are written out; symbols of a text that is sorted in memory.
-MEMORY = 1 << 22
+MEMORY = 1 << 20
 #: Tuples that are worked on together.
 STEP = 1 << 17
 
