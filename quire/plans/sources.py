@@ -56,7 +56,10 @@ def rtf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), source.alias("s")).select("id", T.rtf_text(F.col("s")).alias("text"))
 
 
-@query()
+@query("""
+SELECT start, expired FROM (SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS start, count(*) AS expired FROM events WHERE event_type = 'signup' GROUP BY 1)
+WHERE start + INTERVAL 30 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events WHERE event_type = 'signup')
+""")
 def order_expiry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pending events by half-hour window, as a stream; only windows that the watermark has passed appear."""
     still = table(spark, sf_dir, "events")
@@ -64,14 +67,23 @@ def order_expiry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.drained(stateful.expiring(events, "ts"), f"expiry_{uuid.uuid4().hex}")
 
 
-@query()
+#: DuckDB: a user's events one after the other, each with the tokens that the one before left.
+BUCKET = """
+WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS event, epoch_us(ts) / 1e6 AS at_, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) / 1e6, event_id) AS n FROM events),
+f AS (SELECT key, event, n, at_, least(1.0::DOUBLE / 86400, 2.0) AS refilled FROM e WHERE n = 1
+ UNION ALL SELECT e.key, e.event, e.n, e.at_, least(2.0::DOUBLE, f.refilled - CASE WHEN f.refilled >= 1 THEN 1 ELSE 0 END + greatest(e.at_ - f.at_, 0.0::DOUBLE) * (1.0::DOUBLE / 86400)) FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1)
+SELECT key, event, refilled >= 1 AS allowed FROM f
+"""
+
+
+@query(BUCKET)
 def token_bucket_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     still = table(spark, sf_dir, "events")
     events = stateful.event_stream(spark, f"{sf_dir}/events.parquet", still.schema)
     return stateful.drained(stateful.token_bucket(events, "user_id", "ts", "event_id", 1 / 86_400, 2), f"bucket_{uuid.uuid4().hex}")
 
 
-@query()
+@query(BUCKET)
 def token_bucket_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.token_bucket_batch(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 1 / 86_400, 2)
 

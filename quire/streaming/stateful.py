@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from quire.sources.tables import shared_folder, stored
+from quire.sources.tables import shared_folder
 
 #: Events of a key that are folded in one row at most.
 RUN = 20_000
@@ -28,11 +28,16 @@ def event_stream(spark: SparkSession, path: str, schema, files: int | None = Non
 
 @dataclass
 class Batches:
-    """A stream and what makes each of its micro-batches a result; `step` is called in order and keeps its own state."""
+    """A stream and what makes each of its micro-batches a result.
+
+    `step` gets a batch, its number and the stream's folder, in order, and again for a batch that was not finished; what it
+    keeps must lie in that folder, by the batch's number. `settings` are the session's while the stream is started.
+    """
 
     stream: DataFrame
-    step: Callable[[DataFrame], DataFrame]
+    step: Callable[[DataFrame, int, str], DataFrame]
     schema: StructType
+    settings: dict[str, str] = field(default_factory=dict)
 
 
 def _keyed(events: DataFrame, key: str, time: str, event: str) -> DataFrame:
@@ -83,12 +88,16 @@ def fold(events: DataFrame, rate: float, cap: float, before: DataFrame | None =
 
 
 def token_bucket(events: DataFrame, key: str, time: str, event: str, rate: float, cap: float, run: int = RUN) -> Batches:
-    """(key, event, allowed) of a stream of events: each micro-batch is folded in order of time, from the state that the ones before left."""
-    state: list[DataFrame] = []
+    """(key, event, allowed) of a stream of events: each micro-batch is folded in order of time, from the state that the ones before left.
 
-    def step(batch: DataFrame) -> DataFrame:
-        found, after = fold(batch, rate, cap, state[0] if state else None, run)
-        state[:] = [stored(after)]
+    The state after a batch lies in the stream's folder under the batch's number.
+    """
+
+    def step(batch: DataFrame, number: int, folder: str) -> DataFrame:
+        earlier = [n for n in _numbers(batch.sparkSession, folder, "state") if n < number]
+        before = batch.sparkSession.read.schema("key long, tokens double, last double").parquet(f"{folder}/state-{max(earlier)}") if earlier else None
+        found, after = fold(batch, rate, cap, before, run)
+        after.write.mode("overwrite").parquet(f"{folder}/state-{number}")
         return found
 
     return Batches(_keyed(events, key, time, event), step, StructType.fromDDL("key long, event long, allowed boolean"))
@@ -110,18 +119,37 @@ def once_per_key(events: DataFrame, keys: list[str], time: str, late: str = "1 h
     return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def drained(stream: DataFrame | Batches, name: str) -> DataFrame:
-    """Runs a stream over what is there, from its start, and returns its rows; each micro-batch goes to Parquet in the shared folder."""
-    work = stream if isinstance(stream, Batches) else Batches(stream, lambda batch: batch, stream.schema)
-    spark, at, written = work.stream.sparkSession, shared_folder(work.stream.sparkSession), []
+def _numbers(spark: SparkSession, folder: str, kind: str) -> list[int]:
+    """The batches of which the folder holds a whole result of this kind."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{kind}-*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(str(f.getPath().getParent().getName()).rpartition("-")[2]) for f in found)
+
+
+def drained(stream: DataFrame | Batches, name: str, folder: str | None = None) -> DataFrame:
+    """Runs a stream over what is there and returns its rows; each micro-batch goes to Parquet in the shared folder.
+
+    folder: where the stream keeps its progress, its results and its state. A stream that failed, or one whose input has
+    grown, goes on in the same folder: a batch that is tried again replaces what it had written, so no row is lost or comes
+    twice. Without one the stream runs from its start, in a folder of its own.
+    """
+    work = stream if isinstance(stream, Batches) else Batches(stream, lambda batch, number, at: batch, stream.schema)
+    spark, at = work.stream.sparkSession, folder or shared_folder(work.stream.sparkSession)
 
     def write(batch: DataFrame, number: int) -> None:
-        work.step(batch).write.parquet(f"{at}/batch-{number}")
-        written.append(f"{at}/batch-{number}")
+        work.step(batch, number, at).write.mode("overwrite").parquet(f"{at}/batch-{number}")
 
-    q = work.stream.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{at}/log").queryName(name).trigger(availableNow=True).start()
+    before = {k: spark.conf.get(k, None) for k in work.settings}
+    for k, v in work.settings.items():
+        spark.conf.set(k, v)
+    try:
+        q = work.stream.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{at}/log").queryName(name).trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return spark.read.schema(work.schema).parquet(*written) if written else spark.createDataFrame([], work.schema)
+    done = [f"{at}/batch-{n}" for n in _numbers(spark, at, "batch")]
+    return spark.read.schema(work.schema).parquet(*done) if done else spark.createDataFrame([], work.schema)
