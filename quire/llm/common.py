@@ -20,6 +20,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def as_read(df: DataFrame) -> bool:
+    """Whether df is a table just as Spark reads it, so that its rows have places in files."""
+    return df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deals a table that is read in fewer pieces than there are cores over all of them; larger tables stay as they are.
 
