@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import exact_dedup, langid, packing, simhash, substring
-from quire.llm.common import documents, spread, stored
+from quire.llm.common import as_read, documents, spread, stored
 
 
 # Common to all stages: columns of docs pass through under any name, n_chars alone follows its text; nulls may stand in
@@ -26,7 +26,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Of rows that repeat id and text one stays.
     """
-    return exact_dedup.decided(docs).filter("kept").select("box.*")
+    return exact_dedup.decided(docs, in_place=as_read(docs)).filter("kept").select("box.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A null id counts as the largest; rows that share an id keep what they share; texts that lose nothing stay as they
     are, null and empty ones too.
     """
-    return substring.without_repeats(docs, lengths="n_chars")
+    return substring.without_repeats(docs, lengths="n_chars", in_place=as_read(docs))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
