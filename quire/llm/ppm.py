@@ -38,6 +38,11 @@ SYMBOLS = 256
 BEFORE, END = 0xFE, 0xFF
 
 
+def part_of(grams, parts: int):
+    """The part of grams, of numpy or of a column: what a gram leaves modulo a prime is mixed before it is dealt, as grams share bytes."""
+    return grams % PRIME * ROOT % PRIME % parts
+
+
 def byte_grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """(context and symbol as one number, index of the text) of every byte and end; texts are cut in no way."""
     pad = bytes([BEFORE]) * order
@@ -103,7 +108,7 @@ class Block:
     def rows(self, block: int, parts: int) -> Iterator[tuple]:
         """COUNTED rows: one for each part that is not empty, and one for each chunk of documents."""
         keys, sums = _merged(self.found)
-        where = keys % PRIME * ROOT % PRIME % parts
+        where = part_of(keys, parts)
         by = np.argsort(where, kind="stable")
         cuts = np.searchsorted(where[by], np.arange(parts + 1))
         dealt: list[list[bytes]] = [[] for _ in range(parts)]
@@ -329,7 +334,7 @@ def lm_scores(docs: DataFrame, *, order: int = ORDER, block_bytes: int = BLOCK,
     totals = words.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("distinct")).first()
     tokens, distinct = (totals["n"] or 0) + ends, (totals["distinct"] or 0) + (ends > 0)
     summed = stored(lists.select("part", "grams", "gram_n").groupBy("part").applyInArrow(sum_grams, "gram long, n long"))
-    model = trie(summed, order).select((F.col("gram") % PRIME * ROOT % PRIME % parts).cast("int").alias("part"), F.lit(0).alias("kind"), "gram", "logp")
+    model = trie(summed, order).select(part_of(F.col("gram"), parts).cast("int").alias("part"), F.lit(0).alias("kind"), "gram", "logp")
     sides = model, words.select("part", F.lit(1).alias("kind"), "words", "word_n"), lists.select("part", F.lit(2).alias("kind"), "block", "grams", "words", "word_n")
     asked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides).select(*[x.split()[0] for x in ASKED.split(", ")])
     answers = asked.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_answered, ANSWERS)
