@@ -232,9 +232,13 @@ def fallback_text(s: Column) -> Column:
     return F.when(F.octet_length(kept) >= 10, kept)
 
 
+# Han characters that text uses often lie from U+5000 to U+9000; the rest of the block counts as rare.
+OFTEN, RARELY = r"[\u5000-\u9000]", r"[\u4E00-\u4FFF\u9001-\u9FFF]"
+
+
 def is_garbage(line: Column) -> Column:
     """Whether a line looks like bytes read as Han characters: rare ones prevail, or many without any punctuation."""
-    n, rare, common = F.length(line), count_matches(line, r"[一-俿送-鿿]"), count_matches(line, r"[倀-退]")
+    n, rare, common = F.length(line), count_matches(line, RARELY), count_matches(line, OFTEN)
     marks, plain = count_matches(line, "[，。、：；“”（）《》]"), count_matches(line, "[A-Za-z0-9]")
     mixed = (n > 30) & (marks == 0) & (rare + common > F.floor(n / 2)) & (plain > F.floor(n / 4))
     return (n >= 3) & (((rare * 2 > n) & (marks == 0)) | mixed | ((n > 10) & (rare > 5) & (common < F.floor(rare / 2))))
@@ -312,15 +316,22 @@ def spaced_heading_numbers(s: Column) -> Column:
 SINGLE_HEADING_WORDS = ("绪论", "引言", "研究", "对象", "方法", "结果", "分析", "结论", "总结", "参考文献", "致谢")
 
 
+# Headings of the state of research, by pattern, and as they should read.
+RESEARCH_STATES = (
+    (r"^\d+\.\d+\s*国内外研究现状[：:]?\s*(\d*)$", "1.4 国内外研究现状"),
+    (r"^\d+\.\d+\.\d+\s*国外研究现状[：:]?\s*(\d*)$", "1.4.1 国外研究现状"),
+    (r"^\d+\.\d+\.\d+\s*国内(?:研究)?现状[：:]?\s*(\d*)$", "1.4.2 国内研究现状"),
+)
+
+
 def visible_text(s: Column) -> Column:
     """Headings and dates as they should read; the first rule that fits rewrites the trimmed text, others leave it alone."""
     t = uni_trim(s)
     numbered = lambda text, page: F.when(page == "", text).otherwise(F.concat(text, F.lit(" "), page))
     part = lambda pattern, i: F.regexp_extract(t, pattern, i)
     date, single = r"^(\d{4})年\s*(\d{1,2})\s*月", r"^([1-9]|1[0-9]|20)([\p{IsHan}A-Za-z].*?)(\d*)$"
-    states = ((r"^\d+\.\d+\s*国内外研究现状[：:]?\s*(\d*)$", "1.4 国内外研究现状"), (r"^\d+\.\d+\.\d+\s*国外研究现状[：:]?\s*(\d*)$", "1.4.1 国外研究现状"), (r"^\d+\.\d+\.\d+\s*国内(?:研究)?现状[：:]?\s*(\d*)$", "1.4.2 国内研究现状"))
     found = F.when(t.rlike(date), F.concat(part(date, 1), F.lit("年"), part(date, 2), F.lit("月")))
-    for pattern, title in states:
+    for pattern, title in RESEARCH_STATES:
         found = found.when(t.rlike(pattern), numbered(F.lit(title), part(pattern, 1)))
     found = found.when(F.contains(t, F.lit("结论/总结")), F.replace(t, F.lit("结论/总结"), F.lit("结论")))
     found = found.when(t.rlike(r"^\d+(\.\d+)+[\p{IsHan}A-Za-z]"), F.regexp_replace(t, r"^(\d+(?:\.\d+)+)(?=[\p{IsHan}A-Za-z])", "$1 "))
