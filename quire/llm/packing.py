@@ -19,7 +19,7 @@ SEQUENCE = 4096
 END = 2
 #: Bytes of white-space-separated chunks, words and their ids that a worker remembers at most; beyond, it starts anew. A
 #: chunk or word of more than LONGEST bytes, as texts without white space have, is not remembered; chunks are looked up RUN at a time.
-REMEMBERED, LONGEST, RUN = 48 << 20, 200, 50_000
+REMEMBERED, LONGEST, RUN = 192 << 20, 200, 50_000
 
 # A word of Latin letters, all of them whole under NFC, then ASCII punctuation that starts no contraction or special token.
 _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{}~]*)")
@@ -67,8 +67,8 @@ class ChunkEncoder:
         for text in texts:
             chunks, found = (text or "").encode().split(), []
             for i in range(0, len(chunks), RUN):
-                for known in (self.ids, self.words, self.whole):
-                    if known.size > REMEMBERED // 3:
+                if self.ids.size + self.words.size + self.whole.size > REMEMBERED:
+                    for known in (self.ids, self.words, self.whole):
                         known.clear()
                         known.size = 0
                 found.append(b"".join(map(self.ids.__getitem__, chunks[i : i + RUN])))
