@@ -18,7 +18,7 @@ from quire.llm.common import byte_symbols, small_batches, tokenizer_path
 #: Bytes of chunks with their ids and labels, distinct words, and states of the compiled automaton, that a worker holds at
 #: most; beyond, it starts anew. A chunk or word of more than LONGEST bytes, as texts without white space have, is not
 #: remembered; chunks are looked up RUN at a time.
-CHUNKS, WORDS, STATES, LONGEST, RUN = 128 << 20, 200_000, 150_000, 200, 50_000
+CHUNKS, WORDS, STATES, LONGEST, RUN = 192 << 20, 200_000, 150_000, 200, 50_000
 
 
 class MergeAutomaton:
