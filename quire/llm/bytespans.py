@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,9 +73,9 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
 
     rows: file, at, doc, text. A block is named by the place of its first row; owners are file, at and doc of each row.
     """
-    codec = "zstd"
 
     def run(batches):
+        codec = pa.Codec("zstd", compression_level=4)
         owners: list[list[int]] = []
         texts: list[bytes] = []
         held = 0
@@ -84,7 +83,7 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
         def block():
             data = b"".join(texts)
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-            packed = pa.compress(data, codec, asbytes=True) if data else b""
+            packed = codec.compress(data, asbytes=True) if data else b""
             values = ([f"{owners[0][0]}:{owners[0][1]}"], [np.array(owners, np.int64).tobytes()], [lengths.tobytes()], [packed], [len(data)])
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, (pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["block", "owners", "lengths", "texts", "bytes"])
 
@@ -172,18 +171,42 @@ def _answers(asks: DataFrame, buckets: int, hot: int) -> DataFrame:
     return small_batches(asks).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "block string, bucket long, shared binary, hot binary, n long")
 
 
-#: A distinct string of windows of a block: who has it (row in the block, first window in the text, document), and the least and
-#: greatest of these documents.
-PIECE = {"anchor": pa.int64(), "text": pa.binary(), "block": pa.string(), "owners": pa.binary(), "least": pa.int64(), "greatest": pa.int64()}
+#: A distinct string of windows of a block, and who has it: row in the block, first window in the text, document.
+PIECE = "anchor long, text binary, block string, owners binary"
+_OWNER = np.dtype([("row", "<i4"), ("first", "<i4"), ("doc", "<i8")])
+
+
+def _mixed(parts: list[np.ndarray], odd: int) -> np.ndarray:
+    found = np.zeros(len(parts[0]), np.uint64)
+    for p in parts:
+        found = (found ^ p.astype(np.uint64)) * np.uint64(odd)
+        found ^= found >> np.uint64(31)
+    return found
+
+
+def _packed(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> pa.Array:
+    """The strings of bytes of data that begin and are as long as told."""
+    offsets = np.append(0, np.cumsum(length))
+    at = np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], length)
+    return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[at])])
+
+
+def _told(data: np.ndarray, begin: np.ndarray, length: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of 64 bits of each of these strings of 8 to `longest` bytes, from as many words of eight bytes for each."""
+    words = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8)
+    parts = [length] + [words[begin + np.minimum(i, length - 8)].copy().view("<u8")[:, 0] for i in range(0, longest, 8)]
+    return _mixed(parts, ODD[0]), _mixed(parts, ODD[1])
 
 
 def _pieces(found: DataFrame, buckets: int, window: int, anchor: int) -> DataFrame:
     """PIECE rows of the anchors that occur in another document; found: blocks with their answers.
 
-    Windows of hot anchors are pieces of their own, which go where their own hash sends them.
+    Equal strings of a block are told by 128 bits of hash and are one piece. Windows of hot anchors are pieces of
+    their own, which go where their own hash sends them.
     """
+    names = [x.split()[0] for x in PIECE.split(", ")]
 
-    def pieces(row: dict) -> Iterator[tuple]:
+    def pieces(row: dict) -> pa.RecordBatch:
         data, ends, owners = _opened(row)
         first, count, hashes = anchored(data, ends, window, anchor)
         values, inverse = np.unique(hashes, return_inverse=True)
@@ -195,72 +218,67 @@ def _pieces(found: DataFrame, buckets: int, window: int, anchor: int) -> DataFra
             hot[a:b] = np.unpackbits(np.frombuffer(x["hot"], np.uint8), count=b - a)
         chosen = np.flatnonzero(shared[inverse])
         apart = hot[inverse[chosen]]
-        one = np.repeat(chosen[apart], count[chosen[apart]])
-        nth = np.arange(len(one)) - np.repeat(np.cumsum(count[chosen[apart]]) - count[chosen[apart]], count[chosen[apart]])
-        begin = np.concatenate((first[chosen[~apart]], first[one] + nth))
-        stop = begin + np.concatenate((count[chosen[~apart]], np.ones(len(one), np.int64))) - 1 + window
-        keys = hashes[np.concatenate((chosen[~apart], one))].view(np.int64)
-        rows = np.searchsorted(ends, begin, "right")
-        texts, members = data.tobytes(), {}
-        for i, (a, b) in enumerate(zip(begin.tolist(), stop.tolist(), strict=True)):
-            members.setdefault(texts[a:b], []).append(i)
-        lone = len(chosen) - len(chosen[apart])
-        whose = np.stack((rows, begin - np.append(0, ends)[rows], owners[rows, 2]), 1)
-        for text, who in members.items():
-            own = whose[who]
-            key = int(keys[who[0]]) if who[0] < lone else int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big", signed=True)
-            yield key, text, row["block"], own.tobytes(), int(own[:, 2].min()), int(own[:, 2].max())
+        some, n = chosen[apart], count[chosen[apart]]
+        nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        begin = np.concatenate((first[chosen[~apart]], np.repeat(first[some], n) + nth))
+        length = np.concatenate((count[chosen[~apart]], np.ones(len(nth), np.int64))) - 1 + window
+        a, b = _told(data, begin, length, 2 * window)
+        keys = np.concatenate((hashes[chosen[~apart]], a[len(chosen) - len(some) :]))
+        order = np.lexsort((b, a, keys))
+        new = np.append(True, (keys[order[1:]] != keys[order[:-1]]) | (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]]))[: len(order)]
+        rows = np.searchsorted(ends, begin[order], "right")
+        who = np.zeros(len(order), _OWNER)
+        who["row"], who["first"], who["doc"] = rows, begin[order] - np.append(0, ends)[rows], owners[rows, 2]
+        one = np.flatnonzero(new)
+        bounds = np.append(one, len(order)) * _OWNER.itemsize
+        owned = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(who)])
+        columns = [pa.array(keys[order[one]].view(np.int64)), _packed(data, begin[order[one]], length[order[one]]), pa.array([row["block"]] * len(one), pa.string()), owned]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches):
         for batch in batches:
-            held: list[tuple] = []
             for row in batch.to_pylist():
-                for piece in pieces(row):
-                    held.append(piece)
-                    if len(held) == 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), PIECE.values(), strict=True)], list(PIECE))
-                        held = []
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), PIECE.values(), strict=True)], list(PIECE))
+                found = pieces(row)
+                yield from (found.slice(i, 20_000) for i in range(0, len(found), 20_000))
 
-    kinds = {pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
-    return small_batches(found).mapInArrow(run, ", ".join(f"{n} {kinds[k]}" for n, k in PIECE.items()))
+    return small_batches(found).mapInArrow(run, PIECE)
 
 
 class Shard:
-    """Pieces of text; for each of their windows, the least document that has it."""
-
-    def __init__(self, window: int):
-        self.window, self.ids, self.texts, self.least, self.anchors = window, {}, [], [], []
-
-    def add(self, anchor: int, text: bytes, doc: int) -> int:
-        """The number of the piece, new or known."""
-        i = self.ids.setdefault(text, len(self.texts))
-        if i == len(self.texts):
-            self.texts.append(text)
-            self.least.append(doc)
-            self.anchors.append(anchor)
-        elif doc < self.least[i]:
-            self.least[i] = doc
-        return i
-
-    def windows(self, scratch: Scratch, memory: int) -> tuple[np.ndarray, np.ndarray]:
-        """(least document of each window, where each piece's windows begin).
+    """Distinct pieces of text; for each of their windows, the least document that has it."""
+
+    def __init__(self, window: int, anchors: np.ndarray, texts: pa.Array, least: np.ndarray):
+        self.window, self.anchors = window, anchors
+        bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        self.data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        self.begin, self.length = bounds[:-1], np.diff(bounds)
+        self.counts = self.length - window + 1
+        self.begins = np.cumsum(self.counts) - self.counts
+        self.least = np.repeat(least, self.counts)
+
+    def text(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, where each piece begins): the pieces, each before its end, and the end of all; 0 and 1 are the ends."""
+        length = self.length[pieces]
+        starts = np.cumsum(length + 1) - length - 1
+        found = np.ones(int(length.sum()) + len(pieces) + 1, np.uint8)
+        found[-1] = 0
+        nth = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        # UTF-8 has no bytes from 0xF8 on, so there is room for two more symbols, and one above all.
+        found[np.repeat(starts, length) + nth] = self.data[np.repeat(self.begin[pieces], length) + nth] + np.uint8(2)
+        return found, starts
+
+    def settle(self, scratch: Scratch, memory: int) -> None:
+        """Gives all windows that are equal the least of their documents.
 
         The suffixes of all pieces lie in order; a run of them with a window in common is that window, wherever it
         stands. Pieces whose anchor no other piece has can't share a window, and stay out.
         """
-        counts = np.array([len(t) - self.window + 1 for t in self.texts], np.int64)
-        begins = np.cumsum(counts) - counts
-        least = np.repeat(np.array(self.least, np.int64), counts)
-        _, inverse, size = np.unique(np.array(self.anchors, np.int64), return_inverse=True, return_counts=True)
+        _, inverse, size = np.unique(self.anchors, return_inverse=True, return_counts=True)
         several = np.flatnonzero(size[inverse] > 1)
         if not len(several):
-            return least, begins
-        # UTF-8 has no bytes from 0xF8 on, so there is room for the pieces' ends and the end of all.
-        text = np.frombuffer(b"\xff".join(self.texts[i] for i in several) + b"\xff\xfe", np.uint8) + np.uint8(2)
-        ends = np.flatnonzero(text == 1)
-        starts = np.append(0, ends[:-1] + 1)
+            return
+        text, starts = self.text(several)
+        ends = starts + self.length[several]
         held_place, held_shared = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def group(places: np.ndarray, shared: np.ndarray) -> None:
@@ -274,10 +292,10 @@ class Shard:
             places, run, piece = places[fits], run[fits], piece[fits]
             if not len(places):
                 return
-            window = begins[several[piece]] + places - starts[piece]
+            window = self.begins[several[piece]] + places - starts[piece]
             cut = np.append(0, np.flatnonzero(np.diff(run)) + 1)
-            found = np.minimum.reduceat(least[window], cut)
-            least[window] = np.repeat(found, np.diff(np.append(cut, len(run))))
+            found = np.minimum.reduceat(self.least[window], cut)
+            self.least[window] = np.repeat(found, np.diff(np.append(cut, len(run))))
 
         for block in descending(text, 256, scratch, memory=memory, most=self.window):
             held_place, held_shared = np.append(held_place, block >> 8), np.append(held_shared, block & 255)
@@ -286,7 +304,6 @@ class Shard:
                 group(held_place[: fresh[-1]], held_shared[: fresh[-1]])
                 held_place, held_shared = held_place[fresh[-1] :], held_shared[fresh[-1] :]
         group(held_place, held_shared)
-        return least, begins
 
 
 def _spans(pieces: DataFrame, shards: int, window: int, memory: int) -> DataFrame:
@@ -294,47 +311,47 @@ def _spans(pieces: DataFrame, shards: int, window: int, memory: int) -> DataFram
     folder = shared_dir(pieces.sparkSession)
 
     def run(batches):
-        shard, held, numbers = Shard(window), [], []
-        for batch in batches:
-            held.append(batch.select(["block", "owners", "least", "greatest"]))
-            anchors, texts, docs = (batch.column(c).to_pylist() for c in ("anchor", "text", "least"))
-            numbers += [shard.add(a, t, d) for a, t, d in zip(anchors, texts, docs, strict=True)]
-        if not numbers:
+        held = [b for b in batches if len(b)]
+        if not held:
             return
+        table = pa.Table.from_batches(held).combine_chunks()
+        del held
+        texts, owners = table.column("text").chunk(0).dictionary_encode(), table.column("owners").chunk(0)
+        number, distinct = texts.indices.to_numpy(), texts.dictionary
+        bounds = np.frombuffer(owners.buffers()[1], np.int32)[owners.offset : owners.offset + len(owners) + 1] // _OWNER.itemsize
+        who = np.frombuffer(owners.buffers()[2], _OWNER)[bounds[0] : bounds[-1]]
+        n = np.diff(bounds)
+        own = np.repeat(number, n)
+        least = np.full(len(distinct), LAST)
+        np.minimum.at(least, own, who["doc"])
+        anchors = np.zeros(len(distinct), np.int64)
+        anchors[number] = table.column("anchor").to_numpy()
+        shard = Shard(window, anchors, distinct, least)
         scratch = Scratch(folder)
         try:
-            least, begins = shard.windows(scratch, memory)
+            shard.settle(scratch, memory)
         finally:
             scratch.close()
-        counts = np.diff(np.append(begins, len(least)))
-        shard.ids, shard.texts = {}, []
         # Runs of windows with one least document, for each piece.
-        new = np.append(True, least[1:] != least[:-1])
-        new[begins] = True
+        new = np.append(True, shard.least[1:] != shard.least[:-1])
+        new[shard.begins] = True
         at = np.flatnonzero(new)
-        until = np.append(at[1:], len(least))
-        first, stop = np.searchsorted(at, begins), np.searchsorted(at, begins + counts)
-        done, found = 0, {}
-        for batch in held:
-            blocks, owners = batch.column("block").to_pylist(), batch.column("owners").to_pylist()
-            piece = np.array(numbers[done : done + len(blocks)])
-            done += len(blocks)
-            n = np.array([len(o) // 24 for o in owners])
-            who = np.frombuffer(b"".join(owners), np.int64).reshape(-1, 3)
-            own = np.repeat(piece, n)
-            runs = stop[own] - first[own]
-            which = np.repeat(np.arange(len(own)), runs)
-            r = np.arange(len(which)) - np.repeat(np.cumsum(runs) - runs, runs) + first[own[which]]
-            gone = who[which, 2] > least[at[r]]
-            which, r = which[gone], r[gone]
-            start = who[which, 1] + at[r] - begins[own[which]]
-            spans = np.stack((who[which, 0], start, start + until[r] - at[r] - 1 + window), 1)
-            row = np.repeat(np.arange(len(blocks)), n)[which]
-            cuts = np.searchsorted(row, np.arange(len(blocks) + 1))
-            for i in np.flatnonzero(np.diff(cuts)).tolist():
-                found.setdefault(blocks[i], []).append(spans[cuts[i] : cuts[i + 1]])
-        for block, parts in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([np.concatenate(parts).tobytes()], pa.binary())], ["block", "spans"])
+        until = np.append(at[1:], len(shard.least))
+        first, stop = np.searchsorted(at, shard.begins), np.searchsorted(at, shard.begins + shard.counts)
+        runs = stop[own] - first[own]
+        which = np.repeat(np.arange(len(own)), runs)
+        r = np.arange(len(which)) - np.repeat(np.cumsum(runs) - runs, runs) + first[own[which]]
+        gone = who["doc"][which] > shard.least[at[r]]
+        which, r = which[gone], r[gone]
+        start = who["first"][which].astype(np.int64) + at[r] - shard.begins[own[which]]
+        spans = np.stack((who["row"][which].astype(np.int64), start, start + until[r] - at[r] - 1 + window), 1)
+        named = table.column("block").chunk(0).dictionary_encode()
+        block = np.repeat(named.indices.to_numpy(), n)[which]
+        order = np.argsort(block, kind="stable")
+        block, spans = block[order], spans[order]
+        cuts = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)) if len(block) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield pa.RecordBatch.from_arrays([named.dictionary.take(pa.array([block[a]])), pa.array([spans[a:b].tobytes()], pa.binary())], ["block", "spans"])
 
     return small_batches(pieces).repartition(shards, "anchor").mapInArrow(run, "block string, spans binary")
 

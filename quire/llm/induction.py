@@ -178,9 +178,15 @@ def _names(text: np.ndarray, kinds: int, corners: np.ndarray) -> tuple[np.ndarra
     """
     lengths = np.append(np.diff(corners) + 1, 1)
     bits = int(kinds).bit_length()
-    wide = 63 // bits
+    in_bytes = text.dtype == np.uint8 and int(text.max(initial=0)) < 255
+    wide = 8 if in_bytes else 63 // bits
+    eight = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(8, np.uint8)), 8) if in_bytes else None
 
     def word(which: np.ndarray, done: int) -> np.ndarray:
+        if in_bytes:
+            left = np.clip(lengths[which] - done, 0, 8)
+            found = eight[np.minimum(corners[which] + done, len(text))].copy().view(">u8")[:, 0].astype(np.uint64)
+            return np.where(left == 8, found, found | np.uint64(0xFFFFFFFFFFFFFFFF) >> (8 * np.minimum(left, 7)).astype(np.uint64))
         found = np.zeros(len(which), np.int64)
         for i in range(done, done + wide):
             inside = i < lengths[which]
