@@ -65,22 +65,48 @@ def counted(rows: DataFrame) -> DataFrame:
     return each.groupBy("node", "feature", "value", "label").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"))
 
 
-def best_splits(counts: DataFrame, candidates: int = CANDIDATES, side: int = SIDE) -> DataFrame:
+def _cuts(samples: DataFrame, features: int, most: int = BINS) -> list[list[float]]:
+    """For each feature, values between which about as many samples lie; they only say which values are ranked together."""
+    parts = F.array(*[F.lit(k / most) for k in range(1, most)])
+    told = samples.agg(*[F.percentile_approx(F.coalesce(F.col("features")[i], F.lit(0.0)), parts, 10_000).alias(f"q{i}") for i in range(features)]).first()
+    return [sorted(set(told[f"q{i}"] or [])) for i in range(features)]
+
+
+def _thresholds(counts: DataFrame, candidates: int, cuts: list[list[float]] | None) -> DataFrame:
+    """(node, feature, threshold): of the middles of neighbouring values, every n-th where there are more than `candidates`.
+
+    Values are ranked within the stretch of the feature between two cuts, so no task orders all values of a feature.
+    """
+    values = counts.select("node", "feature", "value").distinct()
+    told = F.get(F.array(*[F.array(*map(F.lit, c)).cast("array<double>") for c in cuts or []]), F.col("feature")) if cuts else F.array().cast("array<double>")
+    values = values.withColumn("stretch", F.size(F.filter(told, lambda c: c < F.col("value"))))
+    place, stretches = Window.partitionBy("node", "feature", "stretch").orderBy("value"), Window.partitionBy("node", "feature").orderBy("stretch")
+    of_stretch = values.groupBy("node", "feature", "stretch").agg(F.min("value").alias("least"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(stretches.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of_stretch = of_stretch.select("node", "feature", "stretch", before.alias("before"), F.lead("least").over(stretches).alias("after"), (F.sum("n").over(Window.partitionBy("node", "feature")) - 1).alias("m"))
+    ranked = values.withColumns({"next": F.lead("value").over(place), "rank": F.row_number().over(place) - 1}).join(of_stretch, ["node", "feature", "stretch"])
+    middle = ranked.select("node", "feature", ((F.col("value") + F.coalesce("next", "after")) / 2).alias("threshold"), (F.col("before") + F.col("rank")).alias("k"), "m")
+    step = F.when(F.col("m") > candidates, F.floor(F.col("m") / candidates)).otherwise(1)
+    return middle.filter("threshold IS NOT NULL").filter(F.col("k") % step == 0).select("node", "feature", "threshold")
+
+
+def best_splits(counts: DataFrame, candidates: int = CANDIDATES, side: int = SIDE, cuts: list[list[float]] | None = None) -> DataFrame:
     """(node, feature, threshold) of each node's split with the least Gini impurity, then the first feature and threshold.
 
     Thresholds lie midway between neighbouring values; of more than `candidates` every n-th counts. At least `side` samples
     lie on either side. As all weights are whole numbers, impurities are sums of whole squares, divided once: they are equal
-    where they should be. Windows and joins hold what is distinct in a feature, which bins bound.
+    where they should be. Values are counted between neighbouring thresholds before they are given to each threshold above;
+    cuts: see `_cuts`, for features with many values.
     """
-    place = Window.partitionBy("node", "feature").orderBy("value")
-    values = counts.groupBy("node", "feature", "value").agg(F.lit(1))
-    middle = values.select("node", "feature", ((F.col("value") + F.lead("value").over(place)) / 2).alias("threshold"), (F.row_number().over(place) - 1).alias("k"), (F.count(F.lit(1)).over(Window.partitionBy("node", "feature")) - 1).alias("m"))
-    step = F.when(F.col("m") > candidates, F.floor(F.col("m") / candidates)).otherwise(1)
-    tried = middle.filter("threshold IS NOT NULL").filter(F.col("k") % step == 0).select("node", "feature", "threshold")
+    tried = _thresholds(counts, candidates, cuts)
     exact = lambda c: c.cast("decimal(19,0)")
     by_label = counts.filter("feature = 0").groupBy("node", "label").agg(F.sum("w").alias("t"), F.sum("n").alias("tn"))
     whole = by_label.groupBy("node").agg(F.sum("t").alias("weight"), F.sum("tn").alias("samples"), F.sum(exact(F.col("t")) * exact(F.col("t"))).alias("squares"))
-    left = counts.join(tried, ["node", "feature"]).filter("value <= threshold").groupBy("node", "feature", "threshold", "label").agg(F.sum("w").alias("l"), F.sum("n").alias("ln"))
+    listed = tried.groupBy("node", "feature").agg(F.array_sort(F.collect_list("threshold")).alias("tried"))  # at most twice `candidates`
+    slot = F.size(F.filter("tried", lambda h: h < F.col("value"))) + 1
+    slots = counts.join(listed, ["node", "feature"]).withColumn("slot", slot).groupBy("node", "feature", "tried", "label", "slot").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+    each = slots.select("node", "feature", "label", "w", "n", F.explode(F.slice("tried", F.col("slot"), F.size("tried"))).alias("threshold"))
+    left = each.groupBy("node", "feature", "threshold", "label").agg(F.sum("w").alias("l"), F.sum("n").alias("ln"))
     l, t = exact(F.col("l")), exact(F.col("t"))
     sides = left.join(by_label, ["node", "label"]).groupBy("node", "feature", "threshold").agg(F.sum("l").alias("lw"), F.sum("ln").alias("ln"), F.sum(l * l).alias("ll"), F.sum(t * l).alias("tl"))
     both = sides.join(whole, "node").withColumns({"rw": F.col("weight") - F.col("lw"), "rr": F.col("squares") - 2 * F.col("tl") + F.col("ll")})
@@ -90,13 +116,14 @@ def best_splits(counts: DataFrame, candidates: int = CANDIDATES, side: int = SID
     return fair.groupBy("node").agg(first).select("node", (-F.col("s.f")).alias("feature"), (-F.col("s.h")).alias("threshold"))
 
 
-def grow(samples: DataFrame, *, depth: int = DEPTH, least: int = LEAST, bins: int = BINS, candidates: int = CANDIDATES, side: int = SIDE) -> DataFrame:
+def grow(samples: DataFrame, *, depth: int = DEPTH, least: int = LEAST, bins: int | None = None, candidates: int = CANDIDATES, side: int = SIDE) -> DataFrame:
     """The nodes of a tree, as rows of SCHEMA; samples: label, weight (a whole number; 0 and less count as 1), features (array of double).
 
     The tree grows level by level: each level reads the samples once, counts what is distinct, and picks a split for each of
     its nodes, so the work of a level does not depend on the number of its nodes. A node with fewer than `least`
     samples, at the last depth, with one label alone or without a fair split is a leaf. A leaf's label has the largest
     weight, then comes first; its confidence is its share. Null labels are left out; samples without rows give no node.
+    bins: features with more values become quantiles first (see `binned`); without it all values count.
     """
     if not 0 <= depth <= DEEPEST:
         raise ValueError(f"a tree has at most {DEEPEST} levels, as the driver holds its nodes")
@@ -105,7 +132,12 @@ def grow(samples: DataFrame, *, depth: int = DEPTH, least: int = LEAST, bins: in
     spark = samples.sparkSession
     if first is None:
         return spark.createDataFrame([], SCHEMA)
-    held = stored(binned(known, len(first["features"]), bins))
+    features = len(first["features"])
+    if bins:
+        held, cuts = stored(binned(known, features, bins)), None
+    else:
+        held = stored(known.withColumn("features", F.array(*[F.coalesce(F.col("features")[i], F.lit(0.0)) for i in range(features)])))
+        cuts = _cuts(held, features)
     found: list[Node] = []
     splits: list[list[Node]] = []
     for level in range(depth + 1):
@@ -117,7 +149,7 @@ def grow(samples: DataFrame, *, depth: int = DEPTH, least: int = LEAST, bins: in
         for r in counts.filter("feature = 0").groupBy("node", "label").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect():
             labels.setdefault(r["node"], []).append((r["label"], r["w"], r["n"]))
         able = {k for k, v in labels.items() if len(v) > 1 and sum(n for _, _, n in v) >= least} if level < depth else set()
-        chosen = {r["node"]: r for r in best_splits(counts, candidates, side).collect()} if able else {}
+        chosen = {r["node"]: r for r in best_splits(counts, candidates, side, cuts).collect()} if able else {}
         below = []
         for node, told in sorted(labels.items()):
             label, weight, _ = min(told, key=lambda x: (-x[1], x[0]))

@@ -82,3 +82,10 @@ def test_many_values_become_bins(spark):
     tree = cart.grow(rows, bins=64)
     placed = cart.predict(rows, tree)
     assert placed.filter("label = predicted").count() > 4900 and cart.counted(cart._placed(cut, [])).count() <= 2 * 64 * 2
+
+
+def test_more_values_than_bins_stay_exact(spark):
+    rng = random.Random(7)
+    rows = [("a" if x > 600 else "b" if rng.random() < 0.9 else "c", rng.choice([1, 2]), [float(x), rng.random(), 1.0]) for x in (rng.randrange(900) for _ in range(1500))]
+    expected = {r[0]: r[1:5] for r in brute(rows, 3)}
+    assert {r["node"]: tuple(r)[1:5] for r in cart.grow(spark.createDataFrame(rows, SCHEMA).repartition(3), depth=3).collect()} == expected
