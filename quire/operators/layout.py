@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import text as T
-from quire.operators.hierarchy import closure
+from quire.operators.hierarchy import nearest
 
 #: How far two spans of a line may lie apart in height.
 TOLERANCE = 0.5
@@ -54,12 +54,10 @@ def style_levels(styles: DataFrame, *, style: str = "style_id", parent: str = "b
     style that is based on one without a definition has the level that the missing one's id names, if nothing nearer has any.
     """
     first = lambda *levels: F.coalesce(*[F.nullif(x, F.lit(0)) for x in levels])
-    own = styles.select(F.col(style).alias("ancestor"), first(F.col(outline) + 1, named_level(F.col(name)), named_level(F.col(style).cast("string"))).alias("level"))
-    chain = closure(styles, style, parent)
-    told = chain.join(own, "ancestor", "left").join(styles.select(F.col(style).alias("ancestor"), F.lit(True).alias("defined")), "ancestor", "left")
-    level = F.when(F.col("defined"), F.col("level")).otherwise(F.nullif(named_level(F.col("ancestor").cast("string")), F.lit(0)))
-    nearest = F.min_by(level, F.when(level.isNotNull(), F.col("depth")))
-    found = told.groupBy(F.col("node").alias(style)).agg(nearest.alias("level"))
+    level = first(F.col(outline) + 1, named_level(F.col(name)), named_level(F.col(style).cast("string")))
+    own = styles.select(F.col(style).alias("style"), F.col(parent).alias("parent"), level.alias("level"))
+    gone = own.select(F.col("parent").alias("style")).distinct().join(own, "style", "left_anti").select("style", F.lit(None).cast(own.schema["parent"].dataType), first(named_level(F.col("style").cast("string"))))
+    found = own.select("style").distinct().join(nearest(own.union(gone), "style", "parent", ["level"]), "style", "left").withColumnRenamed("style", style)
     return found.select(style, F.when(F.col("level").between(1, DEEPEST), F.col("level")).otherwise(0).cast("int").alias("level"))
 
 

@@ -50,3 +50,14 @@ def test_levels_through_styles(spark):
     assert levels.filter("style_id LIKE 'c%' AND level = 3").count() == 150
     rows = spark.createDataFrame([(1, "Custom", None), (2, "Custom", 0), (3, "heading 6", None), (4, None, None), (5, None, 2), (6, "a", 9)], "k int, style_id string, outline int")
     assert {r["k"]: r["level"] for r in layout.heading_levels(rows, levels).collect()} == {1: 2, 2: 1, 3: 6, 4: 0, 5: 3, 6: 0}
+
+
+def test_a_row_for_each_style_however_long_the_chain(spark, monkeypatch):
+    from quire.operators import hierarchy
+
+    kept = []
+    monkeypatch.setattr(hierarchy, "stored", lambda df: kept.append(df.localCheckpoint()) or kept[-1])
+    styles = [(f"c{i}", f"c{i + 1}" if i < 299 else "c295" if i % 2 else None, "heading 3" if i == 250 else "", None) for i in range(300)]
+    found = {r["style_id"]: r["level"] for r in layout.style_levels(spark.createDataFrame(styles, "style_id string, based_on string, name string, outline int")).collect()}
+    assert found == {f"c{i}": 3 if i <= 250 else 0 for i in range(300)}
+    assert max(df.count() for df in kept) == 300
