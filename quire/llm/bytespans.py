@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +66,10 @@ def anchored(data: np.ndarray, ends: np.ndarray, window: int, anchor: int) -> tu
         stop = np.flatnonzero(own & np.append(new[1:] | ~own[1:], True)) + 1
         places.append(stop - begin)
     empty = np.zeros(0, np.int64)
-    return (np.concatenate(firsts), np.concatenate(places), np.concatenate(hashes)) if firsts else (empty, empty, empty.astype(np.uint64))
+    if not firsts:
+        return empty, empty, empty.astype(np.uint64)
+    found = np.concatenate(hashes) * np.uint64(ODD[1])  # anchors have small upper halves, which are spread again
+    return np.concatenate(firsts), np.concatenate(places), found ^ found >> np.uint64(32)
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -117,12 +121,26 @@ def _distinct(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return values, low < high, inverse
 
 
+def _placed(rows: DataFrame, places: int) -> DataFrame:
+    """Writes blocks into the shared folder, bucketed by their names, so that what is joined to them comes to their texts.
+
+    The table of the session's catalog stands for its files only, which stay there as those of `stored` do.
+    """
+    name = f"quire_{uuid.uuid4().hex}"
+    rows.write.bucketBy(places, "block").option("path", f"{shared_dir(rows.sparkSession)}/{name}").saveAsTable(name, format="parquet")
+    return rows.sparkSession.table(name)
+
+
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _asks(table: DataFrame, buckets: int, window: int, anchor: int) -> DataFrame:
-    """(bucket, block, hashes, many): a block's distinct anchors, each once, and whether several of its documents have it."""
+    """(bucket, block, hashes, many): a block's distinct anchors, each once, and whether several of its documents have it.
+
+    The upper half of a hash says its bucket, the lower one is sent: that two anchors of a bucket have it by chance (once in
+    4,000 anchors of a full bucket) sends pieces to a shard that share nothing there.
+    """
 
     def run(batches):
         for batch in batches:
@@ -133,7 +151,7 @@ def _asks(table: DataFrame, buckets: int, window: int, anchor: int) -> DataFrame
                 cuts = np.searchsorted(_bucket(values, buckets), np.arange(buckets + 1))
                 used = np.flatnonzero(np.diff(cuts))
                 for i in range(0, len(used), 1024):
-                    some = [(int(b), row["block"], values[cuts[b] : cuts[b + 1]].tobytes(), np.packbits(many[cuts[b] : cuts[b + 1]]).tobytes()) for b in used[i : i + 1024]]
+                    some = [(int(b), row["block"], values[cuts[b] : cuts[b + 1]].astype("<u4").tobytes(), np.packbits(many[cuts[b] : cuts[b + 1]]).tobytes()) for b in used[i : i + 1024]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), (pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["bucket", "block", "hashes", "many"])
 
     return table.select("block", "owners", "lengths", "texts", "bytes").mapInArrow(run, "bucket long, block string, hashes binary, many binary")
@@ -143,7 +161,7 @@ def _answers(asks: DataFrame, buckets: int, hot: int) -> DataFrame:
     """(block, bucket, shared, hot, n): bits for a block's anchors in a bucket; n of them occur in another document."""
 
     def solve(rows: list[dict]):
-        hashes = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
+        hashes = [np.frombuffer(r["hashes"], "<u4") for r in rows]
         _, inverse, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
         many = np.zeros(len(counts), bool)
         many[inverse[np.concatenate([np.unpackbits(np.frombuffer(r["many"], np.uint8), count=len(h)) for r, h in zip(rows, hashes, strict=True)]) > 0]] = True
@@ -171,9 +189,11 @@ def _answers(asks: DataFrame, buckets: int, hot: int) -> DataFrame:
     return small_batches(asks).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "block string, bucket long, shared binary, hot binary, n long")
 
 
-#: A distinct string of windows of a block, and who has it: row in the block, first window in the text, document.
-PIECE = "anchor long, text binary, block string, owners binary"
-_OWNER = np.dtype([("row", "<i4"), ("first", "<i4"), ("doc", "<i8")])
+#: Distinct strings of windows of some blocks that go to one shard: names of the blocks, and what `_packed` makes of the strings.
+PIECES = "shard long, blocks array<string>, n array<long>, packed binary"
+#: For each string: lower half of its anchor's hash, bytes, owners; for each owner: block, row in the block, first window in the text, document.
+_PIECE = ("<u4", "<u2", "<u4")
+_OWNER = ("<u2", "<i4", "<i4", "<i8")
 
 
 def _mixed(parts: list[np.ndarray], odd: int) -> np.ndarray:
@@ -184,11 +204,23 @@ def _mixed(parts: list[np.ndarray], odd: int) -> np.ndarray:
     return found
 
 
-def _packed(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> pa.Array:
-    """The strings of bytes of data that begin and are as long as told."""
-    offsets = np.append(0, np.cumsum(length))
-    at = np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], length)
-    return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[at])])
+def _strings(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The bytes of the strings of data that begin and are as long as told, one after the other."""
+    return data[np.arange(int(length.sum())) + np.repeat(begin - np.cumsum(length) + length, length)]
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    return pa.Codec("zstd", compression_level=3).compress(b"".join(c.tobytes() for c in columns), asbytes=True)
+
+
+def _unpacked(n: list[int], packed: bytes) -> list[np.ndarray]:
+    """The columns of _PIECE and _OWNER and the bytes of the strings; n: strings, owners, bytes."""
+    kinds = [(np.dtype(k), n[0]) for k in _PIECE] + [(np.dtype(k), n[1]) for k in _OWNER] + [(np.dtype(np.uint8), n[2])]
+    whole, at, found = pa.decompress(packed, sum(k.itemsize * m for k, m in kinds), "zstd", asbytes=True), 0, []
+    for k, m in kinds:
+        found.append(np.frombuffer(whole, k, m, at))
+        at += k.itemsize * m
+    return found
 
 
 def _told(data: np.ndarray, begin: np.ndarray, length: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,15 +230,15 @@ def _told(data: np.ndarray, begin: np.ndarray, length: np.ndarray, longest: int)
     return _mixed(parts, ODD[0]), _mixed(parts, ODD[1])
 
 
-def _pieces(found: DataFrame, buckets: int, window: int, anchor: int) -> DataFrame:
-    """PIECE rows of the anchors that occur in another document; found: blocks with their answers.
+def _pieces(found: DataFrame, buckets: int, shards: int, window: int, anchor: int) -> DataFrame:
+    """PIECES rows of the anchors that occur in another document; found: blocks with their answers.
 
-    Equal strings of a block are told by 128 bits of hash and are one piece. Windows of hot anchors are pieces of
-    their own, which go where their own hash sends them.
+    Equal strings of the blocks of a batch are told by 128 bits of hash and are one piece. Windows of hot anchors are pieces of
+    their own, which go where their own hash sends them. What goes from a batch to one shard is packed together.
     """
-    names = [x.split()[0] for x in PIECE.split(", ")]
 
-    def pieces(row: dict) -> pa.RecordBatch:
+    def chosen(row: dict):
+        """(data, ends, owners, first window, windows, hash, hot) of a block's runs of windows whose anchor is shared."""
         data, ends, owners = _opened(row)
         first, count, hashes = anchored(data, ends, window, anchor)
         values, inverse = np.unique(hashes, return_inverse=True)
@@ -216,32 +248,53 @@ def _pieces(found: DataFrame, buckets: int, window: int, anchor: int) -> DataFra
             a, b = int(cuts[x["bucket"]]), int(cuts[x["bucket"] + 1])
             shared[a:b] = np.unpackbits(np.frombuffer(x["shared"], np.uint8), count=b - a)
             hot[a:b] = np.unpackbits(np.frombuffer(x["hot"], np.uint8), count=b - a)
-        chosen = np.flatnonzero(shared[inverse])
-        apart = hot[inverse[chosen]]
-        some, n = chosen[apart], count[chosen[apart]]
+        some = shared[inverse]
+        return data, ends, owners, first[some], count[some], hashes[some], hot[inverse[some]]
+
+    def pieces(rows: list[dict]):
+        parts = [chosen(row) for row in rows]
+        bases = np.cumsum([0, *(len(p[0]) for p in parts)])
+        data = np.concatenate([p[0] for p in parts])
+        first = np.concatenate([p[3] + base for p, base in zip(parts, bases[:-1], strict=True)])
+        count, hashes, apart = (np.concatenate([p[i] for p in parts]) for i in (4, 5, 6))
+        n = count[apart]
         nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        begin = np.concatenate((first[chosen[~apart]], np.repeat(first[some], n) + nth))
-        length = np.concatenate((count[chosen[~apart]], np.ones(len(nth), np.int64))) - 1 + window
+        begin = np.concatenate((first[~apart], np.repeat(first[apart], n) + nth))
+        if not len(begin):
+            return
+        length = np.concatenate((count[~apart], np.ones(len(nth), np.int64))) - 1 + window
         a, b = _told(data, begin, length, 2 * window)
-        keys = np.concatenate((hashes[chosen[~apart]], a[len(chosen) - len(some) :]))
+        keys = np.concatenate((hashes[~apart], a[len(begin) - len(nth) :]))
         order = np.lexsort((b, a, keys))
-        new = np.append(True, (keys[order[1:]] != keys[order[:-1]]) | (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]]))[: len(order)]
-        rows = np.searchsorted(ends, begin[order], "right")
-        who = np.zeros(len(order), _OWNER)
-        who["row"], who["first"], who["doc"] = rows, begin[order] - np.append(0, ends)[rows], owners[rows, 2]
+        new = np.append(True, (keys[order[1:]] != keys[order[:-1]]) | (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]]))
+        which = np.searchsorted(bases, begin[order], "right") - 1
+        row, at, doc = np.empty((3, len(order)), np.int64)
+        for i, (_, ends, owners, *_) in enumerate(parts):
+            own = which == i
+            place = begin[order[own]] - bases[i]
+            row[own] = k = np.searchsorted(ends, place, "right")
+            at[own], doc[own] = place - np.append(0, ends)[k], owners[k, 2]
         one = np.flatnonzero(new)
-        bounds = np.append(one, len(order)) * _OWNER.itemsize
-        owned = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(who)])
-        columns = [pa.array(keys[order[one]].view(np.int64)), _packed(data, begin[order[one]], length[order[one]]), pa.array([row["block"]] * len(one), pa.string()), owned]
-        return pa.RecordBatch.from_arrays(columns, names)
+        n, keys, begin, length = np.diff(np.append(one, len(order))), keys[order[one]], begin[order[one]], length[order[one]]
+        cuts = np.searchsorted(_bucket(keys, shards), np.arange(shards + 1))
+        owned = np.append(one, len(order))
+        names, out = [r["block"] for r in rows], []
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            i, j = int(cuts[k]), int(cuts[k + 1])
+            o = slice(int(owned[i]), int(owned[j]))
+            text = _strings(data, begin[i:j], length[i:j])
+            columns = [c.astype(t) for c, t in zip((keys[i:j], length[i:j], n[i:j], which[o], row[o], at[o], doc[o]), _PIECE + _OWNER, strict=True)]
+            out.append((k, names, [j - i, o.stop - o.start, len(text)], _packed([*columns, text])))
+            if len(out) == 256 or j == len(keys):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()), strict=True)], ["shard", "blocks", "n", "packed"])
+                out = []
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                found = pieces(row)
-                yield from (found.slice(i, 20_000) for i in range(0, len(found), 20_000))
+            if len(batch):
+                yield from pieces(batch.to_pylist())
 
-    return small_batches(found).mapInArrow(run, PIECE)
+    return small_batches(found).mapInArrow(run, PIECES)
 
 
 class Shard:
@@ -310,22 +363,22 @@ def _spans(pieces: DataFrame, shards: int, window: int, memory: int) -> DataFram
     """(block, spans): rows of a block with the bytes to remove, as triples (row, start, stop)."""
     folder = shared_dir(pieces.sparkSession)
 
-    def run(batches):
-        held = [b for b in batches if len(b)]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
-        del held
-        texts, owners = table.column("text").chunk(0).dictionary_encode(), table.column("owners").chunk(0)
+    def spans(rows: list[dict]):
+        """The spans of one shard's rows."""
+        parts = [_unpacked(r["n"], r["packed"]) for r in rows]
+        names, numbered = np.unique([b for r in rows for b in r["blocks"]], return_inverse=True)
+        firsts = np.cumsum([0, *(len(r["blocks"]) for r in rows)])
+        block = np.concatenate([numbered[p[3] + first] for p, first in zip(parts, firsts[:-1], strict=True)])
+        anchor, length, n, _, row, at, doc, text = (np.concatenate(c) for c in zip(*parts, strict=True))
+        del parts
+        offsets = np.append(0, np.cumsum(length, dtype=np.int64)).astype(np.int32)
+        texts = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(text)]).dictionary_encode()
         number, distinct = texts.indices.to_numpy(), texts.dictionary
-        bounds = np.frombuffer(owners.buffers()[1], np.int32)[owners.offset : owners.offset + len(owners) + 1] // _OWNER.itemsize
-        who = np.frombuffer(owners.buffers()[2], _OWNER)[bounds[0] : bounds[-1]]
-        n = np.diff(bounds)
         own = np.repeat(number, n)
         least = np.full(len(distinct), LAST)
-        np.minimum.at(least, own, who["doc"])
+        np.minimum.at(least, own, doc)
         anchors = np.zeros(len(distinct), np.int64)
-        anchors[number] = table.column("anchor").to_numpy()
+        anchors[number] = anchor
         shard = Shard(window, anchors, distinct, least)
         scratch = Scratch(folder)
         try:
@@ -335,25 +388,38 @@ def _spans(pieces: DataFrame, shards: int, window: int, memory: int) -> DataFram
         # Runs of windows with one least document, for each piece.
         new = np.append(True, shard.least[1:] != shard.least[:-1])
         new[shard.begins] = True
-        at = np.flatnonzero(new)
-        until = np.append(at[1:], len(shard.least))
-        first, stop = np.searchsorted(at, shard.begins), np.searchsorted(at, shard.begins + shard.counts)
+        begin = np.flatnonzero(new)
+        until = np.append(begin[1:], len(shard.least))
+        first, stop = np.searchsorted(begin, shard.begins), np.searchsorted(begin, shard.begins + shard.counts)
         runs = stop[own] - first[own]
         which = np.repeat(np.arange(len(own)), runs)
         r = np.arange(len(which)) - np.repeat(np.cumsum(runs) - runs, runs) + first[own[which]]
-        gone = who["doc"][which] > shard.least[at[r]]
+        gone = doc[which] > shard.least[begin[r]]
         which, r = which[gone], r[gone]
-        start = who["first"][which].astype(np.int64) + at[r] - shard.begins[own[which]]
-        spans = np.stack((who["row"][which].astype(np.int64), start, start + until[r] - at[r] - 1 + window), 1)
-        named = table.column("block").chunk(0).dictionary_encode()
-        block = np.repeat(named.indices.to_numpy(), n)[which]
+        start = at[which].astype(np.int64) + begin[r] - shard.begins[own[which]]
+        found = np.stack((row[which], start, start + until[r] - begin[r] - 1 + window), 1).astype(_SPAN)
+        block = block[which]
         order = np.argsort(block, kind="stable")
-        block, spans = block[order], spans[order]
+        block, found = block[order], found[order]
         cuts = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)) if len(block) else np.zeros(1, np.int64)
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            yield pa.RecordBatch.from_arrays([named.dictionary.take(pa.array([block[a]])), pa.array([spans[a:b].tobytes()], pa.binary())], ["block", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array([str(names[block[a]])]), pa.array([found[a:b].tobytes()], pa.binary())], ["block", "spans"])
+
+    def run(batches):
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[0]["shard"] != row["shard"]:
+                    yield from spans(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from spans(held)
+
+    return small_batches(pieces).repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "block string, spans binary")
+
 
-    return small_batches(pieces).repartition(shards, "anchor").mapInArrow(run, "block string, spans binary")
+_SPAN = np.dtype("<i4")
 
 
 def _merged(spans: np.ndarray, rows: int) -> list[np.ndarray]:
@@ -377,16 +443,16 @@ def _found(docs: DataFrame, id_col: str, text_col: str, in_place: bool, window:
     place = docs.metadataColumn("_metadata")
     rows = docs.select(boxed(docs).alias("box"), F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at"), F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    dealt = rows.drop("box").repartition(cores) if docs.rdd.getNumPartitions() < cores else rows
-    table = stored(blocks(dealt, block))
+    parts = docs.rdd.getNumPartitions()
+    dealt = rows.drop("box").repartition(cores) if parts < cores else rows
+    table = _placed(blocks(dealt, block), 2 * max(cores, parts))
     total = table.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(cores, -(-8 * total // ((window - anchor) // 2 * bucket)))
     answers = stored(_answers(_asks(table, buckets, window, anchor), buckets, hot))
     shards = max(cores, -(-(answers.agg(F.sum("n")).first()[0] or 0) * (window + (window - anchor) // 2) // shard))
     each = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("answers"))
-    pieces = _pieces(table.join(each.hint("merge"), "block"), buckets, window, anchor)
-    spans = stored(_spans(pieces, shards, window, memory))
-    gathered = spans.groupBy("block").agg(F.collect_list("spans").alias("spans"))
+    pieces = _pieces(table.join(each.hint("merge"), "block"), buckets, shards, window, anchor)
+    gathered = _spans(pieces, shards, window, memory).groupBy("block").agg(F.collect_list("spans").alias("spans"))
     return rows, table.join(gathered.hint("merge"), "block", "left")
 
 
@@ -400,7 +466,7 @@ def byte_digests(
         for batch in batches:
             for row in batch.to_pylist():
                 data, ends, owners = _opened(row)
-                lost = _merged(np.frombuffer(b"".join(row["spans"] or []), np.int64).reshape(-1, 3), len(owners))
+                lost = _merged(np.frombuffer(b"".join(row["spans"] or []), _SPAN).reshape(-1, 3), len(owners))
                 whole, begin, found = data.tobytes(), 0, []
                 for end, own, spans in zip(ends.tolist(), owners[:, 2].tolist(), lost, strict=True):
                     text, kept, at = whole[begin:end], hashlib.sha256(), 0
@@ -438,7 +504,7 @@ def removed_spans(
         for batch in batches:
             for row in batch.to_pylist():
                 _, _, owners = _opened(row)
-                lost = _merged(np.frombuffer(b"".join(row["spans"]), np.int64).reshape(-1, 3), len(owners))
+                lost = _merged(np.frombuffer(b"".join(row["spans"]), _SPAN).reshape(-1, 3), len(owners))
                 some = [i for i, spans in enumerate(lost) if len(spans)]
                 values = [[{"start": a, "stop": b} for a, b in lost[i].tolist()] for i in some]
                 yield pa.RecordBatch.from_arrays([pa.array(owners[some, 0]), pa.array(owners[some, 1]), pa.array(values, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], ["file", "at", "byte_spans"])

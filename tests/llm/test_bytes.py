@@ -111,3 +111,21 @@ def test_rows_equal_in_id_and_text(spark):
 
 def test_bytes_by_sql(spark, sf_dir, duck):
     same_rows(bytespans.byte_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), in_place=True), duck, bytespans.ORACLE_SQL)
+
+
+def test_buckets_of_anchors_are_even():
+    data = np.random.default_rng(3).integers(97, 123, 400_000).astype(np.uint8)
+    hashes = np.unique(bytespans.anchored(data, np.array([len(data)]), 50, 16)[2])
+    counts = np.bincount(bytespans._bucket(hashes, 16), minlength=16)
+    assert counts.max() < 1.2 * counts.mean() and counts.min() > 0.8 * counts.mean()
+
+
+def test_texts_stay_where_their_blocks_lie(spark, tmp_path):
+    """Blocks are joined to answers and spans without a shuffle of their texts, and what goes to a shard is packed."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdef ") for _ in range(3000))
+    rows = [(i, passage[i : i + 2000] + str(i) * 50) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+    found = bytespans.byte_digests(spark.read.parquet(f"{tmp_path}/d"), in_place=True, block=20_000, shard=50_000)
+    assert Counter(map(tuple, found.collect())) == brute_bytes(rows)
+    assert "SelectedBucketsCount" in found._jdf.queryExecution().executedPlan().toString()
