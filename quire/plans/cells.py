@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.plans.registry import query
 from quire.sources import cells
-from quire.sources.tables import table
+from quire.sources.tables import spread, table
 
 
 def _cell(text: Column | str, marks: str = "") -> Column:
@@ -27,7 +27,7 @@ def part_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<w:tbl>"), _row(_cell("Name"), _cell(F.col("p_name"))), brand, _row(_cell("Size", '<w:vMerge w:val="restart"/>'), _cell(size)), _row(_cell("", "<w:vMerge/>"), _cell(price)),
         _row(_cell("题目"), _cell(F.col("p_type"))), _row(_cell(""), _cell(F.col("p_name"))), F.lit("</w:tbl>"),
     )
-    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("<w:body>"), first, F.lit("<w:p><w:r><w:t>between</w:t></w:r></w:p><w:tbl>"), _row(_cell("alone")), F.lit("</w:tbl></w:body>")).alias("document"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", F.concat(F.lit("<w:body>"), first, F.lit("<w:p><w:r><w:t>between</w:t></w:r></w:p><w:tbl>"), _row(_cell("alone")), F.lit("</w:tbl></w:body>")).alias("document"))
 
 
 @query("""
@@ -54,5 +54,5 @@ def cell_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<html><p>before<table><tr><th colspan="), wide, F.lit(">head</th><td>"), F.col("s_nationkey").cast("string"), F.lit("</td></tr><tr><td rowspan='"), tall,
         F.lit("'>"), "s_name", F.lit("<td>x1<tr><td>x2</table>after"),
     )
-    found = cells.cells(table(spark, sf_dir, "supplier").select("s_suppkey", page.alias("page")), "s_suppkey", "page", "html")
+    found = cells.cells(spread(table(spark, sf_dir, "supplier")).select("s_suppkey", page.alias("page")), "s_suppkey", "page", "html")
     return cells.grid(found).select("s_suppkey", F.col("row").cast("long").alias("row"), F.col("column").cast("long").alias("column"), "text")

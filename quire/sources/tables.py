@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a table that is read in fewer pieces than there are cores over all of them, for Python work on its rows.
+
+    Tables of short rows are small files, which Spark reads in a task or two, however much is made of each row.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def rows(spark: SparkSession, values: str, names: str) -> DataFrame:
     """A small frame from SQL VALUES, in the spelling that DuckDB shares."""
     return spark.sql(f"SELECT * FROM (VALUES {values}) AS t({names})")

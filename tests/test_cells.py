@@ -46,3 +46,9 @@ def test_names_and_values(spark):
     assert cells.fields(found, "k", {}).count() == 5
     assert cells.grid(found).filter("k = 1 AND row = 3").orderBy("column").select("text").collect() == [("Tall",), ("two",)]
     assert cells.fields(found.limit(0), "k").count() == 0
+
+
+def test_short_tables_are_parsed_by_all_cores(spark, sf_dir):
+    from quire.plans.cells import part_tables
+
+    assert part_tables(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
