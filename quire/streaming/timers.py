@@ -50,17 +50,17 @@ class InOrder(StatefulProcessor):
         self.kept = handle.getValueState("kept", "until long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        values = list(zip(new["ms"].astype(int).tolist(), new["event"].astype(int).tolist(), new["marks"].astype(bool).tolist(), strict=True))
+        values = [v for new in rows for v in zip(new["ms"].tolist(), new["event"].tolist(), new["marks"].tolist(), strict=True)]
         self.waiting.appendList(values)
         self.handle.registerTimer(min(v[0] for v in values))
-        yield pd.DataFrame({"key": [], "event": [], "ok": []}).astype({"key": "int64", "event": "int64", "ok": "bool"})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        rows = sorted(self.waiting.get())
         due = [r for r in rows if r[0] <= now]
-        until = self.kept.get()[0] if self.kept.exists() else 0
+        before = self.kept.get()  # each call of the state is a round trip, so none is asked for twice
+        until = before[0] if before else 0
         events, found = [], []
         for at, event, marks in due:
             until, ok = self.step(until, at, marks)
@@ -76,9 +76,10 @@ class InOrder(StatefulProcessor):
         if until > now:
             self.kept.update((until,))
             self.handle.registerTimer(until)
-        elif self.kept.exists():
+        elif before:
             self.kept.clear()
-        yield pd.DataFrame({"key": [key[0]] * len(events), "event": events, "ok": found}).astype({"key": "int64", "event": "int64", "ok": "bool"})
+        if events:
+            yield pd.DataFrame({"key": pd.Series(key[0], range(len(events)), "int64"), "event": events, "ok": found})
 
 
 def answered(events: DataFrame, key: str, time: str, event: str, marks, step: Step, late: str) -> Batches:

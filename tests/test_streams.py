@@ -87,3 +87,25 @@ def test_settings_of_the_session_stay(spark, shuffled):
     before = spark.conf.get(timers.PROVIDER, None)
     run(spark, shuffled[1], timers.revocation(1000), files=12)
     assert spark.conf.get(timers.PROVIDER, None) == before
+
+
+def test_a_key_costs_few_calls_of_its_state():
+    """Each call of a key's state is a round trip of its own."""
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+
+    from quire.streaming import timers
+
+    made = timers.InOrder(timers.in_flight(10))
+    made.init(handle := MagicMock())
+    made.waiting, made.kept, clock = MagicMock(), MagicMock(), MagicMock()
+    rows = pd.DataFrame({"ms": [5, 7], "event": [1, 2], "marks": [False, False]})
+    assert not list(made.handleInputRows((3,), iter([rows]), clock))
+    made.waiting.appendList.assert_called_once_with([(5, 1, False), (7, 2, False)])
+    made.waiting.get.return_value, made.kept.get.return_value = iter([(5, 1, False), (7, 2, False)]), None
+    clock.getCurrentWatermarkInMs.return_value = 100
+    found = pd.concat(made.handleExpiredTimer((3,), clock, None))
+    assert found.values.tolist() == [[3, 1, True], [3, 2, False]] and [str(t) for t in found.dtypes] == ["int64", "int64", "bool"]
+    assert len(made.waiting.mock_calls) + len(made.kept.mock_calls) <= 4
+    handle.registerTimer.assert_called_once_with(5)
