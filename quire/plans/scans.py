@@ -16,7 +16,7 @@ from quire.plans.documents import LINES
 from quire.plans.registry import query
 from quire.plans.text import RE2
 from quire.sources import markup
-from quire.sources.tables import lookup, table
+from quire.sources.tables import lookup, small_batches, table
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey = (SELECT max(c_custkey) FROM customer WHERE c_custkey <= 77)")
@@ -100,7 +100,7 @@ def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
         return lines.map(lambda x: _package(list(x)))
 
     kept = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"^[\x20-\x7E]+$"))
-    return table(spark, sf_dir, "documents").select("doc_id", packed(kept).alias("package"))
+    return small_batches(table(spark, sf_dir, "documents")).select("doc_id", packed(kept).alias("package"))
 
 
 KEPT_LINES = rf"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS idx, text FROM ({LINES}) WHERE regexp_matches(text, '^[\x20-\x7E]+$')"

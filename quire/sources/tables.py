@@ -25,6 +25,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def small_batches(df: DataFrame, size: int = 4 << 20) -> DataFrame:
+    """Sends rows to Python workers in batches of at most `size` bytes (or one row), as contents may be long; returns df.
+
+    The setting is the session's, as Spark reads it when the result is asked for; a smaller one of the caller's stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = re.fullmatch(r"(\d+)b?", df.sparkSession.conf.get(key))
+    if not known or not 0 < int(known[1]) <= size:
+        df.sparkSession.conf.set(key, size)
+    return df
+
+
 def rows(spark: SparkSession, values: str, names: str) -> DataFrame:
     """A small frame from SQL VALUES, in the spelling that DuckDB shares."""
     return spark.sql(f"SELECT * FROM (VALUES {values}) AS t({names})")

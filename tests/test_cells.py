@@ -52,3 +52,13 @@ def test_short_tables_are_parsed_by_all_cores(spark, sf_dir):
     from quire.plans.cells import part_tables
 
     assert part_tables(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_long_contents_come_in_small_batches(spark):
+    from quire.sources import markup
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    found = markup.html_blocks(spark.createDataFrame([(1, "<p>a")], "k long, page string"), "k", "page")
+    assert 0 < int(spark.conf.get(key).rstrip("b")) <= 4 << 20 and found.count() == 1
+    spark.conf.unset(key)
