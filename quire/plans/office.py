@@ -40,7 +40,7 @@ def _doc_id(package: str = "package"):
 
 def _written(spark: SparkSession, parts: DataFrame) -> str:
     path = shared_folder(spark)
-    office.write(parts, path)
+    office.write(parts, path, folders=True)
     return path
 
 

@@ -5,7 +5,10 @@ Register it once a session: `spark.dataSource.register(office.OfficeSource)`.
 
 from __future__ import annotations
 
+import io
 import re
+import time
+import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,6 +20,12 @@ from quire.sources.markup import MOST_ENTRIES, MOST_RATIO, MOST_TOTAL, MOST_XML
 
 #: Bytes of files that one partition reads, and rows of a batch; a package's directory is read by each partition that has a piece of it.
 RANGE, BATCH = 32 << 20, 256
+#: Bytes that a file counts for at least, as opening a small one takes longer than reading it; files up to that size are read in one piece.
+OPENED = 16 << 10
+#: Parts of fewer bytes are stored as they are: deflating them takes long and saves little.
+DEFLATED = 256
+#: How folders begin that a task writes; they hold nothing that is done.
+WRITING = "_writing-"
 SCHEMA = "package string, part string, size long, content binary, fault string"
 _KINDS = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string())
 
@@ -52,16 +61,17 @@ class Pieces(InputPartition):
 
 
 def cut(files: list[tuple[str, int]], size: int) -> list[Pieces]:
-    """Partitions of about `size` bytes: small files together, a large one in several pieces."""
+    """Partitions of about `size` bytes: small files together, each as OPENED bytes at least, a large one in several pieces."""
     found, held, room = [], [], size
     for path, length in sorted(files):
         for begin in range(0, max(length, 1), size):
             end = min(begin + size, max(length, 1))
-            if held and end - begin > room:
+            cost = max(end - begin, min(OPENED, size))
+            if held and cost > room:
                 found.append(Pieces(held))
                 held, room = [], size
             held.append((path, begin, end))
-            room -= end - begin
+            room -= cost
     return [*found, Pieces(held)] if held else found
 
 
@@ -96,7 +106,8 @@ class OfficeReader(DataSourceReader):
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         listed = [info] if info.type == fs.FileType.File else files.get_file_info(fs.FileSelector(path, recursive=True))
-        return cut([(f.path, f.size) for f in listed if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))], self.size) or [Pieces([])]
+        done = (f for f in listed if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")) and f"/{WRITING}" not in f.path[len(path) :])
+        return cut([(f.path, f.size) for f in done], self.size) or [Pieces([])]
 
     def rows(self, pieces: list[tuple[str, int, int]]) -> Iterator[tuple]:
         """(package, part, size, content, fault) of entries in the pieces; a rejected package is one row with its fault, in its first piece."""
@@ -104,7 +115,7 @@ class OfficeReader(DataSourceReader):
         for path, begin, end in pieces:
             with files.open_input_file(path) as file:
                 try:
-                    z = zipfile.ZipFile(file)
+                    z = zipfile.ZipFile(io.BytesIO(file.read()) if begin == 0 and end <= OPENED else file)
                 except (zipfile.BadZipFile, pa.ArrowInvalid, OSError, EOFError):
                     if begin == 0 and not self.pushed:
                         yield path, None, None, None, "not a package"
@@ -164,58 +175,76 @@ class FilteringReader(OfficeReader):
 
 @dataclass
 class Written(WriterCommitMessage):
+    """What a task wrote: its own folder, and (file in it, real name) of packages that are renamed one by one."""
+
+    folder: str
     names: list[tuple[str, str]]
+    real: str | None
 
 
 class OfficeWriter(DataSourceArrowWriter):
     """Writes packages from rows with package, part and content; a package's rows come together to one task, in any order of parts.
 
-    Packages get names of their own first and their real ones when all tasks are done, so a task that runs again, or one
+    A task writes to a folder of its own; packages get their real names when all tasks are done, so a task that runs again, or one
     that is lost, leaves nothing half written. `deal` puts rows in the order that this needs.
+
+    Options: `path`; `folders`, true to leave each task's packages in one folder, which the file system must be able to
+    rename: the driver then renames a folder a task and not each package, and a package that is appended again is there twice.
     """
 
     def __init__(self, options: dict[str, str], overwrite: bool):
-        self.path, self.overwrite = options["path"], overwrite
+        self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
+        self.folders = options.get("folders", "false").lower() == "true"
 
-    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written | None:
         from pyspark import TaskContext
 
         files, folder = _files(self.path)
-        files.create_dir(folder, recursive=True)
-        attempt, names, out, current = TaskContext.get().taskAttemptId(), [], None, None
+        context, names, out, current = TaskContext.get(), [], None, None
+        own, made, now = f"{folder}/{WRITING}{self.job}-{context.taskAttemptId()}", set(), time.localtime()[:6]
         try:
             for batch in batches:
                 for package, part, content in zip(*(batch.column(c).to_pylist() for c in ("package", "part", "content")), strict=True):
                     if package != current:
                         if out:
                             out.close()
-                        name = f"{folder}/_writing-{attempt}-{len(names)}"
-                        names.append((name, f"{folder}/{package}"))
-                        sink = files.open_output_stream(name)
-                        out, current = _Closing(sink), package
-                    out.zip.writestr(part, content or b"")
+                        name = f"{own}/{package if self.folders else len(names)}"
+                        if (above := name.rpartition("/")[0]) not in made:
+                            files.create_dir(above, recursive=True)
+                            made.add(above)
+                        if not self.folders:
+                            names.append((name, f"{folder}/{package}"))
+                        out, current = _Closing(files.open_output_stream(name), now), package
+                    out.add(part, content or b"")
         finally:
             if out:
                 out.close()
-        return Written(names)
+        return Written(own, names, f"{folder}/part-{self.job}-{context.partitionId()}" if self.folders else None) if made else None
 
     def commit(self, messages: list[Written | None]) -> None:
         files, folder = _files(self.path)
+        written, made = [m for m in messages if m], set()
         if self.overwrite:
-            kept = {name for m in messages if m for name, _ in m.names}
+            kept = {m.folder for m in written}
             for info in files.get_file_info(_selector(folder)):
-                if info.is_file and info.path not in kept:
+                if info.is_file and "/".join((folder, info.path[len(folder) + 1 :].split("/")[0])) not in kept:
                     files.delete_file(info.path)
-        for m in messages:
-            for name, real in m.names if m else ():
-                files.create_dir(real.rpartition("/")[0], recursive=True)
+        for m in written:
+            for name, real in m.names:
+                if (above := real.rpartition("/")[0]) not in made:
+                    files.create_dir(above, recursive=True)
+                    made.add(above)
                 files.move(name, real)
+            if m.real:
+                files.move(m.folder, m.real)
+            else:
+                files.delete_dir(m.folder)
 
     def abort(self, messages: list[Written | None]) -> None:
         files, _ = _files(self.path)
         for m in messages:
-            for name, _ in m.names if m else ():
-                files.delete_file(name)
+            if m:
+                files.delete_dir(m.folder)
 
 
 def _selector(folder: str):
@@ -225,10 +254,15 @@ def _selector(folder: str):
 
 
 class _Closing:
-    """A package that is written to a stream which can't be rewound."""
+    """A package that is written to a stream which can't be rewound; now: the time that its parts bear."""
 
-    def __init__(self, sink):
-        self.sink, self.zip = sink, zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED)
+    def __init__(self, sink, now: tuple):
+        self.sink, self.zip, self.now = sink, zipfile.ZipFile(sink, "w"), now
+
+    def add(self, part: str, content: bytes) -> None:
+        entry = zipfile.ZipInfo(part, self.now)
+        entry.external_attr = 0o600 << 16
+        self.zip.writestr(entry, content, zipfile.ZIP_DEFLATED if len(content) >= DEFLATED else zipfile.ZIP_STORED)
 
     def close(self) -> None:
         self.zip.close()
@@ -262,8 +296,11 @@ def read(spark, path: str, **options):
     return spark.read.format("office").options(pushFilters=push, **options).load(path)
 
 
-def write(parts, path: str, mode: str = "append") -> None:
-    """Writes packages; parts: package (the file's name), part, content (binary). A package's parts meet in one task."""
+def write(parts, path: str, mode: str = "append", folders: bool = False) -> None:
+    """Writes packages; parts: package (the file's name), part, content (binary). A package's parts meet in one task.
+
+    folders: leave each task's packages in a folder, see OfficeWriter.
+    """
     parts.sparkSession.dataSource.register(OfficeSource)
     dealt = parts.select("package", "part", "content").repartition("package").sortWithinPartitions("package", "part")
-    dealt.write.format("office").mode(mode).save(path)
+    dealt.write.format("office").mode(mode).option("folders", str(folders).lower()).save(path)

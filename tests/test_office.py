@@ -79,6 +79,24 @@ def test_packages_are_written_whole_and_read_back(spark, tmp_path):
     assert office.read(spark, path, strict="false").count() == 4
 
 
+def test_a_write_renames_a_folder_a_task_and_what_is_not_done_is_not_read(spark, tmp_path):
+    path = tmp_path / "out"
+    parts = spark.range(900).selectExpr("concat('a/', cast(id % 300 AS string), '.docx') AS package", "concat('word/p', id, '.xml') AS part", "encode(repeat('x', int(id)), 'UTF-8') AS content")
+    office.write(parts, str(path), folders=True)
+    assert 1 <= len(list(path.iterdir())) <= 4 and all(p.name.startswith("part-") for p in path.iterdir())
+    (path / "_writing-lost").mkdir()
+    (path / "_writing-lost" / "0.docx").write_bytes(package(PARTS))
+    found = {(r["package"].rpartition("/")[2], r["part"], bytes(r["content"])) for r in office.read(spark, str(path), strict="false").collect()}
+    assert found == {(f"{i % 300}.docx", f"word/p{i}.xml", b"x" * i) for i in range(900)}
+    office.write(parts.filter("part = 'word/p7.xml'"), str(path), mode="overwrite", folders=True)
+    assert [r["part"] for r in office.read(spark, str(path), strict="false").collect()] == ["word/p7.xml"]
+
+
+def test_small_files_count_for_the_time_that_opening_them_takes():
+    found = office.cut([(f"{i:05}", 1000) for i in range(10_000)], office.RANGE)
+    assert len(found) == 5 and sorted(x for p in found for x in p.pieces) == [(f"{i:05}", 0, 1000) for i in range(10_000)]
+
+
 def test_registry(spark):
     rows = [(1, package(PARTS | {"word/document.xml": b"<w:body><w:p><w:r><w:t>one</w:t></w:r></w:p></w:body>"})), (2, b"<html><h1>Head</h1><p>two"), (3, rb"{\rtf1 three\par four}"), (4, "  fünf \n\n six".encode()), (5, b"%PDF-1.4"), (6, None), (7, b"ab")]
     df = spark.createDataFrame(rows, "key long, body binary").repartition(2)
