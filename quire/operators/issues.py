@@ -46,15 +46,26 @@ def fingerprint(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys).agg(F.concat_ws("\n", F.array_sort(F.collect_list(line))).alias("fingerprint"))
 
 
+def sides(used: DataFrame, defined: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
+    """(*keys, used, defined): each distinct reference or definition once, and where it is found; one that lacks a key equals none.
+
+    One pass over both. parts: tasks that rows are dealt over, so that each holds a bounded number; without it as Spark deals them.
+    """
+    both = used.select(*keys, F.lit(1).alias("side")).union(defined.select(*keys, F.lit(2).alias("side")))
+    both = both.withColumn("alone", F.when(F.array_contains(F.array(*[F.col(k).isNull() for k in keys]), True), F.col("side")))
+    dealt = both.repartition(parts, *keys) if parts else both
+    found = dealt.groupBy(*keys, "alone").agg(F.bit_or("side").alias("side"))
+    return found.select(*keys, (F.col("side") != 2).alias("used"), (F.col("side") != 1).alias("defined"))
+
+
 def dangling(used: DataFrame, defined: DataFrame, keys: list[str], kind: str, target: str) -> DataFrame:
-    """An issue for each distinct reference without a definition (anti join)."""
-    return issues(used.select(*keys).distinct().join(defined.select(*keys), keys, "left_anti"), kind, REPAIRABLE, ["doc_id"], F.col(target))
+    """An issue for each distinct reference without a definition."""
+    return issues(sides(used, defined, keys).filter("used AND NOT defined"), kind, REPAIRABLE, ["doc_id"], F.col(target))
 
 
 def unpaired(starts: DataFrame, ends: DataFrame, keys: list[str], kind: str, target: str) -> DataFrame:
     """An issue for each id that begins or ends but not both."""
-    a, b = starts.select(*keys).distinct().withColumn("a", F.lit(1)), ends.select(*keys).distinct().withColumn("b", F.lit(1))
-    return issues(a.join(b, keys, "full_outer").filter("a IS NULL OR b IS NULL"), kind, REPAIRABLE, ["doc_id"], F.col(target))
+    return issues(sides(starts, ends, keys).filter("used != defined"), kind, REPAIRABLE, ["doc_id"], F.col(target))
 
 
 def keyword_violations(line: Column, least: int, most: int) -> Column:

@@ -274,6 +274,8 @@ def rule_pack_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 USED = "SELECT l_orderkey AS doc_id, concat('s', CAST(l_partkey % 5 AS STRING)) AS id FROM lineitem"
+#: References and definitions that one task compares, about 150 bytes each.
+TOGETHER = 1 << 20
 DEFINED = "SELECT o_orderkey AS doc_id, concat('s', CAST((o_custkey + i) % 5 AS STRING)) AS id FROM orders CROSS JOIN (VALUES (0), (1), (2)) AS k(i)"
 
 
@@ -282,9 +284,10 @@ SELECT DISTINCT doc_id, 'style_reference_missing' AS kind, 'repairable' AS sever
 UNION ALL SELECT DISTINCT coalesce(u.doc_id, d.doc_id), 'bookmark_pair_missing', 'repairable', coalesce(u.id, d.id) FROM ({USED}) u FULL JOIN ({DEFINED}) d ON u.doc_id = d.doc_id AND u.id = d.id WHERE u.id IS NULL OR d.id IS NULL
 """)
 def integrity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used, defined = sql(spark, sf_dir, USED), sql(spark, sf_dir, DEFINED)
-    keys = ["doc_id", "id"]
-    return issues.dangling(used, defined, keys, "style_reference_missing", "id").union(issues.unpaired(used, defined, keys, "bookmark_pair_missing", "id"))
+    rows = table(spark, sf_dir, "lineitem").count() + 3 * table(spark, sf_dir, "orders").count()
+    found = issues.sides(sql(spark, sf_dir, USED), sql(spark, sf_dir, DEFINED), ["doc_id", "id"], 1 + rows // TOGETHER)
+    lacks, alone = F.col("used") & ~F.col("defined"), F.col("used") != F.col("defined")
+    return issues.checked(found, ["doc_id"], [("style_reference_missing", "repairable", lacks, F.col("id")), ("bookmark_pair_missing", "repairable", alone, F.col("id"))])
 
 
 @query("""

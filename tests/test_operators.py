@@ -270,3 +270,13 @@ def test_bulk_update_tells_how_many(spark):
     table = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, s string")
     found, n = sinks.update_by_ids(table, "id", spark.createDataFrame([(1,), (1,), (7,)], "id int"), {"s": F.lit("x")})
     assert {tuple(r) for r in found.collect()} == {(1, "x"), (2, "b"), (3, "c")} and n.first()["n"] == 1
+
+
+@pytest.mark.parametrize("parts", [None, 3])
+def test_sides_of_references(spark, parts):
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, id string")
+    used, defined = frame([(1, "a"), (1, "a"), (1, "b"), (2, "c"), (None, "n"), (3, None)]), frame([(1, "a"), (2, "b"), (2, "b"), (None, "n")])
+    found = sorted((str(r["doc_id"]), str(r["id"]), r["used"], r["defined"]) for r in issues.sides(used, defined, ["doc_id", "id"], parts).collect())
+    assert found == [("1", "a", True, True), ("1", "b", True, False), ("2", "b", False, True), ("2", "c", True, False), ("3", "None", True, False), ("None", "n", False, True), ("None", "n", True, False)]
+    assert {r["target"] for r in issues.dangling(used, defined, ["doc_id", "id"], "k", "id").collect()} == {"b", "c", "n", None}
+    assert sorted(str(r["target"]) for r in issues.unpaired(used, defined, ["doc_id", "id"], "k", "id").collect()) == ["None", "b", "b", "c", "n", "n"]

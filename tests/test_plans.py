@@ -51,3 +51,12 @@ def test_hierarchies_do_not_grow_plans(spark, sf_dir, name):
 
 def test_packages_are_at_most_one_shuffle(spark, sf_dir):
     assert plan_of(registry.QUERIES["package_verifier"](spark, sf_dir)).count("Exchange hashpartitioning") <= 1
+
+
+def test_references_and_definitions_meet_in_one_pass_of_bounded_tasks(spark, sf_dir, monkeypatch):
+    from quire.plans import documents
+
+    monkeypatch.setattr(documents, "TOGETHER", 1000)
+    plan = plan_of(registry.QUERIES["integrity_checks"](spark, sf_dir))
+    rows = sum(n * spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t, n in (("lineitem", 1), ("orders", 3)))
+    assert re.findall(r"Exchange hashpartitioning\(doc_id[^)]*, (\d+)\)", plan) == [str(1 + rows // 1000)] and "Join" not in plan.replace("BroadcastNestedLoopJoin", "").replace("CartesianProduct", "")
