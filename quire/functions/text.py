@@ -16,6 +16,11 @@ def uni_trim(s: Column) -> Column:
     return F.regexp_replace(s, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+def line_trim(s: Column) -> Column:
+    """uni_trim of a column: its ends are looked at first, as the pattern tries every place of the text."""
+    return F.when(F.concat(F.left(s, F.lit(1)), F.right(s, F.lit(1))).rlike(f"[{SPACE}]"), uni_trim(s)).otherwise(s)
+
+
 def squeezed(s: Column) -> Column:
     """Without any white space."""
     return F.regexp_replace(s, f"[{SPACE}]+", "")

@@ -30,6 +30,14 @@ class Node(NamedTuple):
 SCHEMA = "node long, depth int, samples long, feature int, threshold double, label string, confidence double"
 
 
+def at_least(value: Column, cuts: list[float], width: int = 16) -> Column:
+    """The first of sorted cuts that is not below the value, else the last: first the group of `width` cuts, then the cut in it."""
+    groups = [cuts[k : k + width] for k in range(0, len(cuts), width)]
+    below = lambda held: F.size(F.filter(held, lambda c: c < value))
+    group = F.get(F.array(*[F.array(*map(F.lit, g)) for g in groups]), below(F.array(*[F.lit(g[-1]) for g in groups])))
+    return F.coalesce(F.get(group, below(group)), F.lit(cuts[-1]))
+
+
 def binned(samples: DataFrame, features: int, most: int = BINS) -> DataFrame:
     """samples whose features have at most `most` values each: those with more become the next of that many quantiles.
 
@@ -37,13 +45,15 @@ def binned(samples: DataFrame, features: int, most: int = BINS) -> DataFrame:
     """
     value = lambda i: F.coalesce(F.col("features")[i], F.lit(0.0))
     parts = F.array(*[F.lit(k / most) for k in range(1, most + 1)])
-    told = samples.agg(*[F.approx_count_distinct(value(i)).alias(f"n{i}") for i in range(features)], *[F.percentile_approx(value(i), parts, 10_000).alias(f"q{i}") for i in range(features)]).first()
+    found = samples.agg(*[F.approx_count_distinct(value(i)).alias(f"n{i}") for i in range(features)]).first()
+    many = [i for i in range(features) if (found[f"n{i}"] or 0) > most * 0.9]  # the count is out by a few hundredths
+    told = samples.agg(*[F.percentile_approx(value(i), parts, 10_000).alias(f"q{i}") for i in many]).first() if many else None
 
     def cut(i: int) -> Column:
-        if (told[f"n{i}"] or 0) <= most * 0.9:  # the count is out by a few hundredths
+        if i not in many:
             return value(i)
         cuts = sorted(set(told[f"q{i}"]))
-        return F.coalesce(F.element_at(F.filter(F.array(*map(F.lit, cuts)), lambda c: c >= value(i)), 1), F.lit(cuts[-1]))
+        return at_least(value(i), cuts)
 
     return samples.withColumn("features", F.array(*[cut(i) for i in range(features)]))
 
@@ -60,9 +70,13 @@ def _placed(rows: DataFrame, splits: list[list[Node]]) -> DataFrame:
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """(node, feature, value, label, w, n): the level's one aggregation over samples, combined before it is shuffled."""
-    each = rows.select("node", "label", "weight", F.posexplode("features").alias("feature", "value"))
-    return each.groupBy("node", "feature", "value", "label").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"))
+    """(node, feature, value, label, w, n): the level's one aggregation over samples, combined before it is shuffled.
+
+    rows with a column `copies` stand for so many equal samples.
+    """
+    copies = F.col("copies") if "copies" in rows.columns else F.lit(1).cast("long")
+    each = rows.select("node", "label", (F.col("weight") * copies).alias("weight"), copies.alias("copies"), F.posexplode("features").alias("feature", "value"))
+    return each.groupBy("node", "feature", "value", "label").agg(F.sum("weight").alias("w"), F.sum("copies").alias("n"))
 
 
 def _cuts(samples: DataFrame, features: int, most: int = BINS) -> list[list[float]]:
@@ -123,7 +137,8 @@ def grow(samples: DataFrame, *, depth: int = DEPTH, least: int = LEAST, bins: in
     its nodes, so the work of a level does not depend on the number of its nodes. A node with fewer than `least`
     samples, at the last depth, with one label alone or without a fair split is a leaf. A leaf's label has the largest
     weight, then comes first; its confidence is its share. Null labels are left out; samples without rows give no node.
-    bins: features with more values become quantiles first (see `binned`); without it all values count.
+    bins: features with more values become quantiles first (see `binned`), and equal samples one row, so that levels read what is
+    distinct; without it all values count.
     """
     if not 0 <= depth <= DEEPEST:
         raise ValueError(f"a tree has at most {DEEPEST} levels, as the driver holds its nodes")
@@ -134,7 +149,7 @@ def grow(samples: DataFrame, *, depth: int = DEPTH, least: int = LEAST, bins: in
         return spark.createDataFrame([], SCHEMA)
     features = len(first["features"])
     if bins:
-        held, cuts = stored(binned(known, features, bins)), None
+        held, cuts = stored(binned(known, features, bins).groupBy("label", "weight", "features").agg(F.count(F.lit(1)).alias("copies"))), None
     else:
         held = stored(known.withColumn("features", F.array(*[F.coalesce(F.col("features")[i], F.lit(0.0)) for i in range(features)])))
         cuts = _cuts(held, features)

@@ -91,7 +91,7 @@ def token_bucket_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def decision_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A depth-12 tree over the paragraph features, weighted by confidence, with rule labels as truth."""
-    lines = paragraphs.paragraphs(table(spark, sf_dir, "documents")).withColumns({"font_size_pt": F.when(F.col("idx") == 0, 16.0).otherwise(12.0), "is_bold": F.col("idx") % 7 == 0, "alignment": F.lit("left")})
-    found = paragraphs.with_rule_label(paragraphs.with_features(lines))
+    lines = paragraphs.paragraphs(table(spark, sf_dir, "documents"), total="lines").withColumns({"font_size_pt": F.when(F.col("idx") == 0, 16.0).otherwise(12.0), "is_bold": F.col("idx") % 7 == 0, "alignment": F.lit("left")})
+    found = paragraphs.with_rule_label(paragraphs.with_features(lines, "lines"))
     sample = stored(found.select("doc_id", "idx", "label", F.round(100 * F.col("confidence")).cast("long").alias("weight"), paragraphs.vector().alias("features")))
     return cart.predict(sample, cart.grow(sample, bins=cart.BINS)).select("doc_id", "idx", "label", "predicted")

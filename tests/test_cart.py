@@ -89,3 +89,20 @@ def test_more_values_than_bins_stay_exact(spark):
     rows = [("a" if x > 600 else "b" if rng.random() < 0.9 else "c", rng.choice([1, 2]), [float(x), rng.random(), 1.0]) for x in (rng.randrange(900) for _ in range(1500))]
     expected = {r[0]: r[1:5] for r in brute(rows, 3)}
     assert {r["node"]: tuple(r)[1:5] for r in cart.grow(spark.createDataFrame(rows, SCHEMA).repartition(3), depth=3).collect()} == expected
+
+
+def test_cuts_are_found_by_groups(spark):
+    for n in (1, 15, 16, 17, 100, 256):
+        cuts = [float(3 * k) for k in range(n)]
+        rows = spark.range(-2, 3 * n + 3).selectExpr("cast(id AS double) AS v").union(spark.sql("SELECT double('NaN')"))
+        found = {str(r["v"]): r["c"] for r in rows.select("v", cart.at_least(rows["v"], cuts).alias("c")).collect()}
+        assert found == {str(v): next((c for c in cuts if c >= v), cuts[-1]) for v in [*(float(x) for x in range(-2, 3 * n + 3)), float("nan")]}
+
+
+def test_equal_samples_are_one_row_of_all_levels(spark, monkeypatch):
+    kept, store = [], cart.stored
+    monkeypatch.setattr(cart, "stored", lambda df: kept.append(store(df)) or kept[-1])
+    rows = [("a" if x > 4 else "b" if y else "c", w, [float(x), float(y)]) for x in range(9) for y in range(2) for w in (1, 3) for _ in range(x + 2)]
+    samples = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert {r["node"]: tuple(r)[1:6] for r in cart.grow(samples, bins=64).collect()} == {r[0]: r[1:6] for r in brute(rows)}
+    assert kept[0].count() == 36 and kept[0].groupBy().sum("copies").first()[0] == len(rows)

@@ -280,3 +280,13 @@ def test_sides_of_references(spark, parts):
     assert found == [("1", "a", True, True), ("1", "b", True, False), ("2", "b", False, True), ("2", "c", True, False), ("3", "None", True, False), ("None", "n", False, True), ("None", "n", True, False)]
     assert {r["target"] for r in issues.dangling(used, defined, ["doc_id", "id"], "k", "id").collect()} == {"b", "c", "n", None}
     assert sorted(str(r["target"]) for r in issues.unpaired(used, defined, ["doc_id", "id"], "k", "id").collect()) == ["None", "b", "b", "c", "n", "n"]
+
+
+def test_lines_are_counted_where_they_are_cut(spark):
+    docs = spark.createDataFrame([(1, " a \n　b \n\n" + "c d" * 9), (2, None), (3, " \n"), (4, "x\n\ty")], "doc_id long, text string").repartition(2)
+    plain = {"font_size_pt": F.lit(12.0), "is_bold": F.lit(False), "alignment": F.lit("left")}
+    told = paragraphs.with_features(paragraphs.paragraphs(docs, total="lines").withColumns(plain), "lines")
+    assert "hashpartitioning" not in told._jdf.queryExecution().executedPlan().toString()
+    counted = paragraphs.with_features(paragraphs.paragraphs(docs).withColumns(plain))
+    assert sorted(map(str, told.drop("lines").collect())) == sorted(map(str, counted.collect()))
+    assert {(r["doc_id"], r["idx"], r["text"]) for r in told.collect()} == {(1, 0, "a"), (1, 1, "b"), (1, 2, ""), (1, 3, "c d" * 9), (2, 0, ""), (3, 0, ""), (3, 1, ""), (4, 0, "x"), (4, 1, "y")}
