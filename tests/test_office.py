@@ -92,6 +92,28 @@ def test_a_write_renames_a_folder_a_task_and_what_is_not_done_is_not_read(spark,
     assert [r["part"] for r in office.read(spark, str(path), strict="false").collect()] == ["word/p7.xml"]
 
 
+def test_a_commit_renames_each_folder_and_makes_no_folder_twice(tmp_path, monkeypatch):
+    calls, (files, _) = [], office._files(str(tmp_path))
+
+    class Told:
+        def __getattr__(self, name):
+            return lambda *a, **k: (calls.append(name), getattr(files, name)(*a, **k))[1]
+
+    monkeypatch.setattr(office, "_files", lambda path: (Told(), path))
+    for folders, moves in (("true", 1), ("false", 50)):
+        writer = office.OfficeWriter({"path": str(tmp_path / folders), "folders": folders}, False)
+        own = tmp_path / folders / f"_writing-{writer.job}-0"
+        own.mkdir(parents=True)
+        for i in range(50):
+            (own / f"{i}").write_bytes(package(PARTS))
+        names = [] if folders == "true" else [(str(own / f"{i}"), str(tmp_path / folders / f"{i}.docx")) for i in range(50)]
+        calls.clear()
+        writer.commit([office.Written(str(own), names, str(tmp_path / folders / "part-0") if folders == "true" else None), None])
+        assert calls.count("move") == moves and calls.count("create_dir") <= 1 and not own.exists()
+        listing = office.OfficeReader({"path": str(tmp_path / folders), "content": "false"})
+        assert sum(1 for p in listing.partitions() for _ in listing.rows(p.pieces)) == 200
+
+
 def test_small_files_count_for_the_time_that_opening_them_takes():
     found = office.cut([(f"{i:05}", 1000) for i in range(10_000)], office.RANGE)
     assert len(found) == 5 and sorted(x for p in found for x in p.pieces) == [(f"{i:05}", 0, 1000) for i in range(10_000)]
