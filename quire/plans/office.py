@@ -25,7 +25,7 @@ def _escaped(line):
 def document_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(package, part, content): each document as a package of three parts, its printable lines as paragraphs."""
     docs = table(spark, sf_dir, "documents")
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"^[\x20-\x7E]+$"))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"^[\x20-\x7E]+\z"))
     body = F.array_join(F.transform(lines, lambda x: F.concat(F.lit('<w:p><w:r><w:t xml:space="preserve">'), _escaped(x), F.lit("</w:t></w:r></w:p>"))), "")
     document = F.concat(F.lit(f'<w:document xmlns:w="{NAMESPACE}"><w:body>'), F.coalesce(body, F.lit("")), F.lit("</w:body></w:document>"))
     core = F.concat(F.lit("<core><language>"), F.coalesce("lang", F.lit("")), F.lit("</language></core>"))

@@ -2,12 +2,15 @@
 
 import io
 import random
+import re
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import packages
+from quire.plans.office import document_parts
 from quire.sources import office, registry
 
 PARTS = {"[Content_Types].xml": b"<Types/>", "word/document.xml": b"<w:document/>", "word/styles.xml": b"<w:styles/>", "word/media/a.png": bytes(range(256)) * 40}
@@ -114,6 +117,67 @@ def test_a_commit_renames_each_folder_and_makes_no_folder_twice(tmp_path, monkey
         assert sum(1 for p in listing.partitions() for _ in listing.rows(p.pieces)) == 200
 
 
+def test_packages_are_dealt_out_to_folders_that_tasks_list(tmp_path, monkeypatch):
+    class Task:
+        get = staticmethod(lambda: Task)
+        taskAttemptId = partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr("pyspark.TaskContext", Task)
+    monkeypatch.setattr(office, "RANGE", 4 * office.OPENED)
+    monkeypatch.setattr(office, "HELD", 50_000, raising=False)
+    noise = random.Random(1).randbytes(200_000)
+    large = {"big.docx": [noise, b"small", noise[:40_000]], "deep/big.docx": [noise[:100_000]]}
+    small = {f"{'deep/' * (i % 2)}{i:02}.docx": [b"x" * i, noise[:i], noise[: 300 * i]] for i in range(41)}
+    rows = [(package, f"word/p{i}.bin", content) for package, contents in [*small.items(), *large.items()] for i, content in enumerate(contents)]
+    whole = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["package", "part", "content"])
+    writer = office.OfficeWriter({"path": str(tmp_path), "folders": "true"}, False)
+    writer.commit([writer.write(iter([whole.slice(0, 50), whole.slice(50)]))])
+    (part,) = tmp_path.iterdir()
+    (part / "dealt-0" / "_notes").write_bytes(b"not a package")
+    reader = office.OfficeReader({"path": str(tmp_path), "strict": "false", "rangebytes": str(office.RANGE)})
+    partitions = reader.partitions()
+    folders = [x for p in partitions for x in p.pieces if x[2] is None]
+    assert len(folders) == 11 and all(len(p.pieces) == 1 for p in partitions if p.pieces[0][2] is None)
+    assert {x[0][len(str(part)) + 1 :] for p in partitions for x in p.pieces if x[2] is not None} == set(large)
+    assert all(len(list(reader._opened([x]))) <= 4 for x in folders)
+    found = sorted((r[0][len(str(part)) + 1 :], r[1], r[3]) for p in partitions for r in reader.rows(p.pieces))
+    assert sorted((re.sub(r"^dealt-\d+/", "", a), b, c) for a, b, c in found) == sorted(rows)
+
+
+def test_a_small_package_is_one_write(tmp_path):
+    calls, (files, _) = [], office._files(str(tmp_path))
+
+    class Sink:
+        def __init__(self, sink):
+            self.sink = sink
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *error):
+            self.sink.close()
+
+        def __getattr__(self, name):
+            return lambda *a: (calls.append(name), getattr(self.sink, name)(*a))[1]
+
+    class Told:
+        open_output_stream = staticmethod(lambda name: Sink(files.open_output_stream(name)))
+
+    out = office._Closing(Told, str(tmp_path / "0.docx"), (2026, 1, 1, 0, 0, 0))
+    for part, content in PARTS.items():
+        out.add(part, content)
+    out.close()
+    assert calls.count("write") == 1
+    with zipfile.ZipFile(tmp_path / "0.docx") as z:
+        assert z.testzip() is None and {n: z.read(n) for n in z.namelist()} == PARTS
+
+
+def test_lines_that_end_in_a_carriage_return_are_not_printable(spark, tmp_path):
+    spark.createDataFrame([(1, "one\r\ntwo & three\n\nfünf\n", "en"), (2, "", None)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["package"]: bytes(r["content"]).decode() for r in document_parts(spark, str(tmp_path)).filter("part = 'word/document.xml'").collect()}
+    assert found["1.docx"].endswith('<w:body><w:p><w:r><w:t xml:space="preserve">two &amp; three</w:t></w:r></w:p></w:body></w:document>') and found["2.docx"].endswith("<w:body></w:body></w:document>")
+
+
 def test_small_files_count_for_the_time_that_opening_them_takes():
     found = office.cut([(f"{i:05}", 1000) for i in range(10_000)], office.RANGE)
     assert len(found) == 5 and sorted(x for p in found for x in p.pieces) == [(f"{i:05}", 0, 1000) for i in range(10_000)]
