@@ -14,10 +14,12 @@ from quire.llm.common import boxed, shared_dir, small_batches, stored
 from quire.llm.induction import MEMORY, Scratch, descending
 
 WINDOW = 50
-#: Bytes of an anchor.
-ANCHOR = 16
+#: Bytes of an anchor: strings of 16 bytes meet by chance in many documents of a large table, and the more the larger it is.
+ANCHOR = 24
 #: Bytes of text in a block, of anchors in a bucket, of text in a shard, and windows that are hashed at a time.
 BLOCK, BUCKET, SHARD, SLICE = 2 << 20, 8 << 20, 6 << 20, 1 << 19
+#: Buckets, or shards, that are sent together at most, where there are many for each core.
+GROUP = 8
 #: Blocks that hold an anchor from which on its windows go to shards one by one.
 HOT = 1000
 LAST = (1 << 63) - 1
@@ -43,7 +45,7 @@ def anchored(data: np.ndarray, ends: np.ndarray, window: int, anchor: int) -> tu
     The anchor of a window is the string of `anchor` bytes in it whose hash has the least upper half, the leftmost of
     such. Equal windows have equal anchors at equal places, wherever they stand; neighbours mostly share theirs.
     """
-    begins = np.append(0, ends[:-1])
+    begins = np.append(0, ends)[:-1]
     long = ends - begins >= window
     edge = np.zeros(len(data) + 1, np.int8)
     edge[begins[long]] += 1
@@ -73,9 +75,10 @@ def anchored(data: np.ndarray, ends: np.ndarray, window: int, anchor: int) -> tu
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """(block, owners, lengths, texts, bytes): runs of a task's rows, ending as they reach `size` bytes, texts compressed.
+    """(block, owners, lengths, digests, texts, bytes): runs of a task's rows, ending as they reach `size` bytes, texts compressed.
 
-    rows: file, at, doc, text. A block is named by the place of its first row; owners are file, at and doc of each row.
+    rows: file, at, doc, text. A block is named by the place of its first row; owners are file, at and doc of each row, digests
+    128 bits of each text's SHA-256.
     """
 
     def run(batches):
@@ -88,8 +91,9 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
             data = b"".join(texts)
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
             packed = codec.compress(data, asbytes=True) if data else b""
-            values = ([f"{owners[0][0]}:{owners[0][1]}"], [np.array(owners, np.int64).tobytes()], [lengths.tobytes()], [packed], [len(data)])
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, (pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["block", "owners", "lengths", "texts", "bytes"])
+            digests = b"".join(hashlib.sha256(t).digest()[:16] for t in texts)
+            values = ([f"{owners[0][0]}:{owners[0][1]}"], [np.array(owners, np.int64).tobytes()], [lengths.tobytes()], [digests], [packed], [len(data)])
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, (pa.string(), *(pa.binary(),) * 4, pa.int64()), strict=True)], ["block", "owners", "lengths", "digests", "texts", "bytes"])
 
         for batch in batches:
             for *owner, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -102,7 +106,7 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
         if owners:
             yield block()
 
-    return small_batches(rows).select("file", "at", "doc", "text").mapInArrow(run, "block string, owners binary, lengths binary, texts binary, bytes long")
+    return small_batches(rows).select("file", "at", "doc", "text").mapInArrow(run, "block string, owners binary, lengths binary, digests binary, texts binary, bytes long")
 
 
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,6 +116,21 @@ def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8), np.cumsum(lengths), np.frombuffer(row["owners"], np.int64).reshape(-1, 3)
 
 
+def _flags(row: dict, n: int) -> np.ndarray:
+    """Which of a block's n rows are copies, whose text a row with a smaller id has."""
+    return np.unpackbits(np.frombuffer(row["copies"], np.uint8), count=n).view(bool) if row["copies"] else np.zeros(n, bool)
+
+
+def _kept(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(data, ends of the texts, owners, numbers of the rows) of a block without its copies."""
+    data, ends, owners = _opened(row)
+    kept = ~_flags(row, len(owners))
+    if kept.all():
+        return data, ends, owners, np.arange(len(owners))
+    lengths = np.diff(ends, prepend=0)
+    return data[np.repeat(kept, lengths)], np.cumsum(lengths[kept]), owners[kept], np.flatnonzero(kept)
+
+
 def _distinct(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct hashes in order, whether more than one document has each, and which of them each run has."""
     values, inverse = np.unique(hashes, return_inverse=True)
@@ -135,61 +154,149 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _asks(table: DataFrame, buckets: int, window: int, anchor: int) -> DataFrame:
-    """(bucket, block, hashes, many): a block's distinct anchors, each once, and whether several of its documents have it.
+def _together(parts: int, cores: int) -> tuple[int, int]:
+    """(groups, parts of a group) for so many parts at least.
 
-    The upper half of a hash says its bucket, the lower one is sent: that two anchors of a bucket have it by chance (once in
-    4,000 anchors of a full bucket) sends pieces to a shard that share nothing there.
+    What is sent has a row for each block and group, so that rows would grow with the square of the input if parts were sent
+    one by one; a group's parts are still worked on one after the other.
     """
+    size = max(1, min(GROUP, parts // (8 * cores)))
+    return -(-parts // size), size
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                data, ends, owners = _opened(row)
-                first, _, hashes = anchored(data, ends, window, anchor)
-                values, many, _ = _distinct(hashes, owners[np.searchsorted(ends, first, "right"), 2])
-                cuts = np.searchsorted(_bucket(values, buckets), np.arange(buckets + 1))
-                used = np.flatnonzero(np.diff(cuts))
-                for i in range(0, len(used), 1024):
-                    some = [(int(b), row["block"], values[cuts[b] : cuts[b + 1]].astype("<u4").tobytes(), np.packbits(many[cuts[b] : cuts[b + 1]]).tobytes()) for b in used[i : i + 1024]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), (pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["bucket", "block", "hashes", "many"])
 
-    return table.select("block", "owners", "lengths", "texts", "bytes").mapInArrow(run, "bucket long, block string, hashes binary, many binary")
+def _least(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct digests in order, as two columns of words, the least document with each, and which of them each row has."""
+    words = np.frombuffer(row["digests"], np.uint64).reshape(-1, 2)
+    order = np.lexsort((words[:, 1], words[:, 0]))
+    new = np.append(True, (words[order[1:]] != words[order[:-1]]).any(1))[: len(order)]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    docs = np.frombuffer(row["owners"], np.int64).reshape(-1, 3)[:, 2]
+    begin = np.flatnonzero(new)
+    return words[order[begin]], np.minimum.reduceat(docs[order], begin), which
 
 
-def _answers(asks: DataFrame, buckets: int, hot: int) -> DataFrame:
-    """(block, bucket, shared, hot, n): bits for a block's anchors in a bucket; n of them occur in another document."""
+def _copies(table: DataFrame, buckets: int) -> DataFrame:
+    """(block, copies): bits for the rows of a block whose whole text a row with a smaller id has, told by 128 bits.
+
+    A copy loses all of its text if that is as long as a window, and nothing that it has is any window's least document, so
+    texts go on with their least document alone.
+    """
+
+    def ask(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, docs, _ = _least(row)
+                cuts = np.searchsorted(_bucket(words[:, 0], buckets), np.arange(buckets + 1))
+                used = np.flatnonzero(np.diff(cuts))
+                some = [(int(b), row["block"], words[cuts[b] : cuts[b + 1]].tobytes(), docs[cuts[b] : cuts[b + 1]].tobytes()) for b in used]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), (pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["bucket", "block", "words", "docs"])
 
     def solve(rows: list[dict]):
-        hashes = [np.frombuffer(r["hashes"], "<u4") for r in rows]
-        _, inverse, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-        many = np.zeros(len(counts), bool)
-        many[inverse[np.concatenate([np.unpackbits(np.frombuffer(r["many"], np.uint8), count=len(h)) for r, h in zip(rows, hashes, strict=True)]) > 0]] = True
-        cuts = np.cumsum([0, *map(len, hashes)])
-        found = []
-        for r, a, b in zip(rows, cuts[:-1], cuts[1:], strict=True):
-            own = inverse[a:b]
-            shared = (counts > 1)[own] | many[own]
-            if shared.any():
-                found.append((r["block"], r["bucket"], np.packbits(shared).tobytes(), np.packbits((counts >= hot)[own]).tobytes(), int(shared.sum())))
+        words, docs = (np.concatenate([np.frombuffer(r[c], k) for r in rows]) for c, k in (("words", np.uint64), ("docs", np.int64)))
+        words = words.reshape(-1, 2)
+        order = np.lexsort((words[:, 1], words[:, 0]))
+        new = np.append(True, (words[order[1:]] != words[order[:-1]]).any(1))
+        begin, least = np.flatnonzero(new), np.empty(len(order), np.int64)
+        least[order] = np.minimum.reduceat(docs[order], begin)[np.cumsum(new) - 1]
+        cuts = np.cumsum([0, *(len(r["docs"]) // 8 for r in rows)])
+        found = [(r["block"], r["bucket"], least[a:b].tobytes()) for r, a, b in zip(rows, cuts[:-1], cuts[1:], strict=True) if (least[a:b] < docs[a:b]).any()]
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["block", "bucket", "shared", "hot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], ["block", "bucket", "least"])
+
+    def tell(batches):
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                words, least, which = _least(row)
+                cuts = np.searchsorted(_bucket(words[:, 0], buckets), np.arange(buckets + 1))
+                least = least.copy()
+                for x in row["answers"] or []:
+                    least[cuts[x["bucket"]] : cuts[x["bucket"] + 1]] = np.frombuffer(x["least"], np.int64)
+                copies = np.frombuffer(row["owners"], np.int64).reshape(-1, 3)[:, 2] > least[which]
+                if copies.any():
+                    found.append((row["block"], np.packbits(copies).tobytes()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.string(), pa.binary()), strict=True)], ["block", "copies"])
+
+    own = table.select("block", "owners", "digests")
+    asks = small_batches(own).mapInArrow(ask, "bucket long, block string, words binary, docs binary")
+    answers = asks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_grouped("bucket", solve), "block string, bucket long, least binary")
+    each = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "least")).alias("answers"))
+    return own.join(each.hint("merge"), "block", "left").mapInArrow(tell, "block string, copies binary")
+
+
+def _grouped(key: str, solve):
+    """Gives `solve` the rows of each key, which lie together, as a list."""
 
     def run(batches):
         held: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
-                if held and held[0]["bucket"] != row["bucket"]:
+                if held and held[0][key] != row[key]:
                     yield from solve(held)
                     held = []
                 held.append(row)
         if held:
             yield from solve(held)
 
-    return small_batches(asks).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "block string, bucket long, shared binary, hot binary, n long")
+    return run
+
+
+def _asks(table: DataFrame, groups: int, size: int, window: int, anchor: int) -> DataFrame:
+    """(bucket, block, hashes, many, n): a block's distinct anchors, each once, and whether several of its documents have it.
+
+    The upper half of a hash says its bucket, the lower one is sent: that two anchors of a bucket have it by chance (once in
+    4,000 anchors of a full bucket) sends pieces to a shard that share nothing there. A row holds `size` buckets, n anchors of each.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                data, ends, owners, _ = _kept(row)
+                first, _, hashes = anchored(data, ends, window, anchor)
+                values, many, _ = _distinct(hashes, owners[np.searchsorted(ends, first, "right"), 2])
+                cuts = np.searchsorted(_bucket(values, groups * size), np.arange(groups * size + 1))
+                n = np.diff(cuts).reshape(groups, size)
+                cuts, values, used = cuts[::size], values.astype("<u4"), np.flatnonzero(n.any(1))
+                for i in range(0, len(used), 1024):
+                    some = [(int(b), row["block"], values[cuts[b] : cuts[b + 1]].tobytes(), np.packbits(many[cuts[b] : cuts[b + 1]]).tobytes(), n[b].tobytes()) for b in used[i : i + 1024]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), (pa.int64(), pa.string(), *(pa.binary(),) * 3), strict=True)], ["bucket", "block", "hashes", "many", "n"])
+
+    return table.select("block", "owners", "lengths", "copies", "texts", "bytes").mapInArrow(run, "bucket long, block string, hashes binary, many binary, n binary")
 
 
-#: Distinct strings of windows of some blocks that go to one shard: names of the blocks, and what `_packed` makes of the strings.
+def _answers(asks: DataFrame, groups: int, size: int, hot: int) -> DataFrame:
+    """(block, bucket, shared, hot, n): bits for a block's anchors in a row's buckets; n of them occur in another document."""
+
+    def solve(rows: list[dict]):
+        hashes = np.concatenate([np.frombuffer(r["hashes"], "<u4") for r in rows])
+        many = np.concatenate([np.unpackbits(np.frombuffer(r["many"], np.uint8), count=len(r["hashes"]) // 4) for r in rows]).view(bool)
+        n = np.array([np.frombuffer(r["n"], np.int64) for r in rows])
+        begin = np.append(0, np.cumsum(n))[:-1].reshape(n.shape)
+        shared, often = np.zeros((2, len(hashes)), bool)
+        for i in range(size):
+            parts = [slice(a, a + k) for a, k in zip(begin[:, i].tolist(), n[:, i].tolist(), strict=True)]
+            _, inverse, counts = np.unique(np.concatenate([hashes[p] for p in parts]), return_inverse=True, return_counts=True)
+            several = counts > 1
+            several[inverse[np.concatenate([many[p] for p in parts])]] = True
+            cuts = np.cumsum(n[:, i]).tolist()
+            for p, b in zip(parts, cuts, strict=True):
+                own = inverse[b - p.stop + p.start : b]
+                shared[p], often[p] = several[own], counts[own] >= hot
+        cuts = np.append(begin[:, 0], len(hashes)).tolist()
+        found = []
+        for r, a, b in zip(rows, cuts[:-1], cuts[1:], strict=True):
+            if shared[a:b].any():
+                found.append((r["block"], r["bucket"], np.packbits(shared[a:b]).tobytes(), np.packbits(often[a:b]).tobytes(), int(shared[a:b].sum())))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["block", "bucket", "shared", "hot", "n"])
+
+    return small_batches(asks).repartition(groups, "bucket").sortWithinPartitions("bucket").mapInArrow(_grouped("bucket", solve), "block string, bucket long, shared binary, hot binary, n long")
+
+
+#: Distinct strings of windows of some blocks that go to one group of shards: names of the blocks, for each shard how many strings,
+#: owners and bytes, and what `_packed` makes of the strings.
 PIECES = "shard long, blocks array<string>, n array<long>, packed binary"
 #: For each string: lower half of its anchor's hash, bytes, owners; for each owner: block, row in the block, first window in the text, document.
 _PIECE = ("<u4", "<u2", "<u4")
@@ -230,26 +337,28 @@ def _told(data: np.ndarray, begin: np.ndarray, length: np.ndarray, longest: int)
     return _mixed(parts, ODD[0]), _mixed(parts, ODD[1])
 
 
-def _pieces(found: DataFrame, buckets: int, shards: int, window: int, anchor: int) -> DataFrame:
+def _pieces(found: DataFrame, buckets: tuple[int, int], shards: tuple[int, int], window: int, anchor: int) -> DataFrame:
     """PIECES rows of the anchors that occur in another document; found: blocks with their answers.
 
     Equal strings of the blocks of a batch are told by 128 bits of hash and are one piece. Windows of hot anchors are pieces of
-    their own, which go where their own hash sends them. What goes from a batch to one shard is packed together.
+    their own, which go where their own hash sends them. What goes from a batch to one group of shards is packed together.
+    buckets, shards: groups, and how many are in each.
     """
+    of_group = shards[1]
 
     def chosen(row: dict):
-        """(data, ends, owners, first window, windows, hash, hot) of a block's runs of windows whose anchor is shared."""
-        data, ends, owners = _opened(row)
+        """(data, ends, owners, first window, windows, hash, hot, row numbers) of a block's runs of windows whose anchor is shared."""
+        data, ends, owners, numbers = _kept(row)
         first, count, hashes = anchored(data, ends, window, anchor)
         values, inverse = np.unique(hashes, return_inverse=True)
-        cuts = np.searchsorted(_bucket(values, buckets), np.arange(buckets + 1))
+        cuts = np.searchsorted(_bucket(values, buckets[0] * buckets[1]), np.arange(0, buckets[0] * buckets[1] + 1, buckets[1]))
         shared, hot = np.zeros(len(values), bool), np.zeros(len(values), bool)
         for x in row["answers"]:
             a, b = int(cuts[x["bucket"]]), int(cuts[x["bucket"] + 1])
             shared[a:b] = np.unpackbits(np.frombuffer(x["shared"], np.uint8), count=b - a)
             hot[a:b] = np.unpackbits(np.frombuffer(x["hot"], np.uint8), count=b - a)
         some = shared[inverse]
-        return data, ends, owners, first[some], count[some], hashes[some], hot[inverse[some]]
+        return data, ends, owners, first[some], count[some], hashes[some], hot[inverse[some]], numbers
 
     def pieces(rows: list[dict]):
         parts = [chosen(row) for row in rows]
@@ -272,19 +381,20 @@ def _pieces(found: DataFrame, buckets: int, shards: int, window: int, anchor: in
         for i, (_, ends, owners, *_) in enumerate(parts):
             own = which == i
             place = begin[order[own]] - bases[i]
-            row[own] = k = np.searchsorted(ends, place, "right")
-            at[own], doc[own] = place - np.append(0, ends)[k], owners[k, 2]
+            k = np.searchsorted(ends, place, "right")
+            row[own], at[own], doc[own] = parts[i][7][k], place - np.append(0, ends)[k], owners[k, 2]
         one = np.flatnonzero(new)
         n, keys, begin, length = np.diff(np.append(one, len(order))), keys[order[one]], begin[order[one]], length[order[one]]
-        cuts = np.searchsorted(_bucket(keys, shards), np.arange(shards + 1))
+        cuts = np.searchsorted(_bucket(keys, shards[0] * of_group), np.arange(shards[0] * of_group + 1))
         owned = np.append(one, len(order))
+        counts = np.diff(np.stack((cuts, owned[cuts], np.append(0, np.cumsum(length))[cuts])), axis=1)
         names, out = [r["block"] for r in rows], []
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            i, j = int(cuts[k]), int(cuts[k + 1])
+        for k in np.flatnonzero(np.diff(cuts[::of_group])).tolist():
+            i, j = int(cuts[k * of_group]), int(cuts[(k + 1) * of_group])
             o = slice(int(owned[i]), int(owned[j]))
             text = _strings(data, begin[i:j], length[i:j])
             columns = [c.astype(t) for c, t in zip((keys[i:j], length[i:j], n[i:j], which[o], row[o], at[o], doc[o]), _PIECE + _OWNER, strict=True)]
-            out.append((k, names, [j - i, o.stop - o.start, len(text)], _packed([*columns, text])))
+            out.append((k, names, counts[:, k * of_group : (k + 1) * of_group].ravel().tolist(), _packed([*columns, text])))
             if len(out) == 256 or j == len(keys):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()), strict=True)], ["shard", "blocks", "n", "packed"])
                 out = []
@@ -359,18 +469,13 @@ class Shard:
         group(held_place, held_shared)
 
 
-def _spans(pieces: DataFrame, shards: int, window: int, memory: int) -> DataFrame:
-    """(block, spans): rows of a block with the bytes to remove, as triples (row, start, stop)."""
+def _spans(pieces: DataFrame, groups: int, size: int, window: int, memory: int) -> DataFrame:
+    """(block, spans): rows of a block with the bytes to remove, as triples (row, start, stop); one row for a block and group."""
     folder = shared_dir(pieces.sparkSession)
 
-    def spans(rows: list[dict]):
-        """The spans of one shard's rows."""
-        parts = [_unpacked(r["n"], r["packed"]) for r in rows]
-        names, numbered = np.unique([b for r in rows for b in r["blocks"]], return_inverse=True)
-        firsts = np.cumsum([0, *(len(r["blocks"]) for r in rows)])
-        block = np.concatenate([numbered[p[3] + first] for p, first in zip(parts, firsts[:-1], strict=True)])
-        anchor, length, n, _, row, at, doc, text = (np.concatenate(c) for c in zip(*parts, strict=True))
-        del parts
+    def settled(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the block, span) of all bytes to remove that one shard's strings tell."""
+        anchor, length, n, block, row, at, doc, text = (np.concatenate(c) for c in zip(*parts, strict=True))
         offsets = np.append(0, np.cumsum(length, dtype=np.int64)).astype(np.int32)
         texts = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(text)]).dictionary_encode()
         number, distinct = texts.indices.to_numpy(), texts.dictionary
@@ -397,26 +502,33 @@ def _spans(pieces: DataFrame, shards: int, window: int, memory: int) -> DataFram
         gone = doc[which] > shard.least[begin[r]]
         which, r = which[gone], r[gone]
         start = at[which].astype(np.int64) + begin[r] - shard.begins[own[which]]
-        found = np.stack((row[which], start, start + until[r] - begin[r] - 1 + window), 1).astype(_SPAN)
-        block = block[which]
+        return block[which], np.stack((row[which], start, start + until[r] - begin[r] - 1 + window), 1).astype(_SPAN)
+
+    def spans(rows: list[dict]):
+        """The spans of one group's rows, whose shards are settled one after the other."""
+        names, numbered = np.unique([b for r in rows for b in r["blocks"]], return_inverse=True)
+        numbered = numbered.astype(np.int32)
+        firsts = np.cumsum([0, *(len(r["blocks"]) for r in rows)])
+        held = []
+        for r, base in zip(rows, firsts[:-1], strict=True):
+            n = np.array(r["n"]).reshape(3, size)
+            columns = _unpacked(n.sum(1).tolist(), r.pop("packed"))
+            columns[3] = numbered[columns[3] + base]
+            held.append((columns, np.concatenate((np.zeros((3, 1), np.int64), np.cumsum(n, 1)), 1).tolist()))
+        found = []
+        for i in range(size):
+            cut = [(c, [slice(x[i], x[i + 1]) for x in cuts]) for c, cuts in held if cuts[0][i] < cuts[0][i + 1]]
+            if cut:
+                found.append(settled([[*(x[s] for x in c[:3]), *(x[o] for x in c[3:7]), c[7][b]] for c, (s, o, b) in cut]))
+        block, some = (np.concatenate(c) for c in zip(*found, strict=True))
         order = np.argsort(block, kind="stable")
-        block, found = block[order], found[order]
+        block, some = block[order], some[order]
         cuts = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)) if len(block) else np.zeros(1, np.int64)
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([str(names[block[a]])]), pa.array([found[a:b].tobytes()], pa.binary())], ["block", "spans"])
-
-    def run(batches):
-        held: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and held[0]["shard"] != row["shard"]:
-                    yield from spans(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield from spans(held)
+        for i in range(0, len(cuts) - 1, 256):
+            ends = cuts[i : i + 257].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([str(names[block[a]]) for a in ends[:-1]]), pa.array([some[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["block", "spans"])
 
-    return small_batches(pieces).repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "block string, spans binary")
+    return small_batches(pieces).repartition(groups, "shard").sortWithinPartitions("shard").mapInArrow(_grouped("shard", spans), "block string, spans binary")
 
 
 _SPAN = np.dtype("<i4")
@@ -435,6 +547,15 @@ def _merged(spans: np.ndarray, rows: int) -> list[np.ndarray]:
     return found
 
 
+def _lost(row: dict, ends: np.ndarray, window: int) -> list[np.ndarray]:
+    """For each of a block's rows, the spans that it loses; copies lose all, if they are as long as a window."""
+    found = _merged(np.frombuffer(b"".join(row["spans"] or []), _SPAN).reshape(-1, 3), len(ends))
+    lengths = np.diff(ends, prepend=0)
+    for i in np.flatnonzero(_flags(row, len(ends)) & (lengths >= window)).tolist():
+        found[i] = np.array([[0, lengths[i]]])
+    return found
+
+
 def _found(docs: DataFrame, id_col: str, text_col: str, in_place: bool, window: int, anchor: int, block: int, bucket: int, shard: int, hot: int, memory: int) -> tuple[DataFrame, DataFrame]:
     """(docs with places, blocks with the spans of their rows)."""
     if not window - 64 < anchor <= window <= 255:
@@ -446,14 +567,16 @@ def _found(docs: DataFrame, id_col: str, text_col: str, in_place: bool, window:
     parts = docs.rdd.getNumPartitions()
     dealt = rows.drop("box").repartition(cores) if parts < cores else rows
     table = _placed(blocks(dealt, block), 2 * max(cores, parts))
-    total = table.agg(F.sum("bytes")).first()[0] or 0
-    buckets = max(cores, -(-8 * total // ((window - anchor) // 2 * bucket)))
-    answers = stored(_answers(_asks(table, buckets, window, anchor), buckets, hot))
-    shards = max(cores, -(-(answers.agg(F.sum("n")).first()[0] or 0) * (window + (window - anchor) // 2) // shard))
-    each = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("answers"))
+    total, n = table.agg(F.sum("bytes"), F.sum(F.length("owners"))).first()
+    copies = stored(_copies(table, max(cores, -(-(n or 0) // bucket))))
+    asked = table.join(copies.hint("merge"), "block", "left")
+    buckets = _together(max(cores, -(-8 * (total or 0) // (max((window - anchor) // 2, 1) * bucket))), cores)
+    answers = stored(_answers(_asks(asked, *buckets, window, anchor), *buckets, hot))
+    shards = _together(max(cores, -(-(answers.agg(F.sum("n")).first()[0] or 0) * (window + (window - anchor) // 2) // shard)), cores)
+    each = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("answers")).join(copies, "block", "left")
     pieces = _pieces(table.join(each.hint("merge"), "block"), buckets, shards, window, anchor)
-    gathered = _spans(pieces, shards, window, memory).groupBy("block").agg(F.collect_list("spans").alias("spans"))
-    return rows, table.join(gathered.hint("merge"), "block", "left")
+    gathered = _spans(pieces, *shards, window, memory).groupBy("block").agg(F.collect_list("spans").alias("spans"))
+    return rows, table.join(gathered.join(copies, "block", "full").hint("merge"), "block", "left")
 
 
 def byte_digests(
@@ -466,7 +589,7 @@ def byte_digests(
         for batch in batches:
             for row in batch.to_pylist():
                 data, ends, owners = _opened(row)
-                lost = _merged(np.frombuffer(b"".join(row["spans"] or []), _SPAN).reshape(-1, 3), len(owners))
+                lost = _lost(row, ends, window)
                 whole, begin, found = data.tobytes(), 0, []
                 for end, own, spans in zip(ends.tolist(), owners[:, 2].tolist(), lost, strict=True):
                     text, kept, at = whole[begin:end], hashlib.sha256(), 0
@@ -489,9 +612,9 @@ def removed_spans(
     """docs with byte_spans, an array of (start, stop) of the UTF-8 bytes that repeat a document with a smaller id.
 
     A byte goes if a string of `window` bytes around it also starts in a document with a smaller id, in the texts as they
-    came. 1. Rows are put into blocks. 2. Each block asks which of its anchors another document has; buckets of anchors answer in bits,
-    so a block names an anchor once, however many of its rows have it. 3. What may repeat goes to shards by its
-    anchor, each distinct piece of a block once; a shard's suffixes are sorted by external induction, and runs of them with
+    came. 1. Rows are put into blocks; of rows with one text only those with its least id go on. 2. Each block asks which of its
+    anchors another document has; buckets of anchors answer in bits, so a block names an anchor once, however many of its rows
+    have it. 3. What may repeat goes to shards by its anchor, each distinct piece of a block once; a shard's suffixes are sorted by external induction, and runs of them with
     a window in common tell the least document of that window. 4. Spans go back to their blocks.
 
     Null and empty texts keep and lose nothing; a null id counts as larger than all others; rows that repeat an id are
@@ -503,14 +626,14 @@ def removed_spans(
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                _, _, owners = _opened(row)
-                lost = _merged(np.frombuffer(b"".join(row["spans"]), _SPAN).reshape(-1, 3), len(owners))
+                owners = np.frombuffer(row["owners"], np.int64).reshape(-1, 3)
+                lost = _lost(row, np.cumsum(np.frombuffer(row["lengths"], np.int64)), window)
                 some = [i for i, spans in enumerate(lost) if len(spans)]
                 values = [[{"start": a, "stop": b} for a, b in lost[i].tolist()] for i in some]
                 yield pa.RecordBatch.from_arrays([pa.array(owners[some, 0]), pa.array(owners[some, 1]), pa.array(values, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], ["file", "at", "byte_spans"])
 
     rows, found = _found(docs, id_col, text_col, in_place, window, anchor, block, bucket, shard, hot, memory)
-    spans = small_batches(found.filter("spans IS NOT NULL")).mapInArrow(run, "file long, at long, byte_spans array<struct<start:long,stop:long>>")
+    spans = small_batches(found.filter("spans IS NOT NULL OR copies IS NOT NULL")).mapInArrow(run, "file long, at long, byte_spans array<struct<start:long,stop:long>>")
     names = [c for c in docs.columns if c.lower() != "byte_spans"]
     none = F.array().cast("array<struct<start:long,stop:long>>")
     return rows.join(spans, ["file", "at"], "left").select(*[F.col("box")[c].alias(c) for c in names], F.coalesce("byte_spans", none).alias("byte_spans"))

@@ -129,3 +129,45 @@ def test_texts_stay_where_their_blocks_lie(spark, tmp_path):
     found = bytespans.byte_digests(spark.read.parquet(f"{tmp_path}/d"), in_place=True, block=20_000, shard=50_000)
     assert Counter(map(tuple, found.collect())) == brute_bytes(rows)
     assert "SelectedBucketsCount" in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def sent(monkeypatch):
+    """The rows that go to shards, for each query that is made."""
+    found, spans = [], bytespans._spans
+    monkeypatch.setattr(bytespans, "_spans", lambda pieces, *rest: found.append(pieces.drop("packed").collect()) or spans(pieces, *rest))
+    return found
+
+
+def test_rows_for_shards_grow_with_groups(spark, sent):
+    """At over 300 small shards, what a batch of blocks sends has a row for eight of them; results are as ever."""
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcdefgh é") for _ in range(400)) for _ in range(40)]
+    rows = [(rng.choice([None, i]), (t := rng.choice(base))[rng.randint(0, 99) :] + str(i) + rng.choice(base)[rng.randint(0, 99) :]) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(map(tuple, bytespans.byte_digests(df, block=3000, bucket=60, shard=400, memory=200).collect())) == brute_bytes(rows)
+    groups, batches = len({r["shard"] for r in sent[0]}), len({tuple(r["blocks"]) for r in sent[0]})
+    assert 30 < groups < 200 and len(sent[0]) <= groups * batches
+
+
+def test_copies_go_to_no_shard(spark, sent):
+    """Of equal texts the one with the least id goes on, so rows that repeat a table take no more text to shards than the table."""
+    rng = random.Random(10)
+    base = ["".join(rng.choice("abcdefgh é") for _ in range(n)) for n in (0, 1, 49, 50, 51, 300, 900)]
+    rows = [(rng.choice([None, 3, 4, *range(100)]), t) for t in base * 30]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for options in ({}, SMALL):
+        assert Counter(map(tuple, bytespans.byte_digests(df, **options).collect())) == brute_bytes(rows)
+    spans = {r["byte_spans"][0] if r["byte_spans"] else None for r in bytespans.removed_spans(df, **SMALL).collect()}
+    assert spans == {None, *((0, len(t.encode())) for t in base if len(t.encode()) >= 50)}
+    assert not any(sent)
+
+
+def test_short_strings_in_many_documents_go_to_no_shard(spark, sent):
+    """Strings of 20 bytes that documents have by chance, as large tables of prose do, are no reason to compare their windows."""
+    rng = random.Random(11)
+    common = ["".join(rng.choice("abcdefgh") for _ in range(20)) for _ in range(5)]
+    rows = [(i, "".join("".join(chr(rng.randint(33, 126)) for _ in range(30)) + rng.choice(common) for _ in range(40))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, bytespans.byte_digests(df).collect())) == brute_bytes(rows)
+    assert not any(sent)
