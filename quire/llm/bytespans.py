@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import boxed, shared_dir, small_batches, stored
@@ -150,6 +150,14 @@ def _placed(rows: DataFrame, places: int) -> DataFrame:
     return rows.sparkSession.table(name)
 
 
+def _listed(rows: DataFrame, places: int, value: Column, name: str) -> DataFrame:
+    """(block, name): the values of each block, dealt over as many tasks as the table of blocks has places.
+
+    Dealt over any other number, the larger of both holds for a join, and the table's texts might be shuffled.
+    """
+    return rows.repartition(places, "block").groupBy("block").agg(F.collect_list(value).alias(name))
+
+
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -176,7 +184,7 @@ def _least(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words[order[begin]], np.minimum.reduceat(docs[order], begin), which
 
 
-def _copies(table: DataFrame, buckets: int) -> DataFrame:
+def _copies(table: DataFrame, places: int, buckets: int) -> DataFrame:
     """(block, copies): bits for the rows of a block whose whole text a row with a smaller id has, told by 128 bits.
 
     A copy loses all of its text if that is as long as a window, and nothing that it has is any window's least document, so
@@ -222,7 +230,7 @@ def _copies(table: DataFrame, buckets: int) -> DataFrame:
     own = table.select("block", "owners", "digests")
     asks = small_batches(own).mapInArrow(ask, "bucket long, block string, words binary, docs binary")
     answers = asks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_grouped("bucket", solve), "block string, bucket long, least binary")
-    each = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "least")).alias("answers"))
+    each = _listed(answers, places, F.struct("bucket", "least"), "answers")
     return own.join(each.hint("merge"), "block", "left").mapInArrow(tell, "block string, copies binary")
 
 
@@ -566,17 +574,18 @@ def _found(docs: DataFrame, id_col: str, text_col: str, in_place: bool, window:
     cores = docs.sparkSession.sparkContext.defaultParallelism
     parts = docs.rdd.getNumPartitions()
     dealt = rows.drop("box").repartition(cores) if parts < cores else rows
-    table = _placed(blocks(dealt, block), 2 * max(cores, parts))
+    places = 2 * max(cores, parts)
+    table = _placed(blocks(dealt, block), places)
     total, n = table.agg(F.sum("bytes"), F.sum(F.length("owners"))).first()
-    copies = stored(_copies(table, max(cores, -(-(n or 0) // bucket))))
+    copies = stored(_copies(table, places, max(cores, -(-(n or 0) // bucket))))
     asked = table.join(copies.hint("merge"), "block", "left")
     buckets = _together(max(cores, -(-8 * (total or 0) // (max((window - anchor) // 2, 1) * bucket))), cores)
     answers = stored(_answers(_asks(asked, *buckets, window, anchor), *buckets, hot))
     shards = _together(max(cores, -(-(answers.agg(F.sum("n")).first()[0] or 0) * (window + (window - anchor) // 2) // shard)), cores)
-    each = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("answers")).join(copies, "block", "left")
+    each = _listed(answers, places, F.struct("bucket", "shared", "hot"), "answers").join(copies, "block", "left")
     pieces = _pieces(table.join(each.hint("merge"), "block"), buckets, shards, window, anchor)
-    gathered = _spans(pieces, *shards, window, memory).groupBy("block").agg(F.collect_list("spans").alias("spans"))
-    return rows, table.join(gathered.join(copies, "block", "full").hint("merge"), "block", "left")
+    gathered = _listed(_spans(pieces, *shards, window, memory), places, F.col("spans"), "spans")
+    return rows, table.join(gathered.hint("merge"), "block", "left").join(copies.hint("merge"), "block", "left")
 
 
 def byte_digests(

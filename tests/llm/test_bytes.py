@@ -154,7 +154,7 @@ def test_copies_go_to_no_shard(spark, sent):
     """Of equal texts the one with the least id goes on, so rows that repeat a table take no more text to shards than the table."""
     rng = random.Random(10)
     base = ["".join(rng.choice("abcdefgh é") for _ in range(n)) for n in (0, 1, 49, 50, 51, 300, 900)]
-    rows = [(rng.choice([None, 3, 4, *range(100)]), t) for t in base * 30]
+    rows = [(rng.choice([None, 3, 4, *range(100)]), t) for t in base * 30] + [(-1 - i, t) for i, t in enumerate(base)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     for options in ({}, SMALL):
         assert Counter(map(tuple, bytespans.byte_digests(df, **options).collect())) == brute_bytes(rows)
@@ -171,3 +171,22 @@ def test_short_strings_in_many_documents_go_to_no_shard(spark, sent):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert Counter(map(tuple, bytespans.byte_digests(df).collect())) == brute_bytes(rows)
     assert not any(sent)
+
+
+def test_texts_stay_at_any_number_of_shuffle_partitions(spark, tmp_path, monkeypatch):
+    """Answers and spans are dealt over as many tasks as the table of blocks has places, also if other shuffles have more."""
+    plans, pieces = [], bytespans._pieces
+    monkeypatch.setattr(bytespans, "_pieces", lambda found, *rest: plans.append(found) or pieces(found, *rest))
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdef ") for _ in range(3000))
+    rows = [(i, passage[i : i + 2000] + str(i % 50) * 50) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        plans.append(bytespans.byte_digests(spark.read.parquet(f"{tmp_path}/d"), in_place=True, block=20_000, shard=50_000))
+        assert Counter(map(tuple, plans[1].collect())) == brute_bytes(rows)
+        for found in plans:
+            text = found._jdf.queryExecution().executedPlan().toString()
+            assert "SelectedBucketsCount" in text and ", 40)" not in text
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
